@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorebase.llm import fingerprints, mixing
+from lorebase.llm import bpe, fingerprints, media, mixing, token_counts
 from lorebase.llm.common import documents
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(documents(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(documents(spark, sf_dir))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op6_fingerprints)}
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_read(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_mixing, op5_token_counts, op6_fingerprints, op10_media)}
