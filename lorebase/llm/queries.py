@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorebase.llm import bpe, fingerprints, media, mixing, token_counts
+from lorebase.llm import bpe, fingerprints, media, mixing, token_counts, url_filter
 from lorebase.llm.common import documents
 
 
@@ -24,8 +24,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(documents(spark, sf_dir))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_mixing, op5_token_counts, op6_fingerprints, op10_media)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_mixing, op5_token_counts, op6_fingerprints, op7_urls, op10_media)}
