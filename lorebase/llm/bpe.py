@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorebase.llm.common import ship
+
 #: Fixed values of byte-level BPE: how a text is cut into words before merging (white space by its Unicode property).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: The same for texts within Latin-1, spelled out for the faster matcher: letters, numbers, white space.
@@ -181,6 +183,7 @@ def _encoder(spec) -> Encoder:
 
 def _broadcast(spark: SparkSession, path: str | None):
     """The vocabulary file's text, a few MB whatever the corpus, so that workers need no file of their own."""
+    ship(spark)
     if path is None:
         import public_tokenizers
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lorebase.llm.common import new_path
+from lorebase.llm.common import new_path, ship
 
 #: Samples in a row of an image; payloads are padded to a multiple of it.
 WIDTH = 64
@@ -125,6 +125,7 @@ def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             finish()
         yield pa.RecordBatch.from_pydict({"members": pa.array([members], pa.int64())})
 
+    ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(write, "members long").agg(F.sum("members")).first()[0] or 0
 
@@ -219,6 +220,7 @@ class MediaSource(DataSource):
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(MediaSource)
     return spark.read.format("media_archive").load(path)
 
