@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorebase.llm import bpe, fingerprints, media, mixing, token_counts, toxicity, url_filter
+from lorebase.llm import bpe, fingerprints, media, mixing, quality, token_counts, toxicity, url_filter
 from lorebase.llm.common import documents
 
 
@@ -32,8 +32,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_mixing, op5_token_counts, op6_fingerprints, op7_urls, op8_toxicity, op10_media)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_mixing, op5_token_counts, op6_fingerprints, op7_urls, op8_toxicity, op9_quality, op10_media)}
