@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -43,9 +44,12 @@ def table(df: DataFrame, what: str) -> DataFrame:
     size of what was written.
     """
     spark = df.sparkSession
-    path = new_path(spark, what)
+    path, schema = new_path(spark, what), df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is written now
+    return spark.read.schema(schema).parquet(path)
 
 
 _shipped: set[str] = set()

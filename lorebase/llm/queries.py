@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorebase.llm import bpe, fingerprints, media, mixing, quality, token_counts, toxicity, url_filter
+from lorebase.llm import bpe, fingerprints, media, mixing, ngram_join, quality, token_counts, toxicity, url_filter
 from lorebase.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(documents(spark, sf_dir))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir), width=4, percent=85)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -40,4 +44,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_mixing, op5_token_counts, op6_fingerprints, op7_urls, op8_toxicity, op9_quality, op10_media)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_mixing, op4_ngram_join, op5_token_counts, op6_fingerprints, op7_urls, op8_toxicity, op9_quality, op10_media)}
