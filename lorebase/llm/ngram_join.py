@@ -130,7 +130,7 @@ def candidate_edges(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def _product(unit: np.ndarray, side: np.ndarray, cid: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int], np.ndarray]:
     """Links of a chunk: a spanning set of them as two lists of class ids, and the links counted for each row.
 
-    Rows of the same unit are multiplied: with side 0 only, all pairs; with sides 0 and 1, pairs across.
+    Rows of the same unit are multiplied: all pairs of side 0, and pairs of side 1 with side 2.
     """
     lengths = np.array([len(s) for s in sets])
     gram = mix(np.concatenate(sets) ^ np.repeat(mix(unit.view(np.uint64)), lengths))
@@ -141,7 +141,6 @@ def _product(unit: np.ndarray, side: np.ndarray, cid: np.ndarray, sets: list[np.
     counts = np.diff(np.r_[bounds, len(gram)])
     column[order] = np.repeat(np.arange(len(bounds)), counts)
     holders = owner[order]
-    crossed = {u for u, s in zip(unit.tolist(), side.tolist(), strict=True) if s}
     parent = list(range(len(sets)))
 
     def root(x: int) -> int:
@@ -165,7 +164,7 @@ def _product(unit: np.ndarray, side: np.ndarray, cid: np.ndarray, sets: list[np.
             continue
         found, overlap = np.unique(others, return_counts=True)
         linked = 100 * overlap >= percent * (n + lengths[found] - overlap)
-        if int(unit[i]) in crossed:
+        if side[i]:
             linked &= side[found] != side[i]
         linked &= cid[found] != cid[i]
         for j in found[linked].tolist():
@@ -222,7 +221,7 @@ def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Data
     sets = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("m_id"))).select("text", "cid", "grp", "blocks").mapInArrow(read, "cid long, grp long, blocks int, size_class int, grams binary")
     small = F.col("blocks") == 1
     block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    # A large group's unit is a pair of blocks (size class, part): the lower block is side 0.
+    # A large group's unit is a pair of blocks (size class, part): the lower block is side 1, the higher side 2; side 0 is a block with itself.
     own = F.struct(F.col("size_class").alias("c"), block.alias("k"))
 
     def pair(low, high, side):
@@ -232,9 +231,9 @@ def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Data
         return F.struct(c.cast("int").alias("c"), k.cast("int").alias("k"))
 
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    same = F.transform(every, lambda k: F.when(k < block, pair(with_part(F.col("size_class"), k), own, 1)).when(k > block, pair(own, with_part(F.col("size_class"), k), 0)).otherwise(pair(own, own, 0)))
-    below = F.transform(every, lambda k: pair(with_part(F.col("size_class") - 1, k), own, 1))
-    above = F.transform(every, lambda k: pair(own, with_part(F.col("size_class") + 1, k), 0))
+    same = F.transform(every, lambda k: F.when(k < block, pair(with_part(F.col("size_class"), k), own, 2)).when(k > block, pair(own, with_part(F.col("size_class"), k), 1)).otherwise(pair(own, own, 0)))
+    below = F.transform(every, lambda k: pair(with_part(F.col("size_class") - 1, k), own, 2))
+    above = F.transform(every, lambda k: pair(own, with_part(F.col("size_class") + 1, k), 1))
     alone = F.array(F.struct(F.xxhash64("grp").alias("unit"), F.lit(0).alias("side")))
     units = sets.select("cid", "grams", F.explode(F.when(small, alone).otherwise(F.concat(same, below, above))).alias("u"))
     units = units.select("u.unit", "u.side", "cid", "grams").repartition("unit").sortWithinPartitions("unit", "side", "cid")
