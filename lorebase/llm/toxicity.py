@@ -217,11 +217,11 @@ def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (8_000, 2_
         for batch in batches:
             for text, y, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = [w for w in restorer.words((text or "").lower()) if len(w) >= 3]
-                pairs = list(set(zip(["", *words[:-1]], words, strict=True)))
+                pairs = list(set(zip(["", *words], words, strict=False)))
                 yield pa.RecordBatch.from_pydict({"before": [a for a, _ in pairs], "word": [b for _, b in pairs], "y": [y] * len(pairs), "doc": [doc] * len(pairs)}, pa.schema([("before", pa.string()), ("word", pa.string()), ("y", pa.int32()), ("doc", pa.int64())]))
 
     pairs = rows.select("text", "y", F.xxhash64("text").alias("doc")).mapInArrow(run, "before string, word string, y int, doc long")
-    contexts = pairs.groupBy(F.xxhash64("before", "word").alias("h"), "word").agg(F.min(F.struct("doc", "y")).alias("first")).select("word", "first.*")
+    contexts = pairs.groupBy(F.xxhash64("before", "word").alias("h"), "word").agg(F.min(F.shiftleft("doc", 1).bitwiseOR(F.col("y").cast("long"))).alias("doc")).select("word", "doc", F.col("doc").bitwiseAND(F.lit(1)).alias("y"))
     word = F.col("word")
     grams = F.array(F.concat(F.lit("="), word), *(F.when(F.length(word) >= n, F.concat(F.lit("^"), F.substring(word, 1, n))) for n in PREFIXES))
     of_doc = contexts.select(F.explode(F.array_compact(grams)).alias("term"), "doc", "y").groupBy("term", "doc", "y").agg(F.least(F.count("*"), F.lit(MOST_OF_DOC)).alias("n"))
