@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorebase.llm import bpe, fingerprints, media, mixing, ngram_join, quality, token_counts, toxicity, url_filter
+from lorebase.llm import bpe, fingerprints, media, mixing, ngram_join, quality, suffix_dedup, token_counts, toxicity, url_filter
 from lorebase.llm.common import documents
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digests(documents(spark, sf_dir))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir))
 
@@ -44,4 +48,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_mixing, op4_ngram_join, op5_token_counts, op6_fingerprints, op7_urls, op8_toxicity, op9_quality, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_mixing, op4_ngram_join, op5_token_counts, op6_fingerprints, op7_urls, op8_toxicity, op9_quality, op10_media)}
