@@ -97,7 +97,7 @@ def dedupe_questions(events: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
 
     A stored answer's time is carried along each key's events by a fold, so keys are processed side by side.
     """
-    rows = F.sort_array(F.collect_list(F.struct(F.col("ts").cast("double").alias("t"), "event_id")))
+    rows = F.sort_array(F.collect_list(F.struct(F.col("ts").cast("timestamp").cast("double").alias("t"), "event_id")))
     step = F.aggregate(
         rows, F.struct(F.lit(-1e18).alias("stored"), F.array().cast("array<struct<event_id:bigint,hit:boolean>>").alias("out")),
         lambda a, x: F.struct(F.when(x["t"] - a["stored"] <= ttl_seconds, a["stored"]).otherwise(x["t"]).alias("stored"), F.concat(a["out"], F.array(F.struct(x["event_id"].cast("bigint").alias("event_id"), (x["t"] - a["stored"] <= ttl_seconds).alias("hit")))).alias("out")),

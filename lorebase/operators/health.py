@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 def kb_health(docs: DataFrame, passages: DataFrame, min_passages: int = 1000, min_docs: int = 10) -> DataFrame:
     """Q1: check, value, passed: totals against minima, passages without vector, without document, without content, disabled ones."""
     p = passages.agg(F.count("*").alias("n"), F.count_if(F.col("vec").isNull()).alias("no_vec"), F.count_if(F.coalesce(F.trim("content"), F.lit("")) == "").alias("empty"), F.count_if(~F.col("enabled")).alias("off"))
+    row = lambda name, value, passed: F.struct(F.lit(name).alias("check"), F.col(value).alias("value"), passed.alias("passed"))
     rows = p.select(F.inline(F.array(
-        F.struct(F.lit("passages").alias("check"), F.col("n").alias("value"), (F.col("n") >= min_passages).alias("passed")),
-        F.struct(F.lit("without_vector"), F.col("no_vec"), F.col("no_vec") == 0), F.struct(F.lit("empty_content"), F.col("empty"), F.col("empty") == 0), F.struct(F.lit("disabled"), F.col("off"), F.lit(True)),
+        row("passages", "n", F.col("n") >= min_passages), row("without_vector", "no_vec", F.col("no_vec") == 0),
+        row("empty_content", "empty", F.col("empty") == 0), row("disabled", "off", F.lit(True)),
     )))
     lost = passages.join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").agg(F.count("*").alias("value")).select(F.lit("missing_document").alias("check"), "value", (F.col("value") == 0).alias("passed"))
     held = docs.agg(F.count("*").alias("value")).select(F.lit("documents").alias("check"), "value", (F.col("value") >= min_docs).alias("passed"))
