@@ -2,4 +2,7 @@
 
 from __future__ import annotations
 
+#: Sources in code point order take weights 5, 2, 1 in turn; targets are clamped at 3 times the size, and the level is
+#: the one of the first source, by cap over weight, that needs no clamp. repeats and taken follow a seeded hash of
+#: the engine, so op3_mixing has no twin; its targets are tested against this rule.
 SQL: dict[str, str] = {}
