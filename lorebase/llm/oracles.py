@@ -1,8 +1,41 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+The others: op2 (byte-pair merges), op5 (encoded lengths), op6 (hashes of the engine), op7 to op9 (trained models),
+op10 (deflated images) and op3 (a seeded hash decides whole documents) are tested against brute force,
+libraries, round trips or held-out accuracy in tests/llm.
+"""
 
 from __future__ import annotations
 
-#: Sources in code point order take weights 5, 2, 1 in turn; targets are clamped at 3 times the size, and the level is
-#: the one of the first source, by cap over weight, that needs no clamp. repeats and taken follow a seeded hash of
-#: the engine, so op3_mixing has no twin; its targets are tested against this rule.
-SQL: dict[str, str] = {}
+#: A byte is covered when one of the 100 windows that hold it has an equal window that starts earlier.
+OP1 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d),
+w AS (SELECT doc_id, unnest(range(0, greatest(n_bytes - 99, 0))) AS s, h FROM n),
+k AS (SELECT doc_id, s, md5_number(substring(h, 2 * s + 1, 200)) AS g FROM w),
+f AS (SELECT g, min(doc_id * 100000000 + s) AS first FROM k GROUP BY g),
+r AS (SELECT doc_id, s, doc_id * 100000000 + s > first AS again FROM k JOIN f USING (g)),
+b AS (SELECT doc_id, p, substring(h, 2 * p + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(0, n_bytes)) AS p FROM n)),
+c AS (SELECT b.doc_id, p, x,
+  coalesce(bool_or(again) OVER (PARTITION BY b.doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM b LEFT JOIN r ON r.doc_id = b.doc_id AND r.s = b.p),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM c),
+t AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+  coalesce(string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM e GROUP BY doc_id)
+SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(kept, ''))) AS kept_sha256
+FROM n LEFT JOIN t USING (doc_id)
+"""
+
+OP4 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS u FROM documents UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v AS doc_id, min(u) AS component_id FROM r GROUP BY 1) USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op1_suffix_dedup": OP1, "op4_ngram_join": OP4}

@@ -21,7 +21,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(documents(spark, sf_dir), width=4, percent=85)
+    return ngram_join.near_duplicates(documents(spark, sf_dir), width=4, percent=85).drop("n_links")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
