@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
-Equal sets are one class from the start. Candidates meet by equal parts of their sets (see ``part_keys``),
-components of candidates are the blocks of the incidence matrix, and each block is multiplied with its own
+Equal sets are one class from the start. Candidates meet by equal parts of their sets (see ``part_keys``) and
+similar sketches; components of candidates are the blocks of the incidence matrix, and each block is multiplied with its own
 transpose in a task. Only links, class ids and hashes are shuffled besides the sets of the candidates.
 """
 
@@ -22,6 +22,8 @@ from lorebase.llm.shingles import mix, set_key, shingle_sets
 BLOCK = 1024
 #: Shingles a task multiplies at once.
 CHUNK = 4_000_000
+#: Bins of a sketch.
+BINS = 64
 LONG = pa.int64()
 
 
@@ -74,22 +76,29 @@ def _class_id(s: np.ndarray) -> int:
     return int.from_bytes(set_key(s)[:8], "little", signed=True)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Numbers of elements in 64 hash bins, 255 at most. The bins of two sets differ by no more than the sets do."""
+    return np.minimum(np.bincount((mix(s ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def classes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (size of the set) and cid (id of the class of equal sets; null for an empty set) of (doc_id, text)."""
+    """doc_id, n (size of the set), cid (id of the class of equal sets; null for an empty set) and sketch of (doc_id, text)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], LONG), pa.array([_class_id(s) if len(s) else None for s in sets], LONG)], ["doc_id", "n", "cid"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], LONG), pa.array([_class_id(s) if len(s) else None for s in sets], LONG), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "cid", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cid long")
+    return docs.mapInArrow(run, "doc_id long, n long, cid long, sketch binary")
 
 
-def candidate_edges(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: each class of a list of equal keys with the first of the list.
+def candidate_edges(docs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: enough pairs of classes to connect all that share a key and may be linked by their sketches.
 
-    A task sends the keys of a class once, however many copies it reads.
+    ``known`` has (cid, n, sketch) of every class. A task sends the keys of a class once, however many copies it
+    reads. Keys that only one class has end there; the others' classes are joined with their sketches, and
+    inside a list pairs that differ too much in the bins are no candidates, whatever key they share.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,25 +115,64 @@ def candidate_edges(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 for at in range(0, len(key), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 200_000]), pa.array(cid[at : at + 200_000])], ["key", "cid"])
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_cid = None, None
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by key and class those whose key another class has; each pair of key and class once."""
+        held_key, held_cid, sent = None, None, False
         for batch in batches:
             key, cid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(key):
                 continue
-            new = np.r_[key[0] != held_key, key[1:] != key[:-1]]
-            first = np.where(new, np.arange(len(key)), 0)
-            np.maximum.accumulate(first, out=first)
-            head = cid[first]
-            if not new[0]:
-                head[first == 0] = held_cid
-            held_key, held_cid = key[-1], head[-1]
-            differs = head != cid
-            pairs = np.unique(np.stack([head[differs], cid[differs]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+            if held_key is not None:
+                key, cid = np.r_[held_key, key], np.r_[held_cid, cid]
+            again = np.r_[False, (key[1:] == key[:-1]) & (cid[1:] == cid[:-1])]
+            same = key[1:] == key[:-1]
+            differs = same & (cid[1:] != cid[:-1])
+            keep = (np.r_[False, differs] | np.r_[differs, False]) & ~again
+            if again.any():  # a repeated row stands between a class and the next one
+                run = np.cumsum(~again) - 1
+                keep = (np.bincount(run, np.r_[False, differs] | np.r_[differs, False]) > 0)[run] & ~again
+            if held_key is not None and sent:
+                keep[0] = False
+            last_sent = bool((np.bincount(np.cumsum(~again) - 1, keep) > 0)[-1]) or (sent and held_key == key[-1] and held_cid == cid[-1])
+            held_key, held_cid, sent = key[-1], cid[-1], last_sent
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cid[keep])], ["key", "cid"])
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, int, bytes]] = []
+
+        def flush() -> pa.RecordBatch:
+            key, cid, n = (np.array([x[i] for x in rows], np.int64) for i in range(3))
+            bins = np.frombuffer(b"".join(x[3] for x in rows), np.uint8).reshape(-1, BINS).astype(np.int16)
+            rows.clear()
+            bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            a, b = [], []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                left = np.arange(lo, hi)
+                while len(left):
+                    front, left = [left[0]], left[1:]
+                    while front and len(left):
+                        i = front.pop()
+                        apart = np.abs(bins[left] - bins[i]).sum(axis=1, dtype=np.int64)
+                        near = apart * (100 + percent) <= (n[left] + n[i]) * (100 - percent)
+                        found = left[near]
+                        a += [int(cid[i])] * len(found)
+                        b += cid[found].tolist()
+                        front += found.tolist()
+                        left = left[~near]
+            return pa.RecordBatch.from_arrays([pa.array(a, LONG), pa.array(b, LONG)], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(rows) >= 20_000 and row[0] != rows[-1][0]:
+                    yield flush()
+                rows.append(row)
+        if rows:
+            yield flush()
 
     spread = docs.mapInArrow(keys, "key long, cid long").repartition("key").sortWithinPartitions("key", "cid")
-    return spread.mapInArrow(stars, "a long, b long").distinct()
+    lists = table(spread.mapInArrow(shared, "key long, cid long"), "ngram-lists")
+    with_bins = lists.join(known.select("cid", "n", "sketch").hint("merge"), "cid").select("key", "cid", "n", "sketch")
+    return with_bins.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(prune, "a long, b long").distinct()
 
 
 def _product(unit: np.ndarray, side: np.ndarray, cid: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int], np.ndarray]:
@@ -218,7 +266,7 @@ def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Data
             yield flush(len(rows))
 
     chosen = members.select(F.col("doc_id").alias("m_id"), "cid", "grp", F.greatest(F.lit(1), F.ceil(F.col("in_grp") / BLOCK)).cast("int").alias("blocks"))
-    sets = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("m_id"))).select("text", "cid", "grp", "blocks").mapInArrow(read, "cid long, grp long, blocks int, size_class int, grams binary")
+    sets = docs.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id"))).select("text", "cid", "grp", "blocks").mapInArrow(read, "cid long, grp long, blocks int, size_class int, grams binary")
     small = F.col("blocks") == 1
     block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     # A large group's unit is a pair of blocks (size class, part): the lower block is side 1, the higher side 2; side 0 is a block with itself.
@@ -255,8 +303,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     of_doc = table(classes(slim, width), "ngram-classes")
-    groups = components(candidate_edges(slim, width, percent))
-    by_class = of_doc.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"))
+    by_class = table(of_doc.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "ngram-by-class")
+    groups = components(candidate_edges(slim, by_class, width, percent))
+    by_class = by_class.select("cid", "first_id")
     reps = by_class.join(groups.select(F.col("v").alias("cid"), F.col("label").alias("grp")), "cid").select(F.col("first_id").alias("doc_id"), "cid", "grp")
     counted = reps.groupBy("grp").agg(F.count("*").alias("in_grp"))
     found = table(links(slim, table(reps.join(counted, "grp"), "ngram-members"), width, percent), "ngram-links")
