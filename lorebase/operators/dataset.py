@@ -169,7 +169,7 @@ def rewrite_question(q: Column) -> Column:
 def rewrite_output(text: Column) -> Column:
     """A trailing list rewritten: numbered to dashes, plain bullets to a paragraph, an intro line ending in ： with bullets to one line; else null."""
     number, bullet = r"^\d+[.、]\s*(.+)$", r"^[-•]\s*(.+)$"
-    lines = F.filter(F.transform(F.split(text, "\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     is_list = F.transform(F.reverse(lines), lambda x: (~(x.rlike(number) | x.rlike(bullet))).cast("int"))
     stop = F.array_position(is_list, 1)
     n = F.when(stop == 0, F.size(lines)).otherwise(stop - 1).cast("int")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lorebase.functions.text import cosine, weighted_keywords
 from lorebase.operators.common import contains_pairs, small, top
@@ -42,6 +43,7 @@ def vector_search(queries: DataFrame, passages: DataFrame, k: int = 5, thr: floa
         scored = pairs.select("query_id", "id", F.round(cosine(F.col("_q"), F.col("_p")), 6).alias("similarity")).where(F.col("similarity") >= thr)
         return top(scored, ["query_id"], [F.col("similarity").desc(), F.col("id")], k, "rank")
     found = None
+    query_kind = to_arrow_type(queries.schema["query_id"].dataType)
     q = queries.select("query_id", "vec").where("vec IS NOT NULL")
     n = q.count()
     rounds = max(1, -(-n // QUERY_BLOCK))
@@ -62,7 +64,8 @@ def vector_search(queries: DataFrame, passages: DataFrame, k: int = 5, thr: floa
                 order = np.lexsort((np.broadcast_to(pid, sims.shape), -sims), axis=1)[:, :k]
                 best = np.take_along_axis(sims, order, axis=1)
                 qi, pj = np.nonzero(best >= thr)
-                yield pa.RecordBatch.from_pydict({"query_id": [ids[places[i]] for i in qi], "id": pid[order[qi, pj]].tolist(), "similarity": best[qi, pj]})
+                columns = [pa.array([ids[places[i]] for i in qi], query_kind), pa.array(pid[order[qi, pj]].tolist(), batch.schema.field(0).type), pa.array(best[qi, pj])]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "similarity"])
 
         kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {p.schema['id'].dataType.simpleString()}, similarity double"
         out = p.select("id", "vec").mapInArrow(run, kinds)

@@ -48,7 +48,7 @@ def toc_entries(lines: DataFrame) -> DataFrame:
     t = F.trim("text")
     titled, dotted = t.rlike(TOC_TITLE), t.rlike(DOT_PAGE)
     plain = F.length(t).between(2, 40) & ~t.rlike(r"^\d{1,3}$") & ~t.rlike("[。；]")
-    kind = F.when(titled, "entry").when(dotted, "page").when(t.rlike(DOT_ONLY), "dots").when(plain, "title").otherwise("other")
+    kind = F.when(dotted, "page").when(t.rlike(DOT_ONLY), "dots").when(titled, "entry").when(plain, "title").otherwise("other")
     rows = lines.where(F.length(t) > 0).withColumn("_t", t).withColumn("_kind", kind)
     w = Window.partitionBy("doc_id", "page_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     held = F.last(F.when(F.col("_kind") != "dots", F.struct("_kind", "_t")), ignorenulls=True).over(w)
@@ -221,7 +221,7 @@ def doc_shape(lines: DataFrame, structured: DataFrame | None = None) -> DataFram
 
 def title_from_text(text: Column) -> Column:
     """The first of the first 12 lines of 5,000 characters that can be a title, else null."""
-    lines = F.slice(F.filter(F.transform(F.split(F.left(text, F.lit(5000)), "\n+"), F.trim), lambda x: x != ""), 1, 12)
+    lines = F.slice(F.filter(F.transform(F.split(F.left(text, F.lit(5000)), "\n+"), lambda x: F.trim(x)), lambda x: x != ""), 1, 12)
     bad = r"^[\d\s.\-—|]+$|^[一二三四五六七八九十]+、|" + SECTION + "|" + CHAPTER + "|^" + _NUM + r"|^[（(][一二三四五六七八九十0-9]+[）)]|(?i)^(人民卫生出版社|卫生部|国家卫生健康|www\.|http|\d{4}年|ISBN)"
     return F.get(F.filter(lines, lambda x: F.length(x).between(2, 60) & ~x.rlike(bad)), F.lit(0))
 
@@ -270,7 +270,7 @@ def split_passages(df: DataFrame, text: str = "content", ends: str = "。；;！
 
 def chunk_sliding(df: DataFrame, text: str = "text", size: int = 500, overlap: int = 50, paragraph: str = "\n{2,}") -> DataFrame:
     """chunk_index, chunk: paragraphs over 20 characters, long ones as windows of ``size`` stepping ``size - overlap``."""
-    paras = F.filter(F.transform(F.split(F.col(text), paragraph), F.trim), lambda p: F.length(p) > 20)
+    paras = F.filter(F.transform(F.split(F.col(text), paragraph), lambda x: F.trim(x)), lambda p: F.length(p) > 20)
     windows = F.flatten(F.transform(paras, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(F.transform(F.sequence(F.lit(1), F.length(p), F.lit(size - overlap)), lambda i: F.trim(F.substring(p, i, F.lit(size)))))))
     return df.select(*[c for c in df.columns if c != text], F.posexplode(windows).alias("chunk_index", "chunk"))
 
