@@ -37,6 +37,12 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lorebase/{what}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps, which it does when their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(df: DataFrame, what: str) -> DataFrame:
     """Write a step's rows to the shared folder and read them back.
 
@@ -45,10 +51,9 @@ def table(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path, schema = new_path(spark, what), df.schema
+    release(spark)
     df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is written now
+    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import ROW, ship, table
+from lorebase.llm.common import ROW, release, ship, table
 from lorebase.llm.shingles import _powers, mix
 
 #: Bytes of an anchor.
@@ -368,7 +368,9 @@ def _with_runs(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataF
     slim, firsts = _prepared(docs, id_col, text_col)
     runs = repeat_intervals(slim.select("ord", "text", "id"), firsts, least).groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("r"))
     plan = firsts.join(runs.withColumnRenamed("text_id", "id"), "id", "left").select("id", "ord", F.col("r.start").alias("starts"), F.col("r.stop").alias("stops"), F.lit(True).alias("first"))
-    return slim.join(table(plan, "suffix-runs"), ["id", "ord"], "left")
+    plan = table(plan, "suffix-runs")
+    release(docs.sparkSession)
+    return slim.join(plan, ["id", "ord"], "left")
 
 
 def _spans(n: int, first: bool | None, starts: list[int] | None, stops: list[int] | None, least: int) -> list[tuple[int, int]]:
