@@ -7,23 +7,17 @@ libraries, round trips or held-out accuracy in tests/llm.
 
 from __future__ import annotations
 
-#: A byte is covered when one of the 100 windows that hold it has an equal window that starts earlier.
+#: A window of 100 bytes is repeated when an equal one starts earlier; runs of repeated windows are the removed spans.
 OP1 = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-n AS (SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d),
-w AS (SELECT doc_id, unnest(range(0, greatest(n_bytes - 99, 0))) AS s, h FROM n),
-k AS (SELECT doc_id, s, md5_number(substring(h, 2 * s + 1, 200)) AS g FROM w),
+WITH n AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, s, md5_number(substring(h, 2 * s + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS s FROM n)),
 f AS (SELECT g, min(doc_id * 100000000 + s) AS first FROM k GROUP BY g),
-r AS (SELECT doc_id, s, doc_id * 100000000 + s > first AS again FROM k JOIN f USING (g)),
-b AS (SELECT doc_id, p, substring(h, 2 * p + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(0, n_bytes)) AS p FROM n)),
-c AS (SELECT b.doc_id, p, x,
-  coalesce(bool_or(again) OVER (PARTITION BY b.doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), false) AS gone
-  FROM b LEFT JOIN r ON r.doc_id = b.doc_id AND r.s = b.p),
-e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM c),
-t AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
-  coalesce(string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM e GROUP BY doc_id)
-SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(kept, ''))) AS kept_sha256
-FROM n LEFT JOIN t USING (doc_id)
+r AS (SELECT doc_id, s, s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -101) + 100 AS opens FROM k JOIN f USING (g) WHERE doc_id * 100000000 + s > first),
+i AS (SELECT doc_id, s, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM r),
+c AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, run),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS past FROM c),
+t AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substring(h, 2 * past + 1, 2 * (a - past)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS kept FROM p JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT n.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(kept, h))) AS kept_sha256 FROM n LEFT JOIN t USING (doc_id)
 """
 
 OP4 = r"""
