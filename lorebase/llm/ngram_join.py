@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.llm.common import ship, table
@@ -22,8 +22,8 @@ from lorebase.llm.shingles import mix, set_key, shingle_sets
 BLOCK = 1024
 #: Shingles a task multiplies at once.
 CHUNK = 4_000_000
-#: Bins of a sketch.
-BINS = 64
+#: Bins of a sketch, at least and at most.
+BINS, MOST_BINS = 64, 4096
 LONG = pa.int64()
 
 
@@ -77,8 +77,27 @@ def _class_id(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Numbers of elements in 64 hash bins, 255 at most. The bins of two sets differ by no more than the sets do."""
-    return np.minimum(np.bincount((mix(s ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """Numbers of elements in hash bins, 255 at most; the larger the set, the more bins (64 to 4,096, powers of two).
+
+    The bins of two sets differ by no more than the sets do, and neighbouring bins add up to coarser ones.
+    """
+    bins = BINS
+    while bins < MOST_BINS and bins * 16 < len(s):
+        bins *= 2
+    place = (mix(s ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(65 - bins.bit_length())).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Least number of elements in which two sets differ, by their sketches."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) == len(y):
+        return int(np.abs(x.astype(np.int64) - y).sum())
+    if len(x) > len(y):
+        x, y = y, x
+    full = y.astype(np.int64).reshape(len(x), -1)
+    capped = (full == 255).any(axis=1) | (x == 255)  # sums of capped bins say nothing
+    return int(np.abs(x.astype(np.int64) - full.sum(axis=1))[~capped].sum())
 
 
 def classes(docs: DataFrame, width: int) -> DataFrame:
@@ -142,8 +161,10 @@ def candidate_edges(docs: DataFrame, known: DataFrame, width: int, percent: int)
 
         def flush() -> pa.RecordBatch:
             key, cid, n = (np.array([x[i] for x in rows], np.int64) for i in range(3))
-            bins = np.frombuffer(b"".join(x[3] for x in rows), np.uint8).reshape(-1, BINS).astype(np.int16)
+            sketches = [x[3] for x in rows]
             rows.clear()
+            long = np.array([len(x) > BINS for x in sketches])
+            bins = np.frombuffer(b"".join(bytes(BINS) if w else x for x, w in zip(sketches, long, strict=True)), np.uint8).reshape(-1, BINS).astype(np.int16)
             bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
             a, b = [], []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -152,8 +173,11 @@ def candidate_edges(docs: DataFrame, known: DataFrame, width: int, percent: int)
                     front, left = [left[0]], left[1:]
                     while front and len(left):
                         i = front.pop()
-                        apart = np.abs(bins[left] - bins[i]).sum(axis=1, dtype=np.int64)
-                        near = apart * (100 + percent) <= (n[left] + n[i]) * (100 - percent)
+                        if long[left].any() or long[i]:
+                            differ = np.array([apart(sketches[i], sketches[j]) for j in left.tolist()])
+                        else:
+                            differ = np.abs(bins[left] - bins[i]).sum(axis=1, dtype=np.int64)
+                        near = differ * (100 + percent) <= (n[left] + n[i]) * (100 - percent)
                         found = left[near]
                         a += [int(cid[i])] * len(found)
                         b += cid[found].tolist()
@@ -229,18 +253,17 @@ def _product(unit: np.ndarray, side: np.ndarray, cid: np.ndarray, sets: list[np.
 def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Rows (a, b, n) of all links between different classes of the same group: a spanning set (n null), and n links of class a (b null).
 
-    ``members`` has (doc_id, cid, grp): one document of each candidate class. A group of more than BLOCK
+    ``members`` has (doc_id, cid, grp, n): one document of each candidate class and the size of its set. A group of more than BLOCK
     classes is cut by size class and hash; blocks of equal or neighbouring size class are multiplied pair by
     pair, so that no task gets an unbounded group, and blocks too far apart in size never meet.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(percent)
         for batch in batches:
             sets = shingle_sets(batch.column(0).to_pylist(), width)
             right = [i for i, (s, c) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if len(s) and _class_id(s) == c]
             kept = batch.take(pa.array(right, LONG))
-            yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2), kept.column(3), pa.array([sizes.of(len(sets[i])) for i in right], pa.int32()), pa.array([sets[i].tobytes() for i in right], pa.binary())], ["cid", "grp", "blocks", "size_class", "grams"])
+            yield pa.RecordBatch.from_arrays([*kept.columns[1:], pa.array([sets[i].tobytes() for i in right], pa.binary())], ["cid", "grp", "size_class", "small", "own", "below", "above", "grams"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, bytes]] = []
@@ -265,25 +288,32 @@ def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Data
         if rows:
             yield flush(len(rows))
 
-    chosen = members.select(F.col("doc_id").alias("m_id"), "cid", "grp", F.greatest(F.lit(1), F.ceil(F.col("in_grp") / BLOCK)).cast("int").alias("blocks"))
-    sets = docs.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id"))).select("text", "cid", "grp", "blocks").mapInArrow(read, "cid long, grp long, blocks int, size_class int, grams binary")
-    small = F.col("blocks") == 1
-    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    edges = F.array(*(F.lit(e) for e in Sizes(percent).edges if e < 1 << 40))
+    own_class = F.size(F.filter(edges, lambda e: e <= F.col("n"))) - 1
+    placed = members.select(F.col("doc_id").alias("m_id"), "cid", "grp", own_class.alias("size_class"))
+    per = table(placed.groupBy("grp", "size_class").agg(F.count("*").alias("k")), "ngram-sizes")
+    per = per.withColumn("in_grp", F.sum("k").over(Window.partitionBy("grp"))).withColumn("own", F.ceil(F.col("k") / BLOCK).cast("int"))
+    by_size = Window.partitionBy("grp").orderBy("size_class")
+    beside = lambda step: F.coalesce(F.when(step("size_class").over(by_size) == F.col("size_class") + (1 if step is F.lead else -1), step("own").over(by_size)), F.lit(0))
+    per = per.select("grp", "size_class", (F.col("in_grp") <= BLOCK).alias("small"), "own", beside(F.lag).alias("below"), beside(F.lead).alias("above"))
+    chosen = placed.join(per, ["grp", "size_class"])
+    sets = docs.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id"))).select("text", "cid", "grp", "size_class", "small", "own", "below", "above").mapInArrow(read, "cid long, grp long, size_class int, small boolean, own int, below int, above int, grams binary")
+    block = F.pmod(F.xxhash64("cid"), F.col("own")).cast("int")
     # A large group's unit is a pair of blocks (size class, part): the lower block is side 1, the higher side 2; side 0 is a block with itself.
-    own = F.struct(F.col("size_class").alias("c"), block.alias("k"))
+    me = (F.col("size_class"), block)
 
-    def pair(low, high, side):
-        return F.struct(F.xxhash64("grp", low["c"], low["k"], high["c"], high["k"]).alias("unit"), F.lit(side).alias("side"))
+    def unit(low, high, side):
+        return F.struct(F.xxhash64(F.col("grp"), low[0], low[1], high[0], high[1]).alias("unit"), F.lit(side).alias("side"))
 
-    def with_part(c, k):
-        return F.struct(c.cast("int").alias("c"), k.cast("int").alias("k"))
+    def parts(count):
+        return F.when(count > 0, F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
 
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    same = F.transform(every, lambda k: F.when(k < block, pair(with_part(F.col("size_class"), k), own, 2)).when(k > block, pair(own, with_part(F.col("size_class"), k), 1)).otherwise(pair(own, own, 0)))
-    below = F.transform(every, lambda k: pair(with_part(F.col("size_class") - 1, k), own, 2))
-    above = F.transform(every, lambda k: pair(own, with_part(F.col("size_class") + 1, k), 1))
+    up, down = (F.col("size_class") + 1).cast("int"), (F.col("size_class") - 1).cast("int")
+    same = F.transform(parts(F.col("own")), lambda k: F.when(k < block, unit((F.col("size_class"), k), me, 2)).when(k > block, unit(me, (F.col("size_class"), k), 1)).otherwise(unit(me, me, 0)))
+    below = F.transform(parts(F.col("below")), lambda k: unit((down, k), me, 2))
+    above = F.transform(parts(F.col("above")), lambda k: unit(me, (up, k), 1))
     alone = F.array(F.struct(F.xxhash64("grp").alias("unit"), F.lit(0).alias("side")))
-    units = sets.select("cid", "grams", F.explode(F.when(small, alone).otherwise(F.concat(same, below, above))).alias("u"))
+    units = sets.select("cid", "grams", F.explode(F.when(F.col("small"), alone).otherwise(F.concat(same, below, above))).alias("u"))
     units = units.select("u.unit", "u.side", "cid", "grams").repartition("unit").sortWithinPartitions("unit", "side", "cid")
     return units.mapInArrow(multiply, "a long, b long, n long")
 
@@ -305,10 +335,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     of_doc = table(classes(slim, width), "ngram-classes")
     by_class = table(of_doc.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "ngram-by-class")
     groups = components(candidate_edges(slim, by_class, width, percent))
+    reps = by_class.join(groups.select(F.col("v").alias("cid"), F.col("label").alias("grp")), "cid").select(F.col("first_id").alias("doc_id"), "cid", "grp", "n")
+    found = table(links(slim, table(reps, "ngram-members"), width, percent), "ngram-links")
     by_class = by_class.select("cid", "first_id")
-    reps = by_class.join(groups.select(F.col("v").alias("cid"), F.col("label").alias("grp")), "cid").select(F.col("first_id").alias("doc_id"), "cid", "grp")
-    counted = reps.groupBy("grp").agg(F.count("*").alias("in_grp"))
-    found = table(links(slim, table(reps.join(counted, "grp"), "ngram-members"), width, percent), "ngram-links")
     joined = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("v", "cid")
     n_links = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n_links"))
     least = by_class.join(joined, "cid").groupBy("label").agg(F.min("first_id").alias("least_id"))
