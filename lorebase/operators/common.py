@@ -36,4 +36,4 @@ def contains_pairs(texts: DataFrame, text: str, words: DataFrame, word: str, siz
 
     keyed = texts.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*(pieces(n) for n in range(1, size + 1)))))))
     start = words.withColumn("_gram", F.substring(F.lower(F.col(word)), 1, size))
-    return keyed.join(start, "_gram").where(F.contains(low, F.lower(F.col(word)))).drop("_gram")
+    return keyed.join(small(start), "_gram").where(F.contains(low, F.lower(F.col(word)))).drop("_gram")
