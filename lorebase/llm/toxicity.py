@@ -36,7 +36,12 @@ for _o in range(0x250):
 COST_SIGN, COST_AGAIN, COST_BETWEEN, COST_UNKNOWN = 1.0, 1.5, 0.5, 6.0
 #: Longer tokens are keys or links rather than words: they are taken in pieces of this many characters.
 LONGEST = 48
+_OTHER = re.compile("[^\x00-\u00ff]")
 TRIPLE = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+#: Tokens as lengths, 4 for letters with signs between: only texts with such rows can hold letters set apart.
+SHORT = re.compile(rb"[\x01\x02]{4}|\x04[\x01\x02\x04]|[\x01\x02]\x04")
+#: Signs that end a plain word, and those that may precede it.
+TRAILING, LEADING = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "!\"#%&'()*,-./:;<=>?[\\]^_`{}~"
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*~]{1,3}){3,}[^\W_](?![^\W_])")
 EDGES = re.compile(r"^[^\w@$|€£+]+|[^\w]+$")
 #: Prefixes of these lengths and whole words are terms; a term needs this posterior to count as a hit.
@@ -143,26 +148,40 @@ class Restorer:
     def words(self, text: str) -> list[str]:
         """The words of a lower-cased text in order: letters alone as they are, disguised ones restored."""
         out = []
-        for token in text.split():
-            if not token.isalpha():
-                token = EDGES.sub("", token)
-                if not token.isalpha():
-                    if len(token) < 3 or not any(c.isalpha() for c in token):
-                        continue
-                    pieces = [token] if len(token) <= LONGEST else [token[i : i + LONGEST] for i in range(0, len(token), LONGEST)]
-                    out += [self.decode(p) for p in pieces]
-                    out += [p for p in re.findall(r"[^\W\d_]{3,}", token)]
-                    continue
-            out.append(token)
-        return out + self.joined(text)
-
-    def joined(self, text: str) -> list[str]:
-        """Words written with letters again and again, or with signs between their letters."""
+        tokens = text.split()
+        for token in tokens:
+            if token.isalpha():
+                out.append(token)
+            else:
+                out += self.of_token(token)
+        return out + self.joined(text, tokens)
+
+    def of_token(self, token: str) -> list[str]:
+        """The word, or words, of a token that is not letters alone."""
+        plain = token.rstrip(TRAILING).lstrip(LEADING)
+        if plain.isalpha():
+            return [plain]
+        token = EDGES.sub("", token)
+        if token.isalpha():
+            return [token]
+        if len(token) < 3 or not any(c.isalpha() for c in token):
+            return []
+        pieces = [token] if len(token) <= LONGEST else [token[i : i + LONGEST] for i in range(0, len(token), LONGEST)]
+        return [self.decode(p) for p in pieces] + re.findall(r"[^\W\d_]{3,}", token)
+
+    def joined(self, text: str, tokens: list[str] | None = None) -> list[str]:
+        """Words written with letters again and again, or with signs between their letters.
+
+        Plain searches tell first whether a text can hold any, since few do.
+        """
         out = []
-        for m in TRIPLE.finditer(text):
-            out += [self.decode(m[0][i : i + LONGEST]) for i in range(0, len(m[0]), LONGEST)]
-        for m in SPACED.finditer(text):
-            out += [self.decode(m[0][i : i + 4 * LONGEST]) for i in range(0, len(m[0]), 4 * LONGEST)]
+        letters = LETTERS if text.isascii() or not _OTHER.search(text) else set(text)
+        if any(c * 3 in text for c in letters):
+            for m in TRIPLE.finditer(text):
+                out += [self.decode(m[0][i : i + LONGEST]) for i in range(0, len(m[0]), LONGEST)]
+        if SHORT.search(bytes([len(t) if len(t) < 3 else 4 if t[1] in " .-_*~" else 3 for t in (text.split() if tokens is None else tokens)])):
+            for m in SPACED.finditer(text):
+                out += [self.decode(m[0][i : i + 4 * LONGEST]) for i in range(0, len(m[0]), 4 * LONGEST)]
         return out
 
 
@@ -182,12 +201,13 @@ class Scorer:
 
     def hits(self, text: str, restorer: Restorer) -> dict[str, float]:
         out, starts = {}, self.starts
-        for token in set(text.split()):
+        tokens = text.split()
+        for token in set(tokens):
             if token[:3] in starts or not token.isalpha():
-                for word in restorer.words(token) if not token.isalpha() else [token]:
+                for word in [token] if token.isalpha() else restorer.of_token(token):
                     if word[:3] in starts and (p := self.of_word(word)):
                         out[word] = p
-        for word in restorer.joined(text):
+        for word in restorer.joined(text, tokens):
             p = self.of_word(word)
             if not p and len(word) > 6:  # several words may run together
                 p = max((p for t, p in self.whole if t in word), default=0.0)
