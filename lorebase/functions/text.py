@@ -21,6 +21,17 @@ DOMAIN_WORDS: dict[str, tuple[str, ...]] = {
     "外科": ("手术", "创伤", "骨折", "阑尾炎", "疝", "胆结石", "痔", "烧伤", "关节", "外伤", "截肢"),
     "妇产": ("妊娠", "产科", "妇科", "月经", "分娩", "剖宫产", "宫颈", "胎盘"),
     "儿科": ("新生儿", "儿童", "小儿", "婴儿", "早产"),
+    "急诊重症": ("心肺复苏", "休克", "中毒", "急救", "重症", "呼吸机", "除颤", "脓毒症", "多器官"),
+    "影像检验": ("ct", "mri", "超声", "影像", "检验", "实验室", "病理", "x线", "内镜"),
+    "口腔": ("口腔", "牙", "龋齿", "牙周", "牙龈", "种植牙", "正畸", "颌面"),
+    "眼科": ("眼", "白内障", "青光眼", "视网膜", "近视", "角膜", "眼底", "视神经"),
+    "耳鼻喉": ("耳", "鼻", "喉", "咽", "耳鸣", "中耳炎", "鼻炎", "扁桃体", "声带"),
+    "皮肤": ("皮肤", "皮疹", "湿疹", "银屑病", "荨麻疹", "痤疮", "皮炎", "带状疱疹", "脱发"),
+    "精神心理": ("抑郁", "焦虑", "失眠", "精神", "心理", "躁狂", "强迫", "幻听", "谵妄"),
+    "康复": ("康复", "理疗", "物理治疗", "作业治疗", "吞咽训练", "运动疗法"),
+    "风湿免疫": ("风湿", "类风湿", "红斑狼疮", "免疫", "干燥综合征", "痛风", "强直"),
+    "骨科": ("骨", "关节", "脊柱", "腰椎", "颈椎", "骨折", "韧带", "半月板", "椎间盘"),
+    "泌尿": ("泌尿", "前列腺", "膀胱", "尿路", "肾结石", "输尿管", "尿失禁", "精索"),
 }
 # Short names and the full names they stand for.
 ALIASES: dict[str, tuple[str, ...]] = {
