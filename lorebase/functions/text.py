@@ -44,6 +44,8 @@ STOP_TOKENS = ("的", "了", "是", "在", "和", "与", "或", "及", "等", "
 QUESTION_KINDS = (("differential", "鉴别|区分|如何区分"), ("diagnosis", "诊断|标准|分型|分级|分期|定义|分类|依据"), ("treatment", "治疗|用药|方案|干预|处理|管理|防治|控制"), ("drug", "药|剂量|用法|禁忌|不良反应|副作用"))
 # What opens a clean title, taken off in this order.
 TITLE_STARTS = (r"^第[一二三四五六七八九十百千万\d]+[章节篇部分]+\s*", r"^[A-Za-z]\d+(\.\d+)?\s*", r"^\d+[\.、）)]\s*", r"^[一二三四五六七八九十]+[、．.]\s*", r"^[（(][^（()）]*[)）]\s*", "[《》\"“”]")
+# Words of titles without content of their own.
+SKIP_WORDS = ("概述", "前言", "附录", "目录", "总论", "总则", "参考文献", "索引", "后记", "序言", "致谢", "编写说明", "使用说明", "编写人员", "出版说明", "缩略语", "目 录", "说明", "序", "跋", "编委会", "名词术语")
 PUNCTUATION = r"[【】、。，；：！？\s,.;:!()\[\]（）\"'“”‘’]"
 CJK = r"[一-龥]"
 
@@ -125,7 +127,7 @@ def clean_title(text: Column) -> Column:
     return F.trim(out)
 
 
-def meaningful_title(text: Column, skip: Sequence[str] = ("概述", "绪论", "前言", "目录", "参考文献", "附录", "总论", "附")) -> Column:
+def meaningful_title(text: Column, skip: Sequence[str] = SKIP_WORDS) -> Column:
     """2 to 12 characters, none of the ``skip`` words, no department or field name, not just punctuation."""
     found = F.lit(False)
     for w in skip:

@@ -11,7 +11,7 @@ from lorebase.operators.common import top
 from lorebase.operators.retrieval import vector_search
 
 # Weight of a relation, and of one not listed.
-RELATION_WEIGHTS = {"confirms": 1.0, "treated_by": 0.9, "supports": 0.7, "indicates": 0.5, "risk_factor": 0.4, "accompanied": 0.3}
+RELATION_WEIGHTS = {"confirms_diagnosis": 1.0, "treated_by": 0.9, "supports_diagnosis": 0.7, "indicates": 0.5, "risk_factor_for": 0.4, "accompanied_by": 0.3}
 OTHER_WEIGHT = 0.5
 
 

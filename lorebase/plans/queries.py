@@ -446,7 +446,7 @@ def k_hop(spark, d):
 def related_passages(spark, d):
     nodes = read(spark, d, "part").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("id"))
     links = read(spark, d, "lineitem").select(F.col("l_partkey").alias("entity_id"), (F.col("l_orderkey") % 500).alias("passage_id"))
-    return graph.related_passages(nodes, graph_edges(spark, d), links)
+    return graph.related_passages(nodes, graph_edges(spark, d), links, weights={"confirms": 1.0, "supports": 0.7})
 
 
 @query("WITH p AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS entity FROM lineitem) SELECT entity, count(*) AS docs FROM p GROUP BY 1 HAVING count(*) > 1")

@@ -104,7 +104,7 @@ def test_trees(spark):
 
 
 def test_graph(spark):
-    e = spark.createDataFrame([(i, 1, 10 + i, "supports") for i in range(40)] + [(50, 11, 99, "confirms")], "id long, source_id long, target_id long, relation_type string")
+    e = spark.createDataFrame([(i, 1, 10 + i, "supports_diagnosis") for i in range(40)] + [(50, 11, 99, "confirms_diagnosis")], "id long, source_id long, target_id long, relation_type string")
     s = spark.createDataFrame([(1, 1)], "query_id int, id long")
     nodes, edges = graph.k_hop(s, e, 2, 30)
     n = nodes.collect()
