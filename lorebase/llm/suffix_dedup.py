@@ -24,7 +24,7 @@ from lorebase.llm.shingles import _powers, mix
 #: Bytes of an anchor.
 ANCHOR = 32
 #: Bytes of text hashed at once, anchors compared at once in a reading task, contexts at once in a group task.
-TEXT, HELD, CONTEXTS = 2_000_000, 1_500_000, 40_000
+TEXT, HELD, CONTEXTS = 500_000, 400_000, 12_000
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 LONG = pa.int64()
 
