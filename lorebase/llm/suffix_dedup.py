@@ -298,8 +298,8 @@ def repeat_intervals(docs: DataFrame, firsts: DataFrame, least: int = 100, group
             for doc, text, own, places, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
                 rows += [(g, own, p, doc, data[max(0, p - reach) : p][::-1], data[p : p + least]) for p, g in zip(places, grams, strict=True)]
-            if len(rows) > 3 * CONTEXTS:
-                yield from flush()
+                if len(rows) > 3 * CONTEXTS:
+                    yield from flush()
         if rows:
             yield from flush()
 
