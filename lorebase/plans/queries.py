@@ -289,8 +289,11 @@ def doc_shape(spark, d):
 
 @query()
 def split_chapters(spark, d):
+    """A made-up heading before every eighth line; the lines stay whole."""
     lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    marked = lines.withColumn("text", F.when(F.col("line_no") % 8 == 0, F.concat(F.lit("第"), (F.col("line_no") / 8 + 1).cast("int").cast("string"), F.lit("章 "), F.left("text", F.lit(20)))).otherwise(F.col("text")))
+    heading = F.struct((F.col("line_no") + F.floor(F.col("line_no") / 8)).cast("int").alias("line_no"), F.concat(F.lit("第"), (F.col("line_no") / 8 + 1).cast("int").cast("string"), F.lit("章")).alias("text"))
+    line = F.struct((F.col("line_no") + F.floor(F.col("line_no") / 8) + 1).cast("int").alias("line_no"), F.col("text"))
+    marked = lines.select("doc_id", F.inline(F.when(F.col("line_no") % 8 == 0, F.array(heading, line)).otherwise(F.array(line))))
     full = marked.withColumns({"page_no": F.floor(F.col("line_no") / 20).cast("int"), "size_min": F.lit(10.0), "size_max": F.lit(10.0)})
     return structure.split_chapters(full).select("doc_id", "ord", "title", "level", "start_line", F.md5("content").alias("h"))
 
