@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -169,17 +170,86 @@ def book_quota(fused: DataFrame, limit: int = 5, by: tuple[str, ...] = ("query_i
 
 
 def prefix_dedup(ranked: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """In rank order, drops a row that shares over 60 % of the shorter text (10 characters or more) with a kept row's start."""
-    rows = F.sort_array(F.collect_list(F.struct("rank", "id", "content")))
+    """In rank order, drops a row that shares over 60 % of the shorter text (10 characters or more) with a kept row's start.
 
-    def alike(a: Column, b: Column) -> Column:
-        shorter = F.least(F.length(a["content"]), F.length(b["content"]))
-        n = F.floor(shorter * 6 / 10).cast("int") + 1
-        return (shorter >= 10) & (F.left(a["content"], n) == F.left(b["content"], n))
-
-    kind = "array<struct<rank:int,id:{},content:string>>".format(ranked.schema["id"].dataType.simpleString())
-    kept = F.aggregate(F.col("_rows"), F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: alike(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
-    return ranked.withColumn("rank", F.col("rank").cast("int")).groupBy(*by).agg(rows.alias("_rows")).select(*by, F.inline(kept))
+    Two rows are alike if the start (60 % and a character) of one begins the start of the other. Of equal starts
+    only the first row can stay; the distinct starts, sorted, are trees whose branches are rows next to one
+    another, and a row stays if none below it ranks before it and no row above it is such a row. The starts are
+    dealt out in ranges, so a long list, or a start that many texts share, is spread over the tasks.
+    """
+    rows = ranked.withColumn("rank", F.col("rank").cast("int")).select(*by, "rank", "id", "content")
+    length = F.length("content")
+    start = F.left("content", F.floor(length * 6 / 10).cast("int") + 1)
+    node = F.concat(F.to_json(F.struct(*by)), F.lit("\n"), start)
+    short = rows.where(F.coalesce(length < 10, F.lit(True)))
+    first = rows.where(length >= 10).groupBy(*by, F.sha2(node.cast("binary"), 256).alias("_key")).agg(F.min(F.struct("rank", "id", "content")).alias("_r"))
+    dealt = first.select(*by, "_key", "_r.*").withColumn("_node", node).repartitionByRange("_node").sortWithinPartitions("_node").withColumn("_part", F.spark_partition_id())
+    # Written once: the ranges, which Spark finds by sampling, must be the same in the steps below.
+    dealt = dealt.checkpoint() if ranked.sparkSession.sparkContext.getCheckpointDir() else dealt.localCheckpoint()
+    edges = _starts_above(dealt)
+    good = dealt.select("_key").join(edges.where("earlier").select(F.col("above").alias("_key")), "_key", "left_anti")
+    under = edges.join(good.select(F.col("_key").alias("above")), "above", "left_semi").select(F.col("below").alias("_key"))
+    kept = dealt.join(good, "_key", "left_semi").join(under, "_key", "left_anti")
+    return short.unionByName(kept.select(*rows.columns))
+
+
+def _starts_above(dealt: DataFrame) -> DataFrame:
+    """above, below, earlier: keys of all pairs of which one _node begins the other, and whether the longer one ranks first.
+
+    ``dealt`` is sorted and split in ranges (_part). What begins a row and lies in an earlier range begins the
+    first row of the row's own range too: these few are found first and sent to the tasks.
+    """
+    spark = dealt.sparkSession
+    slim = dealt.select("_part", "_node", "_key", "rank", "id")
+    place_of = lambda rank, i: (rank is not None, rank, i is not None, i)  # noqa: E731  # nulls first
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                break
+        for _ in batches:
+            pass
+
+    firsts = sorted((r["_node"], r["_part"]) for r in dealt.select("_part", "_node").mapInArrow(heads, "_part int, _node string").collect())  # a row per range
+    names = spark.sparkContext.broadcast(firsts)
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = [x[0] for x in names.value]
+        for batch in batches:
+            found, parts = [], []
+            for i, node in enumerate(batch.column(1).to_pylist()):
+                j = bisect_right(nodes, node)
+                while j < len(nodes) and nodes[j].startswith(node):
+                    found.append(i)
+                    parts.append(names.value[j][1])
+                    j += 1
+            if found:
+                part = batch.take(pa.array(found))
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *part.columns[1:]], part.schema.names)
+
+    above: dict[int, list[tuple]] = {}
+    for r in slim.mapInArrow(outer, slim.schema).collect():  # what begins the first row of a range
+        above.setdefault(r["_part"], []).append((r["_node"], r["_key"], place_of(r["rank"], r["id"])))
+    opened = spark.sparkContext.broadcast({k: sorted(v, key=lambda x: x[0]) for k, v in above.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack = None
+        for batch in batches:
+            part, nodes, keys, ranks, ids = (c.to_pylist() for c in batch.columns)
+            out: list[tuple] = []
+            for i, node in enumerate(nodes):
+                if stack is None:
+                    stack = list(opened.value.get(part[i], []))
+                while stack and not node.startswith(stack[-1][0]):
+                    stack.pop()
+                place = place_of(ranks[i], ids[i])
+                out += [(k, keys[i], place < p) for _, k, p in stack]
+                stack.append((node, keys[i], place))
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.bool_())], ["above", "below", "earlier"])
+
+    return slim.mapInArrow(run, "above string, below string, earlier boolean")
 
 
 def hybrid_search(queries: DataFrame, passages: DataFrame, docs: DataFrame, limit: int = 5, thr: float = 0.5) -> DataFrame:

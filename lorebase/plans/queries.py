@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions import answers, text
@@ -138,7 +138,9 @@ def book_quota(spark, d):
 
 @query()
 def prefix_dedup(spark, d):
-    ranked = top(read(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), F.col("text").alias("content")), ["query_id"], [F.col("id")], 20, "rank")
+    """All documents of each source, in order of their ids."""
+    docs = read(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
     return retrieval.prefix_dedup(ranked).select("query_id", "rank", "id")
 
 

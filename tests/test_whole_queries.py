@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
+import pytest
+
+from lorebase.operators import retrieval
 from lorebase.plans.queries import QUERIES
 
 
@@ -34,3 +38,52 @@ def test_split_chapters_keeps_every_character(spark, tmp_path):
     d = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tmp_path, "documents")
     got = sorted((r.doc_id, r.ord, r.title, r.start_line, r.h) for r in QUERIES["split_chapters"](spark, d).collect())
     assert got == sorted((i, *row) for i, t in enumerate(texts) for row in brute_chapters(t))
+
+
+def brute_prefixes(rows: list[tuple]) -> set[tuple]:
+    kept: dict = {}
+    for query, rank, i, text in sorted(rows, key=lambda r: r[1]):
+        mine = kept.setdefault(query, [])
+        n = [min(len(text or ""), len(t or "")) for _, _, t in mine]
+        if text is None or not any(m >= 10 and text[: m * 6 // 10 + 1] == t[: m * 6 // 10 + 1] for m, (_, _, t) in zip(n, mine, strict=True)):
+            mine.append((rank, i, text))
+    return {(q, r, i) for q, mine in kept.items() for r, i, _ in mine}
+
+
+def nested(seed: int, n: int) -> list[str | None]:
+    """Texts that begin alike, at many lengths, with copies, short ones and a null."""
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("ab é") for _ in range(200)) for _ in range(3)]
+    return [None, "", "short", "short", *(rng.choice(base)[: rng.randint(5, 200)] + "".join(rng.choice("xy") for _ in range(rng.randint(0, 90))) for _ in range(n))]
+
+
+def test_prefix_dedup_over_whole_lists(spark, tmp_path):
+    texts = nested(1, 500)
+    docs = [(i, f"s{i % 3}" if i % 50 else None, t) for i, t in enumerate(texts)]
+    d = stored(spark.createDataFrame(docs, "doc_id long, source string, text string"), tmp_path, "documents")
+    seen: dict = {}
+    ranked = []
+    for i, source, text in docs:
+        seen[source] = seen.get(source, 0) + 1
+        ranked.append((source, seen[source], i, text))
+    got = [tuple(r) for r in QUERIES["prefix_dedup"](spark, d).select("query_id", "rank", "id").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_prefixes(ranked)
+    assert max(r[1] for r in got) > 20
+
+
+@pytest.fixture
+def many_ranges(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def test_prefix_dedup_in_any_order_of_ranks(spark, many_ranges):
+    rng = random.Random(2)
+    for n in (1, 400):
+        texts = nested(n, n)
+        ranks = rng.sample(range(len(texts)), len(texts))
+        rows = [(i % 2, ranks[i], i, t) for i, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, "query_id int, rank int, id long, content string")
+        assert {tuple(r) for r in retrieval.prefix_dedup(df).select("query_id", "rank", "id").collect()} == brute_prefixes(rows)
