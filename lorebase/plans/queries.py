@@ -444,6 +444,32 @@ def k_hop(spark, d):
     return graph.k_hop(seeds, graph_edges(spark, d), 1)[0]
 
 
+def k_hop_seeds(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_partkey").alias("id"))
+
+
+HOPS = EDGES + """, ways AS (SELECT source_id AS at, target_id AS id, id AS edge, 1 AS side FROM edges UNION ALL SELECT target_id, source_id, id, 0 FROM edges),
+  seeds AS (SELECT p_partkey AS query_id, p_partkey AS id FROM part WHERE p_partkey % 20 = 0),
+  step1 AS (SELECT s.query_id, b.id, edge, side FROM seeds s JOIN ways b ON b.at = s.id),
+  new1 AS (SELECT query_id, id, min({'a': edge, 'b': side}) AS f FROM step1 ANTI JOIN seeds USING (query_id, id) GROUP BY 1, 2),
+  hop1 AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f, id) AS n FROM new1) WHERE n <= 30),
+  seen AS (SELECT * FROM seeds UNION ALL SELECT * FROM hop1), step2 AS (SELECT h.query_id, b.id, edge, side FROM hop1 h JOIN ways b ON b.at = h.id),
+  new2 AS (SELECT query_id, id, min({'a': edge, 'b': side}) AS f FROM step2 ANTI JOIN seen USING (query_id, id) GROUP BY 1, 2),
+  hop2 AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f, id) AS n FROM new2) WHERE n <= 30)"""
+
+
+@query(f"WITH {HOPS} SELECT query_id, id, 0 AS hop FROM seeds UNION ALL SELECT query_id, id, 1 FROM hop1 UNION ALL SELECT query_id, id, 2 FROM hop2")
+def k_hop_nodes(spark, d):
+    """Two hops, as the operator runs by default, from the seeds of the agreed query set."""
+    return graph.k_hop(k_hop_seeds(spark, d), graph_edges(spark, d))[0]
+
+
+@query(f"WITH {HOPS} SELECT query_id, edge, min(hop) AS hop FROM (SELECT query_id, edge, 1 AS hop FROM step1 UNION ALL SELECT query_id, edge, 2 FROM step2) GROUP BY 1, 2")
+def k_hop_edges(spark, d):
+    """The edges that the two hops touch."""
+    return graph.k_hop(k_hop_seeds(spark, d), graph_edges(spark, d))[1]
+
+
 @query(f"""WITH {EDGES}, heavy AS (SELECT id, max(w) AS w FROM (SELECT unnest([source_id, target_id]) AS id, CASE relation_type WHEN 'confirms' THEN 1.0::DOUBLE WHEN 'supports' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS w FROM edges) GROUP BY 1),
   n AS (SELECT DISTINCT p_size AS query_id, p_partkey AS id FROM part), l AS (SELECT DISTINCT l_partkey AS id, l_orderkey % 500 AS passage_id FROM lineitem),
   s AS (SELECT query_id, passage_id AS id, round(sum(coalesce(w, 0.5)), 6) AS score, count(*) AS n_entities FROM n LEFT JOIN heavy USING (id) JOIN l USING (id) GROUP BY ALL)
@@ -502,10 +528,23 @@ def model_distribution(spark, d):
 
 @query()
 def fusion_grid(spark, d):
-    channels = _channels(spark, d)
-    texts = vectors(spark, d).select("id", F.col("doc_id").cast("string").alias("book"), F.concat(F.lit("passage "), F.col("id").cast("string")).alias("content"))
-    expected = vector_queries(spark, d).select("query_id", F.col("label").cast("string").alias("expected"))
-    return evaluate.fusion_grid(channels, texts, expected, [({"vector": 1.0, "keyword": w, "path": 0.8}, k) for w in (0.0, 1.0) for k in (20, 60)])
+    """The operator's whole grid: each of the four channels' weights in turn, then the constants."""
+    v, q = vectors(spark, d), vector_queries(spark, d)
+    texts = v.select("id", F.col("doc_id").cast("string").alias("book"), F.concat(F.lit("passage "), F.col("id").cast("string")).alias("content"))
+    expected = q.select("query_id", F.col("label").cast("string").alias("expected"))
+    return evaluate.fusion_grid(_four_channels(spark, d), texts, expected, FUSION_SETS)
+
+
+def _four_channels(spark, d):
+    v, q = vectors(spark, d), vector_queries(spark, d)
+    name = lambda c: F.concat(F.lit("book "), F.col(c).cast("string"))
+    books = v.select(F.col("doc_id").alias("id")).distinct().select("id", name("id").alias("title"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("parent_id"))
+    titles = retrieval.title_search(q.select("query_id", name("label").alias("kw"), F.lit(1).alias("weight")), books, v)
+    return _channels(spark, d).unionByName(titles.select("query_id", F.lit("title").alias("channel"), "rank", "id"))
+
+
+#: Sets of (weights, constant): one weight, or the constant, away from its fixed value.
+FUSION_SETS = [({**retrieval.WEIGHTS, c: w}, retrieval.RRF_K) for c in retrieval.WEIGHTS for w in evaluate.WEIGHT_GRID] + [(retrieval.WEIGHTS, k) for k in evaluate.K_GRID]
 
 
 # ---- training data and health --------------------------------------------------------------------------------

@@ -7,7 +7,8 @@ import random
 
 import pytest
 
-from lorebase.operators import retrieval
+from lorebase.operators import evaluate, retrieval
+from lorebase.plans import queries
 from lorebase.plans.queries import QUERIES
 
 
@@ -87,3 +88,10 @@ def test_prefix_dedup_in_any_order_of_ranks(spark, many_ranges):
         rows = [(i % 2, ranks[i], i, t) for i, t in enumerate(texts)]
         df = spark.createDataFrame(rows, "query_id int, rank int, id long, content string")
         assert {tuple(r) for r in retrieval.prefix_dedup(df).select("query_id", "rank", "id").collect()} == brute_prefixes(rows)
+
+
+def test_fusion_grid_has_the_whole_grid(spark):
+    got = QUERIES["fusion_grid"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.param for r in got) == list(range(4 * len(evaluate.WEIGHT_GRID) + len(evaluate.K_GRID)))
+    channels = {r.channel for r in queries._four_channels(spark, "/root/testdata/sf0.001").select("channel").distinct().collect()}
+    assert channels == set(retrieval.WEIGHTS)
