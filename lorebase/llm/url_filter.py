@@ -9,6 +9,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorebase.llm.common import table
+
 #: (verdict, host and path) of the registered query.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 FEATURES = ("length", "host_length", "host_labels", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "has_fragment", "https", "longest_word", "suffix_rate", "suffix_share")
@@ -84,15 +86,15 @@ def train(labelled: DataFrame, max_rows: int = 50_000, trees: int = 12, depth: i
     """Fit on rows with url, host, path, label (1: block).
 
     At most about ``max_rows`` labelled rows are used, drawn by a hash of the url, so a rerun draws the same;
-    with fewer rows all are. Suffix statistics come from all labelled rows. No rows: nothing is blocked; one
+    with fewer rows all are. Suffix statistics come from all labelled rows and cover all suffixes: they are a table
+    that is joined, and broadcast by Spark while small. No rows: nothing is blocked; one
     class only: that class.
     """
-    spark = labelled.sparkSession
     counts = labelled.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
-    counts = counts.orderBy(F.col("n").desc(), "suffix").limit(10_000).toPandas()  # last labels of hosts; the rarest beyond that count as unknown
-    total, blocked = int(counts["n"].sum()), int(counts["blocked"].sum())
-    rows = [(s, (b + 1.0) / (n + 2.0), n / total) for s, n, b in counts.itertuples(index=False)]
-    suffixes = spark.createDataFrame(rows, "suffix string, rate double, share double")
+    counts = table(counts, "url-suffixes")
+    found = counts.agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).first()
+    total, blocked = int(found["n"] or 0), int(found["blocked"] or 0)
+    suffixes = counts.select("suffix", ((F.col("blocked") + 1.0) / (F.col("n") + 2.0)).alias("rate"), (F.col("n") / F.lit(max(total, 1))).alias("share"))
     if not 0 < blocked < total:
         return UrlModel(None, suffixes, int(0 < blocked))
     parts = 1 << 20

@@ -122,3 +122,12 @@ def test_url_edge_cases(spark):
     assert url_filter.judge(none).collect() == []
     only = spark.createDataFrame([(1, None)], "page_id long, url string")
     assert [tuple(r)[:5] for r in url_filter.judge(only).collect()] == [(1, "", "", None, "allow")]
+
+
+def test_url_statistics_cover_all_suffixes(spark):
+    n = 10_500
+    known = spark.range(n).selectExpr("concat('http://a.com:', id) AS url", "concat('a.com:', id) AS host", "'' AS path", "0 AS label")
+    model = url_filter.train(known)
+    assert model.suffixes.count() == n and model.suffixes.agg({"share": "sum"}).first()[0] == pytest.approx(1.0)
+    rates = {r.suffix: r.suffix_rate for r in url_filter.with_features(known.limit(20), model.suffixes).collect()}
+    assert set(rates.values()) == {1 / 3}
