@@ -38,11 +38,15 @@ COST_SIGN, COST_AGAIN, COST_BETWEEN, COST_UNKNOWN = 1.0, 1.5, 0.5, 6.0
 LONGEST = 48
 _OTHER = re.compile("[^\x00-\u00ff]")
 TRIPLE = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
-#: Tokens as lengths, 4 for letters with signs between: only texts with such rows can hold letters set apart.
-SHORT = re.compile(rb"[\x01\x02]{4}|\x04[\x01\x02\x04]|[\x01\x02]\x04")
 #: Signs that end a plain word, and those that may precede it.
 TRAILING, LEADING = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "!\"#%&'()*,-./:;<=>?[\\]^_`{}~"
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*~]{1,3}){3,}[^\W_](?![^\W_])")
+#: What may stand for a letter, what may stand between two, and letters (each once or again and again) set apart.
+SIGNS = "".join(c for c in LEET if not c.isalnum())
+_UNIT, _GAP = f"(?:[^\\W_]|[{re.escape(SIGNS)}])", f"[\\s{re.escape(BETWEEN)}]+"
+SPACED = re.compile(rf"(?<![^\W_])(?:({_UNIT})\1*{_GAP}){{3,}}({_UNIT})\2*(?![^\W_])")
+GAP, AGAIN = re.compile(_GAP), re.compile(r"(.)\1{2,}")
+#: What cannot belong to a word at a token's ends.
+OUTER = "".join(c for c in TRAILING if c not in SIGNS) + "“”‘’«»„…"
 EDGES = re.compile(r"^[^\w@$|€£+]+|[^\w]+$")
 #: Prefixes of these lengths and whole words are terms; a term needs this posterior to count as a hit.
 PREFIXES, LEAST = (4, 5, 6), 0.65
@@ -99,22 +103,25 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 class Restorer:
     """Finds disguised words and decodes each along the cheapest path through its lattice of letters."""
 
-    def __init__(self, costs: np.ndarray) -> None:
-        self.costs, self.known = costs, {}
+    def __init__(self, costs: np.ndarray, longest: int = 16) -> None:
+        """``longest``: letters of the longest term; pieces of a long token overlap so far that no term is cut."""
+        self.costs, self.known, self.longest = costs, {}, longest
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
         """For each sign what it may stand for and at what cost; '' stands for nothing."""
         out: list[list[tuple[str, float]]] = []
-        for i, c in enumerate(token):
+        last = ""  # the sign before, across what may stand between
+        for c in token:
+            again, last = c == last, last if c in BETWEEN else c
             if c.isalpha():
                 options = [(c, 0.0)]
-                if i and token[i - 1] == c:
+                if again:
                     options.append(("", COST_AGAIN))
             else:
                 options = [(x, COST_SIGN) for x in LEET.get(c, "")]
                 if c in BETWEEN:
                     options.append(("", COST_BETWEEN))
-                if i and token[i - 1] == c and options:
+                if again and options:
                     options.append(("", COST_AGAIN))
             out.append(options or [("", COST_UNKNOWN)])
         return out
@@ -166,8 +173,20 @@ class Restorer:
             return [token]
         if len(token) < 3 or not any(c.isalpha() for c in token):
             return []
-        pieces = [token] if len(token) <= LONGEST else [token[i : i + LONGEST] for i in range(0, len(token), LONGEST)]
-        return [self.decode(p) for p in pieces] + re.findall(r"[^\W\d_]{3,}", token)
+        return [self.decode(p) for p in self.pieces(token, LONGEST, 2 * self.longest)] + re.findall(r"[^\W\d_]{3,}", token)
+
+    def with_ends(self, token: str) -> str:
+        """A token decoded with the signs at its ends, which of_token takes for punctuation; '' where there are none."""
+        core = token.strip(OUTER)
+        if not 3 <= len(core) <= LONGEST or core[0] not in SIGNS and core[-1] not in SIGNS or not any(c.isalpha() for c in core):
+            return ""
+        return self.decode(core)
+
+    @staticmethod
+    def pieces(token: str, size: int, overlap: int) -> list[str]:
+        """Pieces of ``size`` characters, or more where two overlaps need them."""
+        size = max(size, 2 * overlap)
+        return [token[i : i + size] for i in range(0, max(len(token) - overlap, 1), size - overlap)]
 
     def joined(self, text: str, tokens: list[str] | None = None) -> list[str]:
         """Words written with letters again and again, or with signs between their letters.
@@ -178,10 +197,11 @@ class Restorer:
         letters = LETTERS if text.isascii() or not _OTHER.search(text) else set(text)
         if any(c * 3 in text for c in letters):
             for m in TRIPLE.finditer(text):
-                out += [self.decode(m[0][i : i + LONGEST]) for i in range(0, len(m[0]), LONGEST)]
-        if SHORT.search(bytes([len(t) if len(t) < 3 else 4 if t[1] in " .-_*~" else 3 for t in (text.split() if tokens is None else tokens)])):
+                out += [self.decode(p) for p in self.pieces(AGAIN.sub(r"\1\1\1", m[0]), LONGEST, 3 * self.longest)]
+        # Two tokens side by side that each may be one letter, or begin with letters set apart.
+        if b"\1\1" in bytes([len(t) < 2 or t[0] == t[1] or not t[:2].isalnum() for t in (text.split() if tokens is None else tokens)]):
             for m in SPACED.finditer(text):
-                out += [self.decode(m[0][i : i + 4 * LONGEST]) for i in range(0, len(m[0]), 4 * LONGEST)]
+                out += [self.decode(p) for p in self.pieces(AGAIN.sub(r"\1\1\1", GAP.sub(" ", m[0])), 4 * LONGEST, 6 * self.longest)]
         return out
 
 
@@ -199,20 +219,30 @@ class Scorer:
             found.append(p)
         return max(found, default=0.0)
 
+    def inside(self, word: str) -> dict[str, float]:
+        """The term of a decoded string, else the likeliest one inside it, since several words may run together."""
+        if p := self.of_word(word):
+            return {word: p}
+        p, t = max(((p, t) for t, p in self.whole if t in word), default=(0.0, "")) if len(word) > 6 else (0.0, "")
+        return {t: p} if p else {}
+
     def hits(self, text: str, restorer: Restorer) -> dict[str, float]:
         out, starts = {}, self.starts
         tokens = text.split()
         for token in set(tokens):
-            if token[:3] in starts or not token.isalpha():
-                for word in [token] if token.isalpha() else restorer.of_token(token):
-                    if word[:3] in starts and (p := self.of_word(word)):
-                        out[word] = p
+            if token.isalpha():
+                if token[:3] in starts and (p := self.of_word(token)):
+                    out[token] = p
+                continue
+            found: dict[str, float] = {}
+            for word in restorer.of_token(token):
+                found |= self.inside(word)
+            if not found and (word := restorer.with_ends(token)):
+                found = self.inside(word)
+            out |= found
         for word in restorer.joined(text, tokens):
-            p = self.of_word(word)
-            if not p and len(word) > 6:  # several words may run together
-                p = max((p for t, p in self.whole if t in word), default=0.0)
-            if p:
-                out[word] = max(p, out.get(word, 0.0))
+            for w, p in self.inside(word).items():
+                out[w] = max(p, out.get(w, 0.0))
         return out
 
     def score(self, hits: dict[str, float]) -> float:
@@ -270,7 +300,7 @@ def score(docs: DataFrame, labels: DataFrame, of: int = 3, held: int = 1, thresh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs, terms, base = shared.value
-        restorer, scorer = Restorer(costs), Scorer(terms, base)
+        restorer, scorer = Restorer(costs, max((len(t) - 1 for t in terms), default=16)), Scorer(terms, base)
         for batch in batches:
             hits = [scorer.hits(t.lower(), restorer) if t else {} for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([scorer.score(h) for h in hits], pa.float64()), pa.array([len(h) for h in hits], pa.int32())], ["doc_id", "held_out", "score", "n_hits"])

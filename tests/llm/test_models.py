@@ -53,6 +53,19 @@ def test_disguised_words_are_restored(spark):
     assert not scorer.hits("plain words of an ordinary kind, 12.5 and abc123", restorer)
 
 
+def test_disguises_of_every_kind_together(spark):
+    docs, labels, _ = labelled(spark)
+    costs, terms, base = toxicity.train(docs.select("doc_id", "text"), labels)
+    restorer, scorer = toxicity.Restorer(costs), toxicity.Scorer(terms, base)
+    for said in ("$ p u t r i d", "v 3 x ! b @ d", "s, p, u, t, r, i, d", "s / p / u / t / r / i / d", "s    p    u    t    r    i    d", "$$ pp uu tt rr ii dd", "g - r - 0 - n - k - | - 3", "(v e x i b a d)!", "!f s ' p ' u ' t ' r ' 1 ' d, said they", "x" * 44 + "1gronkle1" + "y" * 60):
+        assert scorer.hits(said, restorer), said
+    ends = toxicity.Scorer({"=dumbass": 0.9, "^dumbas": 0.9, "=assess": 0.8}, base)
+    for said in ("dumba$$", "a dumba$$.", "“dumba$$”,"):
+        assert ends.hits(said, restorer), said
+    assert not scorer.hits("a - b, c (d) e! plain words of an ordinary kind!", restorer)
+    assert list(scorer.hits("sputrid!", restorer)) == ["sputrid"]
+
+
 def test_toxicity_edge_cases(spark, docs, empty):
     _, labels, _ = labelled(spark)
     none = labels.limit(0)
