@@ -183,14 +183,17 @@ def prefix_dedup(ranked: DataFrame, by: tuple[str, ...] = ("query_id",)) -> Data
     node = F.concat(F.to_json(F.struct(*by)), F.lit("\n"), start)
     short = rows.where(F.coalesce(length < 10, F.lit(True)))
     first = rows.where(length >= 10).groupBy(*by, F.sha2(node.cast("binary"), 256).alias("_key")).agg(F.min(F.struct("rank", "id", "content")).alias("_r"))
-    dealt = first.select(*by, "_key", "_r.*").withColumn("_node", node).repartitionByRange("_node").sortWithinPartitions("_node").withColumn("_part", F.spark_partition_id())
+    # Short rows go along without a key, so that ``ranked`` is computed once.
+    both = first.select(*by, "_key", "_r.*").withColumn("_node", node).unionByName(short.withColumns({"_key": F.lit(None).cast("string"), "_node": F.lit(None).cast("string")}))
+    dealt = both.repartitionByRange("_node").sortWithinPartitions("_node").withColumn("_part", F.spark_partition_id())
     # Written once: the ranges, which Spark finds by sampling, must be the same in the steps below.
     dealt = dealt.checkpoint() if ranked.sparkSession.sparkContext.getCheckpointDir() else dealt.localCheckpoint()
+    short, dealt = dealt.where("_key IS NULL"), dealt.where("_key IS NOT NULL")
     edges = _starts_above(dealt)
     good = dealt.select("_key").join(edges.where("earlier").select(F.col("above").alias("_key")), "_key", "left_anti")
     under = edges.join(good.select(F.col("_key").alias("above")), "above", "left_semi").select(F.col("below").alias("_key"))
     kept = dealt.join(good, "_key", "left_semi").join(under, "_key", "left_anti")
-    return short.unionByName(kept.select(*rows.columns))
+    return short.select(*rows.columns).unionByName(kept.select(*rows.columns))
 
 
 def _starts_above(dealt: DataFrame) -> DataFrame:
