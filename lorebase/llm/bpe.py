@@ -13,7 +13,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import ship
+from lorebase.llm.common import frugal, slices
+from lorebase.workers import ship
 
 #: Fixed values of byte-level BPE: how a text is cut into words before merging (white space by its Unicode property).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -21,7 +22,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r" \t-\r\x85\xa0"
 LATIN_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Words kept by a worker between batches; the table is emptied when full, which changes no result.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -115,14 +116,25 @@ class Vocabulary:
 
 
 class Encoder:
-    """Cuts texts into words and special tokens and keeps what the words of earlier batches became."""
+    """Cuts texts into words and special tokens and keeps what the words of earlier batches became.
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v, self.words = vocabulary, regex.compile(WORDS)
+    ``form`` says what is kept of a word: ids as text, their number and the decoded bytes ("digest"), the ids as 32-bit
+    numbers ("ids"), or their number alone ("count").
+    """
+
+    def __init__(self, vocabulary: Vocabulary, form: str = "digest") -> None:
+        self.v, self.words, self.form = vocabulary, regex.compile(WORDS), form
         self.latin = re.compile(LATIN_WORDS)
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.kept: dict[str, tuple[str, int, bytes]] = {}
+        self.kept: dict[str, tuple[str, int, bytes] | bytes | int] = {}
+
+    def formed(self, ids: list[int]) -> tuple[str, int, bytes] | bytes | int:
+        if self.form == "count":
+            return len(ids)
+        if self.form == "ids":
+            return np.array(ids, np.int32).tobytes()
+        return ",".join(map(str, ids)), len(ids), b"".join([self.v.bytes[i] for i in ids])
 
     def cut(self, text: str) -> list[str]:
         try:
@@ -150,13 +162,12 @@ class Encoder:
             plain = [w for w in batch if w not in self.v.special]
             for w in batch:
                 if w in self.v.special:
-                    self.kept[w] = (str(self.v.special[w]), 1, w.encode())
-            text = self.v.bytes
+                    self.kept[w] = self.formed([self.v.special[w]])
             for w, ids in zip(plain, self.v.encode_words([w.encode("utf-8", "surrogatepass") for w in plain]), strict=True):
-                self.kept[w] = (",".join(map(str, ids)), len(ids), b"".join([text[i] for i in ids]))
+                self.kept[w] = self.formed(ids)
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[tuple[str, int, bytes]]]:
-        """For each text its words as (ids joined by commas, number of ids, decoded bytes)."""
+    def encode(self, texts: list[str | None]) -> Iterator[list]:
+        """For each text its words in the encoder's form."""
         at = 0
         while at < len(texts):
             cuts, size = [], 0
@@ -170,15 +181,15 @@ class Encoder:
                 yield [kept[w] for w in c]
 
 
-_encoders: dict[str, Encoder] = {}
+_vocabularies: dict[str, Vocabulary] = {}
 
 
-def _encoder(spec) -> Encoder:
-    """This worker's encoder; ``spec`` is the broadcast (key, description)."""
+def _encoder(spec, form: str) -> Encoder:
+    """A task's encoder; ``spec`` is the broadcast (key, description). The worker keeps the vocabulary for its next task."""
     key, text = spec.value
-    if key not in _encoders:
-        _encoders[key] = Encoder(Vocabulary(json.loads(text)))
-    return _encoders[key]
+    if key not in _vocabularies:
+        _vocabularies[key] = Vocabulary(json.loads(text))
+    return Encoder(_vocabularies[key], form)
 
 
 def _broadcast(spark: SparkSession, path: str | None):
@@ -202,8 +213,8 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
     spec = _broadcast(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec)
-        for batch in batches:
+        encoder = _encoder(spec, "digest")
+        for batch in slices(batches, 1):
             n, ids, decoded = [], [], []
             for words in encoder.encode(batch.column(1).to_pylist()):
                 n.append(sum([w[1] for w in words]))
@@ -214,7 +225,7 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return slim.mapInArrow(frugal(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,13 +233,15 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     spec = _broadcast(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec)
-        for batch in batches:
-            ids = [[int(i) for w in words for i in w[0].split(",")] for words in encoder.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
+        encoder = _encoder(spec, "ids")
+        for batch in slices(batches, 1):
+            ids = [b"".join(words) for words in encoder.encode(batch.column(1).to_pylist())]
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), lists], ["doc_id", "n_tokens", "ids"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>")
+    return slim.mapInArrow(frugal(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -236,7 +249,7 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id",
     spec = _broadcast(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _encoder(spec).v
+        v = _encoder(spec, "count").v
         for batch in batches:
             texts = [None if x is None else v.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -250,9 +263,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, text_col: str = "text
     spec = _broadcast(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec)
-        for batch in batches:
-            n = [sum([w[1] for w in words]) for words in encoder.encode(batch.column(0).to_pylist())]
+        encoder = _encoder(spec, "count")
+        for batch in slices(batches):
+            n = [sum(words) for words in encoder.encode(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n_tokens"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "n_tokens long")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), "n_tokens long")

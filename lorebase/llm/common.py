@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +21,23 @@ SPACE = r"[\x20\x09-\x0D]+"
 ROW = "_lorebase_row"
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (as in tests) a temporary folder of this machine is set.
+    Without one a local session (as in tests) uses a temporary folder of this machine; on a cluster that is an error,
+    since no executor could read what another one wrote.
     """
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lorebase-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _local:
+            _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lorebase-")
+        found = _local[context.applicationId]
     return found.rstrip("/")
 
 
@@ -54,24 +63,54 @@ def table(df: DataFrame, what: str) -> DataFrame:
     release(spark)
     df.write.parquet(path)
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``table`` wrote, once all that was made of it has been written in turn."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
-_shipped: set[str] = set()
 
+#: Bytes of text that a worker takes in hand at once.
+SLICE = 2 << 20
 
-def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the executors, once per application, so that it need not be installed there."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="lorebase-")) / "lorebase_modules.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices with about ``most`` bytes of a text column, one row at least.
+
+    Spark cuts batches by rows; a slice bounds what a worker makes of long texts.
+    """
+    for batch in batches:
+        text = batch.column(column)
+        sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_pylist() if batch.num_rows else []
+        start = held = 0
+        for i, n in enumerate(sizes):
+            if held and held + n > most:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` as a task that gives its memory back when it ends, since Spark keeps its workers for later tasks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # a C library without it keeps what it has
+            if trim:
+                trim(0)
+
+    return task
 
 
 def n_partitions(spark: SparkSession) -> int:

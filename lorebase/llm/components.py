@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import table
+from lorebase.llm.common import discard, table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
         moved = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("to"))
         jump = labels.select(F.col("v").alias("to"), F.col("label").alias("further"))
         after = table(moved.join(jump, "to").select("v", F.least("to", "further").alias("label"), (F.least("to", "further") < F.col("label")).alias("changed")), "cc-labels")
+        discard(labels)
         labels = after.select("v", "label")
+        labels.stored_at = after.stored_at
         if after.where("changed").isEmpty():
+            discard(both)
             return labels

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lorebase.llm.common import new_path, ship
+from lorebase.llm.common import frugal, new_path, slices
+from lorebase.workers import ship
 
 #: Samples in a row of an image; payloads are padded to a multiple of it.
 WIDTH = 64
@@ -108,7 +109,7 @@ def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             fs.move(temporary, f"{root}/part-{part:06d}-{number:04d}.zip")
             archive, number = None, number + 1
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if archive is None:
                     temporary = f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
@@ -127,7 +128,7 @@ def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(write, "members long").agg(F.sum("members")).first()[0] or 0
+    return slim.mapInArrow(frugal(write), "members long").agg(F.sum("members")).first()[0] or 0
 
 
 class ByteRange(InputPartition):

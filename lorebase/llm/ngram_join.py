@@ -14,14 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import ship, table
+from lorebase.llm.common import ROW, discard, frugal, slices, table
 from lorebase.llm.components import components
 from lorebase.llm.shingles import mix, set_key, shingle_sets
+from lorebase.workers import ship
 
-#: Documents to a block of the matrix; larger groups of candidates are multiplied block by block.
-BLOCK = 1024
-#: Shingles a task multiplies at once.
-CHUNK = 4_000_000
+#: Documents and shingles to a block of the matrix, at most; larger groups of candidates are multiplied block by block.
+BLOCK, BLOCK_SHINGLES = 256, 400_000
+#: Shingles a task multiplies at once, about, and keys it holds.
+CHUNK, KEYS = 800_000, 200_000
 #: Bins of a sketch, at least and at most.
 BINS, MOST_BINS = 64, 4096
 LONG = pa.int64()
@@ -100,16 +101,16 @@ def apart(a: bytes, b: bytes) -> int:
     return int(np.abs(x.astype(np.int64) - full.sum(axis=1))[~capped].sum())
 
 
-def classes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (size of the set), cid (id of the class of equal sets; null for an empty set) and sketch of (doc_id, text)."""
+def classes(docs: DataFrame, width: int, kind: str = "long") -> DataFrame:
+    """doc_id (of type ``kind``), n (size of the set), cid (id of the class of equal sets; null for an empty set) and sketch of (doc_id, text)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], LONG), pa.array([_class_id(s) if len(s) else None for s in sets], LONG), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "cid", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cid long, sketch binary")
+    return docs.mapInArrow(frugal(run), f"doc_id {kind}, n long, cid long, sketch binary")
 
 
 def candidate_edges(docs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
@@ -122,17 +123,27 @@ def candidate_edges(docs: DataFrame, known: DataFrame, width: int, percent: int)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, seen = Sizes(percent), set()
-        for batch in batches:
-            k, c = [], []
+        k, c, held = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            key, cid = np.concatenate(k).view(np.int64), np.concatenate(c)
+            k.clear(), c.clear()
+            held = 0
+            for at in range(0, len(key), KEYS):
+                yield pa.RecordBatch.from_arrays([pa.array(key[at : at + KEYS]), pa.array(cid[at : at + KEYS])], ["key", "cid"])
+
+        for batch in slices(batches, 1):
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 if len(s) and (cid := _class_id(s)) not in seen:
                     seen.add(cid)
                     k.append(part_keys(s, sizes))
                     c.append(np.full(len(k[-1]), cid, np.int64))
-            if k:
-                key, cid = np.concatenate(k).view(np.int64), np.concatenate(c)
-                for at in range(0, len(key), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 200_000]), pa.array(cid[at : at + 200_000])], ["key", "cid"])
+                    held += len(k[-1])
+                    if held >= KEYS:
+                        yield from flush()
+        if held:
+            yield from flush()
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by key and class those whose key another class has; each pair of key and class once."""
@@ -193,18 +204,23 @@ def candidate_edges(docs: DataFrame, known: DataFrame, width: int, percent: int)
         if rows:
             yield flush()
 
-    spread = docs.mapInArrow(keys, "key long, cid long").repartition("key").sortWithinPartitions("key", "cid")
-    lists = table(spread.mapInArrow(shared, "key long, cid long"), "ngram-lists")
+    spread = docs.mapInArrow(frugal(keys), "key long, cid long").repartition("key").sortWithinPartitions("key", "cid")
+    lists = table(spread.mapInArrow(frugal(shared), "key long, cid long"), "ngram-lists")
     with_bins = lists.join(known.select("cid", "n", "sketch").hint("merge"), "cid").select("key", "cid", "n", "sketch")
-    return with_bins.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(prune, "a long, b long").distinct()
+    return with_bins.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(frugal(prune), "a long, b long").distinct()
 
 
 def _product(unit: np.ndarray, side: np.ndarray, cid: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int], np.ndarray]:
     """Links of a chunk: a spanning set of them as two lists of class ids, and the links counted for each row.
 
-    Rows of the same unit are multiplied: all pairs of side 0, and pairs of side 1 with side 2.
+    Rows of the same unit are multiplied: all pairs of side 0, and pairs of side 1 with side 2. Rows stand in order of
+    size, so that a row's partners, which may be larger by 100 / percent at most, are a range of the rows after it; counts
+    of pairs beyond that bound are dropped before they are added up.
     """
+    by_size = np.argsort([len(s) for s in sets], kind="stable")
+    unit, side, cid, sets = unit[by_size], side[by_size], cid[by_size], [sets[i] for i in by_size]
     lengths = np.array([len(s) for s in sets])
+    beyond = np.searchsorted(lengths, lengths * 100 // percent, side="right")
     gram = mix(np.concatenate(sets) ^ np.repeat(mix(unit.view(np.uint64)), lengths))
     owner = np.repeat(np.arange(len(sets)), lengths)
     order = np.argsort(gram, kind="stable")
@@ -231,7 +247,7 @@ def _product(unit: np.ndarray, side: np.ndarray, cid: np.ndarray, sets: list[np.
         c = counts[mine]
         places = np.repeat(bounds[mine] - np.r_[0, np.cumsum(c)[:-1]], c) + np.arange(c.sum())
         others = holders[places]
-        others = others[others > i]
+        others = others[(others > i) & (others < beyond[i])]
         if not len(others):
             continue
         found, overlap = np.unique(others, return_counts=True)
@@ -247,19 +263,21 @@ def _product(unit: np.ndarray, side: np.ndarray, cid: np.ndarray, sets: list[np.
                 parent[max(x, y)] = min(x, y)
                 a.append(int(cid[i]))
                 b.append(int(cid[j]))
-    return a, b, links
+    back = np.empty_like(links)
+    back[by_size] = links
+    return a, b, back
 
 
 def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Rows (a, b, n) of all links between different classes of the same group: a spanning set (n null), and n links of class a (b null).
 
     ``members`` has (doc_id, cid, grp, n): one document of each candidate class and the size of its set. A group of more than BLOCK
-    classes is cut by size class and hash; blocks of equal or neighbouring size class are multiplied pair by
+    classes, or BLOCK_SHINGLES shingles, is cut by size class and hash; blocks of equal or neighbouring size class are multiplied pair by
     pair, so that no task gets an unbounded group, and blocks too far apart in size never meet.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(batch.column(0).to_pylist(), width)
             right = [i for i, (s, c) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if len(s) and _class_id(s) == c]
             kept = batch.take(pa.array(right, LONG))
@@ -279,7 +297,7 @@ def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Data
             has = np.flatnonzero(n)
             return pa.RecordBatch.from_arrays([pa.array(a + cid[has].tolist(), LONG), pa.array(b + [None] * len(has), LONG), pa.array([None] * len(a) + n[has].tolist(), LONG)], ["a", "b", "n"])
 
-        for batch in batches:
+        for batch in slices(batches, 3):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held >= CHUNK and row[0] != rows[-1][0]:
                     yield flush(len(rows))
@@ -290,14 +308,15 @@ def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Data
 
     edges = F.array(*(F.lit(e) for e in Sizes(percent).edges if e < 1 << 40))
     own_class = F.size(F.filter(edges, lambda e: e <= F.col("n"))) - 1
-    placed = members.select(F.col("doc_id").alias("m_id"), "cid", "grp", own_class.alias("size_class"))
-    per = table(placed.groupBy("grp", "size_class").agg(F.count("*").alias("k")), "ngram-sizes")
-    per = per.withColumn("in_grp", F.sum("k").over(Window.partitionBy("grp"))).withColumn("own", F.ceil(F.col("k") / BLOCK).cast("int"))
+    placed = members.select(F.col("doc_id").alias("m_id"), "cid", "grp", "n", own_class.alias("size_class"))
+    per = table(placed.groupBy("grp", "size_class").agg(F.count("*").alias("k"), F.sum("n").alias("work")), "ngram-sizes")
+    whole = Window.partitionBy("grp")
+    per = per.withColumn("fits", (F.sum("k").over(whole) <= BLOCK) & (F.sum("work").over(whole) <= BLOCK_SHINGLES)).withColumn("own", F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("work") / BLOCK_SHINGLES)).cast("int"))
     by_size = Window.partitionBy("grp").orderBy("size_class")
     beside = lambda step: F.coalesce(F.when(step("size_class").over(by_size) == F.col("size_class") + (1 if step is F.lead else -1), step("own").over(by_size)), F.lit(0))
-    per = per.select("grp", "size_class", (F.col("in_grp") <= BLOCK).alias("small"), "own", beside(F.lag).alias("below"), beside(F.lead).alias("above"))
+    per = per.select("grp", "size_class", F.col("fits").alias("small"), "own", beside(F.lag).alias("below"), beside(F.lead).alias("above"))
     chosen = placed.join(per, ["grp", "size_class"])
-    sets = docs.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id"))).select("text", "cid", "grp", "size_class", "small", "own", "below", "above").mapInArrow(read, "cid long, grp long, size_class int, small boolean, own int, below int, above int, grams binary")
+    sets = docs.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id"))).select("text", "cid", "grp", "size_class", "small", "own", "below", "above").mapInArrow(frugal(read), "cid long, grp long, size_class int, small boolean, own int, below int, above int, grams binary")
     block = F.pmod(F.xxhash64("cid"), F.col("own")).cast("int")
     # A large group's unit is a pair of blocks (size class, part): the lower block is side 1, the higher side 2; side 0 is a block with itself.
     me = (F.col("size_class"), block)
@@ -315,7 +334,26 @@ def links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Data
     alone = F.array(F.struct(F.xxhash64("grp").alias("unit"), F.lit(0).alias("side")))
     units = sets.select("cid", "grams", F.explode(F.when(F.col("small"), alone).otherwise(F.concat(same, below, above))).alias("u"))
     units = units.select("u.unit", "u.side", "cid", "grams").repartition("unit").sortWithinPartitions("unit", "side", "cid")
-    return units.mapInArrow(multiply, "a long, b long, n long")
+    return units.mapInArrow(frugal(multiply), "a long, b long, n long")
+
+
+def _joined(slim: DataFrame, of_doc: DataFrame, width: int, percent: int) -> DataFrame:
+    """cid, component_id (smallest doc_id that is not null), least (smallest cid) of the component, n_links of every class.
+
+    ``slim`` has (doc_id, text), ``of_doc`` the written (doc_id, n, cid, sketch) of the same rows.
+    """
+    by_class = table(of_doc.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "ngram-by-class")
+    groups = components(candidate_edges(slim, by_class, width, percent))
+    reps = by_class.join(groups.select(F.col("v").alias("cid"), F.col("label").alias("grp")), "cid").select(F.col("first_id").alias("doc_id"), "cid", "grp", "n")
+    found = table(links(slim, table(reps, "ngram-members"), width, percent), "ngram-links")
+    by_class = by_class.select("cid", "first_id")
+    joined = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("v", "cid")
+    n_links = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n_links"))
+    least = by_class.join(joined, "cid").groupBy("label").agg(F.min("first_id").alias("least_id"))
+    out = by_class.join(joined.join(least, "label").select("cid", "label", "least_id"), "cid", "left").join(n_links, "cid", "left")
+    out = table(out.select("cid", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("label", "cid").alias("least"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "ngram-components")
+    discard(groups, found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,27 +371,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     of_doc = table(classes(slim, width), "ngram-classes")
-    by_class = table(of_doc.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "ngram-by-class")
-    groups = components(candidate_edges(slim, by_class, width, percent))
-    reps = by_class.join(groups.select(F.col("v").alias("cid"), F.col("label").alias("grp")), "cid").select(F.col("first_id").alias("doc_id"), "cid", "grp", "n")
-    found = table(links(slim, table(reps, "ngram-members"), width, percent), "ngram-links")
-    by_class = by_class.select("cid", "first_id")
-    joined = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("v", "cid")
-    n_links = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n_links"))
-    least = by_class.join(joined, "cid").groupBy("label").agg(F.min("first_id").alias("least_id"))
-    out = by_class.join(joined.join(least, "label").select("cid", "least_id"), "cid", "left").join(n_links, "cid", "left")
-    out = table(out.select("cid", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "ngram-components")
+    out = _joined(slim, of_doc, width, percent).drop("least")
     empty = of_doc.where("cid IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return of_doc.where("cid IS NOT NULL").join(out, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(empty)
 
 
-def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all their columns, without those whose component has a smaller doc_id.
-
-    Rows with a null id and repeated rows of a kept id stay, except that of equal rows one stays.
-    """
-    dropped = near_duplicates(docs, width, percent).where("doc_id > component_id").select(F.col("doc_id").alias("_dropped"))
-    kept = docs.join(table(dropped, "ngram-dropped"), F.col("doc_id") == F.col("_dropped"), "left_anti")
-    return kept
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, one of each component of near duplicates.
 
+    The row of the smallest id stays, null ids last; of rows with one id that of the smallest hash of the text, and of rows
+    that have both in common one. Rows without words are linked with nothing and all stay, repeated or not. An empty table
+    gives no rows.
 
+    Rows are known by their id and a 128-bit hash of the text. What goes is written as a table of such pairs, small beside
+    the documents, so that Spark may leave the texts where they are.
+    """
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    hashed = slim.select(F.struct("doc_id", F.md5("text").alias("h")).alias("doc_id"), "text")
+    with_hash = table(classes(hashed, width, "struct<doc_id:bigint,h:string>").select("doc_id.doc_id", "doc_id.h", "n", "cid", "sketch"), "ngram-classes")
+    joined = _joined(slim, with_hash, width, percent)
+    rows = with_hash.where("cid IS NOT NULL").join(joined.select("cid", "least"), "cid").groupBy("least", "doc_id", "h").agg(F.count("*").alias("copies"))
+    stays = rows.groupBy("least").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("s"))
+    judged = table(rows.join(stays, "least").select("doc_id", "h", "copies", (F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("h") == F.col("s.h"))).alias("stays")), "ngram-judged")
+    known = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.md5(F.col(text_col).cast("string")) == F.col("_h"))
+    kept = docs.join(known(judged.where("NOT stays")), same, "left_anti")
+    again = known(judged.where("stays AND copies > 1"))
+    if again.isEmpty():
+        return kept
+    order = Window.partitionBy(F.col(f"{ROW}.{id_col}"), F.md5(F.col(f"{ROW}.{text_col}").cast("string"))).orderBy(F.md5(F.to_json(ROW)))
+    one = kept.join(again, same, "left_semi").select(F.struct("*").alias(ROW)).withColumn("_n", F.row_number().over(order)).where("_n = 1").select(f"{ROW}.*")
+    return kept.join(again, same, "left_anti").unionByName(one)

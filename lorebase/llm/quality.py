@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import ship
+from lorebase.llm.common import frugal, slices
 from lorebase.llm.labelled import remainder, sample
+from lorebase.workers import ship
 
 #: Buckets of hashed words, bins of a statistic, and rank of the interactions.
 BUCKETS, BINS, RANK = 1 << 14, 12, 8

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -10,19 +11,30 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BREAKS = [bytes([i]) for i in np.flatnonzero(_SPACE)]
 _BYTES = np.random.default_rng(20_240_607).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_POWERS: list[np.ndarray] = []
+#: Bytes hashed at once, and powers kept for the next batch.
+PIECE = 1 << 19
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64, kept for the next batch."""
-    if len(_POWERS[0]) < n:
-        for i, b in enumerate((_BASE, _INVERSE)):
-            x = np.full(max(n, 1 << 16), b, np.uint64)
+    """The first n powers of the base and of its inverse modulo 2**64; up to PIECE + 1 of them are kept."""
+
+    def upto(most: int) -> list[np.ndarray]:
+        out = []
+        for b in (_BASE, _INVERSE):
+            x = np.full(most, b, np.uint64)
             x[0] = 1
-            _POWERS[i] = np.multiply.accumulate(x)
+            out.append(np.multiply.accumulate(x))
+        return out
+
+    if n > PIECE + 1:  # a word, or an anchor's batch, beyond a piece: rare
+        return tuple(upto(n))
+    if not _POWERS:
+        _POWERS.extend(upto(PIECE + 1))
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
@@ -34,11 +46,32 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A hash of every word between white space (space, 9 to 13), A-Z lower-cased.
+    """A hash of every word between white space (space, 9 to 13), A-Z lower-cased; long data in pieces that end at white space.
 
     A word's hash is a polynomial in its bytes modulo 2**64, taken as the difference of two prefix sums and
     shifted back to the word's start, so equal words anywhere have equal hashes.
     """
+    if len(data) > PIECE:
+        return np.concatenate([_hashes(p) for p in _pieces(data)])
+    return _hashes(data)
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """``data`` cut at white space into pieces of at most PIECE bytes, more only where a single word is longer."""
+    at = 0
+    while at < len(data):
+        end = at + PIECE
+        if end < len(data):
+            last = max(data.rfind(c, at + 1, end) for c in _BREAKS)
+            if last < 0:
+                later = [x for c in _BREAKS if (x := data.find(c, end)) >= 0]
+                last = min(later, default=len(data))
+            end = last
+        yield data[at:end]
+        at = end
+
+
+def _hashes(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64)
@@ -67,7 +100,7 @@ def _set(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(s)
 
 
-def shingle_sets(texts: list[str | None], width: int, most: int = 1_000_000) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], width: int, most: int = PIECE) -> list[np.ndarray]:
     """``shingle_set`` of each text; short texts are hashed together, up to ``most`` bytes at once."""
     out: list[np.ndarray] = []
     held: list[bytes] = []

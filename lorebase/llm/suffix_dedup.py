@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import ROW, release, ship, table
+from lorebase.llm.common import ROW, discard, frugal, release, slices, table
 from lorebase.llm.shingles import _powers, mix
+from lorebase.workers import ship
 
 #: Bytes of an anchor.
 ANCHOR = 32
@@ -200,7 +201,7 @@ def _repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
                 cut = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(kind[cut]), pa.array(gram[cut]), pa.array(text[cut]), pa.array(place[cut].astype(np.int32))], ["key", "kind", "gram", "text_id", "place"])
 
-        for batch in batches:
+        for batch in slices(batches):
             data = [t.encode() for t in batch.column(0).to_pylist()]
             ids = batch.column(1).to_pylist()
             new = []
@@ -240,8 +241,8 @@ def _repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
         if last is not None and waiting:
             yield last.select(["text_id", "place", "gram"])
 
-    spread = docs.select("text", "id").mapInArrow(read, "key long, kind byte, gram long, text_id long, place int").repartition("key").sortWithinPartitions("key", "text_id", "place")
-    return spread.mapInArrow(compare, "text_id long, place int, gram long")
+    spread = docs.select("text", "id").mapInArrow(frugal(read), "key long, kind byte, gram long, text_id long, place int").repartition("key").sortWithinPartitions("key", "text_id", "place")
+    return spread.mapInArrow(frugal(compare), "text_id long, place int, gram long")
 
 
 def _repeats(key: np.ndarray, kind: np.ndarray, text: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -294,12 +295,13 @@ def repeat_intervals(docs: DataFrame, firsts: DataFrame, least: int = 100, group
                 c = slice(at, at + 20_000)
                 yield pa.RecordBatch.from_arrays([pa.array(gram[c], LONG), pa.array(order[c], LONG), pa.array(text[c], LONG), pa.array(place[c], pa.int32()), pa.array(left[c], pa.binary()), pa.array(right[c], pa.binary()), pa.array(again[c], pa.int32())], ["gram", "ord", "text_id", "place", "left", "right", "again"])
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             for doc, text, own, places, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
-                rows += [(g, own, p, doc, data[max(0, p - reach) : p][::-1], data[p : p + least]) for p, g in zip(places, grams, strict=True)]
-                if len(rows) > 3 * CONTEXTS:
-                    yield from flush()
+                for at in range(0, len(places), CONTEXTS):
+                    rows += [(g, own, p, doc, data[max(0, p - reach) : p][::-1], data[p : p + least]) for p, g in zip(places[at : at + CONTEXTS], grams[at : at + CONTEXTS], strict=True)]
+                    if len(rows) > CONTEXTS:
+                        yield from flush()
         if rows:
             yield from flush()
 
@@ -347,10 +349,10 @@ def repeat_intervals(docs: DataFrame, firsts: DataFrame, least: int = 100, group
             yield flush(len(rows))
 
     chosen = found.join(firsts.withColumnRenamed("id", "text_id"), "text_id").join(docs.withColumnRenamed("id", "text_id"), ["text_id", "ord"]).select("ord", "text", "text_id", "places", "grams")
-    contexts = chosen.mapInArrow(cut, "gram long, ord long, text_id long, place int, left binary, right binary, again int")
+    contexts = chosen.mapInArrow(frugal(cut), "gram long, ord long, text_id long, place int, left binary, right binary, again int")
     # Known bytes only pass through, so they are dealt evenly; contexts of a gram meet.
     spread = contexts.repartition(F.when(F.col("again") >= 0, F.xxhash64("text_id", "place")).otherwise(F.col("gram"))).sortWithinPartitions("gram")
-    return spread.mapInArrow(compare, "repeat long, n_bytes long, text_id long, start long, first boolean" if groups else "text_id long, start long, stop long")
+    return spread.mapInArrow(frugal(compare), "repeat long, n_bytes long, text_id long, start long, first boolean" if groups else "text_id long, start long, stop long")
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -396,7 +398,7 @@ def dedup_digests(docs: DataFrame, least: int = 100, id_col: str = "doc_id", tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             sizes, removed, spans, kept = [], [], [], []
             for text, first, starts, stops in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 data = text.encode()
@@ -413,7 +415,7 @@ def dedup_digests(docs: DataFrame, least: int = 100, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, LONG), pa.array(removed, LONG), pa.array(spans, LONG), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _with_runs(docs.select(id_col, text_col), least, id_col, text_col).select("doc_id", "text", "first", "starts", "stops")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(frugal(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
@@ -424,7 +426,7 @@ def cut_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             kept = []
             for text, first, starts, stops in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 data, at, parts = text.encode(), 0, []
@@ -440,7 +442,7 @@ def cut_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["whole", "kept"])
 
     found = _with_runs(docs, least, id_col, text_col).select(F.col(ROW).alias("whole"), "text", "first", "starts", "stops")
-    out = found.mapInArrow(run, f"whole {found.schema['whole'].dataType.simpleString()}, kept string")
+    out = found.mapInArrow(frugal(run), f"whole {found.schema['whole'].dataType.simpleString()}, kept string")
     columns = []
     for c in docs.columns:
         value = F.col("whole").getField(c)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.llm import bpe
+from lorebase.llm.common import table
 
 #: Lengths to a block: suffix sums run inside blocks, and over one row per block.
 BLOCK = 1024
@@ -51,5 +52,10 @@ def at_limits(histogram: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
-    """Encode every text (null: empty, 0 tokens), count lengths, and sum from the end."""
-    return with_suffix_sums(length_histogram(bpe.count_tokens(docs, path, text_col)))
+    """Encode every text, count lengths, and sum from the end: the columns of ``with_suffix_sums``.
+
+    Null and empty texts have 0 tokens; repeated rows are documents of their own; other columns, whatever their names, are
+    not read; an empty table gives no rows. The histogram, one row per length, is written once and read for both the
+    blocks and the rows, so every text is encoded once.
+    """
+    return with_suffix_sums(table(length_histogram(bpe.count_tokens(docs, path, text_col)), "token-histogram"))

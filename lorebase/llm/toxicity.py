@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import ship, table
+from lorebase.llm.common import ROW, frugal, slices, table
 from lorebase.llm.labelled import remainder, sample
+from lorebase.workers import ship
 
 #: The letters of the language model (0: no letter, last: any other letter) ...
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøœùúûüýÿß"
@@ -54,6 +55,8 @@ PREFIXES, LEAST = (4, 5, 6), 0.65
 PRIOR, PRIOR_MEAN = 3.0, 0.1
 #: Contexts of a term that a document counts at most.
 MOST_OF_DOC = 3
+#: Bytes of text counted at once.
+TEXT = 400_000
 #: Least evidence for a term, in nats beyond the logarithm of the number of terms, against its being spread over both classes alike.
 SURPRISE = 2.0
 
@@ -75,18 +78,16 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N**3, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    c = codes(f" {text.lower()} ")
-                    total += np.bincount((c[:-2] * N + c[1:-1]) * N + c[2:], minlength=N**3) if len(c) > 50_000 else 0
-                    if len(c) <= 50_000:
-                        np.add.at(total, *np.unique((c[:-2] * N + c[1:-1]) * N + c[2:], return_counts=True))
+        for batch in slices(batches, most=TEXT):
+            texts = [t.lower() for t in batch.column(0).to_pylist() if t]
+            if texts:  # two blanks part the texts: no trigram has letters of both
+                c = codes(f" {'  '.join(texts)} ")
+                total += np.bincount((c[:-2] * N + c[1:-1]) * N + c[2:], minlength=N**3)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"gram": found, "n": total[found]}, pa.schema([("gram", pa.int64()), ("n", pa.int64())]))
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(frugal(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(N**3, np.float64)
     out[rows["gram"].to_numpy(np.int64)] = rows["n"]
     return out.reshape(N, N, N)
@@ -264,13 +265,13 @@ def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (8_000, 2_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             for text, y, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = [w for w in restorer.words((text or "").lower()) if len(w) >= 3]
                 pairs = list(set(zip(["", *words], words, strict=False)))
                 yield pa.RecordBatch.from_pydict({"before": [a for a, _ in pairs], "word": [b for _, b in pairs], "y": [y] * len(pairs), "doc": [doc] * len(pairs)}, pa.schema([("before", pa.string()), ("word", pa.string()), ("y", pa.int32()), ("doc", pa.int64())]))
 
-    pairs = rows.select("text", "y", F.xxhash64("text").alias("doc")).mapInArrow(run, "before string, word string, y int, doc long")
+    pairs = rows.select("text", "y", F.xxhash64("text").alias("doc")).mapInArrow(frugal(run), "before string, word string, y int, doc long")
     contexts = pairs.groupBy(F.xxhash64("before", "word").alias("h"), "word").agg(F.min(F.shiftleft("doc", 1).bitwiseOR(F.col("y").cast("long"))).alias("doc")).select("word", "doc", F.col("doc").bitwiseAND(F.lit(1)).alias("y"))
     word = F.col("word")
     grams = F.array(F.concat(F.lit("="), word), *(F.when(F.length(word) >= n, F.concat(F.lit("^"), F.substring(word, 1, n))) for n in PREFIXES))
@@ -283,11 +284,29 @@ def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (8_000, 2_
     surprise = F.col("n") * (rate * F.log(rate / share) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - share))).otherwise(0.0))
     posterior = (F.col("t") + PRIOR * PRIOR_MEAN) / (F.col("n") + PRIOR)
     terms = counts.where((F.col("docs") >= 3) & (posterior >= LEAST) & (surprise >= math.log(n_terms + 1) + SURPRISE)).select("term", posterior.alias("p"))
-    found = dict(terms.orderBy(F.col("p").desc(), "term").limit(50_000).toPandas().itertuples(index=False))
+    # No more than a third of the sample's distinct words, which ``most`` bounds, can be terms.
+    found = dict(terms.orderBy(F.col("p").desc(), "term").toPandas().itertuples(index=False))
     base = 0.05 if not n_toxic else min(0.3, 0.5 * n_toxic / (n_toxic + n_clean))
     return costs, found, base
 
 
+def _scores(docs: DataFrame, labels: DataFrame, of: int, held: int, most: tuple[int, int]):
+    """A function of a list of texts that gives (score, hits) of each, for use in tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most, of, held))
+
+    def judge():
+        costs, terms, base = shared.value
+        restorer, scorer = Restorer(costs, max((len(t) - 1 for t in terms), default=16)), Scorer(terms, base)
+
+        def of_texts(texts: list[str | None]) -> list[tuple[float, int]]:
+            hits = [scorer.hits(t.lower(), restorer) if t else {} for t in texts]
+            return [(scorer.score(h), len(h)) for h in hits]
+
+        return of_texts
+
+    return judge
+
+
 def score(docs: DataFrame, labels: DataFrame, of: int = 3, held: int = 1, threshold: float = 0.7, most: tuple[int, int] = (8_000, 2_000), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted and n_hits (distinct toxic words) of every whole text.
 
@@ -295,27 +314,33 @@ def score(docs: DataFrame, labels: DataFrame, of: int = 3, held: int = 1, thresh
     scored alike; an empty table gives no rows; other columns are left out.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(train(slim, labels, most, of, held))
+    judge = _scores(slim, labels, of, held, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs, terms, base = shared.value
-        restorer, scorer = Restorer(costs, max((len(t) - 1 for t in terms), default=16)), Scorer(terms, base)
-        for batch in batches:
-            hits = [scorer.hits(t.lower(), restorer) if t else {} for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([scorer.score(h) for h in hits], pa.float64()), pa.array([len(h) for h in hits], pa.int32())], ["doc_id", "held_out", "score", "n_hits"])
+        of_texts = judge()
+        for batch in slices(batches, 2):
+            found = of_texts(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int32())], ["doc_id", "held_out", "score", "n_hits"])
 
     rows = slim.select("doc_id", (remainder(F.col("doc_id"), of) == held).alias("held_out"), "text")
-    out = rows.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, n_hits int")
+    out = rows.mapInArrow(frugal(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, n_hits int")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_hits")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, of: int = 3, held: int = 1, most: tuple[int, int] = (8_000, 2_000), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with all their columns, without those that score ``threshold`` or more.
 
-    Rejected ids are few and small: they are written as a table and left out by an anti join, so texts stay
-    where they are while the table is small enough for Spark to broadcast. Rows with a null id are kept only
-    if no row with a null id is rejected.
+    Each row is judged by its own text and passes through the scorer whole, so neither null nor repeated ids let one row
+    decide on another. Null and empty texts have the base score and stay; an empty table gives no rows.
     """
-    rejected = table(score(docs, labels, threshold=threshold, **options).where("predicted = 1").select(F.col("doc_id").alias("_rejected")).distinct(), "toxic")
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_rejected")), "left_anti")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    judge = _scores(slim, labels, of, held, most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_texts = judge()
+        for batch in slices(batches, 1):
+            yield batch.filter(pa.array([x[0] < threshold for x in of_texts(batch.column(1).to_pylist())], pa.bool_())).select([0])
+
+    rows = docs.select(F.struct("*").alias(ROW), F.col(text_col).cast("string").alias("text"))
+    kept = rows.mapInArrow(frugal(run), f"{ROW} {rows.schema[ROW].dataType.simpleString()}")
+    return kept.select(f"{ROW}.*")
