@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import ROW, discard, frugal, release, slices, table
+from lorebase.llm.common import ROW, frugal, release, slices, table
 from lorebase.llm.shingles import _powers, mix
 from lorebase.workers import ship
 
@@ -267,8 +267,8 @@ def repeat_intervals(docs: DataFrame, firsts: DataFrame, least: int = 100, group
     """
     ship(docs.sparkSession)
     reach = least - ANCHOR
-    found = _repeated_anchors(docs, least).groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("place", "gram"))).alias("a"))
-    found = table(found.select("text_id", F.col("a.place").alias("places"), F.col("a.gram").alias("grams")), "suffix-anchors")
+    anchors_found = _repeated_anchors(docs, least).groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("place", "gram"))).alias("a"))
+    found = table(anchors_found.select("text_id", F.col("a.place").alias("places"), F.col("a.gram").alias("grams")), "suffix-anchors")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts of the anchors. Of equal contexts a task holds, one goes on; the others' bytes are known to repeat."""
@@ -305,54 +305,179 @@ def repeat_intervals(docs: DataFrame, firsts: DataFrame, least: int = 100, group
         if rows:
             yield from flush()
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+    chosen = found.join(firsts.withColumnRenamed("id", "text_id"), "text_id").join(docs.withColumnRenamed("id", "text_id"), ["text_id", "ord"]).select("ord", "text", "text_id", "places", "grams")
+    contexts = chosen.mapInArrow(frugal(cut), "gram long, ord long, text_id long, place int, left binary, right binary, again int")
+    # Known bytes only pass through, so they are dealt evenly; contexts of a gram meet.
+    spread = contexts.repartition(F.when(F.col("again") >= 0, F.xxhash64("text_id", "place")).otherwise(F.col("gram"))).sortWithinPartitions("gram")
+    if groups:
+        return spread.mapInArrow(frugal(_named_repeats(least)), "repeat long, n_bytes long, text_id long, start long, first boolean")
+    seed = spread.select(F.col("gram").alias("key"), F.lit(0).alias("l"), F.lit(ANCHOR).alias("r"), "gram", "ord", "text_id", "place", "left", "right", "again")
+    out = table(seed.mapInArrow(frugal(_compare(least)), OUT), "suffix-compared")
+    found = out.where("key IS NULL").select("text_id", "start", "stop")
+    while not (late := out.where("key IS NOT NULL")).isEmpty():  # at most as many rounds as halvings of the bytes needed
+        late = late.select("key", "l", "r", "gram", "ord", "text_id", "place", "left", "right", F.lit(-1).alias("again"))
+        dealt = late.repartition("key").sortWithinPartitions("key", "left", "right", "ord", "text_id", "place")
+        out = table(dealt.mapInArrow(frugal(_compare(least)), OUT), "suffix-compared")
+        found = found.unionByName(out.where("key IS NULL").select("text_id", "start", "stop"))
+    return found
 
-        def flush(upto: int) -> pa.RecordBatch:
-            part = rows[:upto]
-            del rows[:upto]
-            known = [x for x in part if x[6] >= 0]
-            part = list({x[:4]: x for x in part if x[6] < 0}.values())
-            gram, order, text, place = (np.array([x[i] for x in part], np.int64) for i in range(4))
-            n_left, n_right = np.array([len(x[4]) for x in part], np.int64), np.array([len(x[5]) for x in part], np.int64)
-            left = np.frombuffer(b"".join(x[4].ljust(reach, b"\0") for x in part), np.uint8).reshape(-1, max(reach, 1)) if reach else np.zeros((len(part), 0), np.uint8)
-            right = np.frombuffer(b"".join(x[5].ljust(least, b"\0") for x in part), np.uint8).reshape(-1, least)
-            ids, starts, stops, repeat, firsts = [], [], [], [], []
+
+#: What a comparing task gives out: repeated bytes (key null), or contexts of a group that is too large for one task.
+OUT = "text_id long, start long, stop long, key long, l int, r int, gram long, ord long, place int, left binary, right binary"
+_OUT = pa.schema([("text_id", LONG), ("start", LONG), ("stop", LONG), ("key", LONG), ("l", pa.int32()), ("r", pa.int32()), ("gram", LONG), ("ord", LONG), ("place", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
+
+
+def _repeated(ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.RecordBatch:
+    data = [pa.array(ids, LONG), pa.array(starts, LONG), pa.array(stops, LONG)]
+    return pa.RecordBatch.from_arrays([*data, *(pa.nulls(len(ids), f.type) for f in list(_OUT)[3:])], schema=_OUT)
+
+
+def _deferred(rows: list[tuple], least: int) -> pa.RecordBatch:
+    """Contexts of a large group under finer keys.
+
+    All of a group share l bytes to the left and r to the right. Two of them that share ``least`` bytes share half of
+    those that lack more on one side: each context goes on with that many more of its left bytes, and of its right ones.
+    """
+    out = []
+    for _, l, r, gram, order, text, place, left, right, _ in rows:
+        half = (least - l - r + 1) // 2
+        for a, b in ((l + half, r), (l, r + half)):
+            if len(left) >= a and len(right) >= b:
+                out.append((text, None, None, string_id(b"%d,%d,%d:" % (gram, a, b) + left[:a] + right[:b]), a, b, gram, order, place, left, right))
+    columns = zip(*out, strict=True) if out else [[] for _ in _OUT]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
+
+
+def _arrays(rows: list[tuple], least: int) -> tuple[np.ndarray, ...]:
+    """gram, ord, text, place, left, n_left, right, n_right of contexts."""
+    reach = least - ANCHOR
+    gram, order, text, place = (np.array([x[i] for x in rows], np.int64) for i in (3, 4, 5, 6))
+    n_left, n_right = np.array([len(x[7]) for x in rows], np.int64), np.array([len(x[8]) for x in rows], np.int64)
+    left = np.frombuffer(b"".join(x[7].ljust(reach, b"\0") for x in rows), np.uint8).reshape(-1, reach) if reach else np.zeros((len(rows), 0), np.uint8)
+    right = np.frombuffer(b"".join(x[8].ljust(least, b"\0") for x in rows), np.uint8).reshape(-1, least)
+    return gram, order, text, place, left, n_left, right, n_right
+
+
+def _lead(order: np.ndarray, text: np.ndarray, at: np.ndarray) -> int:
+    return int(np.lexsort((at, text, order))[0])
+
+
+def _compare(least: int):
+    """Task over contexts sorted by key (l, r bytes are common to a key): repeated bytes, and what must be compared under finer keys.
+
+    A group of more than CONTEXTS contexts is handed on instead of held. From the second round on rows are sorted by their
+    bytes too, so equal contexts stand side by side and only the first of them is compared. Where l and r make up ``least``
+    bytes the whole group is one repeat, and one pass with its first occurrence in hand is enough.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        late: list[tuple] = []
+        plain: list[tuple[int, int, int]] = []  # repeated bytes found without a scan
+        began, hot, before = 0, None, None
+        leads: dict[bytes, tuple] = {}
+
+        def flush() -> pa.RecordBatch:
+            nonlocal began
+            once = list({x[3:7]: x for x in rows}.values())  # repeated rows of the table
+            gram, order, text, place, left, n_left, right, n_right = _arrays(once, least)
+            rows.clear()
+            began = 0
+            held, size = [np.zeros((3, 0), np.int64)], 0
             for members, m, n in scan(gram, left, n_left, right, n_right, least):
                 at = place[members] - m
-                lead = np.lexsort((at, text[members], order[members]))[0]
-                rest = np.arange(len(members)) != lead
-                if groups:
-                    name = string_id(right[members[0], :n].tobytes() + b"|" + left[members[0], :m].tobytes())
-                    repeat += [name] * len(members)
-                    firsts += (~rest).tolist()
-                    rest[:] = True
-                ids.append(text[members[rest]])
-                starts.append(at[rest])
-                stops.append(at[rest] + m + n)
-            if groups:
-                ids, starts, stops = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, starts, stops))
-                return pa.RecordBatch.from_arrays([pa.array(repeat, LONG), pa.array(stops - starts), pa.array(ids), pa.array(starts), pa.array(firsts, pa.bool_())], ["repeat", "n_bytes", "text_id", "start", "first"])
-            for _, _, t, p, _, _, again in known:
-                ids.append(np.array([t]))
-                starts.append(np.array([p - (again >> 16)]))
-                stops.append(np.array([p + (again & 0xFFFF)]))
-            ids, starts, stops = merged(*(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (ids, starts, stops)))
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(starts), pa.array(stops)], ["text_id", "start", "stop"])
-
-        for batch in batches:
+                rest = np.arange(len(members)) != _lead(order[members], text[members], at)
+                held.append(np.stack([text[members[rest]], at[rest], at[rest] + m + n]))
+                size += len(members)
+                if size > 100_000:  # nested intervals name the same bytes again and again
+                    held, size = [np.stack(merged(*np.concatenate(held, axis=1)))], 0
+            return _repeated(*merged(*np.concatenate(held, axis=1)))
+
+        def given() -> pa.RecordBatch:
+            columns = np.array(plain, np.int64).T
+            plain.clear()
+            return _repeated(*merged(*columns))
+
+        for batch in slices(batches, 8):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(rows) >= CONTEXTS and row[0] != rows[-1][0]:
-                    yield flush(len(rows))
+                key, l, r, _, order, text, place, left, right, again = row
+                if len(plain) >= 50_000:
+                    yield given()
+                if again >= 0:
+                    plain.append((text, place - (again >> 16), place + (again & 0xFFFF)))
+                    continue
+                if l + r > ANCHOR:  # sorted by context, then by order of occurrence
+                    if before is not None and key == before[0] and left == before[7] and right == before[8]:
+                        if row[4:7] != before[4:7]:
+                            plain.append((text, place - len(left), place + len(right)))
+                        continue
+                    before = row
+                if l + r >= least:
+                    if leads and next(iter(leads.values()))[0] != key:
+                        leads.clear()
+                    window = left[:l] + b"|" + right[:r]
+                    mine, lead = (key, order, text, place), leads.get(window)
+                    if lead is None or mine < lead:
+                        mine, leads[window] = lead, mine
+                    if mine is not None:
+                        plain.append((mine[2], mine[3] - l, mine[3] + r))
+                    continue
+                if key == hot:
+                    late.append(row)
+                    if len(late) >= 5_000:
+                        yield _deferred(late, least)
+                        late.clear()
+                    continue
+                if rows and key != rows[-1][0]:
+                    if len(rows) >= CONTEXTS:
+                        yield flush()
+                    began = len(rows)
                 rows.append(row)
+                if len(rows) - began > CONTEXTS:
+                    hot = key
+                    late += rows[began:]
+                    del rows[began:]
         if rows:
-            yield flush(len(rows))
+            yield flush()
+        if late:
+            yield _deferred(late, least)
+        if plain:
+            yield given()
 
-    chosen = found.join(firsts.withColumnRenamed("id", "text_id"), "text_id").join(docs.withColumnRenamed("id", "text_id"), ["text_id", "ord"]).select("ord", "text", "text_id", "places", "grams")
-    contexts = chosen.mapInArrow(frugal(cut), "gram long, ord long, text_id long, place int, left binary, right binary, again int")
-    # Known bytes only pass through, so they are dealt evenly; contexts of a gram meet.
-    spread = contexts.repartition(F.when(F.col("again") >= 0, F.xxhash64("text_id", "place")).otherwise(F.col("gram"))).sortWithinPartitions("gram")
-    return spread.mapInArrow(frugal(compare), "repeat long, n_bytes long, text_id long, start long, first boolean" if groups else "text_id long, start long, stop long")
+    return run
+
+
+def _named_repeats(least: int):
+    """Task over contexts sorted by gram: every occurrence of every repeat, as far as the contexts reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            part = list({x[3:7]: x for x in rows}.values())
+            rows.clear()
+            gram, order, text, place, left, n_left, right, n_right = _arrays(part, least)
+            ids, starts, stops, repeat, firsts = [], [], [], [], []
+            for members, m, n in scan(gram, left, n_left, right, n_right, least):
+                at = place[members] - m
+                name = string_id(right[members[0], :n].tobytes() + b"|" + left[members[0], :m].tobytes())
+                repeat += [name] * len(members)
+                firsts += (np.arange(len(members)) == _lead(order[members], text[members], at)).tolist()
+                ids.append(text[members])
+                starts.append(at)
+                stops.append(at + m + n)
+            ids, starts, stops = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, starts, stops))
+            return pa.RecordBatch.from_arrays([pa.array(repeat, LONG), pa.array(stops - starts), pa.array(ids), pa.array(starts), pa.array(firsts, pa.bool_())], ["repeat", "n_bytes", "text_id", "start", "first"])
+
+        for batch in slices(batches, 5):
+            for gram, order, text, place, left, right, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(rows) >= CONTEXTS and gram != rows[-1][3]:
+                    yield flush()
+                rows.append((gram, 0, ANCHOR, gram, order, text, place, left, right, again))
+        if rows:
+            yield flush()
+
+    return run
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
