@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -127,26 +128,34 @@ def _order(rows: np.ndarray, *before: np.ndarray) -> np.ndarray:
     return np.lexsort((*(words[:, i] for i in reversed(range(words.shape[1]))), *reversed(before)))
 
 
-def scan(gram: np.ndarray, left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, int, int]]:
-    """(members, bytes to the left, bytes to the right of the anchor) of every repeat of at least ``least`` bytes.
-
-    ``left`` holds contexts backwards from the anchor, ``right`` from the anchor on; n_left and n_right say
-    how many of those bytes there are. Members of different ``gram`` are never together.
-    """
+def intervals(gram: np.ndarray, right: np.ndarray, n_right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of the contexts, and (first, last, length) of its common-prefix intervals; different grams share none."""
     order = _order(right, gram)
     lcp = _common(right[order], n_right[order])
     lcp[gram[order][1:] != gram[order][:-1]] = 0
-    for first, last, length in lcp_intervals(lcp, ANCHOR):
+    return order, np.array(list(lcp_intervals(lcp, ANCHOR)), np.int64).reshape(-1, 3)
+
+
+def pairs(order: np.ndarray, tree: np.ndarray, left: np.ndarray, n_left: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """a, b, bytes to the left, bytes to the right of the repeats of intervals with two members, which most have, all at once."""
+    tree = tree[tree[:, 1] == tree[:, 0] + 1]
+    a, b, n = order[tree[:, 0]], order[tree[:, 1]], tree[:, 2]
+    differs = left[a] != left[b]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), left.shape[1]) if left.shape[1] else np.zeros(len(a), np.int64)
+    common = np.minimum(common, np.minimum(n_left[a], n_left[b]))
+    kept = common + n >= least
+    return a[kept], b[kept], common[kept], n[kept]
+
+
+def scan(order: np.ndarray, tree: np.ndarray, left: np.ndarray, n_left: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(members, bytes to the left, bytes to the right of the anchor) of the repeats of intervals with three members or more.
+
+    ``left`` holds contexts backwards from the anchor, and n_left says how many of those bytes there are. Inside an
+    interval the left contexts are sorted and their own intervals are taken: each of them is left-extended alike.
+    """
+    for first, last, length in tree[tree[:, 1] > tree[:, 0] + 1].tolist():
         members = order[first : last + 1]
         need = max(0, least - length)
-        if len(members) == 2:
-            a, b = members
-            most = min(n_left[a], n_left[b])
-            differs = np.flatnonzero(left[a, :most] != left[b, :most])
-            common = int(differs[0]) if len(differs) else int(most)
-            if common >= need:
-                yield members, common, length
-            continue
         members = members[n_left[members] >= need]
         if need and len(members) > 1:  # only members that share the bytes needed with another can be in a repeat
             key = left[members, :need]
@@ -156,8 +165,6 @@ def scan(gram: np.ndarray, left: np.ndarray, n_left: np.ndarray, right: np.ndarr
             continue
         members = members[_order(left[members])]
         common = _common(left[members], n_left[members])
-        if not need and not (common >= 0).all():
-            continue
         for lo, hi, m in lcp_intervals(common, need):
             yield members[lo : hi + 1], m, length
 
@@ -359,9 +366,16 @@ def _arrays(rows: list[tuple], least: int) -> tuple[np.ndarray, ...]:
 
 
 def _lead(order: np.ndarray, text: np.ndarray, at: np.ndarray) -> int:
+    """The place in the list of the first occurrence."""
     return int(np.lexsort((at, text, order))[0])
 
 
+def _before(order: np.ndarray, text: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each of ``a`` occurs before its partner in ``b``."""
+    same_order, same_text = order[a] == order[b], text[a] == text[b]
+    return (order[a] < order[b]) | (same_order & ((text[a] < text[b]) | (same_text & (place[a] < place[b]))))
+
+
 def _compare(least: int):
     """Task over contexts sorted by key (l, r bytes are common to a key): repeated bytes, and what must be compared under finer keys.
 
@@ -383,15 +397,21 @@ def _compare(least: int):
             gram, order, text, place, left, n_left, right, n_right = _arrays(once, least)
             rows.clear()
             began = 0
-            held, size = [np.zeros((3, 0), np.int64)], 0
-            for members, m, n in scan(gram, left, n_left, right, n_right, least):
-                at = place[members] - m
+            entries, tree = intervals(gram, right, n_right)
+            a, b, m, n = pairs(entries, tree, left, n_left, least)
+            later = np.where(_before(order, text, place, a, b), b, a)
+            held = [[text[later]], [place[later] - m], [place[later] + n]]
+            size = 0
+            for members, m, n in scan(entries, tree, left, n_left, least):
+                at = place[members]
                 rest = np.arange(len(members)) != _lead(order[members], text[members], at)
-                held.append(np.stack([text[members[rest]], at[rest], at[rest] + m + n]))
+                members, at = members[rest], at[rest]
+                for column, values in zip(held, (text[members], at - m, at + n), strict=True):
+                    column.append(values)
                 size += len(members)
-                if size > 100_000:  # nested intervals name the same bytes again and again
-                    held, size = [np.stack(merged(*np.concatenate(held, axis=1)))], 0
-            return _repeated(*merged(*np.concatenate(held, axis=1)))
+                if size > 400_000:  # nested intervals name the same bytes again and again
+                    held, size = [[x] for x in merged(*map(np.concatenate, held))], 0
+            return _repeated(*merged(*map(np.concatenate, held)))
 
         def given() -> pa.RecordBatch:
             columns = np.array(plain, np.int64).T
@@ -458,7 +478,9 @@ def _named_repeats(least: int):
             rows.clear()
             gram, order, text, place, left, n_left, right, n_right = _arrays(part, least)
             ids, starts, stops, repeat, firsts = [], [], [], [], []
-            for members, m, n in scan(gram, left, n_left, right, n_right, least):
+            entries, tree = intervals(gram, right, n_right)
+            two = zip(*(x.tolist() for x in pairs(entries, tree, left, n_left, least)), strict=True)
+            for members, m, n in chain(((np.array([a, b]), m, n) for a, b, m, n in two), scan(entries, tree, left, n_left, least)):
                 at = place[members] - m
                 name = string_id(right[members[0], :n].tobytes() + b"|" + left[members[0], :m].tobytes())
                 repeat += [name] * len(members)
