@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorebase.workers import shared_dir
+
 #: White space of the word contracts: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,26 +22,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 ROW = "_lorebase_row"
 
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Without one a local session (as in tests) uses a temporary folder of this machine; on a cluster that is an error,
-    since no executor could read what another one wrote.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if context.applicationId not in _local:
-            _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lorebase-")
-        found = _local[context.applicationId]
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     return f"{shared_dir(spark)}/lorebase/{what}-{uuid.uuid4().hex}"
