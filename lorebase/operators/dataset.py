@@ -149,14 +149,31 @@ def triplets(chapters: DataFrame, passages: DataFrame, seed: int = 7) -> DataFra
     books = top(pool, ["book_id"], [F.xxhash64(F.lit(seed + 1), "id"), F.col("id")], 2, "part")
     order = Window.orderBy(F.xxhash64(F.lit(seed), "book_id"), "book_id")  # one row per book
     numbered = books.where("part = 1").withColumn("b", F.row_number().over(order) - 1).select("book_id", "b")
-    total = numbered.agg(F.count("*").alias("total")).first()["total"]
-    if total < 2:
-        return positive.limit(0).select("query", F.col("content").alias("positive"), F.array().cast("array<string>").alias("negatives"))
+    total = max(1, numbered.agg(F.count("*").alias("total")).first()["total"])
     far = books.where("part = 1").join(numbered, "book_id").select("b", F.col("content").alias("far"))
     away = numbered.select("book_id", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.pmod(F.col("b") + i, F.lit(total)).alias("b")) for i in (1, 2)))).alias("x")).select("book_id", "x.i", "x.b").join(far, "b")
     away = away.join(numbered.select(F.col("book_id").alias("_own"), "b"), "b").where("_own <> book_id").groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("i", "far"))).alias("fars"))
-    out = positive.join(mine, "doc_id", "left").join(away, "book_id")
-    return out.select("query", F.col("content").alias("positive"), F.array_compact(F.concat(F.array("near"), F.transform("fars", lambda f: f["far"]))).alias("negatives"))
+    out = positive.join(mine, "doc_id", "left").join(away, "book_id", "left")
+    fars = F.coalesce(F.transform("fars", lambda f: f["far"]), F.array().cast("array<string>"))
+    return out.select("query", F.col("content").alias("positive"), F.array_compact(F.concat(F.array("near"), fars)).alias("negatives"))
+
+
+def question_triplets(questions: DataFrame, chapters: DataFrame, passages: DataFrame, seed: int = 7) -> DataFrame:
+    """Query, positive, negatives of golden questions (question, book_title, chapter): the chapter's first passage, and two of other books.
+
+    chapters(id, book_id, book_title, title); a chapter is found by its clean title and its book's. Negatives are the first
+    passages, in a seeded hash order, of the two books that follow in such an order; one book has none.
+    """
+    known = chapters.select(F.col("id").alias("doc_id"), "book_id", "book_title", clean_title(F.col("title")).alias("chapter"))
+    text = passages.where(F.length("content") >= 20).join(known.select("doc_id", "book_id"), "doc_id").select("id", "doc_id", "book_id", "content")
+    one = top(known, ["book_title", "chapter"], [F.col("doc_id")], 1)
+    asked = questions.select("question", "book_title", "chapter").join(one, ["book_title", "chapter"]).join(top(text.drop("book_id"), ["doc_id"], [F.col("id")], 1), "doc_id")
+    first = top(text, ["book_id"], [F.xxhash64(F.lit(seed), "id"), F.col("id")], 1)
+    ring = first.withColumn("b", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "book_id"), "book_id")) - 1).select("book_id", "b", F.col("content").alias("far"))  # one row per book
+    total = max(1, ring.count())
+    others = ring.select("book_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("i"), "b").select("book_id", "i", F.pmod(F.col("b") + F.col("i"), F.lit(total)).alias("b"))
+    fars = others.join(ring.withColumnRenamed("book_id", "_of"), "b").where("_of <> book_id").groupBy("book_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "far"))), lambda x: x["far"]).alias("negatives"))
+    return asked.join(fars, "book_id", "left").select(F.col("question").alias("query"), F.col("content").alias("positive"), F.coalesce("negatives", F.array().cast("array<string>")).alias("negatives"))
 
 
 def rewrite_question(q: Column) -> Column:

@@ -69,7 +69,7 @@ def fusion_grid(channels: DataFrame, texts: DataFrame, expected: DataFrame, para
     names = sorted({c for w, _ in params for c in w})
     weight = F.element_at(F.array(*(F.create_map(*(F.lit(x) for n in names for x in (n, float(w.get(n, 1.0))))) for w, _ in params)), F.col("param") + 1)
     constant = F.element_at(F.array(*(F.lit(k) for _, k in params)), F.col("param") + 1)
-    used = scored.withColumn("_w", F.coalesce(F.try_element_at(weight, F.col("channel")), F.lit(1.0))).where("_w <> 0")
+    used = scored.withColumn("_w", F.coalesce(F.try_element_at(weight, F.col("channel")), F.lit(1.0))).where("_w > 0")
     fused = used.groupBy("param", "query_id", "id").agg(F.round(F.sum(F.col("_w") / (constant + F.col("rank"))), 6).alias("score"), F.min(F.struct("channel", "rank")).alias("_first"))
     by = ("param", "query_id")
     fused = fused.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "_first", "id"))).join(texts.select("id", "book", "content"), "id")

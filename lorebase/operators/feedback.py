@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorebase.workers import ship
+
 REASONS = ("no_result", "weak_hit", "feedback_dislike")
 
 
@@ -141,4 +143,5 @@ def embed(df: DataFrame, fn: Callable[[list[str]], list[list[float] | None]], ba
                         vec[i], state[i] = v, "ok"
             yield pd.DataFrame({"id": f["id"], "vec": vec, "state": state})
 
+    ship(df.sparkSession)
     return df.select("id", "text").mapInPandas(run, f"id {df.schema['id'].dataType.simpleString()}, vec array<float>, state string")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorebase.operators.common import top
 from lorebase.operators.retrieval import vector_search
+from lorebase.workers import stored
 
 # Weight of a relation, and of one not listed.
 RELATION_WEIGHTS = {"confirms_diagnosis": 1.0, "treated_by": 0.9, "supports_diagnosis": 0.7, "indicates": 0.5, "risk_factor_for": 0.4, "accompanied_by": 0.3}
@@ -28,12 +29,11 @@ def seed_entities(queries: DataFrame, entities: DataFrame, rule_map: DataFrame,
 def k_hop(seeds: DataFrame, edges: DataFrame, hops: int = 2, cap: int = 30, only_enabled: bool = False) -> tuple[DataFrame, DataFrame]:
     """(query_id, id, hop) of visited nodes and (query_id, edge, hop) of edges touched, breadth first over both directions.
 
-    A hop adds at most ``cap`` nodes per query, by the smallest edge id and the source before the target. The
+    Each hop is written to the shared folder. A hop adds at most ``cap`` nodes per query, by the smallest edge id and the source before the target. The
     frontier is at most ``cap`` rows per query, so a hub's edges are joined but never multiplied further.
     """
     e = edges.where("enabled") if only_enabled else edges
     both = e.select(F.col("source_id").alias("id"), F.col("target_id").alias("to"), F.col("id").alias("edge"), F.lit(1).alias("side")).unionByName(e.select(F.col("target_id").alias("id"), F.col("source_id").alias("to"), F.col("id").alias("edge"), F.lit(0).alias("side")))
-    cut = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df)
     nodes = seeds.select("query_id", "id", F.lit(0).alias("hop")).distinct()
     frontier, touched = nodes, None
     for hop in range(1, hops + 1):
@@ -42,7 +42,7 @@ def k_hop(seeds: DataFrame, edges: DataFrame, hops: int = 2, cap: int = 30, only
         touched = rows if touched is None else touched.unionByName(rows)
         new = step.select("query_id", F.col("to").alias("id"), "edge", "side").join(nodes.select("query_id", "id"), ["query_id", "id"], "left_anti")
         new = new.groupBy("query_id", "id").agg(F.min(F.struct("edge", "side")).alias("_first"))
-        frontier = cut(top(new, ["query_id"], [F.col("_first"), F.col("id")], cap).select("query_id", "id", F.lit(hop).alias("hop")))
+        frontier = stored(top(new, ["query_id"], [F.col("_first"), F.col("id")], cap).select("query_id", "id", F.lit(hop).alias("hop")), "k-hop")
         nodes = nodes.unionByName(frontier)
     return nodes, touched.groupBy("query_id", "edge").agg(F.min("hop").alias("hop"))
 

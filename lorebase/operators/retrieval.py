@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,29 +13,37 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lorebase.functions.text import cosine, weighted_keywords
 from lorebase.operators.common import contains_pairs, small, top
+from lorebase.workers import ship, stored
 
 #: Query vectors sent to all tasks at once; more are taken in rounds.
 QUERY_BLOCK = 4096
+#: Passages that a task multiplies with a block at once.
+PASSAGES = 1024
 #: Weight of a channel in the fusion, and the fusion's constant.
 WEIGHTS = {"vector": 1.0, "keyword": 1.0, "title": 1.0, "path": 0.8}
 RRF_K = 60
 
 
-def _unit(rows: list, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the rows that have the dimension and a length, and their places."""
-    places = [i for i, r in enumerate(rows) if r is not None and len(r) and (dim is None or len(r) == dim)]
-    if not places:
-        return np.zeros((0, dim or 1)), np.zeros(0, np.int64)
-    m = np.array([rows[i] for i in places], np.float64)
-    n = np.linalg.norm(m, axis=1)
-    return m[n > 0] / n[n > 0, None], np.array(places)[n > 0]
+def _by_dimension(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each dimension the unit vectors of the rows that have it and a length, and their places; from Arrow's flat values."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    out = {}
+    for dim in np.unique(sizes[sizes > 0]).tolist():
+        places = np.flatnonzero(sizes == dim)
+        m = flat[starts[places][:, None] + np.arange(dim)]
+        n = np.linalg.norm(m, axis=1)
+        out[dim] = m[n > 0] / n[n > 0, None], places[n > 0]
+    return out
 
 
 def vector_search(queries: DataFrame, passages: DataFrame, k: int = 5, thr: float = 0.5, scope: DataFrame | None = None) -> DataFrame:
     """R2: query_id, id, similarity, rank of the k passages of cosine >= thr; queries(query_id, vec), passages(id, vec[, enabled]).
 
-    Queries go to the tasks in blocks of 4,096; a task multiplies its passages with a block and keeps k rows
-    per query and batch, so pairs never reach the shuffle. ``scope`` (query_id, id) restricts pairs.
+    Queries go to the tasks in blocks of 4,096; a task multiplies 1,024 passages at a time with a block and keeps k rows
+    per query, so pairs never reach the shuffle. Vectors meet vectors of their own dimension. ``scope`` (query_id, id)
+    restricts pairs.
     """
     spark = passages.sparkSession
     p = passages.where("enabled") if "enabled" in passages.columns else passages
@@ -44,29 +52,29 @@ def vector_search(queries: DataFrame, passages: DataFrame, k: int = 5, thr: floa
         scored = pairs.select("query_id", "id", F.round(cosine(F.col("_q"), F.col("_p")), 6).alias("similarity")).where(F.col("similarity") >= thr)
         return top(scored, ["query_id"], [F.col("similarity").desc(), F.col("id")], k, "rank")
     found = None
+    ship(spark)
     query_kind = to_arrow_type(queries.schema["query_id"].dataType)
     q = queries.select("query_id", "vec").where("vec IS NOT NULL")
-    n = q.count()
-    rounds = max(1, -(-n // QUERY_BLOCK))
+    rounds = max(1, -(-q.count() // QUERY_BLOCK))
     for r in range(rounds):
         part = q if rounds == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)
-        block = spark.sparkContext.broadcast([(x[0], x[1]) for x in part.toLocalIterator()])
+        rows = list(part.toLocalIterator())
+        block = spark.sparkContext.broadcast(([x[0] for x in rows], _by_dimension(pa.array([x[1] for x in rows], pa.list_(pa.float64())))))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            ids = [x[0] for x in block.value]
-            vectors = [x[1] for x in block.value]
-            unit, places = _unit(vectors, len(vectors[0]) if vectors else None)
-            for batch in batches:
-                rows, at = _unit(batch.column(1).to_pylist(), unit.shape[1])
-                if not len(rows) or not len(unit):
-                    continue
-                sims = np.round(unit @ rows.T, 6)
-                pid = np.array(batch.column(0).to_pylist())[at]
-                order = np.lexsort((np.broadcast_to(pid, sims.shape), -sims), axis=1)[:, :k]
-                best = np.take_along_axis(sims, order, axis=1)
-                qi, pj = np.nonzero(best >= thr)
-                columns = [pa.array([ids[places[i]] for i in qi], query_kind), pa.array(pid[order[qi, pj]].tolist(), batch.schema.field(0).type), pa.array(best[qi, pj])]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "similarity"])
+            ids, asked = block.value
+            for batch in (b.slice(at, PASSAGES) for b in batches for at in range(0, b.num_rows, PASSAGES)):
+                for dim, (rows, at) in _by_dimension(batch.column(1)).items():
+                    if dim not in asked or not len(rows) or not len(asked[dim][0]):
+                        continue
+                    unit, places = asked[dim]
+                    sims = np.round(unit @ rows.T, 6)
+                    pid = np.array(batch.column(0).to_pylist())[at]
+                    order = np.lexsort((np.broadcast_to(pid, sims.shape), -sims), axis=1)[:, :k]
+                    best = np.take_along_axis(sims, order, axis=1)
+                    qi, pj = np.nonzero(best >= thr)
+                    columns = [pa.array([ids[places[i]] for i in qi], query_kind), pa.array(pid[order[qi, pj]].tolist(), batch.schema.field(0).type), pa.array(best[qi, pj])]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "similarity"])
 
         kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {p.schema['id'].dataType.simpleString()}, similarity double"
         out = p.select("id", "vec").mapInArrow(run, kinds)
@@ -152,11 +160,11 @@ def section_path_search(keywords: DataFrame, passages: DataFrame, k: int = 10, f
 def rrf_fuse(channels: DataFrame, k: int = RRF_K, weights: Mapping[str, float] | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """(query_id, channel, rank, id) fused: id, score = sum of w / (k + rank) to 6 places, source, rank.
 
-    Weight 0 drops a channel, an unknown one weighs 1; ties go by the first channel's name, then its rank, id.
+    A weight of 0 or less drops a channel, an unknown one weighs 1; ties go by the first channel's name, then its rank, id.
     """
     table = WEIGHTS if weights is None else weights
     w = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.col("channel")), F.lit(1.0)) if table else F.lit(1.0)
-    used = channels.withColumn("_w", w).where("_w <> 0")
+    used = channels.withColumn("_w", w).where("_w > 0")
     fused = used.groupBy(*by, "id").agg(F.round(F.sum(F.col("_w") / (k + F.col("rank"))), 6).alias("score"), F.min(F.struct("channel", "rank")).alias("_first"), F.countDistinct("channel").alias("_n"))
     order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "_first", "id")
     return fused.select(*by, "id", "score", F.when(F.col("_n") > 1, "both").otherwise(F.col("_first.channel")).alias("source"), F.row_number().over(order).alias("rank"))
@@ -187,7 +195,7 @@ def prefix_dedup(ranked: DataFrame, by: tuple[str, ...] = ("query_id",)) -> Data
     both = first.select(*by, "_key", "_r.*").withColumn("_node", node).unionByName(short.withColumns({"_key": F.lit(None).cast("string"), "_node": F.lit(None).cast("string")}))
     dealt = both.repartitionByRange("_node").sortWithinPartitions("_node").withColumn("_part", F.spark_partition_id())
     # Written once: the ranges, which Spark finds by sampling, must be the same in the steps below.
-    dealt = dealt.checkpoint() if ranked.sparkSession.sparkContext.getCheckpointDir() else dealt.localCheckpoint()
+    dealt = stored(dealt, "prefixes").repartition("_part").sortWithinPartitions("_part", "_node")
     short, dealt = dealt.where("_key IS NULL"), dealt.where("_key IS NOT NULL")
     edges = _starts_above(dealt)
     good = dealt.select("_key").join(edges.where("earlier").select(F.col("above").alias("_key")), "_key", "left_anti")
@@ -206,15 +214,7 @@ def _starts_above(dealt: DataFrame) -> DataFrame:
     slim = dealt.select("_part", "_node", "_key", "rank", "id")
     place_of = lambda rank, i: (rank is not None, rank, i is not None, i)  # noqa: E731  # nulls first
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.slice(0, 1)
-                break
-        for _ in batches:
-            pass
-
-    firsts = sorted((r["_node"], r["_part"]) for r in dealt.select("_part", "_node").mapInArrow(heads, "_part int, _node string").collect())  # a row per range
+    firsts = sorted((r["_node"], r["_part"]) for r in dealt.groupBy("_part").agg(F.min("_node").alias("_node")).collect())  # a row per range
     names = spark.sparkContext.broadcast(firsts)
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,13 +237,13 @@ def _starts_above(dealt: DataFrame) -> DataFrame:
     opened = spark.sparkContext.broadcast({k: sorted(v, key=lambda x: x[0]) for k, v in above.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack = None
+        stack, now = [], None
         for batch in batches:
             part, nodes, keys, ranks, ids = (c.to_pylist() for c in batch.columns)
             out: list[tuple] = []
             for i, node in enumerate(nodes):
-                if stack is None:
-                    stack = list(opened.value.get(part[i], []))
+                if part[i] != now:
+                    now, stack = part[i], list(opened.value.get(part[i], []))
                 while stack and not node.startswith(stack[-1][0]):
                     stack.pop()
                 place = place_of(ranks[i], ids[i])
@@ -358,11 +358,12 @@ def merge_per_book(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def coarse_books(keywords: DataFrame, docs: DataFrame, systems: DataFrame | None = None, authority: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """Books by keyword hits: 2 in a book's title or domain, 1 in a chapter's, 3 in a section's title, 2 per chapter of a matched body system (query_id, domain); times authority.
+    """Books by keyword hits: 2 in a book's title, domain or keywords, 1 in a chapter's, 3 in a section's title, 2 per chapter of a matched body system (query_id, domain); times authority.
 
-    keywords(query_id, kw), repeated ones count again; docs(id, title, domain, level, parent_id).
+    keywords(query_id, kw), repeated ones count again; docs(id, title, domain, level, parent_id[, keywords]).
     """
-    book = docs.select("id", F.coalesce("parent_id", F.lit(-1)).alias("_p"), "level", F.concat_ws(" ", "title", "domain").alias("both"), "title", "domain")
+    own = [F.when(F.col("level") == 0, F.array_join("keywords", " "))] if "keywords" in docs.columns else []
+    book = docs.select("id", F.coalesce("parent_id", F.lit(-1)).alias("_p"), "level", F.concat_ws(" ", "title", "domain", *own).alias("both"), "title", "domain")
     up = docs.select(F.col("id").alias("_p"), F.col("parent_id").alias("_pp"))
     of = book.join(up, "_p", "left").withColumn("book_id", F.when(F.col("level") == 0, F.col("id")).when(F.col("level") == 1, F.col("_p")).otherwise(F.col("_pp")))
     searched = of.withColumn("text", F.when(F.col("level") == 2, F.col("title")).otherwise(F.col("both"))).withColumn("points", F.when(F.col("level") == 0, 2).when(F.col("level") == 1, 1).otherwise(3))
@@ -384,14 +385,18 @@ def route_writeback(routes: DataFrame, passages: DataFrame, rule_map: DataFrame)
     return new.join(rule_map.select("note_qc_code", "doc_id"), ["note_qc_code", "doc_id"], "left_anti").withColumn("relevance", F.lit(2))
 
 
-def degrade_chain(queries: DataFrame, stages: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Each query's rows of the first stage that has any, with the stage's name; stages of (query_id, id, rank)."""
-    all_rows = None
-    for i, (name, rows) in enumerate(stages):
-        part = rows.select("query_id", "id", "rank", F.lit(i).alias("_stage"), F.lit(name).alias("stage"))
-        all_rows = part if all_rows is None else all_rows.unionByName(part)
-    kept = all_rows.join(queries.select("query_id"), "query_id", "left_semi").withColumn("_first", F.min("_stage").over(Window.partitionBy("query_id")))
-    return kept.where("_stage = _first").drop("_stage", "_first")
+def degrade_chain(queries: DataFrame, stages: Sequence[tuple[str, DataFrame | Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """Each query's rows (query_id, id, rank) of the first stage that has any, with the stage's name.
+
+    A stage is its rows, or a function of the queries that are still without one, so that a dear search runs for those alone.
+    """
+    found, rest = None, queries
+    for name, stage in stages:
+        rows = (stage(rest) if callable(stage) else stage).join(rest.select("query_id").distinct(), "query_id", "left_semi")
+        rows = stored(rows.select("query_id", "id", "rank", F.lit(name).alias("stage")), "stage")
+        found = rows if found is None else found.unionByName(rows)
+        rest = rest.join(rows.select("query_id").distinct(), "query_id", "left_anti")
+    return found
 
 
 def low_similarity_alerts(queries: DataFrame, rows: DataFrame, thr: float = 0.55) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lorebase.operators.common import top
 from lorebase.operators.tree import subtree
+from lorebase.workers import ship
 
 # Forms of headings and table-of-contents lines.
 _NUM, _CJK_NUM = "[0-9０-９]{1,3}[.．、]", "[一二三四五六七八九十]+、"
@@ -88,48 +90,62 @@ def infer_toc_levels(entries: DataFrame) -> DataFrame:
     return rows.withColumn("level", level).drop("_item", "_signal", "_before", "_start")
 
 
+# What is left out before a title is compared with a line, and what numbers a title.
+TOC_LEFT_OUT = r"[\s.．·…|｜\-—（）()]"
+TOC_NUMBER = f"^(第{_ANY}[章节篇部分]|附录?[0-9一二三四五六七八九十]*|（[一二三四五六七八九十]+）|{_CJK_NUM}|{_NUM})"
+
+
 def split_by_toc(entries: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id, ord, title, level, start_line, content: entries matched to lines in order from the last match on.
+    """doc_id, ord, title, level, parent_ord, start_line, page_no, content: entries matched to lines in order from the last match on.
 
-    Equal without white space 100; common start of 4 and 60 % of the shorter 60 + min(start, 30); contained 55;
-    15 more within two pages; 55 is needed. Under three matches give no rows; level-2 contents under 20
-    characters are dropped. One document is one group: the cursor needs its lines in order.
+    Titles and lines are compared without white space, dots, bars, dashes and brackets; titles and lines under three
+    characters then, and lines under 2 or over 60, are passed over. Equal 100, and the search ends; a common start of 4 and 60 % of the
+    shorter 60 + min(start, 30); a line that contains the title without its number, four characters at least, 55; 15 more within
+    two pages. Under three matches give no rows; level-2 contents under 20 characters are dropped. start_line and
+    page_no are those of the heading's line. One document is one group: the cursor needs its lines in order.
     """
+    left_out, number = re.compile(TOC_LEFT_OUT), re.compile(TOC_NUMBER)
 
-    def norm(s: str) -> str:
-        return "".join(s.split())
-
-    def score(title: str, line: str, near: bool) -> int:
-        a, b = norm(title), norm(line)
-        if not a or not b:
-            return 0
-        same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        base = 100 if a == b else 60 + min(same, 30) if same >= 4 and same >= 0.6 * min(len(a), len(b)) else 55 if len(b) <= 60 and a in b else 0
-        return base + 15 if base and near else base
+    def score(title: str, body: str, line: str) -> int:
+        if line == title:
+            return 100
+        same = next((i for i, (x, y) in enumerate(zip(title, line, strict=False)) if x != y), min(len(title), len(line)))
+        if same >= 4 and same >= 0.6 * min(len(title), len(line)):
+            return 60 + min(same, 30)
+        return 55 if len(body) >= 4 and body in line else 0
 
     def run(key: tuple, e: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         e, x = e.sort_values("ord"), x.sort_values("line_no").reset_index(drop=True)
+        texts = [(t or "").strip() for t in x.text]
+        plain = [left_out.sub("", t) if 2 <= len(t) <= 60 else "" for t in texts]
         found, at = [], 0
         for row in e.itertuples():
-            best, where = 54, -1
-            for i in range(at, len(x)):
-                s = score(row.title, x.text[i] or "", abs(int(x.page_no[i]) - int(row.target)) <= 2)
+            title = left_out.sub("", row.title or "")
+            best, where = 0, -1
+            for i in range(at, len(x)) if len(title) >= 3 else ():
+                s = score(title, number.sub("", title), plain[i]) if len(plain[i]) >= 3 else 0
+                if s and not pd.isna(row.target) and not pd.isna(x.page_no[i]) and abs(int(x.page_no[i]) - int(row.target)) <= 2:
+                    s += 15
                 if s > best:
                     best, where = s, i
-                if best >= 115:
+                if s >= 100:
                     break
             if where >= 0:
                 found.append((row.ord, row.title, int(row.level), where))
                 at = where + 1
-        rows = []
+        rows, parent = [], None
         for n, (ord_, title, level, where) in enumerate(found if len(found) >= 3 else []):
             end = found[n + 1][3] if n + 1 < len(found) else len(x)
             text = "\n".join(t or "" for t in x.text[where + 1 : end]).strip()
+            page = None if pd.isna(x.page_no[where]) else int(x.page_no[where])
+            if level == 1:
+                parent = ord_
             if level == 1 or len(text) >= 20:
-                rows.append((key[0], ord_, title, level, int(x.line_no[where]), text))
-        return pd.DataFrame(rows, columns=["doc_id", "ord", "title", "level", "start_line", "content"])
+                rows.append((key[0], ord_, title, level, parent if level != 1 else None, int(x.line_no[where]), page, text))
+        return pd.DataFrame(rows, columns=["doc_id", "ord", "title", "level", "parent_ord", "start_line", "page_no", "content"]).astype({"parent_ord": "Int64", "page_no": "Int64"})
 
-    schema = f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, ord int, title string, level int, start_line int, content string"
+    ship(lines.sparkSession)
+    schema = f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, ord int, title string, level int, parent_ord int, start_line int, page_no int, content string"
     return entries.groupBy("doc_id").cogroup(lines.select("doc_id", "line_no", "page_no", "text").groupBy("doc_id")).applyInPandas(run, schema)
 
 
@@ -178,7 +194,7 @@ def drop_running_headers(lines: DataFrame) -> DataFrame:
 def split_chapters(lines: DataFrame) -> DataFrame:
     """doc_id, ord, title, level, parent_ord, start_line, page_no, content.
 
-    A heading starts a node and later lines are its content; numbered items after a chapter, and 一、 items
+    A heading starts a node and later lines are its content; numbered items after any heading, and 一、 items
     after an appendix, are level 2; nodes under 20 characters, and table notes, go into the node before;
     without a heading the document is one node 正文.
     """
@@ -186,10 +202,10 @@ def split_chapters(lines: DataFrame) -> DataFrame:
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     rows = lines if "level" in lines.columns else drop_running_headers(lines)
     t = F.trim(F.regexp_replace("text", r"^#{1,3}\s+", ""))
-    # A numbered item can open a chapter only before the first one; only what is no item can be the latest chapter then.
+    # A numbered item can open a chapter only before the first heading; only what is no item can be the latest chapter then.
     item, yi = t.rlike("^" + _NUM), t.rlike("^" + _CJK_NUM)
     own = F.when((F.col("level") == 1) & ~item, F.struct(F.col("line_no"), t.rlike(APPENDIX).alias("appendix"), yi.alias("yi")))
-    rows = rows.withColumn("_t", t).withColumn("_top", F.last(F.when(~yi, own), ignorenulls=True).over(before)).withColumn("_any", F.max(F.when(F.col("level") == 1, 1)).over(before))
+    rows = rows.withColumn("_t", t).withColumn("_top", F.last(F.when(~yi, own), ignorenulls=True).over(before)).withColumn("_any", F.max(F.when(F.col("level").isNotNull(), 1)).over(before))
     lower = (F.col("level") == 1) & ((item & F.col("_any").isNotNull()) | (yi & F.coalesce(F.col("_top.appendix"), F.lit(False))))
     rows = rows.withColumn("level", F.when(lower, 2).otherwise(F.col("level")))
     rows = rows.withColumn("node", F.sum(F.col("level").isNotNull().cast("int")).over(upto))
@@ -305,10 +321,15 @@ def rules_to_markdown(rules: DataFrame) -> DataFrame:
 
 
 def ingest_report(chapters: DataFrame, passages: DataFrame) -> DataFrame:
-    """doc_id, chapters, sections, passages, chars."""
+    """doc_id, chapters, sections, passages, chars; with columns ord and title in ``chapters`` also preview, the first 30 titles."""
     c = chapters.groupBy("doc_id").agg(F.count_if(F.col("level") == 1).alias("chapters"), F.count_if(F.col("level") == 2).alias("sections"))
     p = passages.groupBy("doc_id").agg(F.count("*").alias("passages"), F.sum(F.length("content")).alias("chars"))
-    return c.join(p, "doc_id", "left").fillna(0, ["passages", "chars"])
+    out = c.join(p, "doc_id", "left").fillna(0, ["passages", "chars"])
+    if not {"ord", "title"} <= set(chapters.columns):
+        return out
+    first = top(chapters.select("doc_id", "ord", "title"), ["doc_id"], [F.col("ord")], 30)
+    titles = first.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"]).alias("preview"))
+    return out.join(titles, "doc_id", "left")
 
 
 def segment(df: DataFrame, lexicon: dict[str, float] | None = None, stop: tuple[str, ...] = (), text: str = "text") -> DataFrame:
@@ -341,5 +362,6 @@ def segment(df: DataFrame, lexicon: dict[str, float] | None = None, stop: tuple[
         for f in frames:
             yield f.assign(terms=[words(t or "") for t in f[text]])
 
+    ship(df.sparkSession)
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)
     return df.mapInPandas(run, f"{fields}, terms array<string>")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.operators.common import top
+from lorebase.workers import stored
 
 
 def with_book(passages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -19,23 +20,22 @@ def with_book(passages: DataFrame, docs: DataFrame) -> DataFrame:
     return out.withColumn("book_title", F.coalesce("_book", "_chapter", "doc_title")).drop("_up", "_upup", "_chapter", "_book")
 
 
-def subtree(docs: DataFrame, roots: DataFrame, most_levels: int = 32) -> DataFrame:
+def subtree(docs: DataFrame, roots: DataFrame) -> DataFrame:
     """H2: root, id and depth of every node reachable from ``roots`` (column id), itself included.
 
-    A node counts once for a root, at its smallest depth, so cycles end. Each level is a join of the frontier;
-    lineage is cut at the checkpoint folder where the session has one.
+    A node counts once for a root, at its smallest depth, so cycles end and the walk goes on until no node is new, however
+    deep the tree. Each level is a join of the frontier, written to the shared folder.
     """
     children = docs.select(F.col("id").alias("child"), F.col("parent_id").alias("id")).where("id IS NOT NULL")
     seen = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct()
-    frontier = seen
-    cut = (lambda df: df.checkpoint()) if docs.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df)
-    for depth in range(1, most_levels + 1):
+    frontier, depth = seen, 0
+    while True:
+        depth += 1
         found = frontier.join(children, "id").select("root", F.col("child").alias("id"), F.lit(depth).alias("depth")).distinct()
-        frontier = cut(found.join(seen.select("root", "id"), ["root", "id"], "left_anti"))
+        frontier = stored(found.join(seen.select("root", "id"), ["root", "id"], "left_anti"), "subtree")
         if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+            return seen
+        seen = seen.unionByName(frontier)
 
 
 def resolve_scope(docs: DataFrame, books: DataFrame) -> DataFrame:
@@ -66,6 +66,12 @@ def level_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("level").agg(F.count("*").alias("nodes"))
 
 
+def structure_totals(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """H5: kind and n: the nodes of each level, and all passages."""
+    levels = level_counts(docs).select(F.concat(F.lit("level "), F.col("level").cast("string")).alias("kind"), F.col("nodes").alias("n"))
+    return levels.unionByName(passages.agg(F.count("*").alias("n")).select(F.lit("passages").alias("kind"), "n"))
+
+
 def set_enabled(docs: DataFrame, passages: DataFrame, roots: DataFrame, flag: bool) -> tuple[DataFrame, DataFrame]:
     """H6: ``docs`` and ``passages`` with ``enabled`` set on the subtrees of ``roots``."""
     hit = subtree(docs, roots).select("id").distinct().withColumn("_hit", F.lit(True))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorebase.workers import ship
+
 # Tables of the knowledge base and their columns.
 SCHEMAS = {
     "docs": "id long, title string, doc_type string, domain string, keywords array<string>, summary string, file_path string, level int, parent_id long, node_path string, page_no int, enabled boolean, created_at timestamp",
@@ -77,6 +79,7 @@ def parse_rule_files(df: DataFrame) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"path": f["path"], "fields": [fields(t or "") for t in f["text"]]})
 
+    ship(df.sparkSession)
     return df.select("path", "text").mapInPandas(run, "path string, fields map<string,string>")
 
 

@@ -1,14 +1,41 @@
-"""Code on the executors: this package is sent to them, so that it need not be installed there."""
+"""What driver and executors share: the package's code, sent once, and a folder for tables between steps."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Without one a local session (as in tests) uses a temporary folder of this machine; on a cluster that is an error,
+    since no executor could read what another one wrote.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _local:
+            _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lorebase-")
+        found = _local[context.applicationId]
+    return found.rstrip("/")
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage and gives Spark its size."""
+    path = f"{shared_dir(df.sparkSession)}/lorebase/{what}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
