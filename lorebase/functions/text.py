@@ -143,9 +143,18 @@ def coverage_gap(answer: Column) -> Column:
     return F.when((F.length(answer) >= 30) & (gap != "") & ~gap.rlike(r"^[\d\s]+$"), gap)
 
 
+def pieces(text: Column, size: int) -> Column:
+    """All pieces of ``size`` characters, with repetitions; characters are taken apart once, so that long texts cost their length."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    out = chars
+    for k in range(1, size):
+        out = F.zip_with(out, F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars), F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.filter(out, lambda w: w.isNotNull())
+
+
 def ngrams(text: Column, size: int = 2) -> Column:
     """K1 without a lexicon: distinct CJK n-grams in order."""
-    return F.array_distinct(F.filter(windows(F.regexp_replace(text, r"\s+", " "), size), lambda w: w.rlike(f"^{CJK}{{{size}}}$")))
+    return F.filter(F.array_distinct(pieces(F.regexp_replace(text, r"\s+", " "), size)), lambda w: w.rlike(f"^{CJK}{{{size}}}$"))
 
 
 def cosine(a: Column, b: Column) -> Column:

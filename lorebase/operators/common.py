@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorebase.functions.text import pieces
+
 #: Rows up to which one side of a containment join is sent to all tasks.
 MOST_BROADCAST = 100_000
 
@@ -30,10 +32,7 @@ def contains_pairs(texts: DataFrame, text: str, words: DataFrame, word: str, siz
     the pair is then checked. Words shorter than ``size`` meet on all characters they have.
     """
     low = F.lower(F.col(text))
-
-    def pieces(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
-
-    keyed = texts.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*(pieces(n) for n in range(1, size + 1)))))))
     start = words.withColumn("_gram", F.substring(F.lower(F.col(word)), 1, size))
+    grams = F.array_distinct(F.concat(*(pieces(low, n) for n in range(1, size + 1))))
+    keyed = texts.withColumn("_gram", F.explode(grams))
     return keyed.join(small(start), "_gram").where(F.contains(low, F.lower(F.col(word)))).drop("_gram")

@@ -1,7 +1,7 @@
 """Registered queries; importing the package registers all of them."""
 
 from lorebase.plans import queries  # noqa: I001  the others add to its tables
-from lorebase.plans import loop_queries
+from lorebase.plans import loop_queries, search_queries, text_queries
 
 QUERIES, SQL = queries.QUERIES, queries.SQL
-__all__ = ["QUERIES", "SQL", "loop_queries", "queries"]
+__all__ = ["QUERIES", "SQL", "loop_queries", "queries", "search_queries", "text_queries"]

@@ -378,11 +378,6 @@ def sessionize(spark, d):
     return feedback.sessionize(read(spark, d, "events"), "6 hours")
 
 
-@query()
-def dedupe_questions(spark, d):
-    return feedback.dedupe_questions(read(spark, d, "events").withColumn("key", F.concat("event_type", (F.col("user_id") % 50).cast("string"))))
-
-
 @query("""SELECT event_type AS run, round(avg(value), 6) AS util_mean, max(value) AS util_max, max_by(value, ts) AS mem_used, min(value) AS temp_min, max(value) AS temp_max, max_by(value, ts) AS power, count(*) AS n FROM events GROUP BY 1""")
 def gpu_summary(spark, d):
     v = F.col("value")

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from lorebase.plans.queries import QUERIES, SQL
+from lorebase.plans import QUERIES, SQL
 
 DATA = Path("/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
