@@ -292,7 +292,8 @@ def window_keywords(spark, d):
     return _questions(spark, d).select("query_id", F.explode(text.window_keywords(F.col("text"))).alias("kw")).groupBy("query_id", "kw").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, len(list_distinct(list_filter(list_transform(range(1, length(t)), lambda i: t[i:i + 1]), lambda x: regexp_matches(x, '^[一-龥]{2}$')))) AS n, array_to_string(list_sort(list_distinct(list_filter(list_transform(range(1, length(t)), lambda i: t[i:i + 1]), lambda x: regexp_matches(x, '^[一-龥]{2}$')))), ',') AS terms FROM (SELECT doc_id, regexp_replace(translate(lower(text), 'aeiou', '病痛的药热'), '\\s+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL)")
+@query("""WITH c AS (SELECT doc_id, string_split(regexp_replace(translate(lower(text), 'aeiou', '病痛的药热'), '\\s+', ' ', 'g'), '') AS c FROM documents WHERE text IS NOT NULL),
+  g AS (SELECT doc_id, list_distinct(list_filter(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]), lambda x: regexp_matches(x, '^[一-龥]{2}$'))) AS g FROM c) SELECT doc_id, len(g) AS n, array_to_string(list_sort(g), ',') AS terms FROM g""")
 def segment(spark, d):
     docs = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.translate(F.lower("text"), ZH_FROM, ZH_TO).alias("text"))
     return structure.segment(docs).select("doc_id", F.size("terms").alias("n"), F.array_join(F.sort_array("terms"), ",").alias("terms"))
