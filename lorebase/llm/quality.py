@@ -13,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import frugal, slices
 from lorebase.llm.labelled import remainder, sample
 from lorebase.workers import ship
 
