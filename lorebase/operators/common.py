@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions.text import pieces
-
-#: Rows up to which one side of a containment join is sent to all tasks.
-MOST_BROADCAST = 100_000
+from lorebase.workers import stored
 
 
 def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
@@ -20,9 +18,14 @@ def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank:
     return out if rank else out.drop(name)
 
 
-def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """``df`` marked for broadcast after its size is checked; unmarked beyond ``most`` rows."""
-    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most else df
+def small(df: DataFrame) -> DataFrame:
+    """A join's lesser side, computed once and written, so that Spark knows its bytes and sends it to all tasks if they are few."""
+    return stored(df, "side")
+
+
+def seeded(seed: int, column: str) -> Column:
+    """A hash of a column's text with a seed, to order or draw rows by; null for null."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")))
 
 
 def contains_pairs(texts: DataFrame, text: str, words: DataFrame, word: str, size: int = 2) -> DataFrame:

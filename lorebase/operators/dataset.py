@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions.text import clean_title, meaningful_title
-from lorebase.operators.common import top
+from lorebase.operators.common import seeded, top
+from lorebase.workers import stored
 
 # Question patterns in order, and what each becomes ($1 before, $2 after the asked part).
 QUESTION_FORMS = (
@@ -82,10 +83,17 @@ def golden_questions(leaves: DataFrame, passages: DataFrame, cap: int = 6) -> Da
 
 
 def append_new_questions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """D3: ``old`` (id, question) and the new questions (ord, question) not in it, first of equal ones, ids continued."""
+    """D3: ``old`` (id, question) and the new questions (ord, question) not in it, first of equal ones, ids continued.
+
+    New questions are dealt in ranges of (ord, question) and numbered in each; one row per range says where its ids begin.
+    """
     last = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"]
     fresh = new.join(old.select("question"), "question", "left_anti").groupBy("question").agg(F.min("ord").alias("ord"))
-    numbered = fresh.select((F.row_number().over(Window.orderBy("ord", "question")) + last).alias("id"), "question")  # new questions of one upload
+    dealt = stored(fresh.repartitionByRange("ord", "question").withColumn("_part", F.spark_partition_id()), "new-questions")
+    per = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+    start = per.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n") + last).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("ord", "question"))
+    numbered = dealt.withColumn("_place", place).join(start, "_part").select((F.col("_start") + F.col("_place")).alias("id"), "question")
     return old.select("id", "question").unionByName(numbered)
 
 
@@ -105,7 +113,7 @@ def checklist_qa(items: DataFrame) -> DataFrame:
 def sample_passages(passages: DataFrame, n: int = 1200, k: int = 200, pattern: str = ".", skip_books: Sequence[str] = (), seed: int = 7) -> DataFrame:
     """Of n passages first in a seeded hash order, outside the skipped books, those that match, k at most."""
     p = passages.where(~F.col("book").isin(*skip_books)) if skip_books else passages
-    order = F.xxhash64(F.lit(seed), "id")
+    order = seeded(seed, "id")
     return p.orderBy(order, "id").limit(n).where(F.col("content").rlike(pattern)).orderBy(order, "id").limit(k)
 
 
@@ -141,13 +149,13 @@ def triplets(chapters: DataFrame, passages: DataFrame, seed: int = 7) -> DataFra
     text = passages.where(F.length("content") >= 20).join(chapters.select(F.col("id").alias("doc_id"), "book_id", "title"), "doc_id").select("id", "doc_id", "book_id", "title", "content")
     ready = text.withColumn("query", clean_title(F.col("title"))).where(F.length("query").between(2, 15))
     positive = top(ready, ["doc_id"], [F.col("id")], 2, "nth")
-    pool = top(text, ["doc_id"], [F.xxhash64(F.lit(seed), "id"), F.col("id")], 1)
-    ring = Window.partitionBy("book_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+    pool = top(text, ["doc_id"], [seeded(seed, "id"), F.col("id")], 1)
+    ring = Window.partitionBy("book_id").orderBy(seeded(seed, "doc_id"), "doc_id")
     in_book = pool.withColumn("slot", F.row_number().over(ring) - 1).withColumn("n", F.count("*").over(Window.partitionBy("book_id")))
     near = in_book.select("book_id", "slot", F.col("content").alias("near"))
     mine = in_book.where("n > 1").select("doc_id", "book_id", F.pmod(F.col("slot") + 1, F.col("n")).alias("slot")).join(near, ["book_id", "slot"]).select("doc_id", "near")
-    books = top(pool, ["book_id"], [F.xxhash64(F.lit(seed + 1), "id"), F.col("id")], 2, "part")
-    order = Window.orderBy(F.xxhash64(F.lit(seed), "book_id"), "book_id")  # one row per book
+    books = top(pool, ["book_id"], [seeded(seed + 1, "id"), F.col("id")], 2, "part")
+    order = Window.orderBy(seeded(seed, "book_id"), "book_id")  # one row per book
     numbered = books.where("part = 1").withColumn("b", F.row_number().over(order) - 1).select("book_id", "b")
     total = max(1, numbered.agg(F.count("*").alias("total")).first()["total"])
     far = books.where("part = 1").join(numbered, "book_id").select("b", F.col("content").alias("far"))
@@ -168,8 +176,8 @@ def question_triplets(questions: DataFrame, chapters: DataFrame, passages: DataF
     text = passages.where(F.length("content") >= 20).join(known.select("doc_id", "book_id"), "doc_id").select("id", "doc_id", "book_id", "content")
     one = top(known, ["book_title", "chapter"], [F.col("doc_id")], 1)
     asked = questions.select("question", "book_title", "chapter").join(one, ["book_title", "chapter"]).join(top(text.drop("book_id"), ["doc_id"], [F.col("id")], 1), "doc_id")
-    first = top(text, ["book_id"], [F.xxhash64(F.lit(seed), "id"), F.col("id")], 1)
-    ring = first.withColumn("b", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "book_id"), "book_id")) - 1).select("book_id", "b", F.col("content").alias("far"))  # one row per book
+    first = top(text, ["book_id"], [seeded(seed, "id"), F.col("id")], 1)
+    ring = first.withColumn("b", F.row_number().over(Window.orderBy(seeded(seed, "book_id"), "book_id")) - 1).select("book_id", "b", F.col("content").alias("far"))  # one row per book
     total = max(1, ring.count())
     others = ring.select("book_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("i"), "b").select("book_id", "i", F.pmod(F.col("b") + F.col("i"), F.lit(total)).alias("b"))
     fars = others.join(ring.withColumnRenamed("book_id", "_of"), "b").where("_of <> book_id").groupBy("book_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "far"))), lambda x: x["far"]).alias("negatives"))
@@ -231,7 +239,8 @@ def label_balance(samples: DataFrame) -> DataFrame:
 
 def train_test_split(df: DataFrame, share: float = 0.1, seed: int = 7, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """Disjoint train and test rows by a seeded hash of the id; reruns agree."""
-    test = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(10_000)) < int(share * 10_000)
+    drawn = F.conv(F.left(seeded(seed, id_col), F.lit(8)), 16, 10).cast("long")
+    test = F.pmod(drawn, F.lit(10_000)) < int(share * 10_000)
     return df.where(~test), df.where(test)
 
 

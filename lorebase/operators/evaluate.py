@@ -130,10 +130,12 @@ def golden_regression(results: DataFrame, golden: DataFrame) -> DataFrame:
 
 
 def latency_stats(df: DataFrame, by: Sequence[str], value: str = "ms") -> DataFrame:
-    """N, mean, p50 (upper middle) and max per group, by counts: no group is collected."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = df.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, F.col(value))).alias("p50"), F.max(value).alias("max"))
+    """N, mean, p50 (upper middle) and max per group, from counts by value. Rows without a value count in n only."""
+    per = df.groupBy(*by, value).agg(F.count("*").alias("_all"), F.count(value).alias("_timed"))
+    group = Window.partitionBy(*by)
+    per = per.withColumn("_upto", F.sum("_timed").over(group.orderBy(value))).withColumn("_n", F.sum("_timed").over(group))
+    mean = F.round(F.sum(F.col(value) * F.col("_timed")) / F.nullif(F.sum("_timed"), F.lit(0)), 6)
+    return per.groupBy(*by).agg(F.sum("_all").alias("n"), mean.alias("mean"), F.min(F.when(F.col("_upto") > F.floor(F.col("_n") / 2), F.col(value))).alias("p50"), F.max(value).alias("max"))
 
 
 def extraction_prf(predicted: DataFrame, gold: DataFrame) -> DataFrame:

@@ -364,6 +364,25 @@ def to_messages(spark, d):
     return dataset.to_messages(s).select("conv_id", "turn", F.get("messages", F.lit(0))["content"].alias("system"), F.size("messages").alias("n"), F.md5(F.element_at("messages", -1)["content"]).alias("last"))
 
 
+@query("""WITH n AS (SELECT *, md5('7:' || doc_id) AS o FROM documents WHERE source NOT IN ('src1') ORDER BY o, doc_id LIMIT 1200) SELECT doc_id AS id, source AS book FROM n WHERE regexp_matches(text, 'a[^ ]e') ORDER BY o, doc_id LIMIT 200""")
+def sample_passages(spark, d):
+    p = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("book"), F.col("text").alias("content"))
+    return dataset.sample_passages(p, 1200, 200, "a[^ ]e", ("src1",)).select("id", "book")
+
+
+@query(f"""WITH t AS (SELECT d.doc_id AS id, p_partkey AS doc_id, p_size % 10 AS book_id, {TITLES.format('p_partkey')} AS title, text AS content FROM documents d JOIN part ON p_partkey = d.doc_id % 500 WHERE length(text) >= 20),
+  pos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS nth FROM t) WHERE nth <= 2), pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('7:' || id), id) AS r FROM t) WHERE r = 1),
+  ring AS (SELECT doc_id, book_id, content, row_number() OVER (PARTITION BY book_id ORDER BY md5('7:' || doc_id), doc_id) - 1 AS slot, count(*) OVER (PARTITION BY book_id) AS n FROM pool),
+  near AS (SELECT a.doc_id, b.content AS near FROM ring a JOIN ring b ON b.book_id = a.book_id AND b.slot = (a.slot + 1) % a.n WHERE a.n > 1),
+  books AS (SELECT book_id, content AS far, row_number() OVER (ORDER BY md5('7:' || book_id), book_id) - 1 AS b, count(*) OVER () AS total FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY md5('8:' || id), id) AS place FROM pool) WHERE place = 1),
+  away AS (SELECT *, unnest([1, 2]) AS i FROM books), fars AS (SELECT a.book_id, string_agg(b.far, '|' ORDER BY i) AS fars, count(*) AS k FROM away a JOIN books b ON b.b = (a.b + i) % a.total WHERE b.book_id <> a.book_id GROUP BY 1)
+  SELECT title AS query, md5(content) AS positive, md5(concat_ws('|', near, fars)) AS negatives, (near IS NOT NULL)::BIGINT + coalesce(k, 0) AS n FROM pos LEFT JOIN near USING (doc_id) LEFT JOIN fars USING (book_id)""")
+def triplets(spark, d):
+    chapters = read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).alias("book_id"), _title("p_partkey").alias("title"))
+    p = read(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 500).alias("doc_id"), F.col("text").alias("content"))
+    return dataset.triplets(chapters, p).select("query", F.md5("positive").alias("positive"), F.md5(F.array_join("negatives", "|")).alias("negatives"), F.size("negatives").cast("long").alias("n"))
+
+
 # ---- graph ---------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lorebase.operators import dataset, retrieval, structure, tree
+import random
+
+from lorebase.operators import dataset, evaluate, feedback, retrieval, structure, tree
 
 
 def test_deep_trees_are_whole(spark):
@@ -49,3 +51,39 @@ def test_keywords_of_books_count(spark):
     docs = spark.createDataFrame([(1, "书", "域", 0, None, ["心电图"])], "id long, title string, domain string, level int, parent_id long, keywords array<string>")
     k = spark.createDataFrame([(1, "心电图")], "query_id long, kw string")
     assert [(r.book_id, r.score) for r in retrieval.coarse_books(k, docs).collect()] == [(1, 2.0)]
+
+
+def test_answers_are_stored_as_one_pass_would(spark):
+    rng = random.Random(4)
+    events = [(i, rng.choice(["a", "b", None]), rng.choice([None, *range(0, 4000, 7)])) for i in range(600)]
+    df = spark.createDataFrame(events, "event_id long, key string, s long").withColumn("ts", spark_time())
+    for ttl in (0, 13, 60, 5000):
+        want, stored = {}, {}
+        for i, k, t in sorted(events, key=lambda e: (e[2] is None, e[2] or 0, e[0])):
+            want[i] = None if t is None else t - stored.get(k, -1e18) <= ttl
+            if want[i] is False:
+                stored[k] = t
+        got = feedback.dedupe_questions(df.repartition(3), ttl).collect()
+        assert len(got) == len(events) and {r.event_id: r.hit for r in got} == want
+
+
+def spark_time():
+    from pyspark.sql import functions as F
+
+    return F.timestamp_seconds("s")
+
+
+def test_latencies_without_a_time_count_as_requests(spark):
+    df = spark.createDataFrame([("a", 200, 4.0), ("a", 500, 4.0), ("a", 200, 1.0), ("a", 200, 10.0), ("a", 200, None), ("b", 500, None)], "path string, status int, elapsed_ms double")
+    got = {r.path: tuple(r)[1:] for r in feedback.access_latency(df, 5.0).collect()}
+    assert got == {"a": (5, 1, 4.75, 4.0, 9.82, 1), "b": (1, 1, None, None, None, 0)}
+    got = {r.path: tuple(r)[1:] for r in evaluate.latency_stats(df, ["path"], "elapsed_ms").collect()}
+    assert got == {"a": (5, 4.75, 4.0, 10.0), "b": (1, None, None, None)}
+
+
+def test_new_questions_are_numbered_over_all_ranges(spark):
+    old = spark.createDataFrame([(3, "q1")], "id long, question string")
+    new = spark.range(500).selectExpr("id AS ord", "concat('q', id % 400) AS question").repartition(7)
+    got = {r.question: r.id for r in dataset.append_new_questions(old, new).collect()}
+    order = [f"q{i}" for i in range(400) if i != 1]
+    assert got == {"q1": 3} | {q: 4 + i for i, q in enumerate(order)}
