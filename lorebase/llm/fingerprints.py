@@ -66,7 +66,7 @@ def _buckets(docs: DataFrame, n: int) -> Column:
     return F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(inside)
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", search_every: int | None = None, radius: int = 3) -> DataFrame:
     """Fingerprints of each document and of its text with the last quarter taken from the next document.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The next
@@ -77,6 +77,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     No task sees all rows: ids are cut into ranges of about equal row counts, the next document is found
     inside a range, and the last row of a range takes the first row of the following one from a table of one
     row per range. That table is joined on the ranges' own partitioning, so texts are shuffled once.
+
+    With ``search_every``, n_near follows: for ids that it divides the number of other documents whose fingerprint is at
+    most ``radius`` bits from theirs, as the block tables find them; null for other ids and null ids.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -97,12 +100,26 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     out = with_fingerprint(with_fingerprint(out, "text", "fp"), "edited", "efp").drop("text", "edited")
     after = Window.partitionBy("part").orderBy("n")
     out = out.withColumn("next_fp", F.coalesce(F.lead("fp").over(after), F.col("head_fp_next")))
+    more = []
+    if search_every:
+        out = _with_near(table(out.select("doc_id", "n_chars", "edited_sha256", "fp", "efp", "next_fp"), "fingerprints"), search_every, radius)
+        more = ["n_near"]
     return out.select(
         "doc_id", "n_chars", "edited_sha256", as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("efp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), *more,
     )
 
 
+def _with_near(found: DataFrame, every: int, radius: int) -> DataFrame:
+    """Adds n_near to the written rows (doc_id, fp, ...). Documents are counted by fingerprint first, so copies don't multiply pairs, and only the asking rows are joined."""
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    counts = table(found.groupBy("fp").agg(F.count("*").alias("n"), F.max(asks).alias("asks")), "fingerprint-counts")
+    pairs = within_radius(counts.where("asks"), counts, radius)
+    others = pairs.join(counts.select(F.col("fp").alias("stored_fp"), "n"), "stored_fp").groupBy(F.col("query_fp").alias("fp")).agg(F.sum("n").alias("others"))
+    near = table(counts.where("asks").join(others, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near")), "fingerprint-near")
+    return found.where(asks).join(near, "fp").unionByName(found.where(~asks).withColumn("n_near", F.lit(None).cast("long")))
+
+
 def within_radius(queries: DataFrame, stored: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     """All (query, stored) pairs of different fingerprints (long column ``fp``) at most ``radius`` bits apart.
 
@@ -111,7 +128,8 @@ def within_radius(queries: DataFrame, stored: DataFrame, radius: int = 3, blocks
 
     Two fingerprints within the radius agree on at least ``blocks - radius`` of the blocks, so each choice of
     that many blocks is one table: its key is those blocks' bits moved to the front. Both sides go into all
-    tables, meet by equal keys, and are compared there. More blocks make longer keys and more tables.
+    tables, meet by equal keys, and are compared there; a pair that meets in several tables counts in the first. More
+    blocks make longer keys and more tables.
     """
     if not 0 <= radius < blocks:
         raise ValueError("radius must be below the number of blocks")
@@ -125,5 +143,7 @@ def within_radius(queries: DataFrame, stored: DataFrame, radius: int = 3, blocks
         return one.select(name, F.explode(keys).alias("k")).select(name, "k.t", "k.key")
 
     pairs = tables(queries, "query_fp").join(tables(stored, "stored_fp"), ["t", "key"])
-    far = F.bit_count(F.col("query_fp").bitwiseXOR(F.col("stored_fp")))
-    return pairs.where((F.col("query_fp") != F.col("stored_fp")) & (far <= radius)).select("query_fp", "stored_fp", far.alias("distance")).distinct()
+    differ = F.col("query_fp").bitwiseXOR(F.col("stored_fp"))
+    first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(signed)))
+    far = F.bit_count(differ)
+    return pairs.where((F.col("query_fp") != F.col("stored_fp")) & (far <= radius) & (F.col("t") == first)).select("query_fp", "stored_fp", far.alias("distance"))

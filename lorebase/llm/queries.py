@@ -29,7 +29,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_edits(documents(spark, sf_dir))
+    return fingerprints.fingerprint_edits(documents(spark, sf_dir), search_every=20)
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
