@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorebase.llm.common import frugal, slices, table
 from lorebase.llm.labelled import remainder, sample
 from lorebase.workers import ship
 
@@ -49,8 +50,14 @@ def features(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndar
     stats = statistics(text, n_chars)
     index = np.fromiter(sorted(words), np.int32, len(words))
     bins = np.array([BUCKETS + i * BINS + min(BINS - 1, int(max(0.0, x) * BINS)) for i, x in enumerate(stats)], np.int32)
-    values = np.r_[np.full(len(index), 1.0 / math.sqrt(max(1, len(index)))), np.full(len(bins), 0.5)]
-    return np.r_[index, bins], values.astype(np.float32)
+    return np.r_[index, bins], values_of(np.array([len(index) + len(bins)]))
+
+
+def values_of(sizes: np.ndarray) -> np.ndarray:
+    """The values of rows with so many features each: all but the last of a row are words."""
+    words = sizes - len(STATISTICS)
+    each = np.stack([1.0 / np.sqrt(np.maximum(1, words)), np.full(len(sizes), 0.5)], axis=1).ravel()
+    return np.repeat(each, np.stack([words, np.full(len(sizes), len(STATISTICS))], axis=1).ravel()).astype(np.float32)
 
 
 class Machine:
@@ -61,14 +68,23 @@ class Machine:
         self.bias, self.w = 0.0, np.zeros(WIDTH, np.float32)
         self.v = rng.normal(0, 0.05, (WIDTH, RANK)).astype(np.float32)
 
-    def raw(self, index: np.ndarray, values: np.ndarray) -> float:
+    def raws(self, index: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores before the logistic of rows with ``sizes`` features each, and the factors of features and rows."""
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
         vx = self.v[index] * values[:, None]
-        return float(self.bias + self.w[index] @ values + 0.5 * (np.square(vx.sum(axis=0)).sum() - np.square(vx).sum()))
-
-    def score(self, index: np.ndarray, values: np.ndarray) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.raw(index, values)))))
-
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.1, decay: float = 2e-4, seed: int = 3) -> Machine:
+        sums = np.add.reduceat(vx, starts)
+        pairs = np.square(sums).sum(axis=1) - np.add.reduceat(np.square(vx).sum(axis=1), starts)
+        return self.bias + np.add.reduceat(self.w[index] * values, starts) + 0.5 * pairs, vx, sums
+
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Scores in 0 to 1 of rows given as their features' indices."""
+        if not rows:
+            return np.zeros(0)
+        sizes = np.array([len(x) for x in rows])
+        raw = self.raws(np.concatenate(rows), values_of(sizes), sizes)[0].astype(np.float64)
+        return 1.0 / (1.0 + np.exp(-np.clip(raw, -30.0, 30.0)))
+
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.1, decay: float = 2e-4, seed: int = 3) -> Machine:
         """AdaGrad over shuffled batches; gradients of a batch are summed by index."""
         rng = np.random.default_rng(seed)
         gw, gv, gb = np.full(WIDTH, 1e-2, np.float32), np.full((WIDTH, RANK), 1e-2, np.float32), 1e-2
@@ -78,13 +94,9 @@ class Machine:
             order = rng.permutation(len(rows))
             for at in range(0, len(order), batch):
                 chosen = order[at : at + batch]
-                index, values = np.concatenate([rows[i][0] for i in chosen]), np.concatenate([rows[i][1] for i in chosen])
-                sizes = np.array([len(rows[i][0]) for i in chosen])
-                starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                vx = self.v[index] * values[:, None]
-                sums = np.add.reduceat(vx, starts)
-                linear = np.add.reduceat(self.w[index] * values, starts)
-                raw = self.bias + linear + 0.5 * (np.square(sums).sum(axis=1) - np.add.reduceat(np.square(vx).sum(axis=1), starts))
+                index, sizes = np.concatenate([rows[i] for i in chosen]), np.array([len(rows[i]) for i in chosen])
+                values = values_of(sizes)
+                raw, vx, sums = self.raws(index, values, sizes)
                 error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[chosen]).astype(np.float32)
                 each = np.repeat(error, sizes) * values
                 dv = each[:, None] * (np.repeat(sums, sizes, axis=0) - vx)
@@ -101,26 +113,33 @@ class Machine:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3_000, 6_000), of: int = 4, held: int = 2) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3_000, 6_000), of: int = 4, held: int = 2, most_features: int = 8_000_000) -> Machine:
     """Fit on about ``most`` labelled rows of quality 0 and 1 at most (remainder ``held`` of the id never).
 
-    Features of the sample are computed on the executors and come to the driver: its size is the bound times
-    the distinct words of a document, never more than 16,384. Without both classes the score is constant.
+    Features of the sample are computed on the executors and written; what comes to the driver is their indices, 4 bytes
+    each and about ``most_features`` at most: a sample of very long texts is thinned by a hash of the id. Without both
+    classes the score is constant.
     """
     ship(docs.sparkSession)
     rows, _ = sample(docs.select("doc_id", "text", "n_chars"), labels, "quality", of, held, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [features(t, n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.float32()))], ["doc_id", "y", "index", "value"])
-
-    data = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("n_chars").cast("long"), "y").mapInArrow(run, "doc_id string, y int, index array<int>, value array<float>").toArrow().sort_by("doc_id")
+        for batch in slices(batches, 1):
+            found = [features(t, n)[0] for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "index"])
+
+    data = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("n_chars").cast("long"), "y").mapInArrow(frugal(run), "doc_id string, y int, index array<int>")
+    data = table(data, "quality-sample")
+    total, parts = data.agg(F.sum(F.size("index"))).first()[0] or 0, 1 << 20
+    if total > most_features:
+        data = data.where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(parts)) < int(most_features / total * parts))
+    data = data.toArrow().sort_by("doc_id")
     y = data["y"].to_numpy().astype(np.float32)
     machine = Machine()
     if len(y) and 0 < y.sum() < len(y):
-        lists = [(np.asarray(i.values, np.int32), np.asarray(v.values, np.float32)) for i, v in zip(data["index"], data["value"], strict=True)]
-        machine.fit(lists, y)
+        lists = data["index"].combine_chunks()
+        index, edges = lists.flatten().to_numpy().astype(np.int32), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+        machine.fit([index[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], y)
     elif len(y):
         machine.v[:] = 0
         machine.bias = 3.0 if y[0] else -3.0
@@ -142,10 +161,10 @@ def score(docs: DataFrame, labels: DataFrame, of: int = 4, held: int = 2, thresh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
-        for batch in batches:
-            scores = [machine.score(*features(t, n)) for t, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        for batch in slices(batches, 2):
+            scores = machine.scores([features(t, n)[0] for t, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
     rows = slim.select("doc_id", (remainder(F.col("doc_id"), of) == held).alias("held_out"), "text", "n_chars")
-    out = rows.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    out = rows.mapInArrow(frugal(run), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

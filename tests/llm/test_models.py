@@ -94,7 +94,33 @@ def test_sum_of_squares_identity():
     m.w[:] = np.linspace(-1, 1, quality.WIDTH)
     index, values = quality.features("some words and Some more", 7)
     pairs = sum(float(m.v[index[i]] @ m.v[index[j]]) * values[i] * values[j] for i in range(len(index)) for j in range(i))
-    assert m.raw(index, values) == pytest.approx(m.bias + float(m.w[index] @ values) + pairs, abs=1e-4)
+    others, _ = quality.features("other words", 3)
+    sizes = np.array([len(others), len(index), len(others)])
+    raw = m.raws(np.r_[others, index, others], quality.values_of(sizes), sizes)[0]
+    assert raw[1] == pytest.approx(m.bias + float(m.w[index] @ values) + pairs, abs=1e-4) and raw[0] == raw[2]
+
+
+def test_scores_are_those_of_all_pairs_of_features(spark):
+    docs, labels, _ = labelled(spark, n=60)
+    m = quality.train(docs.select("doc_id", "text", "n_chars"), labels)
+    want = {}
+    for r in docs.collect():
+        index, x = quality.features(r.text, r.n_chars)
+        raw = m.bias + sum(float(m.w[i]) * v for i, v in zip(index, x, strict=True))
+        for k in range(quality.RANK):
+            f = [float(m.v[i, k]) * float(v) for i, v in zip(index, x, strict=True)]
+            raw += sum(f[a] * f[b] for a in range(len(f)) for b in range(a))
+        want[r.doc_id] = 1 / (1 + np.exp(-raw))
+    got = {r.doc_id: r.score for r in quality.score(docs, labels).collect()}
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_a_sample_of_long_texts_is_thinned(spark):
+    docs, labels, truth = labelled(spark)
+    m = quality.train(docs.select("doc_id", "text", "n_chars"), labels, most_features=4_000)
+    held = {i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2}
+    rows = [(quality.features(r.text, r.n_chars)[0], truth[r.doc_id][1]) for r in docs.collect() if r.doc_id in held]
+    assert np.mean([(s >= 0.5) == bool(y) for s, (_, y) in zip(m.scores([x for x, _ in rows]), rows, strict=True)]) > 0.9
 
 
 URLS = [(0, "https://www.example.org/es/1"), (1, "http://example.org/en/12?x=1"), (2, "http://EXAMPLE.org/en/2"), (3, "ftp://a.com/fr/x#y"), (4, "https://b.com/de/9"), (5, "https://b.net/en/7"), (6, None), (7, "no scheme"), (8, "x://org"), (9, "x://org/"), (10, "https://notorg/de/"), (11, "https://spam-farm.net/en/1"), (5, "https://b.net/en/7"), (12, "https://ÄB.com/de/é?q"), (13, "")]
