@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -91,44 +92,51 @@ def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """Store the texts of ``docs`` as images in archives under ``path``; returns the number of members.
 
     Each member's comment holds its id (empty if null) and the unpadded number of bytes. Null texts count as
-    empty; repeated rows are members of their own; an empty table writes nothing. A task names its archives
-    by its partition and moves each into place when it is complete, so a task that runs again after its
-    executor was lost replaces its own archives. Archives end at 64 MB, texts stream through in batches.
+    empty; repeated rows are members of their own; an empty table writes no archive. Archives end at 64 MB, texts stream
+    through in batches. Every attempt of a task writes archives of its own, and what it wrote is its output: Spark
+    commits the rows of one attempt to the folder's manifest, so archives of lost or repeated attempts are never read.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _files(path)
         fs.create_dir(root, recursive=True)
-        part, number, members = TaskContext.get().partitionId(), 0, 0
-        archive, sink, temporary = None, None, ""
+        attempt = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+        archive, sink, written = None, None, []
 
         def finish() -> None:
-            nonlocal archive, number
+            nonlocal archive
+            members = len(archive.filelist)
             archive.close()
+            written[-1] += (sink.tell(), members)
             sink.close()
-            fs.move(temporary, f"{root}/part-{part:06d}-{number:04d}.zip")
-            archive, number = None, number + 1
+            archive = None
 
         for batch in slices(batches, 1):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if archive is None:
-                    temporary = f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
-                    sink = fs.open_output_stream(temporary)
+                    written.append((f"{attempt}-{len(written):04d}.zip",))
+                    sink = fs.open_output_stream(f"{root}/{written[-1][0]}")
                     archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
                 data = (text or "").encode()
-                info = zipfile.ZipInfo(f"{members:010d}.png")
+                info = zipfile.ZipInfo(f"{len(archive.filelist):010d}.png")
                 info.comment = f"{'' if doc_id is None else doc_id},{len(data)}".encode()
                 archive.writestr(info, encode_png(pad(data)))
-                members += 1
                 if sink.tell() >= ARCHIVE_BYTES:
                     finish()
         if archive is not None:
             finish()
-        yield pa.RecordBatch.from_pydict({"members": pa.array([members], pa.int64())})
+        yield pa.RecordBatch.from_pylist([dict(zip(("archive", "bytes", "members"), w, strict=True)) for w in written], _MANIFEST)
 
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     slim = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(frugal(write), "members long").agg(F.sum("members")).first()[0] or 0
+    slim.mapInArrow(frugal(write), "archive string, bytes long, members long").write.parquet(f"{path}/{MANIFEST}")
+    return spark.read.schema("members long").parquet(f"{path}/{MANIFEST}").agg(F.sum("members")).first()[0] or 0
+
+
+#: The folder beside the archives that lists those that count, with their bytes and members.
+MANIFEST = "manifest"
+_MANIFEST = pa.schema([("archive", pa.string()), ("bytes", pa.int64()), ("members", pa.int64())])
 
 
 class ByteRange(InputPartition):
@@ -139,23 +147,46 @@ class ByteRange(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
+class Archive:
+    """One open file for all members of a range, opened anew after a failure."""
+
+    def __init__(self, fs: pa.fs.FileSystem, path: str) -> None:
+        self.fs, self.path, self.opened = fs, path, None
+
+    def file(self) -> pa.NativeFile:
+        if self.opened is None:
+            self.opened = self.fs.open_input_file(self.path)
+        return self.opened
+
+    def close(self) -> None:
+        if self.opened is not None:
+            self.opened.close()
+        self.opened = None
+
+
 class MediaReader(DataSourceReader):
-    """Plans byte ranges from the sizes of the archives; a task reads its archive's directory itself."""
+    """Plans byte ranges from the archives' sizes in the manifest, or in the folder where there is none; a task reads its archive's directory itself."""
 
     def __init__(self, options: dict) -> None:
         self.root, self.range_bytes, self.attempts = options["path"], int(options.get("rangeBytes", 16 << 20)), 1 + int(options.get("retries", 3))
 
     def partitions(self) -> list[ByteRange]:
         fs, root = _files(self.root)
-        found = fs.get_file_info(pa.fs.FileSelector(root, recursive=True, allow_not_found=True))
-        files = sorted((x.path, x.size) for x in found if x.is_file and x.extension == "zip" and not x.base_name.startswith("."))
+        if fs.get_file_info(f"{root}/{MANIFEST}").type == pa.fs.FileType.Directory:
+            listed = pa.dataset.dataset(f"{root}/{MANIFEST}", _MANIFEST, "parquet", fs).to_table()
+            files = sorted(zip((f"{root}/{x}" for x in listed["archive"].to_pylist()), listed["bytes"].to_pylist(), strict=True))
+        else:
+            found = fs.get_file_info(pa.fs.FileSelector(root, recursive=True, allow_not_found=True))
+            files = sorted((x.path, x.size) for x in found if x.is_file and x.extension == "zip" and not x.base_name.startswith("."))
         return [ByteRange(p, a, min(a + self.range_bytes, n)) for p, n in files for a in range(0, n, self.range_bytes)] or [ByteRange("", 0, 0)]
 
-    def _again(self, what):
+    def _again(self, what, archive: Archive):
+        """``what()``, tried again with the archive opened anew."""
         for left in reversed(range(self.attempts)):
             try:
                 return what()
             except (OSError, ValueError, zlib.error, struct.error):
+                archive.close()
                 if not left:
                     raise
         return None
@@ -163,29 +194,30 @@ class MediaReader(DataSourceReader):
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        fs, _ = _files(self.root)
-
-        def directory() -> list[zipfile.ZipInfo]:
-            with fs.open_input_file(partition.path) as f, zipfile.ZipFile(f) as z:
-                return z.infolist()
+        archive = Archive(_files(self.root)[0], partition.path)
+        try:
+            yield from self._members(partition, archive)
+        finally:
+            archive.close()
 
+    def _members(self, partition: ByteRange, archive: Archive) -> Iterator[pa.RecordBatch]:
         def member(info: zipfile.ZipInfo) -> tuple[bytes, np.ndarray]:
-            """Opened anew by each attempt and read at its own offset, so a failure touches no other member."""
-            with fs.open_input_file(partition.path) as f:
-                head = f.read_at(LOCAL_HEADER, info.header_offset)
-                name, extra = struct.unpack("<HH", head[26:30])
-                image = f.read_at(info.file_size, info.header_offset + LOCAL_HEADER + name + extra)
+            """Read at its own offset, so a failure touches no other member."""
+            f = archive.file()
+            head = f.read_at(LOCAL_HEADER, info.header_offset)
+            name, extra = struct.unpack("<HH", head[26:30])
+            image = f.read_at(info.file_size, info.header_offset + LOCAL_HEADER + name + extra)
             if zlib.crc32(image) != info.CRC:
                 raise ValueError("damaged member")
             return image, decode_png(image)
 
         rows, held = [], 0
-        for info in self._again(directory):
+        for info in self._again(lambda: zipfile.ZipFile(archive.file()).infolist(), archive):
             if not partition.start <= info.header_offset < partition.end:
                 continue
             row = {"archive": partition.path.rpartition("/")[2], "member": info.filename, "offset": info.header_offset, "note": info.comment.decode(), "media_bytes": info.file_size, "media_sha256": None, "payload": None, "feature": None, "error": None}
             try:
-                image, samples = self._again(lambda info=info: member(info))
+                image, samples = self._again(lambda info=info: member(info), archive)
                 row |= {"media_sha256": hashlib.sha256(image).hexdigest(), "payload": samples.tobytes(), "feature": feature(samples)}
                 held += len(row["payload"])
             except (OSError, ValueError, zlib.error, struct.error) as e:
