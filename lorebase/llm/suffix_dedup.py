@@ -5,18 +5,17 @@ strings have equal anchors at equal places, so only places whose anchor occurs t
 35 bytes is an anchor, and few of those repeat). Each group of equal anchors is a sparse enhanced suffix array:
 the suffixes from the anchors on, sorted, with their common prefixes. A stack scan of the common prefixes gives
 the interval tree; inside an interval the contexts to the left, sorted backwards, are scanned the same way, and
-an interval whose left extensions differ is a maximal repeat (as far as the context reaches) of all its members.
+an interval whose left extensions differ is a maximal repeat of all its members.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.llm.common import ROW, frugal, release, slices, table
@@ -264,18 +263,27 @@ def _repeats(key: np.ndarray, kind: np.ndarray, text: np.ndarray, place: np.ndar
     return out
 
 
-def repeat_intervals(docs: DataFrame, firsts: DataFrame, least: int = 100, groups: bool = False) -> DataFrame:
-    """Repeated bytes of different texts: text_id, start, stop; with ``groups`` every occurrence of every repeat.
+def _by_text(anchors_found: DataFrame) -> DataFrame:
+    """text_id with the places and grams of its anchors, each once, in order."""
+    found = anchors_found.groupBy("text_id").agg(F.sort_array(F.collect_set(F.struct("place", "gram"))).alias("a"))
+    return table(found.select("text_id", F.col("a.place").alias("places"), F.col("a.gram").alias("grams")), "suffix-anchors")
+
+
+def _anchored(docs: DataFrame, firsts: DataFrame, found: DataFrame) -> DataFrame:
+    """ord, text, text_id, places, grams of the first document of every text with anchors."""
+    return found.join(firsts.withColumnRenamed("id", "text_id"), "text_id").join(docs.withColumnRenamed("id", "text_id"), ["text_id", "ord"]).select("ord", "text", "text_id", "places", "grams")
+
+
+def repeat_intervals(docs: DataFrame, firsts: DataFrame, least: int = 100) -> DataFrame:
+    """Repeated bytes of different texts: text_id, start, stop.
 
     ``docs`` has (ord, text, id), id a hash of the text, and ``firsts`` (id, ord) the smallest ord of every id:
-    only the first document of equal texts has occurrences. Without ``groups``: the unions, per group task, of
-    all occurrences that are not the repeat's first (smallest ord, then smallest start). With ``groups``:
-    repeat (an id), n_bytes, text_id, start, first.
+    only the first document of equal texts has occurrences. Given out are the unions, per group task, of
+    all occurrences that are not the repeat's first (smallest ord, then smallest start).
     """
     ship(docs.sparkSession)
     reach = least - ANCHOR
-    anchors_found = _repeated_anchors(docs, least).groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("place", "gram"))).alias("a"))
-    found = table(anchors_found.select("text_id", F.col("a.place").alias("places"), F.col("a.gram").alias("grams")), "suffix-anchors")
+    found = _by_text(_repeated_anchors(docs, least))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts of the anchors. Of equal contexts a task holds, one goes on; the others' bytes are known to repeat."""
@@ -288,7 +296,7 @@ def repeat_intervals(docs: DataFrame, firsts: DataFrame, least: int = 100, group
             for x in rows:
                 if before and x[:4] == before[:4]:
                     continue  # a repeated row of the table
-                same = bool(before) and not groups and x[0] == before[0] and x[4:] == before[4:]
+                same = bool(before) and x[0] == before[0] and x[4:] == before[4:]
                 gram.append(x[0])
                 order.append(x[3])
                 text.append(x[1])
@@ -312,12 +320,9 @@ def repeat_intervals(docs: DataFrame, firsts: DataFrame, least: int = 100, group
         if rows:
             yield from flush()
 
-    chosen = found.join(firsts.withColumnRenamed("id", "text_id"), "text_id").join(docs.withColumnRenamed("id", "text_id"), ["text_id", "ord"]).select("ord", "text", "text_id", "places", "grams")
-    contexts = chosen.mapInArrow(frugal(cut), "gram long, ord long, text_id long, place int, left binary, right binary, again int")
+    contexts = _anchored(docs, firsts, found).mapInArrow(frugal(cut), "gram long, ord long, text_id long, place int, left binary, right binary, again int")
     # Known bytes only pass through, so they are dealt evenly; contexts of a gram meet.
     spread = contexts.repartition(F.when(F.col("again") >= 0, F.xxhash64("text_id", "place")).otherwise(F.col("gram"))).sortWithinPartitions("gram")
-    if groups:
-        return spread.mapInArrow(frugal(_named_repeats(least)), "repeat long, n_bytes long, text_id long, start long, first boolean")
     seed = spread.select(F.col("gram").alias("key"), F.lit(0).alias("l"), F.lit(ANCHOR).alias("r"), "gram", "ord", "text_id", "place", "left", "right", "again")
     out = table(seed.mapInArrow(frugal(_compare(least)), OUT), "suffix-compared")
     found = out.where("key IS NULL").select("text_id", "start", "stop")
@@ -467,46 +472,110 @@ def _compare(least: int):
     return run
 
 
-def _named_repeats(least: int):
-    """Task over contexts sorted by gram: every occurrence of every repeat, as far as the contexts reach."""
+#: Bytes of contexts that a task of ``maximal_repeats`` takes in hand at once, and how much wider each round reads.
+WIDE, WIDER = 8 << 20, 4
+
+
+def _wide_contexts(least: int, lower: int, wide: int):
+    """Task over (ord, text, text_id, places, grams): up to ``wide`` bytes from each anchor on, and enough to its left. The key holds the first ``lower`` bytes, which are common to all that can still be alike."""
+    reach = least - ANCHOR + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            for text, own, places, grams in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                data, step = text.encode(), max(1, WIDE // (wide + reach))
+                for at in range(0, len(places), step):
+                    part = list(zip(places[at : at + step], grams[at : at + step], strict=True))
+                    key = [string_id(b"%d:" % g + data[p : p + lower]) if lower > least else g for p, g in part]
+                    left, right = [data[max(0, p - reach) : p][::-1] for p, _ in part], [data[p : p + wide] for p, _ in part]
+                    yield pa.RecordBatch.from_arrays([pa.array(key, LONG), pa.array([own] * len(part), LONG), pa.array([p for p, _ in part], pa.int32()), pa.array([g for _, g in part], LONG), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["key", "text_id", "place", "gram", "left", "right"])
+
+    return run
+
+
+def _padded(data: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``width`` bytes, and how many of them there are."""
+    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in data), np.uint8).reshape(-1, width), np.array([len(x) for x in data], np.int64)
+
+
+def _maximal(least: int, wide: int):
+    """Task over contexts sorted by key: all occurrences of maximal repeats, and (repeat null) the anchors whose repeats go on beyond ``wide`` bytes.
+
+    A class of members that share as many bytes to the left as the contexts hold has an earlier anchor in common
+    and is found from there. A class that shares more to the right than its interval is found in a deeper one.
+    """
+    reach = least - ANCHOR + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
-            part = list({x[3:7]: x for x in rows}.values())
+            nonlocal held
+            part = list({x[:3]: x for x in rows}.values())
             rows.clear()
-            gram, order, text, place, left, n_left, right, n_right = _arrays(part, least)
-            ids, starts, stops, repeat, firsts = [], [], [], [], []
-            entries, tree = intervals(gram, right, n_right)
-            two = zip(*(x.tolist() for x in pairs(entries, tree, left, n_left, least)), strict=True)
-            for members, m, n in chain(((np.array([a, b]), m, n) for a, b, m, n in two), scan(entries, tree, left, n_left, least)):
-                at = place[members] - m
-                name = string_id(right[members[0], :n].tobytes() + b"|" + left[members[0], :m].tobytes())
-                repeat += [name] * len(members)
-                firsts += (np.arange(len(members)) == _lead(order[members], text[members], at)).tolist()
-                ids.append(text[members])
-                starts.append(at)
-                stops.append(at + m + n)
-            ids, starts, stops = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, starts, stops))
-            return pa.RecordBatch.from_arrays([pa.array(repeat, LONG), pa.array(stops - starts), pa.array(ids), pa.array(starts), pa.array(firsts, pa.bool_())], ["repeat", "n_bytes", "text_id", "start", "first"])
+            held = 0
+            key, text, place, gram = (np.array([x[i] for x in part], np.int64) for i in range(4))
+            (left, n_left), (right, n_right) = _padded([x[4] for x in part], reach), _padded([x[5] for x in part], wide)
+            order, tree = intervals(key, right, n_right)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            out: list[tuple] = []
+
+            def put(members: np.ndarray, m: int, n: int) -> None:
+                if m >= reach:
+                    return
+                if n == wide:
+                    out.extend((None, None, int(text[i]), None, int(place[i]), int(gram[i])) for i in members)
+                    return
+                i = members[0]
+                name = hashlib.blake2b(left[i, :m][::-1].tobytes() + right[i, :n].tobytes(), digest_size=16).hexdigest()
+                out.extend((name, m + n, int(text[j]), int(place[j]) - m, None, None) for j in members)
+
+            for a, b, m, n in zip(*pairs(order, tree, left, n_left, least), strict=True):
+                put(np.array([a, b]), int(m), int(n))
+            for members, m, n in scan(order, tree, left, n_left, least):
+                ends = order[[rank[members].min(), rank[members].max()]]
+                if _common(right[ends], n_right[ends])[0] == n:
+                    put(members, m, n)
+            columns = list(zip(*out, strict=True)) or [()] * len(_REPEATS)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _REPEATS, strict=True)], schema=_REPEATS)
 
         for batch in slices(batches, 5):
-            for gram, order, text, place, left, right, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(rows) >= CONTEXTS and gram != rows[-1][3]:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held > WIDE and row[0] != rows[-1][0]:
                     yield flush()
-                rows.append((gram, 0, ANCHOR, gram, order, text, place, left, right, again))
+                rows.append(row)
+                held += wide + reach
         if rows:
             yield flush()
 
     return run
 
 
+_REPEATS = pa.schema([("repeat", pa.string()), ("n_bytes", LONG), ("text_id", LONG), ("start", LONG), ("place", pa.int32()), ("gram", LONG)])
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, ord, text, id) of all rows, and (id, ord) of the first document of every different text."""
+    """(row, doc_id, ord, text, id) of all rows, and (id, ord) of the first document of every different text.
+
+    id is a 64-bit hash of the text. Of ten billion texts a few share one by chance: a second hash tells them apart, and
+    they get ids of their own from both.
+    """
     slim = docs.select(F.struct("*").alias(ROW), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    slim = slim.withColumn("ord", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("id", F.xxhash64("text"))
-    return slim, table(slim.groupBy("id").agg(F.min("ord").alias("ord")), "suffix-firsts")
+    slim = slim.withColumn("ord", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("id", text_hash(F.col("text")))
+    keyed = slim.withColumn("other", F.xxhash64(F.lit(1), "text"))
+    firsts = table(keyed.groupBy("id", "other").agg(F.min("ord").alias("ord")), "suffix-firsts")
+    shared = firsts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    apart = table(firsts.join(shared, "id", "left_semi").select("id", "other", F.xxhash64(F.lit(2), "id", "other").alias("own")), "suffix-shared-ids")
+    if apart.isEmpty():
+        return slim, firsts.select("id", "ord")
+    own = lambda df: df.join(apart, ["id", "other"], "left").withColumn("id", F.coalesce("own", "id")).drop("own", "other")
+    return own(keyed).select(*slim.columns), own(firsts)
 
 
 def _with_runs(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
@@ -602,13 +671,42 @@ def cut_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_
 
 
 def maximal_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Repeats of at least ``least`` bytes with all occurrences: repeat, n_bytes, doc_id, start, first.
+    """Maximal repeats of at least ``least`` bytes with all occurrences: repeat, n_bytes, doc_id, start, first.
+
+    A repeat is a string of bytes that occurs twice or more, in one document or several, and whose occurrences are not
+    all preceded by the same byte nor all followed by the same one. ``repeat`` is a 128-bit hash of it, ``first`` marks
+    the occurrence of the smallest doc_id, then start; null ids come last. Rows with the same id and text are one document;
+    null and empty texts have none; an empty table gives no rows.
 
-    Occurrences in exact copies of an earlier document are left out (the copy repeats it whole). Repeats reach
-    as far as their anchor's context, ``least`` bytes to the right and what is left to the left; a longer
-    repeat shows as overlapping ones.
+    A round reads ``least`` bytes from each anchor on, the next four times as many from the anchors whose repeats go
+    on, until none does. Different texts are compared once; copies of a text join as occurrences at the end. A task holds
+    the contexts of one anchor that share the round's bytes: unlike ``dedup_digests``, it doesn't hand large groups on.
     """
     slim, firsts = _prepared(docs.select(id_col, text_col), id_col, text_col)
-    found = repeat_intervals(slim.select("ord", "text", "id"), firsts, least, groups=True).distinct()
-    owner = firsts.select(F.col("id").alias("text_id"), F.when(F.col("ord") < (1 << 63) - 1, F.col("ord")).alias("doc_id"))
-    return found.join(owner, "text_id").select("repeat", "n_bytes", "doc_id", "start", "first")
+    slim = slim.select("ord", "text", "id", "doc_id")
+    ship(docs.sparkSession)
+    places, texts = _by_text(_repeated_anchors(slim, least)), slim.select("ord", "text", "id")
+    lower, wide, found = least, least, None
+    while True:
+        contexts = _anchored(texts, firsts, places).mapInArrow(frugal(_wide_contexts(least, lower, wide)), "key long, text_id long, place int, gram long, left binary, right binary")
+        dealt = contexts.repartition("key").sortWithinPartitions("key")
+        out = table(dealt.mapInArrow(frugal(_maximal(least, wide)), "repeat string, n_bytes long, text_id long, start long, place int, gram long"), "suffix-repeats")
+        closed = out.where("repeat IS NOT NULL").select("repeat", "n_bytes", "text_id", "start")
+        found = closed if found is None else found.unionByName(closed)
+        going_on = out.where("repeat IS NULL").select("text_id", "place", "gram")
+        if going_on.isEmpty():
+            break
+        places, lower, wide = _by_text(going_on), wide, wide * WIDER
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            data = [t.encode() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x, digest_size=16).hexdigest() for x in data], pa.string()), pa.array([len(x) for x in data], LONG), batch.column(1), pa.array([0] * len(data), LONG)], ["repeat", "n_bytes", "text_id", "start"])
+
+    owners = slim.select(F.col("id").alias("text_id"), "ord", "doc_id").distinct()
+    copied = owners.groupBy(F.col("text_id").alias("id")).agg(F.count("*").alias("n"), F.min("ord").alias("ord")).where("n > 1")
+    copied = texts.join(copied.select("id", "ord"), ["id", "ord"], "left_semi").where(F.octet_length("text") >= least).select("text", F.col("id").alias("text_id"))
+    found = found.unionByName(copied.mapInArrow(frugal(whole), closed.schema)).distinct()
+    found = table(found.join(owners, "text_id"), "suffix-occurrences")
+    lead = found.groupBy("repeat").agg(F.min(F.struct("ord", "text_id", "start")).alias("lead"))
+    return found.join(lead, "repeat").select("repeat", "n_bytes", "doc_id", "start", (F.struct("ord", "text_id", "start") == F.col("lead")).alias("first"))

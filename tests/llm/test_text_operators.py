@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lorebase.llm import bpe, fingerprints, media, mixing, ngram_join, suffix_dedup, token_counts
 from lorebase.llm.shingles import shingle_set
-from tests.llm.conftest import rows
+from tests.llm.conftest import rows, words
 
 
 def brute_dedup(docs: list[tuple[int, bytes]], least: int) -> list[tuple]:
@@ -65,14 +67,48 @@ def test_interval_tree():
     assert found == [(1, 3, 1), (2, 3, 3), (5, 6, 2)]
 
 
-def test_maximal_repeats_have_all_occurrences(docs):
-    found = suffix_dedup.maximal_repeats(docs, 100).collect()
-    texts = {r[0]: (r[1] or "").encode() for r in rows()}
-    groups: dict[int, set] = {}
-    for r in found:
-        groups.setdefault(r.repeat, set()).add(texts[r.doc_id][r.start : r.start + r.n_bytes])
-    assert groups and all(len(g) == 1 for g in groups.values())
-    assert all(sum(x.repeat == g and x["first"] for x in found) == 1 for g in groups)
+def test_texts_that_share_a_hash_are_told_apart(docs, monkeypatch):
+    want = sorted(map(tuple, suffix_dedup.dedup_digests(docs).collect()), key=str)
+    monkeypatch.setattr(suffix_dedup, "text_hash", lambda c: F.length(c).cast("long") % 3)
+    assert sorted(map(tuple, suffix_dedup.dedup_digests(docs).collect()), key=str) == want
+
+
+def brute_repeats(docs: list[tuple[int, bytes]], least: int) -> dict[bytes, set]:
+    """Every string with a pair of occurrences that can be extended to neither side, with all its occurrences."""
+    at: dict[bytes, list] = {}
+    for i, b in docs:
+        for p in range(len(b) - least + 1):
+            at.setdefault(b[p : p + least], []).append((i, p))
+    data, names = dict(docs), set()
+    for places in at.values():
+        for k, (i, p) in enumerate(places):
+            for j, q in places[:k]:
+                a, b = data[i], data[j]
+                if p and q and a[p - 1] == b[q - 1]:
+                    continue  # found from where it begins
+                n = least
+                while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+                    n += 1
+                names.add(a[p : p + n])
+    return {s: {(i, p) for i, p in at[s[:least]] if data[i].startswith(s, p)} for s in names}
+
+
+def test_maximal_repeats_have_all_occurrences(docs, empty):
+    rng = random.Random(8)
+    shared, inner = words(rng, 400), words(rng, 60)
+    texts = [shared, "a " + shared + " b", shared[:1500], "z" + shared[700:] + inner, inner, inner + shared[700:], "x" * 250, "xy" * 90, inner, "q" + inner[:200] + inner[:200], "", None]
+    data = [(i, t) for i, t in enumerate(texts)]
+    df = docs.sparkSession.createDataFrame([*data, data[3]], "doc_id long, text string").repartition(3)
+    want = brute_repeats([(i, (t or "").encode()) for i, t in data], 100)
+    assert max(map(len, want)) > 1000 and len(want) > 20
+    got: dict = {}
+    for r in suffix_dedup.maximal_repeats(df, 100).collect():
+        got.setdefault((r.repeat, r.n_bytes), []).append((r.doc_id, r.start, r.first))
+    assert sorted(sorted((i, p) for i, p, _ in g) for g in got.values()) == sorted(sorted(g) for g in want.values())
+    assert all(sum(f for *_, f in g) == 1 and min(g)[2] for g in got.values())
+    assert suffix_dedup.maximal_repeats(empty, 100).collect() == []
+    nulls = {r.doc_id for r in suffix_dedup.maximal_repeats(docs, 100).collect()}
+    assert None in nulls
 
 
 def test_cut_repeats_keeps_columns_and_characters(docs):
@@ -218,8 +254,6 @@ def brute_components(docs: list[tuple], width: int, percent: int) -> dict:
 
 @pytest.mark.parametrize(("width", "percent", "block"), [(4, 85, 1024), (5, 80, 1), (2, 50, 2)])
 def test_ngram_join_matches_brute_force(spark, docs, empty, monkeypatch, width, percent, block):
-    import random
-
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = random.Random(width)
     more, base = [], [f"w{rng.randint(0, 400)}" for _ in range(60)]
