@@ -115,9 +115,9 @@ def _with_near(found: DataFrame, every: int, radius: int) -> DataFrame:
     asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
     counts = table(found.groupBy("fp").agg(F.count("*").alias("n"), F.max(asks).alias("asks")), "fingerprint-counts")
     pairs = within_radius(counts.where("asks"), counts, radius)
-    others = pairs.join(counts.select(F.col("fp").alias("stored_fp"), "n"), "stored_fp").groupBy(F.col("query_fp").alias("fp")).agg(F.sum("n").alias("others"))
+    others = pairs.join(counts.select(F.col("fp").alias("stored_fp"), "n").hint("merge"), "stored_fp").groupBy(F.col("query_fp").alias("fp")).agg(F.sum("n").alias("others"))
     near = table(counts.where("asks").join(others, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near")), "fingerprint-near")
-    return found.where(asks).join(near, "fp").unionByName(found.where(~asks).withColumn("n_near", F.lit(None).cast("long")))
+    return found.where(asks).join(near.hint("merge"), "fp").unionByName(found.where(~asks).withColumn("n_near", F.lit(None).cast("long")))
 
 
 def within_radius(queries: DataFrame, stored: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
@@ -142,7 +142,7 @@ def within_radius(queries: DataFrame, stored: DataFrame, radius: int = 3, blocks
         keys = F.array(*(F.struct(F.lit(i).alias("t"), F.col(name).bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)))
         return one.select(name, F.explode(keys).alias("k")).select(name, "k.t", "k.key")
 
-    pairs = tables(queries, "query_fp").join(tables(stored, "stored_fp"), ["t", "key"])
+    pairs = tables(queries, "query_fp").join(tables(stored, "stored_fp").hint("merge"), ["t", "key"])
     differ = F.col("query_fp").bitwiseXOR(F.col("stored_fp"))
     first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(signed)))
     far = F.bit_count(differ)
