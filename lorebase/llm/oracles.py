@@ -34,6 +34,24 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEF
 
 #: crc32 of the decimal doc_id, bit by bit.
 CRC = r"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)"
+#: Stretches of equal words q apart are found by equal runs of six words: every run holds at least six such places.
+OP11 = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, coalesce(%s, 1) AS h FROM documents),
+g AS (SELECT doc_id, ws, len(ws) AS n, h %% 10 = 0 AND len(ws) > 0 AS hit, h // 10 AS g FROM t),
+a AS (SELECT *, CASE WHEN hit THEN g %% n END AS a FROM g),
+w AS (SELECT doc_id, n, CASE WHEN hit THEN list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) %% (1 + (n - a) // (3 + g %% 8)) END + 1]) ELSE ws END AS ws FROM a),
+u AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 6], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(n - 5)) AS i FROM w WHERE n > 11)),
+p AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM p),
+l AS (SELECT doc_id, q, min(i) AS start, max(i) - min(i) + 6 + q AS length FROM s GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM l WHERE length >= greatest(12, 2 * q) GROUP BY doc_id, start, length),
+b AS (SELECT doc_id, count(*) AS n_runs, max({'length': length, 'start': -start, 'period': -period}) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(range(n)) AS i, unnest(ws) AS word FROM w WHERE doc_id IN (SELECT doc_id FROM r)) ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, -best.start AS start, best.length AS length, -best.period AS period, 1000 * best.length // -best.period AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, array_to_string(ws, ' '))) AS collapsed_sha256 FROM w LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+""" % CRC
+
 #: Levels by recursion, then every leaf folded along its siblings (p: their places, q: theirs with digests, e: the fold).
 OP13 = r"""
 WITH RECURSIVE f AS (SELECT doc_id, lang, n_chars, coalesce(strlen(source) || ':' || source, '-') AS s, coalesce(strlen(lang) || ':' || lang, '-') AS l, coalesce(strlen(text) || ':' || text, '-') AS t, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') AS i,
@@ -59,4 +77,4 @@ SELECT doc_id, leaf, subroot, (SELECT h FROM m WHERE c = 1) AS root, coalesce(pr
 FROM o JOIN r USING (tree) LEFT JOIN w USING (tree, j) JOIN z USING (tree, j)
 """ % CRC
 
-SQL: dict[str, str] = {"op1_suffix_dedup": OP1, "op4_ngram_join": OP4, "op13_manifest": OP13}
+SQL: dict[str, str] = {"op1_suffix_dedup": OP1, "op4_ngram_join": OP4, "op11_runs": OP11, "op13_manifest": OP13}
