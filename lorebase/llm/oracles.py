@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express.
 
-The others: op2 (byte-pair merges), op5 (encoded lengths), op6 (hashes of the engine), op7 to op9 (trained models),
+The others: op2 (byte-pair merges), op5 (encoded lengths), op6 (hashes of the engine), op7 to op9 and op12 (trained models),
 op10 (deflated images) and op3 (a seeded hash decides whole documents) are tested against brute force,
 libraries, round trips or held-out accuracy in tests/llm.
 """

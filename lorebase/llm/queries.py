@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorebase.llm import bpe, fingerprints, manifest, media, mixing, ngram_join, periodic_runs, quality, suffix_dedup, token_counts, toxicity, url_filter
+from lorebase.llm import bpe, fingerprints, manifest, media, mixing, ngram_join, periodic_runs, quality, secret_scan, suffix_dedup, token_counts, toxicity, url_filter
 from lorebase.llm.common import documents
 
 
@@ -52,8 +52,12 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(documents(spark, sf_dir))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(documents(spark, sf_dir))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.tampered_proofs(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_mixing, op4_ngram_join, op5_token_counts, op6_fingerprints, op7_urls, op8_toxicity, op9_quality, op10_media, op11_runs, op13_manifest)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_mixing, op4_ngram_join, op5_token_counts, op6_fingerprints, op7_urls, op8_toxicity, op9_quality, op10_media, op11_runs, op12_secrets, op13_manifest)}
