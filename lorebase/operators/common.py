@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lorebase.functions.text import pieces
 from lorebase.workers import stored
@@ -28,14 +31,68 @@ def seeded(seed: int, column: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")))
 
 
-def contains_pairs(texts: DataFrame, text: str, words: DataFrame, word: str, size: int = 2) -> DataFrame:
-    """Pairs of rows whose lower-cased ``text`` contains ``word``, by an equi-join instead of a theta join.
+#: Bytes of words up to which every task gets them all.
+AUTOMATON_BYTES = 8 << 20
+#: Characters of a word's signature.
+GRAM = 3
 
-    A text that contains a word contains the word's first ``size`` characters: both sides meet on those, and
-    the pair is then checked. Words shorter than ``size`` meet on all characters they have.
+
+def contains_pairs(texts: DataFrame, text: str, words: DataFrame, word: str, key: Sequence[str], most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """Pairs of rows whose lower-cased ``text`` contains the lower-cased ``word``: the columns ``key`` of the text's row and those of the word's.
+
+    Distinct words of ``most_bytes`` or less go to all tasks, which search each text once for all of them (Aho-Corasick), so
+    nothing but the pairs is shuffled. More words meet the texts by their rarest gram (``by_signature``). Null and empty
+    words and null texts meet nothing; repeated rows of either side give repeated pairs.
+    """
+    listed = small(words.select(F.lower(F.col(word)).alias("_word")).where(F.length("_word") > 0).distinct())
+    size = listed.agg(F.sum(F.octet_length("_word"))).first()[0] or 0
+    slim = texts.select(*key, F.lower(F.col(text)).alias("_text")).where(F.col("_text").isNotNull())
+    found = by_automaton(slim, [r["_word"] for r in listed.collect()]) if size <= most_bytes else by_signature(slim, listed)
+    keyed = words.withColumn("_word", F.lower(F.col(word)))
+    return found.join(keyed, "_word").drop("_word")
+
+
+def by_automaton(texts: DataFrame, words: list[str]) -> DataFrame:
+    """Columns of ``texts`` but _text, and _word, for each of ``words`` in a text; one pass over the texts."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(words)
+    kept = [f for f in texts.schema.fields if f.name != "_text"]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for w in shared.value:
+            automaton.add_word(w, w)
+        if not len(automaton):
+            return
+        automaton.make_automaton()
+        for batch in batches:
+            rows, hits = [], []
+            for i, t in enumerate(batch.column(batch.schema.get_field_index("_text"))):
+                found = {w for _, w in automaton.iter(t.as_py())}
+                rows += [i] * len(found)
+                hits += found
+            if rows:
+                part = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), pa.array(hits, pa.string())], [*names, "_word"])
+
+    return texts.mapInArrow(run, StructType([*kept, StructField("_word", StringType())]))
+
+
+def by_signature(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """As ``by_automaton`` for a table of words of any size.
+
+    A word's signature is the gram of it that fewest texts hold, counted over all texts; a gram has three characters, or is the
+    word if that is shorter. Keys of texts meet signatures by their grams; texts are fetched once, for the keys that met.
     """
-    low = F.lower(F.col(text))
-    start = words.withColumn("_gram", F.substring(F.lower(F.col(word)), 1, size))
-    grams = F.array_distinct(F.concat(*(pieces(low, n) for n in range(1, size + 1))))
-    keyed = texts.withColumn("_gram", F.explode(grams))
-    return keyed.join(small(start), "_gram").where(F.contains(low, F.lower(F.col(word)))).drop("_gram")
+    keys = [F.col(c) for c in texts.columns if c != "_text"]
+    grams = F.array_distinct(F.concat(*(pieces(F.col("_text"), n) for n in range(1, GRAM + 1))))
+    own = words.select("_word", F.explode(F.when(F.length("_word") >= GRAM, F.array_distinct(pieces(F.col("_word"), GRAM))).otherwise(F.array("_word"))).alias("_gram"))
+    own = small(own)
+    numbered = texts.select(F.struct(*keys).alias("_key"), "_text")
+    held = numbered.select("_key", F.explode(grams).alias("_gram")).join(small(own.select("_gram").distinct()), "_gram", "left_semi")
+    held = stored(held, "grams")
+    rare = own.join(held.groupBy("_gram").agg(F.count("*").alias("_n")), "_gram").groupBy("_word").agg(F.min(F.struct("_n", "_gram")).alias("_least")).select("_word", F.col("_least._gram").alias("_gram"))
+    near = held.join(rare, "_gram").select("_key", "_word").distinct()
+    sure = numbered.join(near, numbered["_key"].eqNullSafe(near["_key"])).where(F.contains("_text", F.col("_word"))).select(numbered["_key"], "_word")
+    return sure.select("_key.*", "_word")

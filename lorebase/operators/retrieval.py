@@ -7,18 +7,17 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lorebase.functions.text import cosine, weighted_keywords
-from lorebase.operators.common import contains_pairs, small, top
-from lorebase.workers import ship, stored
+from lorebase.operators import blocks
+from lorebase.operators.common import contains_pairs, top
+from lorebase.operators.tree import with_book
+from lorebase.workers import stored
 
-#: Query vectors sent to all tasks at once; more are taken in rounds.
-QUERY_BLOCK = 4096
-#: Passages that a task multiplies with a block at once.
-PASSAGES = 1024
 #: Weight of a channel in the fusion, and the fusion's constant.
 WEIGHTS = {"vector": 1.0, "keyword": 1.0, "title": 1.0, "path": 0.8}
 RRF_K = 60
@@ -41,47 +40,57 @@ def _by_dimension(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 def vector_search(queries: DataFrame, passages: DataFrame, k: int = 5, thr: float = 0.5, scope: DataFrame | None = None) -> DataFrame:
     """R2: query_id, id, similarity, rank of the k passages of cosine >= thr; queries(query_id, vec), passages(id, vec[, enabled]).
 
-    Queries go to the tasks in blocks of 4,096; a task multiplies 1,024 passages at a time with a block and keeps k rows
-    per query, so pairs never reach the shuffle. Vectors meet vectors of their own dimension. ``scope`` (query_id, id)
-    restricts pairs.
+    Blocks of queries meet blocks of passages (``blocks.search``): the passages are read once whatever the number of queries,
+    pairs never reach a shuffle, and a task passes on k rows per query. Vectors meet vectors of their own dimension.
+    ``scope`` (query_id, id) restricts pairs.
     """
-    spark = passages.sparkSession
     p = passages.where("enabled") if "enabled" in passages.columns else passages
     if scope is not None:
         pairs = scope.join(queries.select("query_id", F.col("vec").alias("_q")), "query_id").join(p.select("id", F.col("vec").alias("_p")), "id")
         scored = pairs.select("query_id", "id", F.round(cosine(F.col("_q"), F.col("_p")), 6).alias("similarity")).where(F.col("similarity") >= thr)
         return top(scored, ["query_id"], [F.col("similarity").desc(), F.col("id")], k, "rank")
-    found = None
-    ship(spark)
-    query_kind = to_arrow_type(queries.schema["query_id"].dataType)
-    q = queries.select("query_id", "vec").where("vec IS NOT NULL")
-    rounds = max(1, -(-q.count() // QUERY_BLOCK))
-    for r in range(rounds):
-        part = q if rounds == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)
-        rows = list(part.toLocalIterator())
-        block = spark.sparkContext.broadcast(([x[0] for x in rows], _by_dimension(pa.array([x[1] for x in rows], pa.list_(pa.float64())))))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            ids, asked = block.value
-            for batch in (b.slice(at, PASSAGES) for b in batches for at in range(0, b.num_rows, PASSAGES)):
-                for dim, (rows, at) in _by_dimension(batch.column(1)).items():
-                    if dim not in asked or not len(rows) or not len(asked[dim][0]):
-                        continue
-                    unit, places = asked[dim]
-                    sims = np.round(unit @ rows.T, 6)
-                    pid = np.array(batch.column(0).to_pylist())[at]
-                    order = np.lexsort((np.broadcast_to(pid, sims.shape), -sims), axis=1)[:, :k]
-                    best = np.take_along_axis(sims, order, axis=1)
-                    qi, pj = np.nonzero(best >= thr)
-                    columns = [pa.array([ids[places[i]] for i in qi], query_kind), pa.array(pid[order[qi, pj]].tolist(), batch.schema.field(0).type), pa.array(best[qi, pj])]
-                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "similarity"])
-
-        kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {p.schema['id'].dataType.simpleString()}, similarity double"
-        out = p.select("id", "vec").mapInArrow(run, kinds)
-        found = out if found is None else found.unionByName(out)
+    q, p = queries.select("query_id", "vec").where("vec IS NOT NULL"), p.select("id", "vec").where("vec IS NOT NULL")
+    kinds = [x.schema[c].dataType for x, c in ((q, "query_id"), (p, "id"))]
+    shape = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, similarity double"
+    found = blocks.search(q, p, lambda: _Nearest(k, thr, [to_arrow_type(x) for x in kinds]), shape)
     return top(found, ["query_id"], [F.col("similarity").desc(), F.col("id")], k, "rank")
 
 
+class _Nearest(blocks.Kernel):
+    """Cosines of unit vectors as matrix products."""
+
+    def __init__(self, k: int, thr: float, kinds: list[pa.DataType]) -> None:
+        self.k, self.thr, self.kinds = k, thr, kinds
+
+    def prepare(self, queries: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        return _by_dimension(queries.column(1))
+
+    def found(self, asked: dict[int, tuple[np.ndarray, np.ndarray]], passages: pa.RecordBatch, floor: np.ndarray) -> list[np.ndarray]:
+        ids, out = np.array(passages.column(0).to_pylist()), []
+        for dim, (unit, at) in _by_dimension(passages.column(1)).items():
+            if dim not in asked or not len(unit) or not len(asked[dim][0]):
+                continue
+            mine, places = asked[dim]
+            sims = np.round(mine @ unit.T, 6)
+            least = np.maximum(floor[places], self.thr)
+            if sims.shape[1] > self.k:  # of a block only its own k best, and what ties with them
+                least = np.maximum(least, -np.partition(-sims, self.k - 1, axis=1)[:, self.k - 1])
+            i, j = np.nonzero(sims >= least[:, None])
+            out.append((places[i], sims[i, j], ids[at[j]]))
+        return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0), ids[:0]]
+
+    def best(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return blocks.best_rows(rows, self.k)
+
+    def output(self, ids: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows[0])).cast(self.kinds[0]), pa.array(rows[2].tolist(), self.kinds[1]), pa.array(rows[1])], ["query_id", "id", "similarity"])
+
+
+def with_titles(found: DataFrame, passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """R2: ``found`` rows (id) with the doc_id of their passage and the titles of its document and book; null where there is no document."""
+    return with_book(found.join(passages.select("id", "doc_id"), "id", "left"), docs)
+
+
 def vector_search_fallback(queries: DataFrame, passages: DataFrame, limit: int = 5, thr: float = 0.5, fallback: float = 0.4) -> DataFrame:
     """Limit + 2 rows at ``thr``; queries without any take those at ``fallback`` where that is lower."""
     found = vector_search(queries, passages, limit + 2, min(thr, fallback))
@@ -93,15 +102,70 @@ def keyword_search(queries: DataFrame, passages: DataFrame, limit: int = 10, mos
     """query_id, id, book, score, rank; queries(query_id, terms), passages(id, book, terms).
 
     Shared terms count 2 from three characters on, else 1; a score of 2 is needed; a book gives at most
-    max(2, ceil(limit / 3)) rows. Only the queries' terms of the passages are joined.
+    max(2, ceil(limit / 3)) rows. Blocks of queries, with a posting list of queries for each term, meet blocks of passages
+    (``blocks.search``): a task keeps the best rows of each query, and the worst of a full list is the score that later
+    passages must reach. A term that all texts share so costs additions in the tasks, no rows.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(F.slice("terms", 1, most_terms))).alias("term"))
-    wanted = small(q.select("term").distinct())
-    p = passages.select("id", "book", F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi")
-    weight = F.when(F.length("term") >= 3, 2).otherwise(1)
-    scored = q.join(p, "term").groupBy("query_id", "id", "book").agg(F.sum(weight).alias("score")).where("score >= 2")
+    q = queries.select("query_id", F.array_compact(F.array_distinct(F.slice("terms", 1, most_terms))).alias("terms")).where(F.size("terms") > 0)
+    p = passages.select("id", "book", F.array_compact(F.array_distinct("terms")).alias("terms")).where(F.size("terms") > 0)
+    kinds = [x.schema[c].dataType for x, c in ((q, "query_id"), (p, "id"), (p, "book"))]
+    shape = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, book {kinds[2].simpleString()}, score long"
+    cap = max(2, -(-limit // 3))
+    found = blocks.search(q, p, lambda: _Shared(limit, cap, [to_arrow_type(x) for x in kinds]), shape)
     order = [F.col("score").desc(), F.col("id")]
-    return top(top(scored, ["query_id", "book"], order, max(2, -(-limit // 3))), ["query_id"], order, limit, "rank")
+    return top(top(found, ["query_id", "book"], order, cap), ["query_id"], order, limit, "rank")
+
+
+class _Shared(blocks.Kernel):
+    """Sums of the weights of shared terms, from posting lists of the queries' terms."""
+
+    #: Scores held at once: passages times queries.
+    CELLS = 1 << 22
+
+    def __init__(self, limit: int, cap: int, kinds: list[pa.DataType]) -> None:
+        self.limit, self.cap, self.kinds = limit, cap, kinds
+        self.books: dict[object, int] = {}
+
+    def prepare(self, queries: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, int]:
+        lists = queries.column(1)
+        owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        coded = lists.flatten().dictionary_encode()
+        term = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(term, kind="stable")
+        edges = np.searchsorted(term[order], np.arange(len(coded.dictionary) + 1))
+        weight = np.where(pa.compute.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False) >= 3, 2, 1)
+        return coded.dictionary, edges, owner[order], weight, len(lists)
+
+    def found(self, asked: tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, int], passages: pa.RecordBatch, floor: np.ndarray) -> list[np.ndarray]:
+        wanted, edges, owners, weight, n = asked
+        lists = passages.column(2)
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        term = pa.compute.index_in(lists.flatten(), wanted)
+        known = term.is_valid().to_numpy(zero_copy_only=False)
+        row, term = row[known], term.drop_null().to_numpy(zero_copy_only=False)
+        least, out = np.maximum(floor, 2), []
+        step = max(1, self.CELLS // n)
+        for a in range(0, len(lists), step):
+            first, past = np.searchsorted(row, [a, a + step])
+            r, t = row[first:past] - a, term[first:past]
+            each = edges[t + 1] - edges[t]
+            at = np.repeat(edges[t] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            score = np.bincount(np.repeat(r, each) * n + owners[at], np.repeat(weight[t], each), (min(a + step, len(lists)) - a) * n).reshape(-1, n)
+            i, j = np.nonzero(score >= least)
+            out.append((j, score[i, j], i + a))
+        query, score, place = (np.concatenate(c) for c in zip(*out, strict=True))
+        ids = np.array(passages.column(0).to_pylist())
+        books = np.array([self.books.setdefault(b, len(self.books)) for b in passages.column(1).to_pylist()], np.int64)
+        return [query, score, ids[place], books[place]]
+
+    def best(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return blocks.best_rows(rows, self.limit, rows[3], self.cap)
+
+    def output(self, ids: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatch:
+        names = list(self.books)
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(rows[0])).cast(self.kinds[0]), pa.array(rows[2].tolist(), self.kinds[1]), pa.array([names[b] for b in rows[3].tolist()], self.kinds[2]), pa.array(rows[1].astype(np.int64))], ["query_id", "id", "book", "score"]
+        )
 
 
 def cap_keywords(keywords: DataFrame) -> DataFrame:
@@ -121,7 +185,7 @@ def extract_keywords(queries: DataFrame) -> DataFrame:
 def keyword_search_ilike(keywords: DataFrame, passages: DataFrame, limit: int = 10, answered: DataFrame | None = None) -> DataFrame:
     """As R4 with score the summed weight of keywords contained in the content; for queries not in ``answered``."""
     kw = keywords if answered is None else keywords.join(answered.select("query_id").distinct(), "query_id", "left_anti")
-    pairs = contains_pairs(passages.select("id", "book", "content"), "content", kw.select("query_id", "kw", "weight"), "kw")
+    pairs = contains_pairs(passages, "content", kw.select("query_id", "kw", "weight"), "kw", ["id", "book"])
     scored = pairs.groupBy("query_id", "id", "book").agg(F.sum("weight").alias("score")).where("score >= 2")
     order = [F.col("score").desc(), F.col("id")]
     return top(top(scored, ["query_id", "book"], order, max(2, -(-limit // 3))), ["query_id"], order, limit, "rank")
@@ -131,19 +195,19 @@ def keyword_strict_relaxed(original: DataFrame, expanded: DataFrame, passages: D
     """Passages with all original keywords; a query without such takes those with any expanded one, most first."""
     texts = passages.select("id", "content")
     n = original.select("query_id", "kw").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
-    strict = contains_pairs(texts, "content", original.select("query_id", "kw").distinct(), "kw").groupBy("query_id", "id").agg(F.countDistinct("kw").alias("score")).join(n, "query_id").where("score = n").select("query_id", "id", "score", F.lit("strict").alias("mode"))
+    strict = contains_pairs(texts, "content", original.select("query_id", "kw").distinct(), "kw", ["id"]).groupBy("query_id", "id").agg(F.countDistinct("kw").alias("score")).join(n, "query_id").where("score = n").select("query_id", "id", "score", F.lit("strict").alias("mode"))
     rest = expanded.join(strict.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "kw").distinct()
-    relaxed = contains_pairs(texts, "content", rest, "kw").groupBy("query_id", "id").agg(F.countDistinct("kw").alias("score")).withColumn("mode", F.lit("relaxed"))
+    relaxed = contains_pairs(texts, "content", rest, "kw", ["id"]).groupBy("query_id", "id").agg(F.countDistinct("kw").alias("score")).withColumn("mode", F.lit("relaxed"))
     return top(strict.unionByName(relaxed), ["query_id"], [F.col("score").desc(), F.col("id")], k, "rank")
 
 
 def title_search(keywords: DataFrame, docs: DataFrame, passages: DataFrame, k: int = 5) -> DataFrame:
     """Passages of the documents whose title contains a keyword of four characters (deepest first, 8 documents), else one of the first five keywords; else passages of the children of matched chapters."""
     titles = docs.select(F.col("id").alias("doc_id"), "title", "level")
-    matched = contains_pairs(titles, "title", keywords.where(F.length("kw") >= 4).select("query_id", "kw"), "kw").select("query_id", "doc_id", "level").distinct()
+    matched = contains_pairs(titles, "title", keywords.where(F.length("kw") >= 4).select("query_id", "kw"), "kw", ["doc_id", "level"]).select("query_id", "doc_id", "level").distinct()
     first = top(matched, ["query_id"], [F.col("level").desc(), F.col("doc_id")], 8)
     few = top(keywords.join(first.select("query_id").distinct(), "query_id", "left_anti").where(F.length("kw") >= 2), ["query_id"], [F.col("weight").desc(), F.length("kw").desc(), F.col("kw")], 5)
-    broad = contains_pairs(titles, "title", few.select("query_id", "kw"), "kw").select("query_id", "doc_id", "level").distinct()
+    broad = contains_pairs(titles, "title", few.select("query_id", "kw"), "kw", ["doc_id", "level"]).select("query_id", "doc_id", "level").distinct()
     hit = first.unionByName(top(broad, ["query_id"], [(F.col("level") == 2).desc(), F.col("doc_id")], 8))
     own = hit.join(passages.select("id", "doc_id"), "doc_id").select("query_id", "id", "doc_id")
     under = hit.where("level = 1").join(own.select("query_id").distinct(), "query_id", "left_anti").join(docs.select(F.col("id").alias("child"), F.col("parent_id").alias("doc_id")), "doc_id").join(passages.select("id", F.col("doc_id").alias("child")), "child").select("query_id", "id", F.col("child").alias("doc_id"))
@@ -153,7 +217,7 @@ def title_search(keywords: DataFrame, docs: DataFrame, passages: DataFrame, k: i
 def section_path_search(keywords: DataFrame, passages: DataFrame, k: int = 10, first: int = 6) -> DataFrame:
     """Passages whose section_path contains any of the first keywords of three characters."""
     few = top(keywords.where(F.length("kw") >= 3), ["query_id"], [F.col("weight").desc(), F.length("kw").desc(), F.col("kw")], first)
-    found = contains_pairs(passages.select("id", "section_path"), "section_path", few.select("query_id", "kw"), "kw").select("query_id", "id").distinct()
+    found = contains_pairs(passages, "section_path", few.select("query_id", "kw"), "kw", ["id"]).select("query_id", "id").distinct()
     return top(found, ["query_id"], [F.col("id")], k, "rank")
 
 
@@ -367,7 +431,7 @@ def coarse_books(keywords: DataFrame, docs: DataFrame, systems: DataFrame | None
     up = docs.select(F.col("id").alias("_p"), F.col("parent_id").alias("_pp"))
     of = book.join(up, "_p", "left").withColumn("book_id", F.when(F.col("level") == 0, F.col("id")).when(F.col("level") == 1, F.col("_p")).otherwise(F.col("_pp")))
     searched = of.withColumn("text", F.when(F.col("level") == 2, F.col("title")).otherwise(F.col("both"))).withColumn("points", F.when(F.col("level") == 0, 2).when(F.col("level") == 1, 1).otherwise(3))
-    points = contains_pairs(searched.select("id", "book_id", "text", "points"), "text", keywords.select("query_id", "kw", F.monotonically_increasing_id().alias("_k")), "kw").select("query_id", "book_id", "points")
+    points = contains_pairs(searched, "text", keywords.select("query_id", "kw"), "kw", ["id", "book_id", "points"]).select("query_id", "book_id", "points")
     if systems is not None:
         points = points.unionByName(of.where("level = 1").join(systems.select("query_id", "domain").distinct(), "domain").select("query_id", "book_id", F.lit(2).alias("points")))
     total = points.groupBy("query_id", "book_id").agg(F.sum("points").cast("double").alias("score"))
@@ -422,13 +486,13 @@ def numbered_context(candidates: DataFrame, sep: str = "\n\n---\n\n") -> DataFra
 def expand_synonyms(keywords: DataFrame, synonyms: DataFrame) -> DataFrame:
     """K5: query_id, kw, added: the keyword's other names from the first entry (by canonical_name) it equals, is part of, or contains, any case.
 
-    Both directions of containment are equi-joins on leading characters.
+    Both directions of containment go through ``contains_pairs``.
     """
     s = synonyms.where("enabled") if "enabled" in synonyms.columns else synonyms
     names = s.select("canonical_name", "synonyms", F.explode(F.concat(F.array("canonical_name"), "synonyms")).alias("name"))
     k = keywords.select("query_id", "kw")
-    longer = contains_pairs(k, "kw", names, "name").select("query_id", "kw", "canonical_name", "synonyms")
-    shorter = contains_pairs(names, "name", k, "kw").select("query_id", "kw", "canonical_name", "synonyms")
+    longer = contains_pairs(k, "kw", names, "name", ["query_id", "kw"]).select("query_id", "kw", "canonical_name", "synonyms")
+    shorter = contains_pairs(names, "name", k, "kw", ["canonical_name", "synonyms"]).select("query_id", "kw", "canonical_name", "synonyms")
     first = top(longer.unionByName(shorter).distinct(), ["query_id", "kw"], [F.col("canonical_name")], 1)
     return first.select("query_id", "kw", F.filter("synonyms", lambda x: F.lower(x) != F.lower(F.col("kw"))).alias("added"))
 
@@ -437,5 +501,5 @@ def lookup_icd(queries: DataFrame, icd: DataFrame, most: int = 20) -> DataFrame:
     """K9: query_id, systems (all body systems, sorted) and codes (first 20 by code) whose code, or a search word of two characters, the question contains."""
     on = icd.where("enabled") if "enabled" in icd.columns else icd
     words = on.select("icd_code", "body_system", F.explode(F.array_distinct(F.concat(F.array("icd_code"), F.filter(F.split("search_text", r"\s+"), lambda w: F.length(w) >= 2)))).alias("word"))
-    hit = contains_pairs(queries.select("query_id", "text"), "text", words, "word").select("query_id", "icd_code", "body_system").distinct()
+    hit = contains_pairs(queries, "text", words, "word", ["query_id"]).select("query_id", "icd_code", "body_system").distinct()
     return hit.groupBy("query_id").agg(F.sort_array(F.collect_set("body_system")).alias("systems"), F.slice(F.sort_array(F.collect_set("icd_code")), 1, most).alias("codes"))
