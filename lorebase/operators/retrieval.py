@@ -484,7 +484,7 @@ def numbered_context(candidates: DataFrame, sep: str = "\n\n---\n\n") -> DataFra
 
 
 def expand_synonyms(keywords: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """K5: query_id, kw, added: the keyword's other names from the first entry (by canonical_name) it equals, is part of, or contains, any case.
+    """K5: query_id, kw, canonical_name, added: the keyword's other names from the first entry (by canonical_name, then synonyms) it equals, is part of, or contains, any case.
 
     Both directions of containment go through ``contains_pairs``.
     """
@@ -493,8 +493,8 @@ def expand_synonyms(keywords: DataFrame, synonyms: DataFrame) -> DataFrame:
     k = keywords.select("query_id", "kw")
     longer = contains_pairs(k, "kw", names, "name", ["query_id", "kw"]).select("query_id", "kw", "canonical_name", "synonyms")
     shorter = contains_pairs(names, "name", k, "kw", ["canonical_name", "synonyms"]).select("query_id", "kw", "canonical_name", "synonyms")
-    first = top(longer.unionByName(shorter).distinct(), ["query_id", "kw"], [F.col("canonical_name")], 1)
-    return first.select("query_id", "kw", F.filter("synonyms", lambda x: F.lower(x) != F.lower(F.col("kw"))).alias("added"))
+    first = top(longer.unionByName(shorter).distinct(), ["query_id", "kw"], [F.col("canonical_name"), F.col("synonyms")], 1)
+    return first.select("query_id", "kw", "canonical_name", F.filter("synonyms", lambda x: F.lower(x) != F.lower(F.col("kw"))).alias("added"))
 
 
 def lookup_icd(queries: DataFrame, icd: DataFrame, most: int = 20) -> DataFrame:

@@ -136,7 +136,13 @@ def book_quota(spark, d):
     return retrieval.book_quota(retrieval.rrf_fuse(_channels(spark, d)).join(books, "id"), 5).select("query_id", "id", "score", "source", "rank", "book")
 
 
-@query()
+#: R11 over ordered lists: a row stays unless a kept one shares the start; %s is a list of {'r', 'id', 'c'} in order.
+R11 = """list_reduce(list_transform(%s, lambda x: [x]), lambda kept, y: CASE WHEN len(list_filter(kept, lambda k: least(length(k.c), length(y[1].c)) >= 10
+  AND k.c[1:least(length(k.c), length(y[1].c)) * 6 // 10 + 1] = y[1].c[1:least(length(k.c), length(y[1].c)) * 6 // 10 + 1])) > 0 THEN kept ELSE kept || y END)"""
+
+
+@query(f"""WITH r AS (SELECT source, list({{'r': rank, 'id': doc_id, 'c': text}} ORDER BY rank) AS l FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) GROUP BY 1)
+  SELECT source AS query_id, k.r AS rank, k.id FROM (SELECT source, unnest({R11 % 'l'}) AS k FROM r)""")
 def prefix_dedup(spark, d):
     """All documents of each source, in order of their ids."""
     docs = read(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
@@ -431,14 +437,6 @@ def graph_stats(spark, d):
     return graph.graph_stats(read(spark, d, "part").select(F.col("p_type").alias("entity_type")), graph_edges(spark, d))
 
 
-@query(f"""WITH {EDGES}, s AS (SELECT p_partkey AS query_id, p_partkey AS id FROM part WHERE p_partkey % 100 = 0),
-  st AS (SELECT query_id, target_id AS id, min(edges.id) AS e FROM s JOIN edges ON source_id = s.id GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY e, id) AS n FROM st)
-  SELECT query_id, id, 0 AS hop FROM s UNION ALL SELECT query_id, id, 1 FROM h WHERE n <= 30""")
-def k_hop(spark, d):
-    seeds = read(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_partkey").alias("id"))
-    return graph.k_hop(seeds, graph_edges(spark, d), 1)[0]
-
-
 def k_hop_seeds(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_partkey").alias("id"))
 

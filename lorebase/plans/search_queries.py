@@ -18,7 +18,7 @@ def _keywords(spark, d):
 
 
 def _passages(spark, d):
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("book"), F.col("text").alias("content"), (F.pmod("doc_id", F.lit(10)) + 1000).alias("doc_id"), F.concat(F.lit("part "), F.left("text", F.lit(300))).alias("section_path"))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("book"), F.col("text").alias("content"), (F.pmod("doc_id", F.lit(10)) + 1000).alias("doc_id"), F.concat(F.lit("part "), "text").alias("section_path"))
 
 
 LIKE = f"""{KW}, s AS (SELECT query_id, doc_id AS id, source AS book, sum(weight) AS score FROM kw JOIN documents ON contains(lower(text), lower(kw)) GROUP BY 1, 2, 3 HAVING sum(weight) >= 2), b AS (SELECT *, row_number() OVER (PARTITION BY query_id, book ORDER BY score DESC, id) AS n FROM s),
@@ -38,29 +38,43 @@ def keyword_strict_relaxed(spark, d):
     return retrieval.keyword_strict_relaxed(top(k, ["query_id"], [F.col("kw")], 2), k, _passages(spark, d))
 
 
-@query(f"""WITH {DOCS}, kw AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 2 = 0 THEN 'NATION_' || p_size % 25 ELSE p_size % 10 || '' END AS kw, 1 AS weight FROM part WHERE p_partkey % 20 = 0 OR p_partkey % 20 = 7), t AS (SELECT query_id, docs.id AS doc_id, level FROM kw JOIN docs ON contains(lower(title), lower(kw)) WHERE length(kw) >= 4),
-  f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY level DESC, doc_id) AS n FROM (SELECT DISTINCT * FROM t)) WHERE n <= 8), 
-  own2 AS (SELECT f.query_id, p.doc_id AS id, f.doc_id FROM f JOIN documents p ON p.doc_id % 10 + 1000 = f.doc_id),
-  und AS (SELECT f.query_id, p.doc_id AS id, c.id AS doc_id FROM f JOIN docs c ON c.parent_id = f.doc_id JOIN documents p ON p.doc_id % 10 + 1000 = c.id WHERE f.level = 1 AND f.query_id NOT IN (SELECT query_id FROM own2))
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM (SELECT * FROM own2 UNION SELECT * FROM und)) WHERE rank <= 5""")
+#: Keywords of titles: long ones, of which some match nothing, and short ones that only the broad step takes (six, one too many).
+TITLE_KW = """kw AS (SELECT p_partkey AS query_id, unnest(CASE p_partkey % 40 WHEN 0 THEN ['NATION_' || p_size % 25, 'er#', 'ZZ'] WHEN 20 THEN ['#' || p_size % 10, 'N_' || p_size % 7, 'u', 'p'] WHEN 7 THEN ['nowhere', 'A_' || p_size % 3, 'N_' || p_size % 4, 'qa', 'qb', 'qc', '_24'] ELSE ['nothing', 'zz', 'ic'] END) AS kw, p_size % 3 + 1 AS weight FROM part WHERE p_partkey % 20 IN (0, 7))"""
+
+
+@query(f"""WITH {DOCS}, {TITLE_KW}, t AS (SELECT DISTINCT query_id, docs.id AS doc_id, level FROM kw JOIN docs ON contains(lower(title), lower(kw)) WHERE length(kw) >= 4),
+  f AS (SELECT query_id, doc_id, level FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY level DESC, doc_id) AS n FROM t) WHERE n <= 8),
+  few AS (SELECT query_id, kw FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, length(kw) DESC, kw) AS n FROM kw WHERE length(kw) >= 2 AND query_id NOT IN (SELECT query_id FROM f)) WHERE n <= 5),
+  b AS (SELECT query_id, doc_id, level FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY level = 2 DESC, doc_id) AS n FROM (SELECT DISTINCT query_id, docs.id AS doc_id, level FROM few JOIN docs ON contains(lower(title), lower(kw)))) WHERE n <= 8),
+  hit AS (SELECT * FROM f UNION ALL SELECT * FROM b), own2 AS (SELECT hit.query_id, p.doc_id AS id FROM hit JOIN documents p ON p.doc_id % 10 + 1000 = hit.doc_id),
+  und AS (SELECT hit.query_id, p.doc_id AS id FROM hit JOIN docs c ON c.parent_id = hit.doc_id JOIN documents p ON p.doc_id % 10 + 1000 = c.id WHERE hit.level = 1 AND hit.query_id NOT IN (SELECT query_id FROM own2))
+  SELECT query_id, id, id % 10 + 1000 AS doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM (SELECT * FROM own2 UNION SELECT * FROM und)) WHERE rank <= 5""")
 def title_search(spark, d):
-    n = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("NATION_"), (F.col("p_size") % 25).cast("string"))).otherwise((F.col("p_size") % 10).cast("string"))
-    kw = read(spark, d, "part").where("p_partkey % 20 = 0 OR p_partkey % 20 = 7").select(F.col("p_partkey").alias("query_id"), n.alias("kw"), F.lit(1).alias("weight"))
+    n = lambda m: (F.col("p_size") % m).cast("string")
+    said = lambda start, m: F.concat(F.lit(start), n(m))
+    kind = F.col("p_partkey") % 40
+    kws = F.when(kind == 0, F.array(said("NATION_", 25), F.lit("er#"), F.lit("ZZ"))).when(kind == 20, F.array(said("#", 10), said("N_", 7), F.lit("u"), F.lit("p")))
+    kws = kws.when(kind == 7, F.array(F.lit("nowhere"), said("A_", 3), said("N_", 4), *map(F.lit, ("qa", "qb", "qc", "_24")))).otherwise(F.array(*map(F.lit, ("nothing", "zz", "ic"))))
+    kw = read(spark, d, "part").where("p_partkey % 20 IN (0, 7)").select(F.col("p_partkey").alias("query_id"), F.explode(kws).alias("kw"), (F.col("p_size") % 3 + 1).alias("weight"))
     return retrieval.title_search(kw, kb_docs(spark, d), _passages(spark, d))
 
 
-@query(f"""WITH {KW}, h AS (SELECT DISTINCT query_id, doc_id AS id FROM kw JOIN documents ON contains(lower('part ' || text[1:300]), lower(kw))) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM h) WHERE rank <= 10""")
+@query(f"""WITH {KW}, h AS (SELECT DISTINCT query_id, doc_id AS id FROM kw JOIN documents ON contains(lower('part ' || text), lower(kw))) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM h) WHERE rank <= 10""")
 def section_path_search(spark, d):
     return retrieval.section_path_search(_keywords(spark, d), _passages(spark, d))
 
 
-@query(f"""WITH {KW}, n AS (SELECT p_type AS canonical_name, [lower(p_name), 'syn' || p_type] AS synonyms, unnest([p_type, lower(p_name), 'syn' || p_type]) AS name FROM part WHERE p_partkey % 3 = 0), k AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'widget' ELSE kw END AS kw FROM kw),
-  h AS (SELECT DISTINCT query_id, kw, canonical_name, synonyms FROM k JOIN n ON contains(lower(kw), lower(name)) OR contains(lower(name), lower(kw)))
-  SELECT query_id, kw, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kw ORDER BY canonical_name) AS r FROM h) WHERE r = 1 GROUP BY 1, 2""")
+@query(f"""WITH {KW}, w AS (SELECT item_id, {WORDS.format('text')} AS ws FROM benchmark), e AS (SELECT CASE item_id % 3 WHEN 0 THEN ws[1] WHEN 1 THEN ws[1][1:4] ELSE ws[1] || ws[2] END AS canonical_name,
+    [upper(ws[1]), ws[2], ws[3] || 'x'] AS synonyms FROM w WHERE item_id % 5 <> 4),
+  n AS (SELECT *, unnest(list_prepend(canonical_name, synonyms)) AS name FROM e),
+  h AS (SELECT query_id, kw, canonical_name, synonyms, row_number() OVER (PARTITION BY query_id, kw ORDER BY canonical_name, synonyms) AS r FROM (SELECT DISTINCT query_id, kw, canonical_name, synonyms FROM kw JOIN n ON contains(lower(kw), lower(name)) OR contains(lower(name), lower(kw))))
+  SELECT query_id, kw, canonical_name, array_to_string(list_filter(synonyms, lambda x: lower(x) <> lower(kw)), '|') AS added FROM h WHERE r = 1""")
 def expand_synonyms(spark, d):
-    k = _keywords(spark, d).select("query_id", F.when(F.col("query_id") % 2 == 0, "widget").otherwise(F.col("kw")).alias("kw"))
-    s = read(spark, d, "part").select(F.col("p_type").alias("canonical_name"), F.array(F.lower("p_name"), F.concat(F.lit("syn"), "p_type")).alias("synonyms"), (F.col("p_partkey") % 3 == 0).alias("enabled"))
-    return retrieval.expand_synonyms(k, s).groupBy("query_id", "kw").agg(F.lit(1).cast("long").alias("n"))
+    b = read(spark, d, "benchmark").select("item_id", words(F.col("text")).alias("ws"))
+    w = lambda i: F.get("ws", F.lit(i))
+    name = F.when(F.col("item_id") % 3 == 0, w(0)).when(F.col("item_id") % 3 == 1, F.left(w(0), F.lit(4))).otherwise(F.concat(w(0), w(1)))
+    s = b.select(name.alias("canonical_name"), F.array(F.upper(w(0)), w(1), F.concat(w(2), F.lit("x"))).alias("synonyms"), (F.col("item_id") % 5 != 4).alias("enabled"))
+    return retrieval.expand_synonyms(_keywords(spark, d).select("query_id", "kw"), s).withColumn("added", F.array_join("added", "|"))
 
 
 @query("""WITH i AS (SELECT 'I' || lpad((p_partkey % 40)::VARCHAR, 2, '0') AS code, p_type AS system, p_name AS words FROM part), q AS (SELECT p_partkey AS query_id, 'about ' || p_name || ' and I' || lpad((p_partkey % 50)::VARCHAR, 2, '0') AS t FROM part WHERE p_partkey % 20 = 0),
@@ -73,12 +87,13 @@ def lookup_icd(spark, d):
     return retrieval.lookup_icd(q, icd).select("query_id", F.array_join("systems", ",").alias("systems"), F.array_join("codes", ",").alias("codes"))
 
 
-@query(f"""WITH {TOP5}, {LIKE}, v AS (SELECT query_id % 40 AS query_id, id, rank FROM top5 WHERE query_id % 3 = 0 AND query_id < 800), q AS (SELECT item_id AS query_id FROM benchmark), one AS (SELECT DISTINCT query_id, id, 1 AS rank, 'vector' AS stage FROM v WHERE rank = 1 AND query_id IN (SELECT query_id FROM q)),
-  two AS (SELECT query_id, id, rank, 'keyword' AS stage FROM found WHERE query_id NOT IN (SELECT query_id FROM one)) SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT query_id, -1, 1, 'none' FROM q WHERE query_id NOT IN (SELECT query_id FROM one) AND query_id NOT IN (SELECT query_id FROM two)""")
+@query(f"""WITH {TOP5}, {LIKE}, q AS (SELECT item_id AS query_id FROM benchmark), v AS (SELECT query_id // 20 AS query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sims WHERE similarity >= 0.5 AND id <> query_id) WHERE rank <= 5),
+  one AS (SELECT *, 'vector' AS stage FROM v WHERE query_id IN (SELECT query_id FROM q)), two AS (SELECT query_id, id, rank, 'keyword' AS stage FROM found WHERE query_id NOT IN (SELECT query_id FROM one))
+  SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT query_id, -1, 1, 'none' FROM q WHERE query_id NOT IN (SELECT query_id FROM one) AND query_id NOT IN (SELECT query_id FROM two)""")
 def degrade_chain(spark, d):
     q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
-    found = retrieval.vector_search(vector_queries(spark, d), vectors(spark, d), 5, 0.2).where("rank = 1 AND query_id % 3 = 0 AND query_id < 800")
-    first = found.select((F.col("query_id") % 40).alias("query_id"), "id", "rank").distinct()
+    near = retrieval.vector_search(vector_queries(spark, d), vectors(spark, d), 6, 0.5).where("id <> query_id")
+    first = top(near.drop("rank"), ["query_id"], [F.col("similarity").desc(), F.col("id")], 5, "rank").select(F.expr("query_id div 20").alias("query_id"), "id", "rank")
     k, p = _keywords(spark, d), _passages(spark, d)
     return retrieval.degrade_chain(q, [("vector", first), ("keyword", lambda rest: retrieval.keyword_search_ilike(k.join(rest, "query_id", "left_semi"), p, 10)), ("none", lambda rest: rest.select("query_id", F.lit(-1).cast("long").alias("id"), F.lit(1).alias("rank")))])
 
@@ -131,12 +146,11 @@ def ensure_book_coverage(spark, d):
     return retrieval.ensure_book_coverage(kept.where("level = 2 AND rank <= 3").join(books, "id"), found.join(books, "id"), 4, 3)
 
 
-@query(f"""WITH {TOP5}, s AS (SELECT t.query_id, t.id, round(list_cosine_similarity(q.embedding[1:32]::DOUBLE[], p.embedding[1:32]::DOUBLE[]), 6) AS similarity FROM top5 t JOIN embeddings q ON q.vec_id = t.query_id JOIN embeddings p ON p.vec_id = t.id)
+@query(f"""WITH {TOP5}, s AS (SELECT t.query_id, t.id, round(list_cosine_similarity(q.embedding::DOUBLE[], list_reverse(p.embedding)::DOUBLE[]), 6) AS similarity FROM top5 t JOIN embeddings q ON q.vec_id = t.query_id JOIN embeddings p ON p.vec_id = t.id)
   SELECT * FROM (SELECT *, max(similarity) OVER (PARTITION BY query_id) < 0.3 AS weak, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) WHERE rank <= 3""")
 def second_stage_rerank(spark, d):
-    half = lambda c, name: F.slice(c, 1, 32).alias(name)
     found = retrieval.vector_search(vector_queries(spark, d), vectors(spark, d), 5, 0.2).select("query_id", "id")
-    pairs = found.join(vector_queries(spark, d).select("query_id", half("vec", "qvec")), "query_id").join(vectors(spark, d).select("id", half("vec", "tvec")), "id")
+    pairs = found.join(vector_queries(spark, d).select("query_id", F.col("vec").alias("qvec")), "query_id").join(vectors(spark, d).select("id", F.reverse("vec").alias("tvec")), "id")
     return retrieval.second_stage_rerank(pairs)
 
 
@@ -145,3 +159,11 @@ def numbered_context(spark, d):
     n = F.col("id").cast("string")
     found = retrieval.vector_search(vector_queries(spark, d), vectors(spark, d), 5, 0.2)
     return retrieval.numbered_context(found.select("query_id", "rank", F.concat(F.lit("b"), n).alias("title"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("s"), n)).otherwise("").alias("section"), F.concat(F.lit("c"), n).alias("content")))
+
+
+@query(f"""WITH {DOCS}, {TOP5}, t AS (SELECT top5.*, label % 10 + CASE WHEN id % 3 = 0 THEN 100 ELSE 1000 END AS doc_id FROM top5 JOIN embeddings ON vec_id = id)
+  SELECT query_id, t.id, similarity, rank, t.doc_id, d.title AS doc_title, coalesce(b.title, c.title, d.title) AS book_title FROM t LEFT JOIN docs d ON d.id = t.doc_id LEFT JOIN docs c ON c.id = d.parent_id LEFT JOIN docs b ON b.id = c.parent_id""")
+def vector_search_titles(spark, d):
+    """R2 with the titles of documents (chapters and sections) and books."""
+    p = vectors(spark, d).select("id", (F.col("doc_id") % 10 + F.when(F.col("id") % 3 == 0, 100).otherwise(1000)).alias("doc_id"))
+    return retrieval.with_titles(retrieval.vector_search(vector_queries(spark, d), vectors(spark, d), 5, 0.2), p, kb_docs(spark, d))
