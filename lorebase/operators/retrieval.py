@@ -322,22 +322,27 @@ def _starts_above(dealt: DataFrame) -> DataFrame:
 def hybrid_search(queries: DataFrame, passages: DataFrame, docs: DataFrame, limit: int = 5, thr: float = 0.5) -> DataFrame:
     """Vector, keyword and title channels fused, capped per book, deduplicated; queries with under three rows add the path channel.
 
-    queries(query_id, text, vec, terms); passages(id, doc_id, book, content, section_path, vec, terms).
+    queries(query_id, text, vec, terms); passages(id, doc_id, book, content, section_path, vec, terms). Returns query_id, rank, id,
+    score, source, book and content. The channels are searched once; texts are only fetched for what the quota left.
     """
     kw = cap_keywords(extract_keywords(queries))
     channel = lambda df, name: df.select("query_id", F.lit(name).alias("channel"), "rank", "id")
     base = channel(vector_search_fallback(queries, passages, limit, thr), "vector").unionByName(channel(keyword_search(queries, passages, limit * 3), "keyword")).unionByName(channel(title_search(kw, docs, passages, limit), "title"))
+    base = stored(base, "channels")
     texts = passages.select("id", "book", "content")
 
     def finish(channels: DataFrame) -> DataFrame:
-        return prefix_dedup(book_quota(rrf_fuse(channels).join(texts, "id"), limit))
+        ranked = stored(book_quota(rrf_fuse(channels).join(texts.select("id", "book"), "id"), limit), "fused")
+        return ranked.join(prefix_dedup(ranked.join(texts.select("id", "content"), "id")).select("query_id", "id"), ["query_id", "id"], "left_semi")
 
     first = finish(base)
     enough = first.groupBy("query_id").agg(F.count("*").alias("n")).where("n >= 3")
     few = queries.where(F.length("text") > 5).join(enough, "query_id", "left_anti").select("query_id")
-    path = section_path_search(kw.join(few, "query_id", "left_semi"), passages, limit * 2)
-    second = finish(base.join(path.select("query_id").distinct(), "query_id", "left_semi").unionByName(channel(path, "path")))
-    return top(first.join(path.select("query_id").distinct(), "query_id", "left_anti").unionByName(second), ["query_id"], [F.col("rank")], 20)
+    path = stored(section_path_search(kw.join(few, "query_id", "left_semi"), passages, limit * 2), "path")
+    again = path.select("query_id").distinct()
+    second = finish(base.join(again, "query_id", "left_semi").unionByName(channel(path, "path")))
+    found = top(first.join(again, "query_id", "left_anti").unionByName(second), ["query_id"], [F.col("rank")], 20)
+    return found.join(texts.select("id", "content"), "id").select("query_id", "rank", "id", "score", "source", "book", "content")
 
 
 def apply_rerank(candidates: DataFrame, judgments: DataFrame, keywords: DataFrame | None = None, first: int = 8, min_level: int = 1) -> DataFrame:
