@@ -150,6 +150,34 @@ def access_latency(log: DataFrame, slow_ms: float = 1000.0) -> DataFrame:
     return per.groupBy("path").agg(F.sum("all").alias("requests"), F.sum("errors").alias("errors"), mean.alias("mean_ms"), at(0.5).alias("p50_ms"), at(0.99).alias("p99_ms"), F.sum(F.when(ms > slow_ms, F.col("all")).otherwise(0)).alias("slow"))
 
 
+#: Quantiles of a report.
+SHARES = (0.5, 0.99)
+
+
+def rank_error(k: int) -> float:
+    """How far, as a share of all requests, a quantile of a sketch of size ``k`` may be off in rank (with a chance of 99 %)."""
+    return 2.446 / k**0.9433
+
+
+def latency_sketches(log: DataFrame, window: str = "5 minutes", slow_ms: float = 1000.0, k: int = 400) -> DataFrame:
+    """F10 in mergeable parts, for batch and streams: start, path, requests, errors, timed, total_ms, slow, sketch.
+
+    The sketch (KLL) holds the quantiles of a window's times to a rank error of ``rank_error(k)``, 0.9 % for 400, in a few KB; it is null
+    where no request has a time. Times that are not numbers count as missing.
+    """
+    ms = F.nullif(F.col("elapsed_ms").cast("double"), F.lit(float("nan")))
+    per = log.withColumn("_ms", ms).groupBy(F.window("ts", window).alias("w"), "path")
+    out = per.agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"), F.count("_ms").alias("timed"), F.sum("_ms").alias("total_ms"), F.count_if(F.col("_ms") > slow_ms).alias("slow"), F.kll_sketch_agg_double("_ms", k).alias("sketch"))
+    return out.select(F.col("w.start").alias("start"), "path", "requests", "errors", "timed", "total_ms", "slow", F.when(F.col("timed") > 0, F.col("sketch")).alias("sketch"))
+
+
+def merged_latency(sketches: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
+    """requests, errors, mean_ms, p50_ms, p99_ms, slow of the windows' sketches together; ``access_latency`` is the exact path."""
+    total = sketches.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("requests", "errors", "timed", "total_ms", "slow")), F.kll_merge_agg_double("sketch").alias("sketch"))
+    at = [F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q).cast("double"))).alias(f"p{int(q * 100)}_ms") for q in SHARES]
+    return total.select(*by, "requests", "errors", F.round(F.col("total_ms") / F.nullif(F.col("timed"), F.lit(0)), 6).alias("mean_ms"), *at, "slow")
+
+
 def new_passages(passages: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """enabled passages without a vector, or whose id is not stored."""
     on = passages.where("enabled")
