@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -330,38 +329,3 @@ def ingest_report(chapters: DataFrame, passages: DataFrame) -> DataFrame:
     first = top(chapters.select("doc_id", "ord", "title"), ["doc_id"], [F.col("ord")], 30)
     titles = first.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"]).alias("preview"))
     return out.join(titles, "doc_id", "left")
-
-
-def segment(df: DataFrame, lexicon: dict[str, float] | None = None, stop: tuple[str, ...] = (), text: str = "text") -> DataFrame:
-    """K1: adds terms: words of two characters or more with a CJK one, by the likeliest cut over a lexicon of weights, distinct in first order.
-
-    Without a lexicon use ``lorebase.functions.text.ngrams``, which needs no worker code. The lexicon is broadcast.
-    """
-    import math
-
-    from lorebase.functions.text import ngrams
-
-    if not lexicon:
-        return df.withColumn("terms", F.filter(ngrams(F.col(text)), lambda w: ~w.isin(*stop)) if stop else ngrams(F.col(text)))
-    total = sum(lexicon.values())
-    shared = df.sparkSession.sparkContext.broadcast(({w: math.log(f / total) for w, f in lexicon.items()}, max(map(len, lexicon)), math.log(0.5 / total), frozenset(stop)))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, longest, other, stops = shared.value
-
-        def words(s: str) -> list[str]:
-            best: list[tuple[float, int]] = [(0.0, 0)] * (len(s) + 1)
-            for i in range(len(s) - 1, -1, -1):
-                best[i] = max((known.get(s[i:j], other if j == i + 1 else -1e18) + best[j][0], j) for j in range(i + 1, min(len(s), i + longest) + 1))
-            out, i = [], 0
-            while i < len(s):
-                out.append(s[i : best[i][1]])
-                i = best[i][1]
-            return list(dict.fromkeys(w for w in out if len(w) >= 2 and w not in stops and any("一" <= c <= "龥" for c in w)))
-
-        for f in frames:
-            yield f.assign(terms=[words(t or "") for t in f[text]])
-
-    ship(df.sparkSession)
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)
-    return df.mapInPandas(run, f"{fields}, terms array<string>")

@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorebase.functions import text
-from lorebase.operators import retrieval, structure
+from lorebase.operators import retrieval, segmenter, structure
 from lorebase.plans.queries import query, read
 from lorebase.sources import io
 from lorebase.workers import shared_dir
@@ -294,9 +294,34 @@ def window_keywords(spark, d):
 
 @query("""WITH c AS (SELECT doc_id, string_split(regexp_replace(translate(lower(text), 'aeiou', '病痛的药热'), '\\s+', ' ', 'g'), '') AS c FROM documents WHERE text IS NOT NULL),
   g AS (SELECT doc_id, list_distinct(list_filter(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]), lambda x: regexp_matches(x, '^[一-龥]{2}$'))) AS g FROM c) SELECT doc_id, len(g) AS n, array_to_string(list_sort(g), ',') AS terms FROM g""")
-def segment(spark, d):
+def segment_pairs(spark, d):
+    """K1 without a lexicon."""
     docs = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.translate(F.lower("text"), ZH_FROM, ZH_TO).alias("text"))
-    return structure.segment(docs).select("doc_id", F.size("terms").alias("n"), F.array_join(F.sort_array("terms"), ",").alias("terms"))
+    return segmenter.segment(docs).select("doc_id", F.size("terms").alias("n"), F.array_join(F.sort_array("terms"), ",").alias("terms"))
+
+
+#: Pieces of two to four characters of the benchmark's tokens, which weigh as often as they occur.
+LEXICON = f"""bt AS (SELECT unnest(string_split_regex(translate(lower(text), '{ZH_FROM}', '{ZH_TO}'), '\\s+')) AS tok FROM benchmark), pieces AS (SELECT unnest([tok[1:2], tok[1:3], tok[1:4], tok[-2:], tok[-3:]]) AS w FROM bt WHERE length(tok) > 3),
+  lex AS (SELECT w, round(ln(count(*) / (SELECT count(*) FROM pieces)) * 1000000)::BIGINT AS x FROM pieces GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {LEXICON}, tk AS (SELECT doc_id, unnest(string_split_regex(t, '\\s+')) AS tok, unnest(range(len(string_split_regex(t, '\\s+')))) AS k FROM (SELECT doc_id, translate(lower(text), '{ZH_FROM}', '{ZH_TO}') AS t FROM documents WHERE text IS NOT NULL)),
+  v AS (SELECT DISTINCT tok FROM tk WHERE tok <> ''), spans AS (SELECT tok, i, unnest(range(i + 1, least(length(tok), i + 4) + 1)) AS j FROM (SELECT tok, unnest(range(length(tok))) AS i FROM v)),
+  arcs AS (SELECT tok, i, list({{'x': coalesce(x, round(ln(0.5 / (SELECT count(*) FROM pieces)) * 1000000)::BIGINT), 'j': j}}) AS a FROM spans LEFT JOIN lex ON w = tok[i + 1:j] WHERE x IS NOT NULL OR j = i + 1 GROUP BY 1, 2),
+  dp AS (SELECT tok, length(tok)::BIGINT AS i, [{{'s': 0::BIGINT, 'j': 0::BIGINT}}] AS b FROM v
+    UNION ALL SELECT tok, dp.i - 1, list_prepend(list_max(list_transform(a, lambda y: {{'s': y.x + b[y.j - dp.i + 1].s, 'j': y.j}})), b) FROM dp JOIN arcs USING (tok) WHERE arcs.i = dp.i - 1),
+  done AS (SELECT tok, b FROM dp WHERE i = 0), walk AS (SELECT tok, 0::BIGINT AS a, b[1].j AS e, b FROM done UNION ALL SELECT tok, e, b[e + 1].j, b FROM walk WHERE e < length(tok)),
+  found AS (SELECT tok, a, tok[a + 1:e] AS word FROM walk WHERE e - a >= 2 AND regexp_matches(tok[a + 1:e], '[一-龥]') AND tok[a + 1:e] NOT IN ('th病', '病n')),
+  firsts AS (SELECT doc_id, word, min({{'k': k, 'a': a}}) AS f FROM tk JOIN found USING (tok) GROUP BY 1, 2)
+  SELECT doc_id, count(word) AS n, coalesce(string_agg(word, ',' ORDER BY f), '') AS terms FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN firsts USING (doc_id) GROUP BY 1""")
+def segment(spark, d):
+    """K1 with a lexicon of the benchmark's pieces, over whole texts."""
+    zh = lambda c: F.translate(F.lower(c), ZH_FROM, ZH_TO)
+    tok = read(spark, d, "benchmark").select(F.explode(F.split(zh("text"), "\\s+")).alias("t")).where(F.length("t") > 3)
+    pieces = tok.select(F.explode(F.array(*(F.left("t", F.lit(n)) for n in (2, 3, 4)), *(F.right("t", F.lit(n)) for n in (2, 3)))).alias("w"))
+    lexicon = {r["w"]: float(r["n"]) for r in pieces.groupBy("w").agg(F.count("*").alias("n")).collect()}  # the dictionary: pieces of four characters at most
+    docs = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", zh("text").alias("text"))
+    return segmenter.segment(docs, lexicon, ("th病", "病n")).select("doc_id", F.size("terms").cast("long").alias("n"), F.array_join("terms", ",").alias("terms"))
 
 
 @query("SELECT p_partkey AS id, ['心衰', '心力衰竭', 'widget', 'COPD', '慢性阻塞性肺疾病'] AS x, array_to_string(CASE p_partkey % 3 WHEN 0 THEN ['心衰', '心力衰竭', p_type] WHEN 1 THEN ['COPD', '慢性阻塞性肺疾病', p_type] ELSE [p_name, p_type] END, ',') AS terms FROM part".replace("['心衰', '心力衰竭', 'widget', 'COPD', '慢性阻塞性肺疾病'] AS x, ", ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorebase.functions import answers, text
-from lorebase.operators import dataset, dialog, evaluate, feedback, graph, retrieval, structure, tree, web
+from lorebase.operators import dataset, dialog, evaluate, feedback, graph, retrieval, segmenter, structure, tree, web
 from lorebase.sources import io
 from lorebase.streaming import feedback as streams
 
@@ -208,8 +208,8 @@ def test_toc(spark):
 
 def test_segmenter(spark):
     df = spark.createDataFrame([("急性心力衰竭的治疗",)], "text string")
-    assert structure.segment(df, {"急性": 5, "心力衰竭": 9, "心力": 3, "衰竭": 3, "的": 50, "治疗": 8}, ("治疗",)).first().terms == ["急性", "心力衰竭"]
-    assert structure.segment(df).first().terms[:2] == ["急性", "性心"]
+    assert segmenter.segment(df, {"急性": 5, "心力衰竭": 9, "心力": 3, "衰竭": 3, "的": 50, "治疗": 8}, ("治疗",)).first().terms == ["急性", "心力衰竭"]
+    assert segmenter.segment(df).first().terms[:2] == ["急性", "性心"]
 
 
 def test_rewrites(spark):
