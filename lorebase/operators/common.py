@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
@@ -31,6 +31,34 @@ def seeded(seed: int, column: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")))
 
 
+def ranged(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` dealt in ranges of group and order, written, with ``_part`` (the range) and ``_id`` (grows along the order).
+
+    A group of any size is spread over ranges. They are written once, since Spark finds them by sampling.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order).withColumn("_id", F.monotonically_increasing_id())
+    return stored(out.withColumn("_part", F.shiftright("_id", 33)), "ranged")
+
+
+def before(df: DataFrame, group: Sequence[str], what: Column, how: Callable[[Column], Column]) -> DataFrame:
+    """For each range and group of a ``ranged`` table ``_before``: the aggregate ``how`` of ``what`` over the group's earlier ranges.
+
+    One row for a range of a group is kept, so the window is as long as there are ranges.
+    """
+    per = df.groupBy(*group, "_part").agg(how(what).alias("_own"), F.min("_id").alias("_first"))
+    along = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return per.withColumn("_before", (F.sum if how is F.count else how)("_own").over(along)).drop("_own")
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the place of each row in its group by ``order``, from 0, whatever the size of a group; group columns are not null."""
+    dealt = ranged(df, group, order)
+    starts = before(dealt, group, F.lit(1), F.count)
+    out = dealt.join(starts, [*group, "_part"])
+    return out.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_id") - F.col("_first")).drop("_id", "_part", "_first", "_before")
+
+
 #: Bytes of words up to which every task gets them all.
 AUTOMATON_BYTES = 8 << 20
 #: Characters of a word's signature.

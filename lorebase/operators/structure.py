@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lorebase.operators.common import top
+from lorebase.operators.common import before, numbered, ranged, top
 from lorebase.operators.tree import subtree
 from lorebase.workers import ship
 
@@ -283,6 +286,89 @@ def split_passages(df: DataFrame, text: str = "content", ends: str = "。；;！
     return df.select(*[c for c in df.columns if c != text], F.posexplode(pieces).alias("chunk_index", "passage"))
 
 
+#: Ends of sentences in ``passages_of_lines``.
+ENDS = "。；;！？!?"
+
+
+class _Block:
+    """A run of lines as it comes in: whole while short, else packed by sentences; no more than a buffer and an open sentence is held."""
+
+    def __init__(self, ends: str, least: int, most: int, pack: int, floor: int) -> None:
+        self.sentence = re.compile(rf"(?<=[{re.escape(ends)}])\s*", re.ASCII)
+        self.least, self.most, self.pack, self.floor = least, most, pack, floor
+        self.start(None, None)
+
+    def start(self, key: tuple | None, page: int | None) -> None:
+        self.key, self.page, self.open, self.buffer, self.long, self.pieces = key, page, "", "", False, 0
+
+    def add(self, line: str) -> Iterator[tuple]:
+        self.open += line if not self.open else f" {line}"
+        if self.long or len(self.open) > self.most:
+            self.long = True
+            *parts, self.open = self.sentence.split(self.open)
+            for p in parts:
+                yield from self._put(p)
+
+    def _put(self, part: str) -> Iterator[tuple]:
+        if len(self.buffer) + len(part) > self.pack and len(self.buffer) >= self.floor:
+            yield self._row(self.buffer)
+            self.buffer = part
+        else:
+            self.buffer += part
+
+    def _row(self, text: str) -> tuple:
+        self.pieces += 1
+        return (*self.key, self.pieces, self.page, text.strip(" "))
+
+    def end(self) -> Iterator[tuple]:
+        if self.long:
+            yield from self._put(self.open)
+            self.open = self.buffer
+        if self.key is not None and len(self.open.strip(" ")) >= self.least:
+            yield self._row(self.open)
+
+
+def passages_of_lines(lines: DataFrame, ends: str = ENDS, least: int = 20, most: int = 800, pack: int = 500, floor: int = 50) -> DataFrame:
+    """doc_id, chunk_index (from 0), page_no (of the block's first line), passage of lines(doc_id, line_no, page_no, text).
+
+    A block is a run of lines that are not blank, joined by blanks without their own white space at the ends. Blocks under ``least``
+    characters are dropped, up to ``most`` kept; longer ones are split after sentence ends and packed: a buffer of
+    ``floor`` or more is given out where the next part would pass ``pack``, a last one if it has ``least``.
+    A line's block is the last blank line before it, carried over ranges of lines, so a document of any length is spread; lines
+    without doc_id or number are left out, null texts are blank.
+    """
+    ship(lines.sparkSession)
+    bare = lines.where("doc_id IS NOT NULL AND line_no IS NOT NULL").select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("page_no").cast("int").alias("page_no"), F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "").alias("text"))
+    dealt = ranged(bare, ["doc_id"], ["line_no"])
+    blank = F.when(F.col("text") == "", F.col("line_no"))
+    own = F.max(blank).over(Window.partitionBy("_part", "doc_id").orderBy("line_no"))
+    found = dealt.withColumn("_own", own).join(before(dealt, ["doc_id"], blank, F.max), ["doc_id", "_part"])
+    blocks = found.where("text <> ''").select("doc_id", F.coalesce("_own", "_before", F.lit(-(1 << 62))).alias("block"), "line_no", "page_no", "text")
+    kind = to_arrow_type(lines.schema["doc_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Block(ends, least, most, pack, floor)
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["doc_id", "block", "piece", "page_no", "passage"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            doc, at, _, page, text = (c.to_pylist() for c in batch.columns)
+            for i, line in enumerate(text):
+                if (doc[i], at[i]) != block.key:
+                    out += block.end()
+                    block.start((doc[i], at[i]), page[i])
+                out += block.add(line)
+            yield rows(out)
+        yield rows(list(block.end()))
+
+    dealt = blocks.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "line_no")
+    cut = dealt.mapInArrow(run, f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, block long, piece int, page_no int, passage string")
+    return numbered(cut, ["doc_id"], ["block", "piece"], "chunk_index").select("doc_id", "chunk_index", "page_no", "passage")
+
+
 def chunk_sliding(df: DataFrame, text: str = "text", size: int = 500, overlap: int = 50, paragraph: str = "\n{2,}") -> DataFrame:
     """chunk_index, chunk: paragraphs over 20 characters, long ones as windows of ``size`` stepping ``size - overlap``."""
     paras = F.filter(F.transform(F.split(F.col(text), paragraph), lambda x: F.trim(x)), lambda p: F.length(p) > 20)

@@ -259,6 +259,24 @@ def rules_to_markdown(spark, d):
     return structure.rules_to_markdown(r).select("cls", "n", F.md5("text").alias("h"))
 
 
+@query("""WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
+  l AS (SELECT doc_id, k, k // 7 AS page, regexp_replace(CASE WHEN k % 5 = 3 THEN '' ELSE x END, '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT doc_id, unnest([k * 2, k * 2 + 1]) AS k, unnest([x, CASE WHEN k % 3 = 1 THEN '' ELSE 'so: ' || x END]) AS x FROM raw)),
+  b AS (SELECT *, coalesce(max(CASE WHEN t = '' THEN k END) OVER (PARTITION BY doc_id ORDER BY k), -1) AS block FROM l),
+  g AS (SELECT doc_id, block, arg_min(page, k) AS page, string_agg(t, ' ' ORDER BY k) AS t FROM b WHERE t <> '' GROUP BY 1, 2),
+  s AS (SELECT *, string_split(regexp_replace(t, '([.。；;！？!?])\\s*', '\\1' || chr(57344), 'g'), chr(57344)) AS parts FROM g WHERE length(t) > 800),
+  f AS (SELECT doc_id, block, page, list_reduce(list_transform(parts, lambda p: [p]), lambda a, p: CASE WHEN length(a[-1]) + length(p[1]) > 500 AND length(a[-1]) >= 50 THEN a || p ELSE a[:-2] || [a[-1] || p[1]] END) AS out FROM s),
+  u AS (SELECT doc_id, block, 1 AS piece, page, t AS passage FROM g WHERE length(t) BETWEEN 20 AND 800
+    UNION ALL SELECT doc_id, block, i, page, trim(out[i]) FROM (SELECT *, unnest(range(1, len(out) + 1)) AS i FROM f) WHERE i < len(out) OR length(trim(out[i])) >= 20)
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block, piece) - 1 AS chunk_index, page AS page_no, passage FROM u""")
+def passages_of_lines(spark, d):
+    """Every line of all documents twice, some made blank, seven to a page."""
+    raw = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "x"))
+    both = raw.select("doc_id", F.explode(F.array(F.struct((F.col("k") * 2).alias("k"), "x"), F.struct((F.col("k") * 2 + 1).alias("k"), F.when(F.col("k") % 3 == 1, "").otherwise(F.concat(F.lit("so: "), "x")).alias("x")))).alias("l"))
+    text = F.when(F.col("l.k") % 5 == 3, "").otherwise(F.col("l.x"))
+    lines = both.select("doc_id", F.col("l.k").alias("line_no"), F.floor(F.col("l.k") / 7).alias("page_no"), text.alias("text"))
+    return structure.passages_of_lines(lines, "." + structure.ENDS)
+
+
 # ---- keywords and questions ----------------------------------------------------------------------------------
 
 ZH_FROM, ZH_TO = "aeiou", "病痛的药热"
