@@ -60,43 +60,104 @@ def hit_rate_mrr(ranked: DataFrame, k: int = 5, by: tuple[str, ...] = ()) -> Dat
     return per.groupBy(*by).agg(F.round(F.avg(F.col("first").isNotNull().cast("int")), 3).alias("hit_rate"), F.round(F.avg(F.when(F.col("first") <= k, 1 / F.col("first")).otherwise(0.0)), 4).alias("mrr"))
 
 
+def fusion_facts(channels: DataFrame, texts: DataFrame, expected: DataFrame) -> DataFrame:
+    """What a fusion needs of every candidate, whatever its parameters: a row for each query with arrays over its candidates.
+
+    query_id, expected; ids, books; pairs of (candidate, channel, rank); firsts (place of each candidate by its first channel and
+    rank, then id); alike (pairs of candidates of which prefix deduplication keeps one). A query's candidates are
+    what its channels found, a few dozen. Texts are compared here, once, and go no further.
+    """
+    per = channels.groupBy("query_id", "id").agg(F.collect_list(F.struct("channel", "rank")).alias("ranks"), F.min(F.struct("channel", "rank")).alias("first"))
+    rows = per.join(texts.select("id", "book", "content"), "id")
+    names = [r["channel"] for r in channels.select("channel").distinct().orderBy("channel").collect()]  # a handful of channels
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        order = sorted(range(len(group)), key=lambda i: (group["first"].iloc[i]["channel"], group["first"].iloc[i]["rank"], group["id"].iloc[i]))
+        g = group.iloc[order]
+        text = g["content"].tolist()
+        alike = [[i, j] for j in range(len(text)) for i in range(j) if _alike(text[i], text[j])]
+        found = [[i, names.index(r["channel"]), int(r["rank"])] for i, ranks in enumerate(g["ranks"]) for r in ranks]
+        return pd.DataFrame({"query_id": g["query_id"].iloc[:1], "books": [[b or "其他" for b in g["book"]]], "ranks": [found], "alike": [alike]})
+
+    kind = channels.schema["query_id"].dataType.simpleString()
+    ship(channels.sparkSession)
+    facts = rows.groupBy("query_id").applyInPandas(run, f"query_id {kind}, books array<string>, ranks array<array<int>>, alike array<array<int>>")
+    return expected.join(facts, "query_id", "left").withColumn("channels", F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"))
+
+
+def _alike(a: str | None, b: str | None) -> bool:
+    """R11's test of two texts."""
+    if a is None or b is None:
+        return False
+    n = min(len(a), len(b))
+    return n >= 10 and a[: n * 6 // 10 + 1] == b[: n * 6 // 10 + 1]
+
+
+def _replay(facts: dict, weights: Mapping[str, float], k: int, limit: int) -> int | None:
+    """Rank of the first row of the expected book after fusion, quota and deduplication; None without one."""
+    books, names = facts["books"], facts["channels"]
+    if books is None:
+        return None
+    score, used = [0.0] * len(books), [False] * len(books)
+    first: list[tuple | None] = [None] * len(books)
+    for i, c, rank in sorted(map(tuple, facts["ranks"])):
+        w = weights.get(names[c], 1.0)
+        if w > 0:
+            score[i] += w / (k + rank)
+            used[i] = True
+            first[i] = min(first[i] or (c, rank), (c, rank))
+    order = sorted((i for i in range(len(books)) if used[i]), key=lambda i: (-round(score[i], 6), first[i], i))
+    near: dict[int, set[int]] = {}
+    for i, j in facts["alike"]:
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    cap, taken, kept = max(2, -(-limit // 2)), {}, []
+    for i in order:
+        taken[books[i]] = taken.get(books[i], 0) + 1
+        if taken[books[i]] <= cap and not near.get(i, set()) & set(kept):
+            kept.append(i)
+    return next((n for n, i in enumerate(kept[:20], 1) if books[i] == facts["expected"]), None)
+
+
+def replayed(facts: DataFrame, params: Sequence[tuple[Mapping[str, float], int]], limit: int = 5) -> DataFrame:
+    """param, hit_rate, mrr of every (weights, k) over ``fusion_facts``, in one job: each query is replayed for all of them in its task."""
+    chosen = [(dict(w), k) for w, k in params]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = f.to_dict("records")
+            firsts = [(p, _replay(r, w, k, limit)) for r in rows for p, (w, k) in enumerate(chosen)]
+            yield pd.DataFrame({"param": [p for p, _ in firsts], "first": pd.array([n for _, n in firsts], "Int64")})
+
+    per = facts.mapInPandas(run, "param int, first long")
+    hit = F.round(F.avg(F.col("first").isNotNull().cast("int")), 3)
+    return per.groupBy("param").agg(hit.alias("hit_rate"), F.round(F.avg(F.when(F.col("first") <= 5, 1 / F.col("first")).otherwise(0.0)), 4).alias("mrr"))
+
+
 def fusion_grid(channels: DataFrame, texts: DataFrame, expected: DataFrame, params: Sequence[tuple[Mapping[str, float], int]], limit: int = 5) -> DataFrame:
-    """Param, hit_rate, mrr of every (weights, k): fusion, quota, deduplication and metrics replayed in one job.
+    """Param, hit_rate, mrr of every (weights, k): fusion, quota, deduplication and metrics replayed from the same facts of each query."""
+    return replayed(fusion_facts(channels, texts, expected), params, limit)
+
+
+def tune_fusion(channels: DataFrame, texts: DataFrame, expected: DataFrame, rounds: int = 3, limit: int = 5) -> tuple[dict[str, float], int, tuple[float, float], list[dict]]:
+    """Weights, k and (hit rate, MRR) after coordinate descent, and its steps (round, coordinate, value, hit_rate, mrr).
 
-    Each candidate row is repeated once per parameter set; all windows are keyed by (param, query_id).
+    The facts of the queries are computed once and written; each coordinate is a job over them for its whole grid. The first value
+    in a grid that is better (hit rate, then MRR) than all before is taken; a round that improves nothing is the last.
     """
-    scored = channels.withColumn("param", F.explode(F.sequence(F.lit(0), F.lit(len(params) - 1))))
-    names = sorted({c for w, _ in params for c in w})
-    weight = F.element_at(F.array(*(F.create_map(*(F.lit(x) for n in names for x in (n, float(w.get(n, 1.0))))) for w, _ in params)), F.col("param") + 1)
-    constant = F.element_at(F.array(*(F.lit(k) for _, k in params)), F.col("param") + 1)
-    used = scored.withColumn("_w", F.coalesce(F.try_element_at(weight, F.col("channel")), F.lit(1.0))).where("_w > 0")
-    fused = used.groupBy("param", "query_id", "id").agg(F.round(F.sum(F.col("_w") / (constant + F.col("rank"))), 6).alias("score"), F.min(F.struct("channel", "rank")).alias("_first"))
-    by = ("param", "query_id")
-    fused = fused.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "_first", "id"))).join(texts.select("id", "book", "content"), "id")
-    kept = prefix_dedup(book_quota(fused, limit, by), by).join(texts.select("id", "book"), "id")
-    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("rank")))
-    everyone = expected.withColumn("param", F.explode(F.sequence(F.lit(0), F.lit(len(params) - 1))))
-    return hit_rate_mrr(everyone.join(kept.select("param", "query_id", "rank", "book"), ["param", "query_id"], "left"), by=("param",))
-
-
-def tune_fusion(channels: DataFrame, texts: DataFrame, expected: DataFrame, rounds: int = 3, limit: int = 5) -> tuple[dict[str, float], int, tuple[float, float]]:
-    """Weights, k and (hit rate, MRR) after coordinate descent: one job per coordinate over its grid on a cached channel table."""
-    channels, texts = channels.cache(), texts.cache()
-    weights, k, best = dict(WEIGHTS), RRF_K, (-1.0, -1.0)
-    try:
-        for _ in range(rounds):
-            before = best
-            for name in (*WEIGHTS, None):
-                tries = [({**weights, name: w}, k) for w in WEIGHT_GRID] if name else [(weights, x) for x in K_GRID]
-                for row in sorted(fusion_grid(channels, texts, expected, tries, limit).collect(), key=lambda r: r["param"]):  # a row per grid point
-                    if (found := (row["hit_rate"], row["mrr"])) > best:
-                        best, (weights, k) = found, tries[row["param"]]
-            if best == before:
-                break
-    finally:
-        channels.unpersist()
-        texts.unpersist()
-    return weights, k, best
+    facts = stored(fusion_facts(channels, texts, expected), "fusion-facts")
+    weights, k, best, steps = dict(WEIGHTS), RRF_K, (-1.0, -1.0), []
+    for n in range(1, rounds + 1):
+        before = best
+        for name in (*WEIGHTS, None):
+            tries = [({**weights, name: w}, k) for w in WEIGHT_GRID] if name else [(weights, x) for x in K_GRID]
+            for row in sorted(replayed(facts, tries, limit).collect(), key=lambda r: r["param"]):  # a row per grid point
+                if (found := (row["hit_rate"], row["mrr"])) > best:
+                    best, (weights, k) = found, tries[row["param"]]
+            steps.append({"round": n, "coordinate": name or "k", "value": float(weights[name] if name else k), "hit_rate": best[0], "mrr": best[1]})
+        if best == before:
+            break
+    return weights, k, best, steps
 
 
 def verdict_accuracy(rows: DataFrame, by: Sequence[str] = ("model", "slice")) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lorebase.workers import ship
@@ -205,3 +205,10 @@ def embed(df: DataFrame, fn: Callable[[list[str]], list[list[float] | None]], ba
 
     ship(df.sparkSession)
     return df.select("id", "text").mapInPandas(run, f"id {df.schema['id'].dataType.simpleString()}, vec array<float>, state string")
+
+
+def embed_counted(df: DataFrame, fn: Callable[[list[str]], list[list[float] | None]], batch: int = 16, prefix: str = "") -> tuple[DataFrame, Observation]:
+    """the rows of ``embed``, and an observation that gives ``ok``, ``failed`` and ``skipped`` once an action has made them all: no second call of ``fn``."""
+    seen = Observation()
+    rows = embed(df, fn, batch, prefix)
+    return rows.observe(seen, *(F.count_if(F.col("state") == s).alias(s) for s in ("ok", "failed", "skipped"))), seen

@@ -37,13 +37,13 @@ def set_enabled(spark, d):
 # ---- web and answers -----------------------------------------------------------------------------------------
 
 
-@query("""WITH p AS (SELECT page_id % 20 AS query_id, page_id AS ord, url, html[1:300] AS snippet, q.embedding AS qvec, t.embedding AS tvec FROM pages LEFT JOIN embeddings q ON q.vec_id = page_id % 20 AND page_id % 2 = 1 LEFT JOIN embeddings t ON t.vec_id = page_id),
+@query("""WITH p AS (SELECT page_id % 20 AS query_id, page_id AS ord, url, html AS snippet, q.embedding AS qvec, t.embedding AS tvec FROM pages LEFT JOIN embeddings q ON q.vec_id = page_id % 20 AND page_id % 2 = 1 LEFT JOIN embeddings t ON t.vec_id = page_id),
   s AS (SELECT *, len(list_filter(['example', '.org', 'lang="en"', 'utm_'], lambda w: contains(url || snippet, w))) AS hits FROM p),
   c AS (SELECT query_id, ord, round(CASE WHEN qvec IS NOT NULL THEN coalesce(list_cosine_similarity(qvec::DOUBLE[], tvec::DOUBLE[]), 0) WHEN hits > 0 THEN 0.5 + least(hits / 3.0, 0.4) ELSE 0 END, 6) AS sim FROM s)
   SELECT query_id, ord, sim::DOUBLE AS sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, ord) AS rank FROM c WHERE sim >= 0.1""")
 def filter_relevance(spark, d):
     e = read(spark, d, "embeddings")
-    rows = read(spark, d, "pages").select((F.col("page_id") % 20).alias("query_id"), F.col("page_id").alias("ord"), F.col("url").alias("title"), F.left("html", F.lit(300)).alias("snippet"))
+    rows = read(spark, d, "pages").select((F.col("page_id") % 20).alias("query_id"), F.col("page_id").alias("ord"), F.col("url").alias("title"), F.col("html").alias("snippet"))
     rows = rows.join(e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qvec")), (F.col("q") == F.col("query_id")) & (F.col("ord") % 2 == 1), "left").join(e.select(F.col("vec_id").alias("t"), F.col("embedding").alias("tvec")), F.col("t") == F.col("ord"), "left")
     return web.filter_relevance(rows.withColumn("terms", F.array(*map(F.lit, ("example", ".org", 'lang="en"', "utm_")))), 0.1).select("query_id", "ord", "sim", "rank")
 
@@ -153,11 +153,15 @@ def new_passages(spark, d):
     return feedback.new_passages(p, p.where("id % 3 = 0")).select("id")
 
 
-@query("""SELECT doc_id AS id, CASE WHEN length(trim(coalesce(text, '')[1:2000])) < 4 THEN 'skipped' ELSE 'ok' END AS state, CASE WHEN length(trim(coalesce(text, '')[1:2000])) < 4 THEN NULL ELSE length(trim(coalesce(text, '')[1:2000])[1:500]) END AS n FROM documents""")
+#: White space as Python strips it.
+BLANKS = "' ' || " + " || ".join(f"chr({n})" for n in (9, 10, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+
+
+@query(f"""SELECT doc_id AS id, CASE WHEN length(t) < 4 THEN 'skipped' ELSE 'ok' END AS state, CASE WHEN length(t) >= 4 THEN length(t[1:500]) END AS n, CASE WHEN length(t) >= 4 THEN unicode(t[1]) END AS first, CASE WHEN length(t) >= 4 THEN unicode(t[1:500][-1]) END AS last FROM (SELECT doc_id, trim(coalesce(text, ''), {BLANKS}) AS t FROM documents)""")
 def embed(spark, d):
-    texts = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.trim(F.left(F.coalesce("text", F.lit("")), F.lit(2000))).alias("text"))
-    out = feedback.embed(texts, lambda batch: [[float(len(t)), 1.0] for t in batch])
-    return out.select("id", "state", F.get("vec", F.lit(0)).cast("long").alias("n"))
+    """Vectors of a stub: the length and the outer characters of what it was given."""
+    out = feedback.embed(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), lambda batch: [[float(len(t)), float(ord(t[0])), float(ord(t[-1]))] for t in batch])
+    return out.select("id", "state", *(F.get("vec", F.lit(i)).cast("long").alias(c) for i, c in enumerate(("n", "first", "last"))))
 
 
 # ---- evaluation ----------------------------------------------------------------------------------------------
@@ -214,14 +218,13 @@ def citation_presence(spark, d):
     return evaluate.citation_presence(read(spark, d, "conversations").select(F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("model"), F.concat("text", F.when(F.col("turn") % 2 == 1, "[参考 3]").otherwise("")).alias("answer")))
 
 
-@query("""WITH c AS (SELECT item_id AS case_id, [text[1:3], 'zzz'] AS keywords FROM benchmark), r AS (SELECT 'e' || doc_id % 3 AS engine, doc_id % (SELECT count(*) FROM benchmark) AS case_id, text[1:400] AS path FROM documents),
+@query("""WITH c AS (SELECT item_id AS case_id, [text[1:6], 'zzz'] AS keywords FROM benchmark), r AS (SELECT 'e' || doc_id % 3 AS engine, doc_id % (SELECT count(*) FROM benchmark) AS case_id, text AS path FROM documents),
   h AS (SELECT engine, case_id, max((contains(path, keywords[1]) OR contains(path, keywords[2]))::INT) AS hit FROM r JOIN c USING (case_id) GROUP BY 1, 2)
   SELECT engine, coalesce(sum(hit), 0)::BIGINT AS passed, round(coalesce(sum(hit), 0) / (SELECT count(*) FROM c), 6) AS rate FROM (SELECT DISTINCT engine FROM r) LEFT JOIN h USING (engine) GROUP BY 1""")
 def path_recall(spark, d):
     b = read(spark, d, "benchmark")
-    docs = read(spark, d, "documents").join(b.agg(F.count("*").alias("n")))
-    r = docs.select(F.concat(F.lit("e"), (F.col("doc_id") % 3).cast("string")).alias("engine"), (F.col("doc_id") % F.col("n")).alias("case_id"), F.left("text", F.lit(400)).alias("path"))
-    return evaluate.path_recall(r, b.select(F.col("item_id").alias("case_id"), F.array(F.left("text", F.lit(3)), F.lit("zzz")).alias("keywords")))
+    r = read(spark, d, "documents").select(F.concat(F.lit("e"), (F.col("doc_id") % 3).cast("string")).alias("engine"), (F.col("doc_id") % b.count()).alias("case_id"), F.col("text").alias("path"))
+    return evaluate.path_recall(r, b.select(F.col("item_id").alias("case_id"), F.array(F.left("text", F.lit(6)), F.lit("zzz")).alias("keywords")))
 
 
 @query(f"""WITH {TOP5}, g AS (SELECT DISTINCT vec_id AS case_id, 'b' || label % 3 AS expected_path FROM embeddings WHERE vec_id % 20 = 0 OR vec_id < 7), f AS (SELECT t.query_id AS case_id, 'b' || e.label AS path, t.similarity FROM top5 t JOIN embeddings e ON e.vec_id = t.id WHERE rank = 1),
@@ -298,11 +301,11 @@ def checklist_qa(spark, d):
     return dataset.checklist_qa(p)
 
 
-@query("""SELECT doc_id, 'answer from the sources' AS instruction, md5('c' || doc_id || chr(10) || chr(10) || '问题：' || text[1:doc_id % 9]) AS h, md5(text) AS o FROM documents WHERE length(text[1:doc_id % 9]) >= 5 AND length(text) >= 20""")
+@query("""SELECT doc_id, 'answer from the sources' AS instruction, md5('c' || doc_id || chr(10) || chr(10) || '问题：' || q) AS h, md5(text) AS o FROM (SELECT *, CASE WHEN doc_id % 9 = 0 THEN text[1:4] ELSE text END AS q FROM documents) WHERE length(q) >= 5 AND length(text) >= 20""")
 def rag_samples(spark, d):
     docs = read(spark, d, "documents")
     contexts = docs.select("doc_id", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("context"))
-    qa = docs.select("doc_id", F.left("text", (F.col("doc_id") % 9).cast("int")).alias("question"), F.col("text").alias("answer"))
+    qa = docs.select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.left("text", F.lit(4))).otherwise(F.col("text")).alias("question"), F.col("text").alias("answer"))
     out = dataset.rag_samples(contexts.withColumn("key", F.col("doc_id")), qa, "answer from the sources")
     return out.select(F.regexp_extract("input", "^c([0-9]+)\n", 1).cast("long").alias("doc_id"), "instruction", F.md5("input").alias("h"), F.md5("output").alias("o"))
 
@@ -435,7 +438,7 @@ def resolve_edges(spark, d):
 def rule_entity_map(spark, d):
     rules = read(spark, d, "orders").select(F.col("o_orderpriority").alias("note_qc_code"), (F.col("o_custkey") % 60).alias("doc_id"))
     e = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("doc_id"))
-    known = rules.where("note_qc_code LIKE '1%'").select("note_qc_code").distinct().join(e.where("id % 2 = 0").select(F.col("id").alias("entity_id")))
+    known = rules.where("note_qc_code LIKE '1%'").distinct().join(e.where("id % 2 = 0"), "doc_id").select("note_qc_code", F.col("id").alias("entity_id")).distinct()
     return graph.rule_entity_map(rules, e, known)
 
 

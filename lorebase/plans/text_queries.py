@@ -65,14 +65,14 @@ def read_json_map(spark, d):
     return io.read_json_map(spark, path, "struct<number:long,nation:long>").select("key", "value.number", "value.nation")
 
 
-@query("SELECT count(*) AS files, sum(n)::BIGINT AS lines, sum(c)::BIGINT AS chars FROM (SELECT source, count(*) AS n, sum(length(text) + 1) AS c FROM documents WHERE source IS NOT NULL GROUP BY 1)")
+@query("SELECT source, true AS named, md5(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS h FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def read_books(spark, d):
+    """A file for each source, read back whole; its title is its name."""
     path = _folder(spark, "books")
     docs = read(spark, d, "documents").where("source IS NOT NULL").select("source", F.coalesce("text", F.lit("")).alias("value"), "doc_id")
     docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
-    books = io.read_books(spark, f"{path}/*")
-    n = docs.agg(F.count("*").alias("lines"))
-    return books.agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars")).join(n).select("files", "lines", "chars")
+    named = F.concat("title", F.lit(".txt")) == F.element_at(F.split("path", "/"), -1)
+    return io.read_books(spark, f"{path}/*").select(F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source"), named.alias("named"), F.md5("text").alias("h"))
 
 
 @query("SELECT 'r' || p_partkey AS path, 'C' || p_partkey AS code, p_name AS name, p_type || chr(10) || '要点 ' || p_brand AS body FROM part")
@@ -102,16 +102,20 @@ def parse_claim_blocks(spark, d):
 
 # ---- lines and headings --------------------------------------------------------------------------------------
 
+#: Whole lines of all documents with made-up headings on lines of their own: eleven lines for eight, a chapter, a section and a point.
 BOOK = """raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
-  lines AS (SELECT doc_id, k::INT AS line_no, (k // 20)::INT AS page_no, CASE k % 8 WHEN 0 THEN '第' || (k // 8 + 1) || '章 ' || x[1:20] WHEN 2 THEN '第' || (k // 8 + 1) || '节 ' || x[1:20] WHEN 4 THEN (k // 8 + 1) || '. ' || x[1:20] ELSE x END AS text FROM raw)"""
+  placed AS (SELECT *, k + k // 8 * 3 + (k % 8 > 0)::INT + (k % 8 > 2)::INT + (k % 8 > 4)::INT AS place, CASE k % 8 WHEN 0 THEN '第' || (k // 8 + 1) || '章 总论' WHEN 2 THEN '第' || (k // 8 % 3 + 1) || '节 要点' WHEN 4 THEN (k // 8 + 1) || '. 小结' END AS head FROM raw),
+  lines AS (SELECT doc_id, line_no::INT AS line_no, (line_no // 20)::INT AS page_no, text FROM (SELECT doc_id, place AS line_no, head AS text FROM placed WHERE head IS NOT NULL UNION ALL SELECT doc_id, place + (head IS NOT NULL)::INT, x FROM placed))"""
 
 
 def _lines(spark, d):
     raw = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "x"))
-    n = (F.floor(F.col("k") / 8) + 1).cast("string")
-    start = F.left("x", F.lit(20))
-    made = F.when(F.col("k") % 8 == 0, F.concat(F.lit("第"), n, F.lit("章 "), start)).when(F.col("k") % 8 == 2, F.concat(F.lit("第"), n, F.lit("节 "), start)).when(F.col("k") % 8 == 4, F.concat(n, F.lit(". "), start)).otherwise(F.col("x"))
-    return raw.select("doc_id", F.col("k").alias("line_no"), F.floor(F.col("k") / 20).cast("int").alias("page_no"), made.alias("text"))
+    k, eight = F.col("k"), F.floor(F.col("k") / 8)
+    said = lambda n, start, end: F.concat(F.lit(start), n.cast("string"), F.lit(end))
+    head = F.when(k % 8 == 0, said(eight + 1, "第", "章 总论")).when(k % 8 == 2, said(eight % 3 + 1, "第", "节 要点")).when(k % 8 == 4, said(eight + 1, "", ". 小结"))
+    at = k + eight * 3 + sum((k % 8 > n).cast("int") for n in (0, 2, 4))
+    placed = raw.select("doc_id", at.alias("at"), F.filter(F.array(head, "x"), lambda t: t.isNotNull()).alias("texts"))
+    return placed.select("doc_id", "at", F.posexplode("texts").alias("i", "text")).select("doc_id", (F.col("at") + F.col("i")).cast("int").alias("line_no"), F.floor((F.col("at") + F.col("i")) / 20).cast("int").alias("page_no"), "text")
 
 
 HEAD = "CASE WHEN length(trim(text)) BETWEEN 1 AND 60 THEN CASE WHEN trim(text) SIMILAR TO '第[0-9]+章.*' THEN 1 WHEN trim(text) SIMILAR TO '第[0-9]+节.*' THEN 2 WHEN length(trim(text)) <= 30 AND regexp_matches(trim(text), '^[0-9０-９]{1,3}[.．、]\\s*\\S') THEN CASE WHEN regexp_matches(trim(text), '^[0-9０-９]{1,3}[.．、][0-9０-９]{1,3}') THEN 2 ELSE 1 END WHEN regexp_matches(trim(text), '^#\\s+\\S') THEN 1 END END"
@@ -183,16 +187,16 @@ def infer_toc_levels(spark, d):
     return structure.infer_toc_levels(read(spark, d, "part").select(F.col("p_size").alias("doc_id"), F.col("p_partkey").alias("ord"), title.alias("title"))).select("doc_id", "ord", "title", "level")
 
 
-@query(f"""WITH {BOOK}, heads AS (SELECT doc_id, line_no, line_no // 4 AS ord, text AS title, CASE line_no % 8 WHEN 0 THEN 1 ELSE 2 END AS level, page_no FROM lines WHERE line_no % 8 IN (0, 4)),
+@query(f"""WITH {BOOK}, heads AS (SELECT doc_id, line_no, (line_no // 11 * 2 + (line_no % 11 = 6)::INT)::INT AS ord, text AS title, CASE line_no % 11 WHEN 0 THEN 1 ELSE 2 END AS level, page_no FROM lines WHERE line_no % 11 IN (0, 6)),
   n AS (SELECT *, regexp_replace(title, '[\\s.．·…|｜\\-—（）()]', '', 'g') AS t FROM heads), m AS (SELECT * FROM n WHERE length(t) >= 3 AND length(trim(title)) BETWEEN 2 AND 60), c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS until FROM m),
   b AS (SELECT c.doc_id, c.ord, c.title, c.level, c.line_no AS start_line, c.page_no, md5(coalesce(trim(string_agg(l.text, chr(10) ORDER BY l.line_no), ' ' || chr(10) || chr(9) || chr(13)), '')) AS h, length(coalesce(trim(string_agg(l.text, chr(10) ORDER BY l.line_no), ' ' || chr(10) || chr(9) || chr(13)), '')) AS len
     FROM c LEFT JOIN lines l ON l.doc_id = c.doc_id AND l.line_no > c.line_no AND (until IS NULL OR l.line_no < until) WHERE n >= 3 GROUP BY ALL),
   k AS (SELECT *, max(CASE WHEN level = 1 THEN ord END) OVER (PARTITION BY doc_id ORDER BY start_line) AS up FROM b)
   SELECT doc_id, ord, title, level, CASE WHEN level = 2 THEN up END AS parent_ord, start_line, page_no, h FROM k WHERE level = 1 OR len >= 20""")
 def split_by_toc(spark, d):
-    """The headings of the first and fifth lines as entries that name their pages; each must be found in its own line."""
+    """The chapters and points as entries that name their pages; each must be found in its own line."""
     lines = _lines(spark, d)
-    entries = lines.where("line_no % 8 IN (0, 4)").select("doc_id", F.floor(F.col("line_no") / 4).cast("int").alias("ord"), F.col("text").alias("title"), F.when(F.col("line_no") % 8 == 0, 1).otherwise(2).alias("level"), F.col("page_no").alias("target"))
+    entries = lines.where("line_no % 11 IN (0, 6)").select("doc_id", (F.floor(F.col("line_no") / 11) * 2 + (F.col("line_no") % 11 == 6).cast("int")).cast("int").alias("ord"), F.col("text").alias("title"), F.when(F.col("line_no") % 11 == 0, 1).otherwise(2).alias("level"), F.col("page_no").alias("target"))
     return structure.split_by_toc(entries, lines).select("doc_id", "ord", "title", "level", "parent_ord", "start_line", "page_no", F.md5("content").alias("h"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,15 +29,59 @@ def read_kb(spark: SparkSession, path: str, names: list[str] | None = None, only
     return {n: df.where("enabled") if only_enabled else df for n, df in out.items()}
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of JSON lines, blank lines skipped, and the lines that are malformed (column line)."""
+#: Columns by which tables are read in parts, where that is not id.
+PARTITION_COLUMNS = {"rule_doc_map": "doc_id"}
+
+
+def read_kb_jdbc(spark: SparkSession, url: str, names: list[str] | None = None, only_enabled: bool = True, partitions: int = 8, options: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The same tables from a database, each read by ``partitions`` tasks in ranges of its id, the bounds of which the database gives.
+
+    Columns have the types of ``SCHEMAS``: arrays as the database has them, or from JSON text where it has none; missing columns are
+    null. Filters and columns that follow go to the database. An empty table is read by one task.
+    """
+    source = lambda: spark.read.format("jdbc").option("url", url).options(**(options or {}))
+    out = {}
+    for n in names or SCHEMAS:
+        by = PARTITION_COLUMNS.get(n, "id")
+        least, most = source().option("query", f'SELECT MIN("{by}") AS "least", MAX("{by}") AS "most" FROM "{n}"').load().first()
+        table = source().option("dbtable", f'"{n}"').option("fetchsize", "10000")
+        if least is not None:
+            table = table.option("partitionColumn", f'"{by}"').option("lowerBound", str(least)).option("upperBound", str(most + 1)).option("numPartitions", str(partitions))
+        df = table.load()
+        kinds = T.StructType.fromDDL(SCHEMAS[n]).fields
+        typed = df.select(*(_typed(df, f).alias(f.name) for f in kinds))
+        out[n] = typed.where("enabled") if only_enabled and "enabled" in typed.columns else typed
+    return out
+
+
+def _typed(df: DataFrame, field: T.StructField) -> Column:
+    if field.name not in df.columns:
+        return F.lit(None).cast(field.dataType)
+    if isinstance(field.dataType, T.ArrayType) and isinstance(df.schema[field.name].dataType, T.StringType):
+        return F.from_json(field.name, field.dataType)
+    return F.col(field.name).cast(field.dataType)
+
+
+def _parsed_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, Column]:
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     kind = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("_corrupt_record", T.StringType())])
-    parsed = lines.select("value", F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("r"))
-    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+    return lines.select("value", F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("r")), F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON lines, blank lines skipped, and the lines that are malformed (column line)."""
+    parsed, bad = _parsed_lines(spark, path, schema)
     return parsed.where(~bad).select("r.*").drop("_corrupt_record"), parsed.where(bad).select(F.col("value").alias("line"))
 
 
+def read_jsonl_counted(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, Observation]:
+    """Rows of JSON lines, and an observation that gives ``rows`` and ``malformed`` once an action has read them all, in that same pass."""
+    parsed, bad = _parsed_lines(spark, path, schema)
+    seen = Observation()
+    counted = parsed.observe(seen, F.count_if(~bad).alias("rows"), F.count_if(bad).alias("malformed"))
+    return counted.where(~bad).select("r.*").drop("_corrupt_record"), seen
+
+
 def write_jsonl(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """One JSON object per line, partitioned by columns if asked; characters stay as they are."""
     (df.write.partitionBy(*by) if by else df.write).mode("overwrite").json(path)
