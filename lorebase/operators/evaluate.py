@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions.answers import parse_verdict
 from lorebase.operators.common import top
-from lorebase.operators.retrieval import RRF_K, WEIGHTS, book_quota, prefix_dedup
+from lorebase.operators.retrieval import RRF_K, WEIGHTS
+from lorebase.workers import ship, stored
 
 # The grid of the tuning, channel by channel, then the constant.
 WEIGHT_GRID = (0.0, 0.3, 0.5, 0.8, 1.0, 1.2, 1.5, 2.0)
@@ -63,17 +66,16 @@ def hit_rate_mrr(ranked: DataFrame, k: int = 5, by: tuple[str, ...] = ()) -> Dat
 def fusion_facts(channels: DataFrame, texts: DataFrame, expected: DataFrame) -> DataFrame:
     """What a fusion needs of every candidate, whatever its parameters: a row for each query with arrays over its candidates.
 
-    query_id, expected; ids, books; pairs of (candidate, channel, rank); firsts (place of each candidate by its first channel and
-    rank, then id); alike (pairs of candidates of which prefix deduplication keeps one). A query's candidates are
-    what its channels found, a few dozen. Texts are compared here, once, and go no further.
+    query_id, expected, channels (names), books (of the candidates by id), ranks (candidate, channel, rank) and alike (pairs of
+    candidates of which prefix deduplication keeps one). A query's candidates are what its channels found, a few dozen, and
+    meet in one group. Texts are compared here, once, and go no further.
     """
-    per = channels.groupBy("query_id", "id").agg(F.collect_list(F.struct("channel", "rank")).alias("ranks"), F.min(F.struct("channel", "rank")).alias("first"))
+    per = channels.groupBy("query_id", "id").agg(F.collect_list(F.struct("channel", "rank")).alias("ranks"))
     rows = per.join(texts.select("id", "book", "content"), "id")
     names = [r["channel"] for r in channels.select("channel").distinct().orderBy("channel").collect()]  # a handful of channels
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(range(len(group)), key=lambda i: (group["first"].iloc[i]["channel"], group["first"].iloc[i]["rank"], group["id"].iloc[i]))
-        g = group.iloc[order]
+        g = group.sort_values("id")
         text = g["content"].tolist()
         alike = [[i, j] for j in range(len(text)) for i in range(j) if _alike(text[i], text[j])]
         found = [[i, names.index(r["channel"]), int(r["rank"])] for i, ranks in enumerate(g["ranks"]) for r in ranks]
@@ -96,7 +98,7 @@ def _alike(a: str | None, b: str | None) -> bool:
 def _replay(facts: dict, weights: Mapping[str, float], k: int, limit: int) -> int | None:
     """Rank of the first row of the expected book after fusion, quota and deduplication; None without one."""
     books, names = facts["books"], facts["channels"]
-    if books is None:
+    if not isinstance(books, (list, np.ndarray)):  # no candidates
         return None
     score, used = [0.0] * len(books), [False] * len(books)
     first: list[tuple | None] = [None] * len(books)

@@ -519,15 +519,6 @@ def model_distribution(spark, d):
     return evaluate.model_distribution(read(spark, d, "conversations").select(F.when(F.col("turn") % 3 != 0, F.col("role")).alias("model")))
 
 
-@query()
-def fusion_grid(spark, d):
-    """The operator's whole grid: each of the four channels' weights in turn, then the constants."""
-    v, q = vectors(spark, d), vector_queries(spark, d)
-    texts = v.select("id", F.col("doc_id").cast("string").alias("book"), F.concat(F.lit("passage "), F.col("id").cast("string")).alias("content"))
-    expected = q.select("query_id", F.col("label").cast("string").alias("expected"))
-    return evaluate.fusion_grid(_four_channels(spark, d), texts, expected, FUSION_SETS)
-
-
 def _four_channels(spark, d):
     v, q = vectors(spark, d), vector_queries(spark, d)
     name = lambda c: F.concat(F.lit("book "), F.col(c).cast("string"))
@@ -536,10 +527,6 @@ def _four_channels(spark, d):
     return _channels(spark, d).unionByName(titles.select("query_id", F.lit("title").alias("channel"), "rank", "id"))
 
 
-#: Sets of (weights, constant): one weight, or the constant, away from its fixed value.
-FUSION_SETS = [({**retrieval.WEIGHTS, c: w}, retrieval.RRF_K) for c in retrieval.WEIGHTS for w in evaluate.WEIGHT_GRID] + [(retrieval.WEIGHTS, k) for k in evaluate.K_GRID]
-
-
 # ---- training data and health --------------------------------------------------------------------------------
 
 

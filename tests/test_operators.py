@@ -246,7 +246,7 @@ def test_evaluation(spark):
     ch = spark.createDataFrame([(1, "vector", 1, 1), (1, "keyword", 1, 2)], "query_id int, channel string, rank int, id int")
     texts = spark.createDataFrame([(1, "wrong", "t1"), (2, "right", "t2")], "id int, book string, content string")
     want = spark.createDataFrame([(1, "right")], "query_id int, expected string")
-    weights, _, best = evaluate.tune_fusion(ch, texts, want, rounds=1)
+    weights, _, best, _ = evaluate.tune_fusion(ch, texts, want, rounds=1)
     assert best == (1.0, 1.0) and weights["vector"] < weights["keyword"]
     prf = evaluate.extraction_prf(spark.createDataFrame([(1, "白细胞计数", 5.2), (1, "x", 1.0)], "item_id int, name string, value double"), spark.createDataFrame([(1, "白细胞", 5.0)], "item_id int, name string, value double")).first()
     assert (prf.precision, prf.recall, prf.exact) == (0.5, 1.0, False)

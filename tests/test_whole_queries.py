@@ -6,6 +6,8 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from lorebase.operators import evaluate, retrieval
 from lorebase.plans import queries
@@ -95,3 +97,23 @@ def test_fusion_grid_has_the_whole_grid(spark):
     assert sorted(r.param for r in got) == list(range(4 * len(evaluate.WEIGHT_GRID) + len(evaluate.K_GRID)))
     channels = {r.channel for r in queries._four_channels(spark, "/root/testdata/sf0.001").select("channel").distinct().collect()}
     assert channels == set(retrieval.WEIGHTS)
+
+
+def test_replayed_fusions_equal_the_operators(spark):
+    """Random channels: every parameter set gives what fusion, quota, deduplication and metrics give one after the other."""
+    rng = random.Random(9)
+    found = sorted({(q, c, r, rng.randrange(25)) for q in range(12) for c in ("vector", "keyword", "title", "path", "other") for r in range(1, rng.randint(1, 9))})
+    ids: set = set()
+    found = [(q, c, r, i) for q, c, r, i in found if (q, c, i) not in ids and not ids.add((q, c, i))]
+    base = ["".join(rng.choice("ab") for _ in range(40)) for _ in range(3)]
+    texts = [(i, rng.choice(["x", "y", "z", "", None]), rng.choice([None, "short", rng.choice(base)[: rng.randint(5, 40)] + "".join(rng.choice("cd") for _ in range(rng.randint(0, 20)))])) for i in range(25)]
+    channels = spark.createDataFrame(found, "query_id int, channel string, rank int, id int")
+    text = spark.createDataFrame(texts, "id int, book string, content string")
+    expected = spark.createDataFrame([(q, rng.choice("xyz")) for q in range(14)], "query_id int, expected string")
+    params = [(retrieval.WEIGHTS, 60), ({"vector": 0.0, "keyword": 1.5}, 20), ({"vector": 0.3, "title": 2.0, "path": 0.0, "other": 0.0}, 100), ({c: 0.0 for c in ("vector", "keyword", "title", "path", "other")}, 60)]
+    got = {r.param: (r.hit_rate, r.mrr) for r in evaluate.fusion_grid(channels, text, expected, params).collect()}
+    for p, (weights, k) in enumerate(params):
+        ranked = retrieval.book_quota(retrieval.rrf_fuse(channels, k, weights).join(text, "id"), 5)
+        kept = retrieval.prefix_dedup(ranked).join(text.select("id", "book"), "id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+        one = evaluate.hit_rate_mrr(expected.join(kept.select("query_id", "rank", "book"), "query_id", "left")).first()
+        assert got[p] == (one.hit_rate, one.mrr)
