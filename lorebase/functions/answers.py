@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# A reference mark, and where a verdict is said.
 REFERENCE = r"\[参考\s*(\d+)\]"
+VERDICTS = ("判定[:：]\\s*(正确|不正确)", "说法[:：]?\\s*(正确|不正确)")
 # Phrases that mean no and phrases that mean yes.
 NEGATIVE = "不正确|不成立|不能认定|不能据此|过于绝对|依据不足|并不矛盾|不必然"
 POSITIVE = "正确|成立"
@@ -43,8 +45,7 @@ def needs_retry(check: Column) -> Column:
 
 def parse_verdict(text: Column) -> Column:
     """正确 or 不正确 after 判定： or 说法：, else by phrases, else null."""
-    said = F.nullif(F.regexp_extract(text, "判定[:：]\\s*(正确|不正确)", 1), F.lit(""))
-    claim = F.nullif(F.regexp_extract(text, "说法[:：]?\\s*(正确|不正确)", 1), F.lit(""))
+    said, claim = (F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in VERDICTS)
     return F.coalesce(said, claim, F.when(text.rlike(NEGATIVE), "不正确"), F.when(text.rlike(POSITIVE), "正确"))
 
 

@@ -46,8 +46,12 @@ QUESTION_KINDS = (("differential", "鉴别|区分|如何区分"), ("diagnosis",
 TITLE_STARTS = (r"^第[一二三四五六七八九十百千万\d]+[章节篇部分]+\s*", r"^[A-Za-z]\d+(\.\d+)?\s*", r"^\d+[\.、）)]\s*", r"^[一二三四五六七八九十]+[、．.]\s*", r"^[（(][^（()）]*[)）]\s*", "[《》\"“”]")
 # Words of titles without content of their own.
 SKIP_WORDS = ("概述", "前言", "附录", "目录", "总论", "总则", "参考文献", "索引", "后记", "序言", "致谢", "编写说明", "使用说明", "编写人员", "出版说明", "缩略语", "目 录", "说明", "序", "跋", "编委会", "名词术语")
+# What parts tokens, and how an answer says what it lacks.
 PUNCTUATION = r"[【】、。，；：！？\s,.;:!()\[\]（）\"'“”‘’]"
 CJK = r"[一-龥]"
+GAPS = ("关于[【「『“\"'(]?([^】」』”\"')，。；、]{1,30})[】」』”\"')]?的内容有限", "未涉及([^，。；、]{1,20})")
+# Endings of titles that name a department, and titles of punctuation alone.
+NO_TITLES = ("系统|科$|学$|类质控$", r"^[，。、；：！？,.!?;\s]+$")
 
 
 def first_match(text: Column, kinds: Sequence[tuple[str, str]]) -> Column:
@@ -132,13 +136,12 @@ def meaningful_title(text: Column, skip: Sequence[str] = SKIP_WORDS) -> Column:
     found = F.lit(False)
     for w in skip:
         found = found | F.contains(text, F.lit(w))
-    return (F.length(text).between(2, 12) & ~found & ~text.rlike("系统|科$|学$|类质控$") & ~text.rlike(r"^[，。、；：！？,.!?;\s]+$")).alias("meaningful")
+    return (F.length(text).between(2, 12) & ~found & ~text.rlike(NO_TITLES[0]) & ~text.rlike(NO_TITLES[1])).alias("meaningful")
 
 
 def coverage_gap(answer: Column) -> Column:
     """What an answer says it lacks, else null."""
-    said = F.regexp_extract(answer, "关于[【「『“\"'(]?([^】」』”\"')，。；、]{1,30})[】」』”\"')]?的内容有限", 1)
-    left = F.regexp_extract(answer, "未涉及([^，。；、]{1,20})", 1)
+    said, left = (F.regexp_extract(answer, p, 1) for p in GAPS)
     gap = F.trim(F.coalesce(F.nullif(said, F.lit("")), F.nullif(left, F.lit(""))))
     return F.when((F.length(answer) >= 30) & (gap != "") & ~gap.rlike(r"^[\d\s]+$"), gap)
 

@@ -47,6 +47,17 @@ def k_hop(seeds: DataFrame, edges: DataFrame, hops: int = 2, cap: int = 30, only
     return nodes, touched.groupBy("query_id", "edge").agg(F.min("hop").alias("hop"))
 
 
+def with_details(nodes: DataFrame, touched: DataFrame, entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of ``k_hop`` with their entity's columns, and its edges with their own columns and the names of both ends.
+
+    Nodes and ends without an entity keep nulls. Details are joined to what the walk found, never carried along it.
+    """
+    names = entities.select("id", "name")
+    full = touched.join(edges.withColumnRenamed("id", "edge"), "edge")
+    full = full.join(names.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id", "left").join(names.select(F.col("id").alias("target_id"), F.col("name").alias("target")), "target_id", "left")
+    return nodes.join(entities, "id", "left"), full
+
+
 def community_summaries(nodes: DataFrame, communities: DataFrame, k: int = 5) -> DataFrame:
     """query_id, id, level, summary, rank of enabled communities that share an entity, highest level first."""
     member = communities.where("enabled").select("id", "level", "summary", F.explode("entity_ids").alias("entity"))

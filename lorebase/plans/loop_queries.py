@@ -76,12 +76,6 @@ def needs_retry(spark, d):
     return a.select("conv_id", "turn", answers.needs_retry(answers.validate_citations(F.col("answer"), F.lit(5))).alias("retry"))
 
 
-@query("""SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '正确' WHEN 1 THEN '不正确' WHEN 2 THEN '正确' WHEN 3 THEN '不正确' END AS verdict FROM conversations""")
-def parse_verdict(spark, d):
-    said = F.element_at(F.array(*map(F.lit, ("判定： 正确。", "说法：不正确", "该说法成立", "依据不足", "无"))), (F.col("turn") % 5 + 1).cast("int"))
-    return read(spark, d, "conversations").select("conv_id", "turn", answers.parse_verdict(F.concat(F.lit("x "), said)).alias("verdict"))
-
-
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN '钠:' || l_quantity::INT || ';钾:' || l_linenumber || '.5' ELSE '' END AS found FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) AS ln FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_linenumber FROM lineitem))")
 def parse_abnormal(spark, d):
     said = F.when(F.col("l_quantity") > 25, F.concat(F.lit("异常项目共2项：钠："), F.col("l_quantity").cast("int").cast("string"), F.lit("，钾"), F.col("l_linenumber").cast("string"), F.lit(".5，其余正常。"))).otherwise("未见异常。")
@@ -310,15 +304,6 @@ def rag_samples(spark, d):
     return out.select(F.regexp_extract("input", "^c([0-9]+)\n", 1).cast("long").alias("doc_id"), "instruction", F.md5("input").alias("h"), F.md5("output").alias("o"))
 
 
-FORMS = (("的推荐是什么", "的建议包括哪些？"), ("有哪些？", "包括哪些？"), ("是多少?", "分别是多少？"), ("很好", None), ("应如何处理", "应该怎样处理？"), ("的诊断标准是什么？", "的诊断标准包括哪些？"))
-
-
-@query("SELECT p_partkey AS id, CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN p_name || '{b}'" for i, (_, b) in enumerate(FORMS) if b) + " END AS rewritten FROM part")
-def rewrite_question(spark, d):
-    end = F.element_at(F.array(*(F.lit(a) for a, _ in FORMS)), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), dataset.rewrite_question(F.concat("p_name", end)).alias("rewritten"))
-
-
 OUTPUTS = """o AS (SELECT p_partkey AS id, p_name AS n, p_type AS t, chr(10) AS l, p_partkey % 5 AS k FROM part), r AS (SELECT id, n, CASE k WHEN 0 THEN '1. ' || n || l || '2. ' || t WHEN 1 THEN '- ' || n || l || '- ' || t WHEN 2 THEN '包括：' || l || '- ' || n || l || '• ' || t WHEN 3 THEN n || l || '- ' || t ELSE n || '。' END AS before,
   CASE k WHEN 0 THEN '- ' || n || l || '- ' || t WHEN 1 THEN n || '；' || t || '。' WHEN 2 THEN '包括：' || n || '；' || t || '。' END AS rewritten FROM o)"""
 

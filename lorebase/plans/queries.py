@@ -306,12 +306,6 @@ def split_chapters(spark, d):
     return structure.split_chapters(full).select("doc_id", "ord", "title", "level", "start_line", F.md5("content").alias("h"))
 
 
-@query("SELECT source AS doc_id, count(*) FILTER (WHERE lang = 'en') AS chapters, count(*) FILTER (WHERE lang <> 'en') AS sections, count(*) AS passages, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
-def ingest_report(spark, d):
-    p = read(spark, d, "documents").select(F.col("source").alias("doc_id"), F.when(F.col("lang") == "en", 1).otherwise(2).alias("level"), F.col("text").alias("content"))
-    return structure.ingest_report(p, p)
-
-
 # ---- conversations and answers -------------------------------------------------------------------------------
 
 
@@ -343,13 +337,6 @@ def multi_turn_samples(spark, d):
     return dialog.multi_turn_samples(read(spark, d, "conversations")).withColumn("history", F.size("history"))
 
 
-@query("""WITH a AS (SELECT conv_id, turn, '[参考' || turn || ']，[参考' || (conv_id % 9) || ']。' || role AS answer FROM conversations), r AS (SELECT *, [turn, conv_id % 9] AS refs FROM a)
-  SELECT conv_id, turn, len(list_filter(refs, lambda n: n < 1 OR n > 5)) AS invalid, round(len(list_distinct(list_filter(refs, lambda n: n >= 1 AND n <= 5))) / 5, 6) AS coverage, len(list_filter(refs, lambda n: n < 1 OR n > 5)) > 0 AS fixed FROM r""")
-def validate_citations(spark, d):
-    a = read(spark, d, "conversations").withColumn("answer", F.concat(F.lit("[参考"), F.col("turn").cast("string"), F.lit("]，[参考"), (F.col("conv_id") % 9).cast("string"), F.lit("]。"), "role"))
-    return a.withColumn("c", answers.validate_citations(F.col("answer"), F.lit(5))).select("conv_id", "turn", F.size("c.invalid").alias("invalid"), F.round("c.coverage", 6).alias("coverage"), "c.fixed")
-
-
 # ---- feedback ------------------------------------------------------------------------------------------------
 
 
@@ -553,13 +540,6 @@ def train_test_split(spark, d):
     return dataset.train_test_split(read(spark, d, "documents").select(F.col("doc_id").alias("id")))[1]
 
 
-@query("""SELECT l_orderkey AS report_id, count(*) FILTER (WHERE l_quantity > 40 OR l_quantity < 10) AS abnormal, count(*) AS items FROM lineitem GROUP BY 1""")
-def lab_flags(spark, d):
-    r = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_returnflag").alias("item"), F.col("l_quantity").cast("double").alias("value"))
-    ranges = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("item")).distinct().withColumns({"low": F.lit(10.0), "high": F.lit(40.0), "unit": F.lit("g")})
-    return dataset.lab_flags(r, ranges).select("report_id", "abnormal", "items")
-
-
 @query(f"""WITH {PASSAGES}, x AS (SELECT doc_id, string_agg('【参考' || n || '】' || content[1:400], chr(10) ORDER BY n) AS context FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS n FROM passages WHERE enabled) WHERE n <= 3 GROUP BY 1), {DOCS}
   SELECT doc_id, title, md5(context) AS h FROM x JOIN docs ON docs.id = doc_id WHERE length(title) BETWEEN 2 AND 20""")
 def rag_contexts(spark, d):

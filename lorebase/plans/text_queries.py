@@ -211,28 +211,17 @@ def split_by_outline(spark, d):
     return structure.split_by_outline(o, pages).select("doc_id", "ord", "title", "page_idx", F.md5("content").alias("h"))
 
 
-@query("""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text[1:5000], chr(10) || '+'), lambda x: trim(x)), lambda x: x <> '')[1:12] AS ls FROM documents)
-  SELECT doc_id, list_filter(ls, lambda x: length(x) BETWEEN 2 AND 60 AND NOT regexp_matches(x, '^[\\d\\s.\\-—|]+$|^[0-9０-９]{1,3}[.．、]|^[（(][0-9]+[）)]') AND NOT regexp_matches(x, '(?i)^(www\\.|http|\\d{4}年|ISBN)'))[1] AS title FROM d""")
-def title_from_text(spark, d):
-    return read(spark, d, "documents").select("doc_id", structure.title_from_text(F.col("text")).alias("title"))
-
-
-@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN trim(p_name) WHEN 1 THEN p_brand WHEN 2 THEN p_type ELSE '未命名书籍' END AS title FROM part")
-def book_title(spark, d):
-    k = F.col("p_partkey") % 4
-    given = F.when(k == 0, F.concat(F.lit(" "), "p_name", F.lit(" "))).otherwise(" ")
-    path = F.when(k == 1, F.concat(F.lit("/a/"), "p_brand", F.lit(".pdf"))).otherwise(F.concat(F.lit("/a/"), F.col("p_partkey").cast("string"), F.lit(".pdf")))
-    body = F.when(k == 2, F.concat(F.lit("12\n\n"), "p_type", F.lit("\nx y"))).otherwise("1")
-    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), structure.book_title(given, path, body).alias("title"))
+def title_sql(body: str) -> str:
+    """T13 as SQL."""
+    bad = "^[\\d\\s.\\-—|]+$|^[一二三四五六七八九十]+、|" + structure.SECTION + "|" + structure.CHAPTER + "|^[0-9０-９]{1,3}[.．、]|^[（(][一二三四五六七八九十0-9]+[）)]"
+    press = "(?i)^(人民卫生出版社|卫生部|国家卫生健康|www\\.|http|\\d{4}年|ISBN)"
+    lines = f"list_filter(list_transform(string_split_regex({body}[1:5000], chr(10) || '+'), lambda x: trim(x)), lambda x: x <> '')[1:12]"
+    return f"list_filter({lines}, lambda x: length(x) BETWEEN 2 AND 60 AND NOT regexp_matches(x, '{bad}') AND NOT regexp_matches(x, '{press}'))[1]"
 
 
-@query("""WITH t AS (SELECT doc_id FROM documents WHERE doc_id % 4 = 0), o AS (SELECT doc_id FROM documents WHERE doc_id % 6 = 0), h AS (SELECT doc_id FROM documents), n AS (SELECT doc_id FROM documents WHERE doc_id % 5 = 0)
-  SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'toc' WHEN doc_id % 6 = 0 THEN 'outline' WHEN doc_id % 5 = 0 THEN '正文' ELSE 'heading' END AS title FROM documents""")
-def build_chapters(spark, d):
-    docs = read(spark, d, "documents")
-    node = lambda df, title: df.select("doc_id", F.lit(1).alias("ord"), F.lit(title).alias("title"), F.lit(1).alias("level"), F.col("text").alias("content"))
-    shapes = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "nonbook").otherwise("book").alias("shape"))
-    return structure.build_chapters(node(docs.where("doc_id % 4 = 0"), "toc"), node(docs.where("doc_id % 6 = 0"), "outline"), node(docs, "heading"), shapes, docs.select("doc_id", F.col("text").alias("content"))).select("doc_id", "title")
+@query(f"SELECT doc_id, {title_sql('text')} AS title FROM documents")
+def title_from_text(spark, d):
+    return read(spark, d, "documents").select("doc_id", structure.title_from_text(F.col("text")).alias("title"))
 
 
 @query("""SELECT doc_id, source AS section_path, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS chunk_index, md5(x) AS content_hash, true AS enabled FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL) WHERE length(x) > 9""")
@@ -365,29 +354,3 @@ def classify_domain(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.classify_domain(F.concat("p_name", _added())).alias("domain"))
 
 
-ENDS = ("怎样鉴别", "诊断标准", "如何治疗", "的剂量", "是什么")
-
-
-@query("SELECT p_partkey AS id, ['differential', 'diagnosis', 'treatment', 'drug', 'general'][p_partkey % 5 + 1] AS kind FROM part")
-def classify_question(spark, d):
-    end = F.element_at(F.array(*map(F.lit, ENDS)), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.classify_question(F.concat("p_name", end)).alias("kind"))
-
-
-@query("SELECT p_partkey AS id, p_type AS title FROM part")
-def clean_title(spark, d):
-    start = F.element_at(F.array(*map(F.lit, ("第三章 ", "A12.5 ", "3、", "二、", "（附）", "《"))), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.clean_title(F.concat(start, "p_type", F.lit("》"))).alias("title"))
-
-
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN false ELSE length(p_type) BETWEEN 2 AND 12 END AS meaningful FROM part")
-def meaningful_title(spark, d):
-    t = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.left("p_type", F.lit(4)), F.lit("总论"))).otherwise(F.col("p_type"))
-    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.meaningful_title(t).alias("meaningful"))
-
-
-@query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN p_brand END AS gap FROM part")
-def coverage_gap(spark, d):
-    k = F.col("p_partkey") % 3
-    tail = F.when(k == 0, F.concat(F.lit("关于「"), "p_type", F.lit("」的内容有限。"))).when(k == 1, F.concat(F.lit("未涉及"), "p_brand", F.lit("，"))).otherwise("完整。")
-    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.coverage_gap(F.concat(F.lit("根据现有资料，以下内容可供参考，请结合临床情况综合判断使用。"), tail)).alias("gap"))
