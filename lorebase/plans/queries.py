@@ -267,7 +267,11 @@ def chunk_sliding(spark, d):
     return out.select("doc_id", "chunk_index", F.md5("chunk").alias("h"), F.length("chunk").alias("n"))
 
 
-@query()
+@query("""WITH b AS (SELECT doc_id, i, trim(regexp_replace(bs[i], '\\s*\\r?\\n\\s*', ' ', 'g')) AS t FROM (SELECT doc_id, bs, unnest(range(1, len(bs) + 1)) AS i FROM (SELECT doc_id, string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\r?\\n[ \\t]*(?:\\r?\\n[ \\t]*)+') AS bs FROM documents WHERE text IS NOT NULL))),
+  s AS (SELECT *, string_split(regexp_replace(t, '([.])\\s*', '\\1' || chr(57344), 'g'), chr(57344)) AS parts FROM b WHERE length(t) > 800),
+  f AS (SELECT doc_id, i, list_reduce(list_transform(parts, lambda p: [p]), lambda a, p: CASE WHEN length(a[-1]) + length(p[1]) > 500 AND length(a[-1]) >= 50 THEN a || p ELSE a[:-2] || [a[-1] || p[1]] END) AS out FROM s),
+  u AS (SELECT doc_id, i, 1 AS piece, t AS passage FROM b WHERE length(t) BETWEEN 20 AND 800 UNION ALL SELECT doc_id, i, k, trim(out[k]) FROM (SELECT *, unnest(range(1, len(out) + 1)) AS k FROM f) WHERE k < len(out) OR length(trim(out[k])) >= 20)
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, piece) - 1)::INT AS chunk_index, md5(passage) AS h, length(passage) AS n FROM u""")
 def split_passages(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"))
     return structure.split_passages(docs, ends=".").select("doc_id", "chunk_index", F.md5("passage").alias("h"), F.length("passage").alias("n"))
@@ -295,7 +299,11 @@ def doc_shape(spark, d):
     return structure.doc_shape(lines)
 
 
-@query()
+#: True where no line of a text looks like a heading itself, as in the given tables.
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+  n AS (SELECT doc_id, i // 8 AS k, trim(string_agg(x, chr(10) ORDER BY i), ' ') AS c FROM l GROUP BY 1, 2), o AS (SELECT *, sum((k = 0 OR length(c) >= 20)::INT) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM n),
+  p AS (SELECT doc_id, g, k, CASE WHEN k = min(k) OVER (PARTITION BY doc_id, g) THEN CASE WHEN c <> '' THEN c END ELSE '第' || (k + 1) || '章' || CASE WHEN c <> '' THEN chr(10) || c ELSE '' END END AS c FROM o)
+  SELECT doc_id, g::INT AS ord, '第' || (min(k) + 1) || '章' AS title, 1 AS level, (min(k) * 9)::INT AS start_line, md5(coalesce(string_agg(c, chr(10) ORDER BY k), '')) AS h FROM p GROUP BY doc_id, g""")
 def split_chapters(spark, d):
     """A made-up heading before every eighth line; the lines stay whole."""
     lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
