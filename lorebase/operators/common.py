@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -59,6 +60,24 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: st
     return out.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_id") - F.col("_first")).drop("_id", "_part", "_first", "_before")
 
 
+#: Bytes of text that a row of joined texts may hold, and a row more.
+PART_BYTES = 8 << 20
+
+
+def part_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], size: Column, budget: int = PART_BYTES) -> DataFrame:
+    """``df`` with ``part_no``: how many times ``budget`` goes into the sizes of the group's earlier rows by ``order``, and ``_id``, which grows along it.
+
+    Rows of one part so have at most the budget and a row more. Running sums go over ranges of rows, so a group of any size is
+    spread; a row above the budget leaves numbers out. Rows of a null group are left out.
+    """
+    rows = df.where(F.lit(True) if not group else reduce(lambda a, b: a & b, (F.col(g).isNotNull() for g in group)))
+    dealt = ranged(rows.withColumn("_size", F.coalesce(size.cast("long"), F.lit(0).cast("long"))), group, order)
+    starts = before(dealt, group, F.col("_size"), F.sum).drop("_first")
+    own = F.sum("_size").over(Window.partitionBy("_part", *group).orderBy("_id").rowsBetween(Window.unboundedPreceding, -1))
+    at = F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0))
+    return dealt.withColumn("_own", own).join(starts, [*group, "_part"]).withColumn("part_no", F.floor(at / budget)).drop("_part", "_size", "_own", "_before")
+
+
 #: Bytes of words up to which every task gets them all.
 AUTOMATON_BYTES = 8 << 20
 #: Characters of a word's signature.

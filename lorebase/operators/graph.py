@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.operators.common import top
+from lorebase.operators.common import PART_BYTES, part_numbers, top
 from lorebase.operators.retrieval import vector_search
 from lorebase.workers import stored
 
@@ -140,8 +140,12 @@ def filter_allowed_paths(rows: DataFrame, scope: DataFrame, limit: int) -> DataF
     return top(kept, ["query_id"], [F.col("rank"), F.col("path")], limit).drop("_in", "_any")
 
 
-def merged_documents(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """doc_id, path, text, n of documents with enabled passages, joined by a blank line in id order; path is node_path, file_path or title."""
-    rows = passages.where("enabled").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("id", "content"))).alias("p"))
+def merged_documents(docs: DataFrame, passages: DataFrame, budget: int = PART_BYTES) -> DataFrame:
+    """doc_id, path, part_no, text, n of documents with enabled passages, joined by a blank line in id order; path is node_path, file_path or title.
+
+    A text of more than ``budget`` bytes comes in parts (``part_numbers``), each a row of n passages; paths are joined last.
+    """
+    rows = part_numbers(passages.where("enabled").select("doc_id", "id", "content"), ["doc_id"], ["id"], F.octet_length("content") + 2, budget)
+    texts = rows.groupBy("doc_id", "part_no").agg(F.sort_array(F.collect_list(F.struct("_id", "content"))).alias("p"))
     path = F.coalesce(F.nullif(F.col("node_path"), F.lit("")), F.nullif(F.col("file_path"), F.lit("")), F.col("title"))
-    return docs.select(F.col("id").alias("doc_id"), path.alias("path")).join(rows, "doc_id").select("doc_id", "path", F.array_join(F.col("p.content"), "\n\n").alias("text"), F.size("p").alias("n"))
+    return texts.join(docs.select(F.col("id").alias("doc_id"), path.alias("path")), "doc_id").select("doc_id", "path", "part_no", F.array_join(F.col("p.content"), "\n\n").alias("text"), F.size("p").alias("n"))
\ No newline at end of file

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lorebase.operators.common import before, numbered, ranged, top
+from lorebase.operators.common import PART_BYTES, before, numbered, part_numbers, ranged, top
 from lorebase.operators.tree import subtree
 from lorebase.workers import ship
 
@@ -397,12 +397,19 @@ def replace_same_title(old: DataFrame, passages: DataFrame, new: DataFrame) -> t
     return docs.unionByName(new, allowMissingColumns=True), passages.join(off.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("enabled", put).drop("_off")
 
 
-def rules_to_markdown(rules: DataFrame) -> DataFrame:
-    """Cls, n, text: a heading with the class and its number, a section for every rule with the fields it has (rules: cls, code, name, fields map)."""
+def rules_to_markdown(rules: DataFrame, budget: int = PART_BYTES) -> DataFrame:
+    """Cls, part_no, n, text: a heading with the class and its number n of rules, a section for every rule with the fields it has (rules: cls, code, name, fields map).
+
+    A class of more than ``budget`` bytes comes in parts, the first with the heading. Null classes are left out.
+    """
     fields = F.array_join(F.transform(F.array_sort(F.map_entries(F.map_filter("fields", lambda k, v: F.length(v) > 0))), lambda e: F.concat(F.lit("- "), e["key"], F.lit("："), e["value"])), "\n")
     one = F.concat_ws("\n", F.concat(F.lit("## "), "code", F.lit(" "), "name"), fields)
-    out = rules.groupBy("cls").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("code", one.alias("s")))).alias("r"))
-    return out.select("cls", "n", F.concat(F.lit("# "), "cls", F.lit("（"), F.col("n").cast("string"), F.lit("条）\n\n"), F.array_join(F.transform("r", lambda x: x["s"]), "\n\n")).alias("text"))
+    sections = part_numbers(rules.select("cls", "code", one.alias("s")), ["cls"], ["code", "s"], F.octet_length("s") + 2, budget)
+    out = sections.groupBy("cls", "part_no").agg(F.count("*").alias("_n"), F.sort_array(F.collect_list(F.struct("_id", "s"))).alias("r"))
+    n = F.sum("_n").over(Window.partitionBy("cls"))  # a row for each part
+    first = F.min("part_no").over(Window.partitionBy("cls")) == F.col("part_no")
+    head = F.when(first, F.concat(F.lit("# "), "cls", F.lit("（"), n.cast("string"), F.lit("条）\n\n"))).otherwise("")
+    return out.select("cls", "part_no", n.alias("n"), F.concat(head, F.array_join(F.transform("r", lambda x: x["s"]), "\n\n")).alias("text"))
 
 
 def ingest_report(chapters: DataFrame, passages: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.operators.common import top
+from lorebase.operators.common import PART_BYTES, part_numbers, top
 from lorebase.workers import stored
 
 
@@ -55,10 +55,12 @@ def book_stats(docs: DataFrame, passages: DataFrame) -> DataFrame:
     return docs.where("level = 0").select(F.col("id").alias("book_id"), "title").join(counts, "book_id")
 
 
-def kb_structure(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """H5: every node with its passages as an array ordered by id."""
-    held = passages.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("id", "content"))).alias("passages"))
-    return docs.join(held, "id", "left")
+def kb_structure(docs: DataFrame, passages: DataFrame, budget: int = PART_BYTES) -> DataFrame:
+    """H5: every node with its passages as an array ordered by id; more than ``budget`` bytes of them come in parts (part_no), a row each."""
+    rows = part_numbers(passages.select("doc_id", "id", "content"), ["doc_id"], ["id"], F.octet_length("content"), budget)
+    held = rows.groupBy("doc_id", "part_no").agg(F.sort_array(F.collect_list(F.struct("_id", "id", "content"))).alias("p"))
+    held = held.select(F.col("doc_id").alias("id"), "part_no", F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["content"].alias("content"))).alias("passages"))
+    return docs.join(held, "id", "left").withColumn("part_no", F.coalesce("part_no", F.lit(0)))
 
 
 def level_counts(docs: DataFrame) -> DataFrame:

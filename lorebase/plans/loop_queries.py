@@ -11,12 +11,13 @@ from lorebase.plans.queries import DOCS, HOPS, PASSAGES, TOP5, feedback_events,
 # ---- tree ----------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {DOCS}, {PASSAGES} SELECT docs.id, docs.title, count(p.id) AS n, string_agg(p.id::VARCHAR, ',' ORDER BY p.id) AS ids, md5(coalesce(string_agg(p.content, '|' ORDER BY p.id), '')) AS h FROM docs LEFT JOIN passages p ON p.doc_id = docs.id GROUP BY 1, 2")
+@query(f"""WITH {DOCS}, {PASSAGES}, p AS (SELECT *, coalesce(sum(strlen(content)) OVER (PARTITION BY doc_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 40000 AS part_no FROM passages)
+  SELECT docs.id, docs.title, coalesce(part_no, 0)::BIGINT AS part_no, count(p.id) AS n, string_agg(p.id::VARCHAR, ',' ORDER BY p.id) AS ids, md5(coalesce(string_agg(p.content, '|' ORDER BY p.id), '')) AS h FROM docs LEFT JOIN p ON p.doc_id = docs.id GROUP BY 1, 2, 3""")
 def kb_structure(spark, d):
-    out = tree.kb_structure(kb_docs(spark, d), kb_passages(spark, d).drop("enabled"))
+    out = tree.kb_structure(kb_docs(spark, d), kb_passages(spark, d).drop("enabled"), 40_000)
     held = F.coalesce("passages", F.array().cast("array<struct<id:bigint,content:string>>"))
     ids = F.array_join(F.transform(held, lambda x: x["id"].cast("string")), ",")
-    return out.select("id", "title", F.size(held).alias("n"), F.nullif(ids, F.lit("")).alias("ids"), F.md5(F.array_join(F.transform(held, lambda x: x["content"]), "|")).alias("h"))
+    return out.select("id", "title", "part_no", F.size(held).alias("n"), F.nullif(ids, F.lit("")).alias("ids"), F.md5(F.array_join(F.transform(held, lambda x: x["content"]), "|")).alias("h"))
 
 
 @query(f"WITH {DOCS} SELECT 'level ' || level AS kind, count(*) AS n FROM docs GROUP BY 1 UNION ALL SELECT 'passages', count(*) FROM documents")

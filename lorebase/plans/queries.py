@@ -339,10 +339,11 @@ def round_no(spark, d):
     return dialog.round_no(read(spark, d, "conversations")).select("conv_id", "turn", "round")
 
 
-@query("""WITH c AS (SELECT *, row_number() OVER w - 1 AS n, lead(role) OVER w AS next_role, lead(text) OVER w AS output FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-  SELECT conv_id, turn, n AS history, text AS input, output FROM c WHERE role = 'user' AND next_role = 'assistant'""")
+@query("""WITH c AS (SELECT *, list(role || ':' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lead(role) OVER w AS next_role, lead(text) OVER w AS output FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  SELECT conv_id, turn, md5(coalesce(array_to_string(before, '|'), '')) AS history, text AS input, output FROM c WHERE role = 'user' AND next_role = 'assistant'""")
 def multi_turn_samples(spark, d):
-    return dialog.multi_turn_samples(read(spark, d, "conversations")).withColumn("history", F.size("history"))
+    said = F.array_join(F.transform("history", lambda h: F.concat(h["role"], F.lit(":"), h["content"])), "|")
+    return dialog.multi_turn_samples(read(spark, d, "conversations")).withColumn("history", F.md5(said))
 
 
 # ---- feedback ------------------------------------------------------------------------------------------------
@@ -473,10 +474,11 @@ def doc_entities(spark, d):
     return graph.doc_entities(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("entity")))[1]
 
 
-@query(f"WITH {DOCS}, {PASSAGES} SELECT doc_id, node_path AS path, md5(string_agg(content, chr(10) || chr(10) ORDER BY passages.id)) AS h, count(*) AS n FROM passages JOIN docs ON docs.id = doc_id WHERE passages.enabled GROUP BY 1, 2")
+@query(f"""WITH {DOCS}, {PASSAGES}, r AS (SELECT *, coalesce(sum(strlen(content) + 2) OVER (PARTITION BY doc_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 30000 AS part_no FROM passages WHERE enabled)
+  SELECT doc_id, node_path AS path, part_no::BIGINT AS part_no, md5(string_agg(content, chr(10) || chr(10) ORDER BY r.id)) AS h, count(*) AS n FROM r JOIN docs ON docs.id = doc_id GROUP BY 1, 2, 3""")
 def merged_documents(spark, d):
     docs = kb_docs(spark, d).withColumn("file_path", F.lit(""))
-    return graph.merged_documents(docs, kb_passages(spark, d)).select("doc_id", "path", F.md5("text").alias("h"), "n")
+    return graph.merged_documents(docs, kb_passages(spark, d), 30_000).select("doc_id", "path", "part_no", F.md5("text").alias("h"), "n")
 
 
 # ---- evaluation ----------------------------------------------------------------------------------------------

@@ -245,11 +245,12 @@ def replace_same_title(spark, d):
 
 
 @query("""WITH r AS (SELECT p_type AS cls, lpad(p_partkey::VARCHAR, 9, '0') AS code, '## ' || lpad(p_partkey::VARCHAR, 9, '0') || ' ' || p_name || chr(10) || '- brand：' || p_brand || CASE WHEN p_size % 2 = 0 THEN chr(10) || '- size：' || p_size ELSE '' END AS s FROM part)
-  SELECT cls, count(*) AS n, md5('# ' || cls || '（' || count(*) || '条）' || chr(10) || chr(10) || string_agg(s, chr(10) || chr(10) ORDER BY code)) AS h FROM r GROUP BY 1""")
+  , q AS (SELECT *, count(*) OVER (PARTITION BY cls) AS n, coalesce(sum(strlen(s) + 2) OVER (PARTITION BY cls ORDER BY code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 5000 AS part_no FROM r)
+  SELECT cls, part_no::BIGINT AS part_no, any_value(n) AS n, md5(CASE WHEN part_no = 0 THEN '# ' || cls || '（' || any_value(n) || '条）' || chr(10) || chr(10) ELSE '' END || string_agg(s, chr(10) || chr(10) ORDER BY code)) AS h FROM q GROUP BY cls, part_no""")
 def rules_to_markdown(spark, d):
     fields = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(""))
     r = read(spark, d, "part").select(F.col("p_type").alias("cls"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("code"), F.col("p_name").alias("name"), fields.alias("fields"))
-    return structure.rules_to_markdown(r).select("cls", "n", F.md5("text").alias("h"))
+    return structure.rules_to_markdown(r, 5_000).select("cls", "part_no", "n", F.md5("text").alias("h"))
 
 
 @query("""WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
