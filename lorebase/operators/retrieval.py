@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -247,32 +248,34 @@ def prefix_dedup(ranked: DataFrame, by: tuple[str, ...] = ("query_id",)) -> Data
     Two rows are alike if the start (60 % and a character) of one begins the start of the other. Of equal starts
     only the first row can stay; the distinct starts, sorted, are trees whose branches are rows next to one
     another, and a row stays if none below it ranks before it and no row above it is such a row. The starts are
-    dealt out in ranges, so a long list, or a start that many texts share, is spread over the tasks.
+    dealt out in ranges, so a long list, or a start that many texts share, is spread over the tasks. Starts are
+    sorted once, without the texts; the rest runs on their hashes and depths, and texts are fetched for the rows that stay.
     """
     rows = ranked.withColumn("rank", F.col("rank").cast("int")).select(*by, "rank", "id", "content")
     length = F.length("content")
     start = F.left("content", F.floor(length * 6 / 10).cast("int") + 1)
     node = F.concat(F.to_json(F.struct(*by)), F.lit("\n"), start)
-    short = rows.where(F.coalesce(length < 10, F.lit(True)))
-    first = rows.where(length >= 10).groupBy(*by, F.sha2(node.cast("binary"), 256).alias("_key")).agg(F.min(F.struct("rank", "id", "content")).alias("_r"))
-    # Short rows go along without a key, so that ``ranked`` is computed once.
-    both = first.select(*by, "_key", "_r.*").withColumn("_node", node).unionByName(short.withColumns({"_key": F.lit(None).cast("string"), "_node": F.lit(None).cast("string")}))
-    dealt = both.repartitionByRange("_node").sortWithinPartitions("_node").withColumn("_part", F.spark_partition_id())
+    key = F.when(length >= 10, F.sha2(node.cast("binary"), 256))
+    first = rows.where(length >= 10).groupBy(key.alias("_key"), *by).agg(F.min(F.struct("rank", "id")).alias("_r"), F.any_value(node).alias("_node"))
+    dealt = first.select(*by, "_key", "_r.*", "_node").repartitionByRange("_node").sortWithinPartitions("_node").withColumn("_part", F.spark_partition_id())
     # Written once: the ranges, which Spark finds by sampling, must be the same in the steps below.
-    dealt = stored(dealt, "prefixes").repartition("_part").sortWithinPartitions("_part", "_node")
-    short, dealt = dealt.where("_key IS NULL"), dealt.where("_key IS NOT NULL")
-    edges = _starts_above(dealt)
-    good = dealt.select("_key").join(edges.where("earlier").select(F.col("above").alias("_key")), "_key", "left_anti")
-    under = edges.join(good.select(F.col("_key").alias("above")), "above", "left_semi").select(F.col("below").alias("_key"))
-    kept = dealt.join(good, "_key", "left_semi").join(under, "_key", "left_anti")
-    return short.select(*rows.columns).unionByName(kept.select(*rows.columns))
+    dealt = stored(dealt, "prefixes")
+    walk = stored(_walk(dealt.repartition("_part").sortWithinPartitions("_part", "_node")), "prefix-walk")
+    late = walk.where("late").select("_key").distinct().withColumn("_late", F.lit(True))
+    marked = walk.join(late, "_key", "left").withColumn("good", F.col("_late").isNull()).select("_part", "seq", "depth", "outer", "good", "_key")
+    kept = dealt.select(*by, "rank", "id", "_key").join(_free(marked.repartition("_part").sortWithinPartitions("_part", "seq")), "_key", "left_semi")
+    keyed = rows.withColumn("_key", key)
+    same = [keyed[c].eqNullSafe(kept[c]) for c in (*by, "rank", "id", "_key")]
+    long = keyed.where(length >= 10).join(kept, reduce(lambda x, y: x & y, same), "left_semi").dropDuplicates([*by, "rank", "id", "_key"])
+    return keyed.where(F.coalesce(length < 10, F.lit(True))).unionByName(long).select(*rows.columns)
 
 
-def _starts_above(dealt: DataFrame) -> DataFrame:
-    """above, below, earlier: keys of all pairs of which one _node begins the other, and whether the longer one ranks first.
+def _walk(dealt: DataFrame) -> DataFrame:
+    """The trees of starts as a walk: _part, seq, depth, _key, outer, late (whether a row below it in the range ranks before it).
 
     ``dealt`` is sorted and split in ranges (_part). What begins a row and lies in an earlier range begins the
-    first row of the row's own range too: these few are found first and sent to the tasks.
+    first row of the row's own range too: these few, at most one for each length, are found first, sent to the
+    tasks, and open the walk of the range as outer rows.
     """
     spark = dealt.sparkSession
     slim = dealt.select("_part", "_node", "_key", "rank", "id")
@@ -301,22 +304,63 @@ def _starts_above(dealt: DataFrame) -> DataFrame:
     opened = spark.sparkContext.broadcast({k: sorted(v, key=lambda x: x[0]) for k, v in above.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack, now = [], None
+        stack: list[list] = []  # node, key, place, first place below, part, seq, outer
+        now, seq = None, 0
+        out: list[tuple] = []
+
+        def close() -> None:
+            node, key, place, below, part, at, out_of = stack.pop()
+            out.append((part, at, len(stack), key, out_of, below is not None and below < place))
+            if stack:
+                least = place if below is None else min(place, below)
+                stack[-1][3] = least if stack[-1][3] is None else min(stack[-1][3], least)
+
+        def rows() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()), strict=True)], ["_part", "seq", "depth", "_key", "outer", "late"])
+
         for batch in batches:
             part, nodes, keys, ranks, ids = (c.to_pylist() for c in batch.columns)
-            out: list[tuple] = []
             for i, node in enumerate(nodes):
                 if part[i] != now:
-                    now, stack = part[i], list(opened.value.get(part[i], []))
+                    while stack:
+                        close()
+                    now, seq = part[i], 0
+                    for n, k, p in opened.value.get(now, []):
+                        stack.append([n, k, p, None, now, seq, True])
+                        seq += 1
                 while stack and not node.startswith(stack[-1][0]):
-                    stack.pop()
-                place = place_of(ranks[i], ids[i])
-                out += [(k, keys[i], place < p) for _, k, p in stack]
-                stack.append((node, keys[i], place))
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.bool_())], ["above", "below", "earlier"])
-
-    return slim.mapInArrow(run, "above string, below string, earlier boolean")
+                    close()
+                stack.append([node, keys[i], place_of(ranks[i], ids[i]), None, now, seq, False])
+                seq += 1
+            yield rows()
+        while stack:
+            close()
+        yield rows()
+
+    return slim.mapInArrow(run, "_part int, seq long, depth int, _key string, outer boolean, late boolean")
+
+
+def _free(walk: DataFrame) -> DataFrame:
+    """_key of the good rows of a walk (_part, seq, depth, outer, good, _key) that have no good row above them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, path = None, []
+        for batch in batches:
+            part, _, depth, outer, good, keys = (c.to_pylist() for c in batch.columns)
+            kept = []
+            for i, d in enumerate(depth):
+                if part[i] != now:
+                    now, path = part[i], []
+                del path[d:]
+                above = bool(path) and path[-1]
+                path.append(above or good[i])
+                if good[i] and not above and not outer[i]:
+                    kept.append(keys[i])
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], ["_key"])
+
+    return walk.mapInArrow(run, "_key string")
 
 
 def hybrid_search(queries: DataFrame, passages: DataFrame, docs: DataFrame, limit: int = 5, thr: float = 0.5) -> DataFrame:
