@@ -66,6 +66,7 @@ class Machine:
     def __init__(self, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
         self.bias, self.w = 0.0, np.zeros(WIDTH, np.float32)
+        self.slope, self.shift = 1.0, 0.0
         self.v = rng.normal(0, 0.05, (WIDTH, RANK)).astype(np.float32)
 
     def raws(self, index: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,7 +83,25 @@ class Machine:
             return np.zeros(0)
         sizes = np.array([len(x) for x in rows])
         raw = self.raws(np.concatenate(rows), values_of(sizes), sizes)[0].astype(np.float64)
-        return 1.0 / (1.0 + np.exp(-np.clip(raw, -30.0, 30.0)))
+        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * raw + self.shift, -30.0, 30.0)))
+
+    def calibrate(self, rows: list[np.ndarray], y: np.ndarray, cut: float) -> Machine:
+        """Turn scores so that ``cut`` parts rows that were not fitted best, as the mean of both classes' accuracies goes.
+
+        Of equally good places the middle is taken. Slope 1 is kept: order and distances of raw scores stay. Without both classes nothing changes.
+        """
+        good = y > 0
+        if not good.any() or good.all():
+            return self
+        sizes = np.array([len(x) for x in rows])
+        raw = self.raws(np.concatenate(rows), values_of(sizes), sizes)[0].astype(np.float64)
+        places = np.unique(raw)
+        places = (places[1:] + places[:-1]) / 2
+        if len(places):
+            balanced = np.array([(raw[good] >= t).mean() + (raw[~good] < t).mean() for t in places])
+            best = np.flatnonzero(balanced >= balanced.max() - 1e-9)
+            self.shift = math.log(cut / (1 - cut)) - float(places[best[len(best) // 2]])
+        return self
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.1, decay: float = 2e-4, seed: int = 3) -> Machine:
         """AdaGrad over shuffled batches; gradients of a batch are summed by index."""
@@ -113,9 +132,26 @@ class Machine:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3_000, 6_000), of: int = 4, held: int = 2, most_features: int = 8_000_000) -> Machine:
+FOLDS = 3
+
+
+def _cross_fitted(rows: list[np.ndarray], y: np.ndarray, ids: list[str], cut: float) -> float:
+    """The shift that parts rows best when each is scored by a machine that has not seen it."""
+    fold = np.array([zlib.crc32(f"fold {i}".encode()) % FOLDS for i in ids])
+    shifts = []
+    for k in range(FOLDS):
+        rest, mine = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if 0 < y[rest].sum() < len(rest) and 0 < y[mine].sum() < len(mine):
+            shifts.append(Machine().fit([rows[i] for i in rest], y[rest]).calibrate([rows[i] for i in mine], y[mine], cut).shift)
+    return float(np.median(shifts)) if shifts else 0.0
+
+
+def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3_000, 6_000), of: int = 4, held: int = 2, most_features: int = 8_000_000, cut: float = 0.7) -> Machine:
     """Fit on about ``most`` labelled rows of quality 0 and 1 at most (remainder ``held`` of the id never).
 
+    Each third of the sample, dealt by a hash of the id, is scored by a machine that was fitted on the others; these scores set the
+    calibration of the machine fitted on all, so that ``cut`` is where the two classes part.
+
     Features of the sample are computed on the executors and written; what comes to the driver is their indices, 4 bytes
     each and about ``most_features`` at most: a sample of very long texts is thinned by a hash of the id. Without both
     classes the score is constant.
@@ -139,7 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (3_000, 6_
     if len(y) and 0 < y.sum() < len(y):
         lists = data["index"].combine_chunks()
         index, edges = lists.flatten().to_numpy().astype(np.int32), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
-        machine.fit([index[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], y)
+        rows = [index[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        machine.fit(rows, y)
+        machine.shift = _cross_fitted(rows, y, data["doc_id"].to_pylist(), cut)
     elif len(y):
         machine.v[:] = 0
         machine.bias = 3.0 if y[0] else -3.0
@@ -157,7 +195,7 @@ def score(docs: DataFrame, labels: DataFrame, of: int = 4, held: int = 2, thresh
     """
     chars = F.col(chars_col).cast("long") if chars_col and chars_col in docs.columns else F.lit(None).cast("long")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), chars.alias("n_chars"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(slim, labels, most, of, held))
+    shared = docs.sparkSession.sparkContext.broadcast(train(slim, labels, most, of, held, cut=threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
