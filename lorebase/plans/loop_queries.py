@@ -142,6 +142,16 @@ def dedupe_questions(spark, d):
     return feedback.dedupe_questions(read(spark, d, "events").withColumn("key", F.concat("event_type", (F.col("user_id") % 50).cast("string"))))
 
 
+@query("""SELECT event_type AS path, count(*) AS requests, count(*) FILTER (WHERE user_id % 10 = 0) AS errors, round(avg(value), 6) AS mean_ms, count(*) FILTER (WHERE value > 50) AS slow, true AS p50_near, true AS p99_near FROM events GROUP BY 1""")
+def merged_latency(spark, d):
+    """Sketches of five-minute windows merged by path, and whether their quantiles' ranks among all times are within the stated error."""
+    log = read(spark, d, "events").select(F.col("event_type").alias("path"), F.col("value").alias("elapsed_ms"), F.when(F.col("user_id") % 10 == 0, 500).otherwise(200).alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    merged = feedback.merged_latency(feedback.latency_sketches(log, slow_ms=50.0))
+    both = log.join(merged.select("path", "p50_ms", "p99_ms"), "path").groupBy("path").agg(*(F.avg((F.col("elapsed_ms") <= F.col(f"p{p}_ms")).cast("int")).alias(f"r{p}") for p in (50, 99)), F.count("*").alias("n"))
+    near = [(F.abs(F.col(f"r{p}") - p / 100) <= feedback.rank_error(400) + 1 / F.col("n")).alias(f"p{p}_near") for p in (50, 99)]
+    return merged.join(both, "path").select("path", "requests", "errors", "mean_ms", "slow", *near)
+
+
 @query(f"WITH {PASSAGES} SELECT id FROM passages WHERE enabled AND id % 3 <> 0")
 def new_passages(spark, d):
     p = kb_passages(spark, d)

@@ -63,3 +63,15 @@ def test_numbers_of_a_group_over_many_ranges(spark):
         assert r.n == by.setdefault(r.g, 0)
         by[r.g] += 1
     assert sum(by.values()) == 3000
+
+
+def test_parts_keep_to_their_budget(spark):
+    rng = random.Random(3)
+    rows = [("hot" if i % 3 else str(i % 5), i, "x" * rng.randint(0, 40)) for i in range(2000)] + [("big", 1, "y" * 500), ("big", 2, "z"), (None, 1, "n"), ("null", 1, None), ("null", 2, "a")]
+    got = common.part_numbers(spark.createDataFrame(rows, "g string, id int, t string"), ["g"], ["id"], F.octet_length("t"), 100).collect()
+    want: dict = {}
+    total: dict = {}
+    for g, i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1])):
+        want[g, i] = total.get(g, 0) // 100
+        total[g] = total.get(g, 0) + len(t or "")
+    assert {(r.g, r.id): r.part_no for r in got} == want and len(got) == len(want)
