@@ -42,11 +42,11 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def at_limits(histogram: DataFrame, limits: DataFrame) -> DataFrame:
-    """n_tokens and truncated_total of any context limits (column n_tokens of ``limits``, none below 0).
+    """n_tokens and truncated_total of any context limits (column n_tokens of ``limits``); null limits and those below 0 are left out.
 
     A limit joins the histogram as a length of 0 documents, so its own suffix sums give the answer.
     """
-    asked = limits.select(F.col("n_tokens").cast("long").alias("n_tokens")).distinct()
+    asked = limits.select(F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens >= 0").distinct()
     both = histogram.select("n_tokens", "n_docs").unionByName(asked.withColumn("n_docs", F.lit(0).cast("long"))).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
     return with_suffix_sums(both).join(asked, "n_tokens", "left_semi").select("n_tokens", "truncated_total")
 
