@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
@@ -40,6 +41,12 @@ def unpack(data: pa.Scalar) -> pa.RecordBatch:
         return stream.read_next_batch()
 
 
+def in_bytes(setting: str) -> int:
+    """A size as Spark's settings give it: a number, with or without a unit (b, k, kb, m, ...)."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", setting.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 class Kernel:
     """What a search does with a pair of blocks. Rows are arrays of equal length: the query's place in its block, score, id, more."""
 
@@ -89,7 +96,7 @@ def search(queries: DataFrame, passages: DataFrame, kernel: Callable[[], Kernel]
     spark = passages.sparkSession
     asked = stored(pack(queries), "query-blocks").withColumnsRenamed({"block": "q_block", "data": "q_data"})
     size = asked.agg(F.sum(F.length("q_data"))).first()[0] or 0
-    few = size <= int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b"))
+    few = size <= in_bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
     lanes = 1 if few else int(spark.conf.get("spark.sql.shuffle.partitions"))
     lane = F.pmod(F.xxhash64("block"), F.lit(lanes))
     sides = asked.withColumn("lane", F.pmod("q_block", F.lit(1))) if few else asked.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))

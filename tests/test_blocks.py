@@ -7,14 +7,14 @@ import random
 import numpy as np
 import pytest
 
-from lorebase.operators import common, retrieval
+from lorebase.operators import blocks, common, retrieval
 
 
 @pytest.fixture(params=["few", "lanes"])
 def lanes(spark, request):
     """Query blocks sent to all passages, and dealt in lanes."""
     if request.param == "lanes":
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1b")
     yield
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -76,3 +76,7 @@ def test_signatures_carry_no_text(spark):
     texts = spark.createDataFrame([(i, f"some text {i} with words") for i in range(50)], "id long, _text string")
     plan = common.by_signature(texts, spark.createDataFrame([("words",), ("text 7",)], "_word string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan  # the grams were exploded beside the keys and written
+
+
+def test_sizes_are_read_with_their_units():
+    assert [blocks.in_bytes(x) for x in ("256k", "10485760b", "-1", "3mb", "2 g", "0")] == [256 << 10, 10485760, -1, 3 << 20, 2 << 30, 0]
