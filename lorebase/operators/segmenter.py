@@ -37,35 +37,39 @@ class Trie:
             for c in w:
                 node = node.setdefault(code[ord(c)], {})
             node[0] = x
-        size = 1 << 10
-        self.base, self.check, self.value = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, NONE, np.int64)
-        self.check[0] = 0
+        # States are laid out level by level; a state's children take the first free places that fit them all.
+        base, check, value, used = [0], [0], [NONE], bytearray(b"\1")
         level, free = [(0, tree)], 1
         while level:
             after = []
             for state, node in level:
-                kids = np.array(sorted(k for k in node if k), np.int64)
-                self.value[state] = node.get(0, NONE)
-                if not len(kids):
+                kids = sorted(k for k in node if k)
+                value[state] = node.get(0, NONE)
+                if not kids:
                     continue
-                at = max(1, free - int(kids[0]))
+                place = max(free, kids[0] + 1)
                 while True:
-                    self._grow(at + int(kids[-1]) + 1)
-                    if (self.check[at + kids] < 0).all():
+                    place = used.find(b"\0", place)
+                    if place < 0:
+                        place = max(len(used), kids[0] + 1)
+                    at = place - kids[0]
+                    if not any(used[at + k] for k in kids if at + k < len(used)):
                         break
-                    at += 1
-                self.base[state] = at
-                self.check[at + kids] = state
-                while self.check[free] >= 0:
-                    free += 1
-                    self._grow(free + 1)
-                after += [(at + k, node[k]) for k in kids.tolist()]
+                    place += 1
+                more = at + kids[-1] + 1 - len(used)
+                if more > 0:
+                    used += bytes(more)
+                    base += [0] * more
+                    check += [-1] * more
+                    value += [NONE] * more
+                base[state] = at
+                for k in kids:
+                    used[at + k], check[at + k] = 1, state
+                    after.append((at + k, node[k]))
+                free = used.find(b"\0", free)
+                free = len(used) if free < 0 else free
             level = after
-
-    def _grow(self, size: int) -> None:
-        if size > len(self.base):
-            more = max(size, 2 * len(self.base)) - len(self.base)
-            self.base, self.check, self.value = (np.r_[x, np.full(more, fill, np.int64)] for x, fill in ((self.base, 0), (self.check, -1), (self.value, NONE)))
+        self.base, self.check, self.value = (np.array(x, np.int64) for x in (base, check, value))
 
     def arcs(self, points: np.ndarray) -> np.ndarray:
         """For each length from 1 on and each place the weight of the word that starts there; a single character always has one."""
