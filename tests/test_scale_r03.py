@@ -42,3 +42,11 @@ def test_link_entities_is_distinct_before_the_join(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     many = spark.range(0, 400).select((F.col("id") % 40).alias("id"), F.lit(1).alias("doc_id"))
     assert metric_rows(graph.link_entities(many, many)) <= 40 * 40  # 160,000 before
+
+
+def test_rule_entity_map_is_distinct_before_the_join(spark):
+    rules = spark.range(0, 2000).select(F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("note_qc_code"), (F.col("id") % 2).alias("doc_id"))
+    e = spark.range(0, 100).select("id", (F.col("id") % 2).alias("doc_id"))
+    got = graph.rule_entity_map(rules, e)
+    assert rows_of(got, "note_qc_code", "entity_id") == sorted((f"c{c}", i) for c in range(3) for i in range(100))
+    assert metric_rows(got) <= 2000  # 100,000 before
