@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -50,3 +49,56 @@ def test_rule_entity_map_is_distinct_before_the_join(spark):
     got = graph.rule_entity_map(rules, e)
     assert rows_of(got, "note_qc_code", "entity_id") == sorted((f"c{c}", i) for c in range(3) for i in range(100))
     assert metric_rows(got) <= 2000  # 100,000 before
+
+
+def walk(seeds, edges, hops, cap):
+    """Brute force of k_hop."""
+    nodes, found = {q: {i: 0 for i in ids} for q, ids in seeds.items()}, {}
+    for q, seen in nodes.items():
+        frontier = list(seen)
+        for hop in range(1, hops + 1):
+            first = {}
+            for e, s, t in edges:
+                for a, b, side in ((s, t, 1), (t, s, 0)):
+                    if a in frontier:
+                        found.setdefault((q, e), hop)
+                        if b not in seen:
+                            first[b] = min(first.get(b, (e, side)), (e, side))
+            frontier = sorted(first, key=lambda i: (first[i], i))[:cap]
+            seen.update({i: hop for i in frontier})
+    return {(q, i, h) for q, seen in nodes.items() for i, h in seen.items()}, {(q, e, h) for (q, e), h in found.items()}
+
+
+def test_k_hop_as_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    for most in (1000, 2):  # lists of walked nodes, and the way of queries with more
+        monkeypatch.setattr(graph, "WALKED", most)
+        edges = [(rng.randrange(120), rng.choice([0, 0, rng.randrange(30)]), rng.randrange(30)) for _ in range(150)]
+        edges += edges[:10]
+        seeds = {1: [0], 2: [3, 4, 5], 3: [29]}
+        e = spark.createDataFrame(edges, "id long, source_id long, target_id long")
+        s = spark.createDataFrame([(q, i) for q, ids in seeds.items() for i in ids], "query_id int, id long")
+        for hops, cap in ((2, 3), (3, 2)):
+            nodes, found = graph.k_hop(s, e, hops, cap)
+            want = walk(seeds, edges, hops, cap)
+            assert rows_of(nodes, "query_id", "id", "hop") == sorted(want[0])
+            assert rows_of(found, "query_id", "edge", "hop") == sorted(want[1])
+            entities = spark.createDataFrame([(i, f"n{i}") for i in range(0, 30, 2)], "id long, name string")
+            more = e.withColumn("weight", F.lit(1))
+            columns = ("query_id", "edge", "hop", "source_id", "target_id", "weight")
+            plain, fast = (graph.with_details(nodes, found, entities, more, h)[1] for h in (None, hops))
+            assert rows_of(fast, *columns) == rows_of(plain, *columns)
+            assert sorted(map(str, fast.select("edge", "source", "target").collect())) == sorted(map(str, plain.select("edge", "source", "target").collect()))
+
+
+def test_a_hub_gives_a_query_few_rows(spark):
+    e = spark.range(1, 3001).select("id", F.lit(0).cast("long").alias("source_id"), F.col("id").alias("target_id"))
+    s = spark.range(1, 51).select(F.col("id").alias("query_id"), "id")
+    steps, kept = [], graph.stored
+    graph.stored = lambda df, what: (steps.append(metric_rows(df)) if what == "k-hop" else None, kept(df, what))[1]
+    try:
+        nodes, found = graph.k_hop(s, e, 2, 5)
+    finally:
+        graph.stored = kept
+    assert nodes.count() == 50 * 7 and max(steps) <= 6050  # 150,000 before
+    assert found.count() == 50 * 3000
