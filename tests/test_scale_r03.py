@@ -102,3 +102,11 @@ def test_a_hub_gives_a_query_few_rows(spark):
         graph.stored = kept
     assert nodes.count() == 50 * 7 and max(steps) <= 6050  # 150,000 before
     assert found.count() == 50 * 3000
+
+
+def test_communities_of_an_entity_in_many(spark):
+    com = spark.range(0, 2000).select("id", (F.col("id") % 3).alias("level"), F.lit("s").alias("summary"), F.array(F.col("id") % 2, F.lit(9).cast("long"), F.lit(9).cast("long")).alias("entity_ids"), F.lit(True).alias("enabled"))
+    nodes = spark.range(0, 200).select(F.col("id").alias("query_id"), F.explode(F.array(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("id"))
+    got = graph.community_summaries(nodes, com, 4)
+    assert {tuple(r) for r in got.select("id", "rank").collect()} == {(2, 1), (5, 2), (8, 3), (11, 4)} and got.count() == 800
+    assert metric_rows(got) <= 6000  # 600,000 before
