@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lorebase.operators import graph
+from lorebase.operators import common, graph
 
 
 def rows_of(df, *columns):
@@ -110,3 +110,11 @@ def test_communities_of_an_entity_in_many(spark):
     got = graph.community_summaries(nodes, com, 4)
     assert {tuple(r) for r in got.select("id", "rank").collect()} == {(2, 1), (5, 2), (8, 3), (11, 4)} and got.count() == 800
     assert metric_rows(got) <= 6000  # 600,000 before
+
+
+def test_hits_repeat_no_text(spark, monkeypatch):
+    monkeypatch.setattr(common, "HITS", 5)
+    words = [f"w{i}" for i in range(10, 40)]
+    texts = spark.createDataFrame([(i, " ".join(words)) for i in range(6)], "id long, text string")
+    got = common.contains_pairs(texts, "text", spark.createDataFrame([(w,) for w in words], "kw string"), "kw", ["id"])
+    assert rows_of(got, "id", "kw") == sorted((i, w) for i in range(6) for w in words)
