@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lorebase.operators import common, graph
+from lorebase.operators import common, graph, retrieval
 
 
 def rows_of(df, *columns):
@@ -118,3 +118,14 @@ def test_hits_repeat_no_text(spark, monkeypatch):
     texts = spark.createDataFrame([(i, " ".join(words)) for i in range(6)], "id long, text string")
     got = common.contains_pairs(texts, "text", spark.createDataFrame([(w,) for w in words], "kw string"), "kw", ["id"])
     assert rows_of(got, "id", "kw") == sorted((i, w) for i in range(6) for w in words)
+
+
+def test_title_search_takes_the_first_of_each_word_and_document(spark):
+    docs = spark.createDataFrame([(1, "book", 0, None), (2, "chapter one", 1, 1)] + [(10 + i, f"section {i}", 2, 2) for i in range(200)], "id long, title string, level int, parent_id long")
+    p = spark.range(0, 4000).select("id", (F.col("id") % 8 + 10).alias("doc_id"), F.concat(F.lit("part "), (F.col("id") % 3).cast("string")).alias("section_path"))
+    kw = spark.range(0, 300).select(F.col("id").alias("query_id"), F.when(F.col("id") < 299, "SECTION").otherwise("chapter").alias("kw"), F.lit(1).alias("weight"))
+    got = retrieval.title_search(kw, docs, p)
+    assert {tuple(r) for r in got.select("query_id", "id", "rank").collect()} == {(q, i, i + 1) for q in range(300) for i in range(5)}
+    assert metric_rows(got) <= 20_000  # 60,000 pairs of words and titles, 1,196,000 of queries and passages before
+    path = retrieval.section_path_search(kw.withColumn("kw", F.lit("part")), p)
+    assert path.count() == 3000 and metric_rows(path) <= 10_000  # 1,200,000 before
