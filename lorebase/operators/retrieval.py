@@ -556,5 +556,11 @@ def lookup_icd(queries: DataFrame, icd: DataFrame, most: int = 20) -> DataFrame:
     """K9: query_id, systems (all body systems, sorted) and codes (first 20 by code) whose code, or a search word of two characters, the question contains."""
     on = icd.where("enabled") if "enabled" in icd.columns else icd
     words = on.select("icd_code", "body_system", F.explode(F.array_distinct(F.concat(F.array("icd_code"), F.filter(F.split("search_text", r"\s+"), lambda w: F.length(w) >= 2)))).alias("word"))
-    hit = contains_pairs(queries, "text", words, "word", ["query_id"]).select("query_id", "icd_code", "body_system").distinct()
-    return hit.groupBy("query_id").agg(F.sort_array(F.collect_set("body_system")).alias("systems"), F.slice(F.sort_array(F.collect_set("icd_code")), 1, most).alias("codes"))
+    words = stored(words.select("icd_code", "body_system", F.lower("word").alias("word")).distinct(), "icd-words")
+    hit = stored(contains_pairs(queries, "text", words.select("word").distinct(), "word", ["query_id"]).distinct(), "icd-hits")
+    # Entries of one word are many; a query needs their distinct systems and the first codes of each word.
+    codes = top(words.select("word", "icd_code").where("icd_code IS NOT NULL").distinct(), ["word"], [F.col("icd_code")], most)
+    listed = hit.join(codes, "word").select("query_id", F.lit(None).cast(words.schema["body_system"].dataType).alias("body_system"), "icd_code")
+    found = hit.join(words.select("word", "body_system").distinct(), "word").select("query_id", "body_system").distinct()
+    rows = found.withColumn("icd_code", F.lit(None).cast(words.schema["icd_code"].dataType)).unionByName(listed)
+    return rows.groupBy("query_id").agg(F.sort_array(F.collect_set("body_system")).alias("systems"), F.slice(F.sort_array(F.collect_set("icd_code")), 1, most).alias("codes"))

@@ -129,3 +129,11 @@ def test_title_search_takes_the_first_of_each_word_and_document(spark):
     assert metric_rows(got) <= 20_000  # 60,000 pairs of words and titles, 1,196,000 of queries and passages before
     path = retrieval.section_path_search(kw.withColumn("kw", F.lit("part")), p)
     assert path.count() == 3000 and metric_rows(path) <= 10_000  # 1,200,000 before
+
+
+def test_lookup_icd_with_many_entries_of_a_word(spark):
+    icd = spark.range(0, 4000).select(F.concat(F.lit("I"), F.lpad((F.col("id") % 30).cast("string"), 2, "0")).alias("icd_code"), (F.col("id") % 7).cast("string").alias("body_system"), F.lit("Pain acute").alias("search_text"))
+    q = spark.range(0, 100).select(F.col("id").alias("query_id"), F.lit("acute pain").alias("text"))
+    got = retrieval.lookup_icd(q, icd)
+    assert {(r.query_id, tuple(r.systems), tuple(r.codes)) for r in got.collect()} == {(i, tuple("0123456"), tuple(f"I{n:02}" for n in range(20))) for i in range(100)}
+    assert metric_rows(got) <= 10_000  # 800,000 before
