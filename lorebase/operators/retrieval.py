@@ -448,21 +448,83 @@ def scoped_search(queries: DataFrame, passages: DataFrame, limit: int = 3, thr:
 
     queries(query_id, vec, doc_ids, passage_ids); passages(id, doc_id, vec). No scope, no rows.
     """
-    p = passages.select("id", "doc_id", F.col("vec").alias("_p"))
-    inside = queries.select("query_id", "vec", F.explode("passage_ids").alias("id")).join(p, "id").withColumn("mode", F.lit(0))
-    docs = queries.select("query_id", "vec", F.explode("doc_ids").alias("doc_id")).join(p, "doc_id").withColumn("mode", F.lit(1))
-    both = inside.unionByName(docs.select(*inside.columns)).select("query_id", "id", "doc_id", "mode", F.round(cosine(F.col("vec"), F.col("_p")), 6).alias("similarity")).where(F.col("similarity") >= thr)
-    both = both.withColumn("_mode", F.min("mode").over(Window.partitionBy("query_id"))).where("mode = _mode").drop("_mode").distinct()
+    inside = queries.select("query_id", "vec", F.explode("passage_ids").alias("id")).join(passages.select("id", "doc_id", F.col("vec").alias("_p")), "id")
+    inside = inside.select("query_id", "id", "doc_id", F.round(cosine(F.col("vec"), F.col("_p")), 6).alias("similarity")).where(F.col("similarity") >= thr)
+    inside = stored(inside.distinct(), "scoped")
+    # Documents are searched only for the queries that found nothing inside their passages.
+    rest = queries.join(inside.select("query_id").distinct(), "query_id", "left_anti")
     most = queries.select("query_id", (F.lit(limit) * F.greatest(F.lit(1), F.size("doc_ids"))).alias("_most"))
+    k = most.agg(F.max("_most")).first()[0] or limit
+    docs = grouped_search(rest.select("query_id", "vec", F.col("doc_ids").alias("groups")), passages.select("id", "vec", F.col("doc_id").alias("group")).distinct(), k, thr)
+    both = inside.unionByName(docs.withColumnRenamed("group", "doc_id").distinct())
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id"))
-    return both.withColumn("rank", place).join(most, "query_id").where("rank <= _most").drop("_most", "mode")
+    return both.withColumn("rank", place).join(most, "query_id").where("rank <= _most").drop("_most")
+
+
+def grouped_search(queries: DataFrame, passages: DataFrame, k: int, thr: float) -> DataFrame:
+    """query_id, id, similarity, group: at least each query's k nearest passages (id, vec, group) of its groups with cosine >= thr; queries(query_id, vec, groups).
+
+    Blocks of queries meet blocks of passages as in ``vector_search``; only vectors of a common group are multiplied, and no pair is shuffled but the
+    tasks' best. At a ``thr`` of 0 or less pairs without a cosine count as 0, which takes a join.
+    """
+    q = queries.where("vec IS NOT NULL").select("query_id", "vec", F.array_compact(F.array_distinct("groups")).alias("groups"))
+    if thr <= 0:
+        pairs = queries.select("query_id", F.col("vec").alias("_q"), F.explode(F.array_distinct("groups")).alias("group")).join(passages, "group")
+        return pairs.select("query_id", "id", F.round(cosine(F.col("_q"), F.col("vec")), 6).alias("similarity"), "group").where(F.col("similarity") >= thr)
+    p = passages.where("vec IS NOT NULL AND group IS NOT NULL").select("id", "vec", "group")
+    kinds = [x.schema[c].dataType for x, c in ((q, "query_id"), (p, "id"), (p, "group"))]
+    shape = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, similarity double, group {kinds[2].simpleString()}"
+    return blocks.search(q, p, lambda: _InGroups(k, thr, [to_arrow_type(x) for x in kinds]), shape)
+
+
+class _InGroups(_Nearest):
+    """Cosines of the vectors that share a group, a product for each group of a block."""
+
+    def __init__(self, k: int, thr: float, kinds: list[pa.DataType]) -> None:
+        super().__init__(k, thr, kinds)
+        self.groups: dict[object, int] = {}
+
+    def prepare(self, queries: pa.RecordBatch) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], dict[object, np.ndarray]]:
+        members: dict[object, list[int]] = {}
+        for i, groups in enumerate(queries.column(2).to_pylist()):
+            for g in groups or ():
+                members.setdefault(g, []).append(i)
+        return _by_dimension(queries.column(1)), {g: np.array(v) for g, v in members.items()}
+
+    def found(self, asked: tuple[dict[int, tuple[np.ndarray, np.ndarray]], dict[object, np.ndarray]], passages: pa.RecordBatch, floor: np.ndarray) -> list[np.ndarray]:
+        units, members = asked
+        ids, out = np.array(passages.column(0).to_pylist()), []
+        coded = passages.column(2).dictionary_encode()
+        code, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        for dim, (unit, at) in _by_dimension(passages.column(1)).items():
+            if dim not in units:
+                continue
+            mine, places = units[dim]
+            row = np.full(len(floor), -1)
+            row[places] = np.arange(len(places))
+            order = np.argsort(code[at], kind="stable")
+            edges = np.searchsorted(code[at][order], np.arange(len(names) + 1))
+            for c, name in enumerate(names):
+                q, p = row[members[name]] if name in members else row[:0], order[edges[c] : edges[c + 1]]
+                q = q[q >= 0]
+                if not len(q) or not len(p):
+                    continue
+                sims = np.round(mine[q] @ unit[p].T, 6)
+                i, j = np.nonzero(sims >= np.maximum(floor[places[q]], self.thr)[:, None])
+                out.append((places[q[i]], sims[i, j], ids[at[p[j]]], np.full(len(i), self.groups.setdefault(name, len(self.groups)))))
+        return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0), ids[:0], np.zeros(0, np.int64)]
+
+    def output(self, ids: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatch:
+        names = list(self.groups)
+        plain = super().output(ids, rows)
+        return pa.RecordBatch.from_arrays([*plain.columns, pa.array([names[g] for g in rows[3].tolist()], self.kinds[2])], [*plain.schema.names, "group"])
 
 
 def verify_search(queries: DataFrame, verify: DataFrame, k: int = 3, thr: float = 0.5) -> DataFrame:
     """Enabled sentences (id, note_qc_code, vec) of the query's rule code with cosine >= thr, the k nearest."""
-    v = (verify.where("enabled") if "enabled" in verify.columns else verify).select("id", "note_qc_code", F.col("vec").alias("_v"))
-    scored = queries.select("query_id", "note_qc_code", "vec").join(v, "note_qc_code").select("query_id", "id", F.round(cosine(F.col("vec"), F.col("_v")), 6).alias("similarity"))
-    return top(scored.where(F.col("similarity") >= thr), ["query_id"], [F.col("similarity").desc(), F.col("id")], k, "rank")
+    v = (verify.where("enabled") if "enabled" in verify.columns else verify).select("id", "vec", F.col("note_qc_code").alias("group"))
+    found = grouped_search(queries.select("query_id", "vec", F.array("note_qc_code").alias("groups")), v, k, thr).drop("group")
+    return top(found, ["query_id"], [F.col("similarity").desc(), F.col("id")], k, "rank")
 
 
 def merge_per_book(rows: DataFrame, limit: int) -> DataFrame:

@@ -137,3 +137,23 @@ def test_lookup_icd_with_many_entries_of_a_word(spark):
     got = retrieval.lookup_icd(q, icd)
     assert {(r.query_id, tuple(r.systems), tuple(r.codes)) for r in got.collect()} == {(i, tuple("0123456"), tuple(f"I{n:02}" for n in range(20))) for i in range(100)}
     assert metric_rows(got) <= 10_000  # 800,000 before
+
+
+def test_search_inside_groups(spark):
+    rng = random.Random(1)
+    vec = lambda: [rng.choice([-1.0, 0.5, 1.0]) for _ in range(4)]
+    p = spark.createDataFrame([(i, rng.choice(["a", "b", "c", None]), vec()) for i in range(300)] + [(300, "a", None), (301, "a", [0.0] * 4), (302, "a", [1.0])], "id long, doc_id string, vec array<double>")
+    q = spark.createDataFrame([(i, vec(), [["a"], ["b", "c"], ["a", "a", "z"], []][i % 4], [[], [3, 5, 8]][i % 2]) for i in range(40)], "query_id long, vec array<double>, doc_ids array<string>, passage_ids array<long>")
+    cos = F.round(retrieval.cosine(F.col("vec"), F.col("_p")), 6).alias("similarity")
+    pv = p.select("id", "doc_id", F.col("vec").alias("_p"))
+    one = q.select("query_id", "vec", F.explode("passage_ids").alias("id")).join(pv, "id").select("query_id", "id", "doc_id", F.lit(0).alias("mode"), cos)
+    two = q.select("query_id", "vec", F.explode("doc_ids").alias("doc_id")).join(pv, "doc_id").select("query_id", "id", "doc_id", F.lit(1).alias("mode"), cos)
+    rows, want = one.unionByName(two).where("similarity >= 0.5").distinct().collect(), []
+    for r in q.collect():
+        mine = [x for x in rows if x.query_id == r.query_id]
+        mine = sorted((-x.similarity, x.id, x.doc_id or "") for x in mine if x["mode"] == min(y["mode"] for y in mine))
+        want += [(r.query_id, i, d, -s, n) for n, (s, i, d) in enumerate(mine[: 3 * max(1, len(r.doc_ids))], 1)]
+    got = retrieval.scoped_search(q, p, 3, 0.5)
+    assert sorted((r.query_id, r.id, r.doc_id or "", r.similarity, r["rank"]) for r in got.collect()) == sorted(want)
+    v = retrieval.verify_search(q.select("query_id", "vec", F.get("doc_ids", F.lit(0)).alias("note_qc_code")), p.withColumnRenamed("doc_id", "note_qc_code"), 3, 0.5)
+    assert metric_rows(v) <= 2000  # every pair of a code before
