@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
+from heapq import merge
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,39 +118,56 @@ def split_by_toc(entries: DataFrame, lines: DataFrame) -> DataFrame:
             return 60 + min(same, 30)
         return 55 if len(body) >= 4 and body in line else 0
 
-    def run(key: tuple, e: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        e, x = e.sort_values("ord"), x.sort_values("line_no").reset_index(drop=True)
-        texts = [(t or "").strip() for t in x.text]
-        plain = [left_out.sub("", t) if 2 <= len(t) <= 60 else "" for t in texts]
+    def since(places: list[int], at: int) -> Iterator[int]:
+        return (places[j] for j in range(bisect_left(places, at), len(places)))
+
+    def run(key: tuple, e: pa.Table, x: pa.Table) -> pa.Table:
+        e, x = e.sort_by("ord").to_pylist(), x.sort_by("line_no").to_pydict()
+        texts, pages = x["text"], x["page_no"]
+        plain = [left_out.sub("", t) if 2 <= len(t) <= 60 else "" for t in ((t or "").strip() for t in texts)]
+        plain = [p if len(p) >= 3 else "" for p in plain]
+        # A line can score only if it equals the title, starts with its first four characters, or holds its body with the body's first four.
+        equal, start, holds = defaultdict(list), defaultdict(list), defaultdict(list)
+        for i, p in enumerate(plain):
+            if p:
+                equal[p].append(i)
+                start[p[:4]].append(i)
+                for gram in {p[j : j + 4] for j in range(len(p) - 3)}:
+                    holds[gram].append(i)
         found, at = [], 0
-        for row in e.itertuples():
-            title = left_out.sub("", row.title or "")
-            best, where = 0, -1
-            for i in range(at, len(x)) if len(title) >= 3 else ():
-                s = score(title, number.sub("", title), plain[i]) if len(plain[i]) >= 3 else 0
-                if s and not pd.isna(row.target) and not pd.isna(x.page_no[i]) and abs(int(x.page_no[i]) - int(row.target)) <= 2:
+        for row in e:
+            title = left_out.sub("", row["title"] or "")
+            body, best, where = number.sub("", title), 0, -1
+            lists = [equal.get(title, ()), start.get(title[:4], ()) if len(title) >= 4 else (), holds.get(body[:4], ()) if len(body) >= 4 else ()] if len(title) >= 3 else []
+            for i in merge(*(since(c, at) for c in lists)):
+                s = score(title, body, plain[i])
+                if s and row["target"] is not None and pages[i] is not None and abs(int(pages[i]) - int(row["target"])) <= 2:
                     s += 15
                 if s > best:
                     best, where = s, i
                 if s >= 100:
                     break
             if where >= 0:
-                found.append((row.ord, row.title, int(row.level), where))
+                found.append((row["ord"], row["title"], int(row["level"]), where))
                 at = where + 1
         rows, parent = [], None
+        doc = key[0].as_py() if isinstance(key[0], pa.Scalar) else key[0]
         for n, (ord_, title, level, where) in enumerate(found if len(found) >= 3 else []):
-            end = found[n + 1][3] if n + 1 < len(found) else len(x)
-            text = "\n".join(t or "" for t in x.text[where + 1 : end]).strip()
-            page = None if pd.isna(x.page_no[where]) else int(x.page_no[where])
+            end = found[n + 1][3] if n + 1 < len(found) else len(texts)
+            text = "\n".join(t or "" for t in texts[where + 1 : end]).strip()
             if level == 1:
                 parent = ord_
             if level == 1 or len(text) >= 20:
-                rows.append((key[0], ord_, title, level, parent if level != 1 else None, int(x.line_no[where]), page, text))
-        return pd.DataFrame(rows, columns=["doc_id", "ord", "title", "level", "parent_ord", "start_line", "page_no", "content"]).astype({"parent_ord": "Int64", "page_no": "Int64"})
+                rows.append((doc, ord_, title, level, parent if level != 1 else None, x["line_no"][where], pages[where], text))
+        columns = list(zip(*rows, strict=True)) or [()] * len(types)
+        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, types, strict=True)], schema=types)
 
     ship(lines.sparkSession)
-    schema = f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, ord int, title string, level int, parent_ord int, start_line int, page_no int, content string"
-    return entries.groupBy("doc_id").cogroup(lines.select("doc_id", "line_no", "page_no", "text").groupBy("doc_id")).applyInPandas(run, schema)
+    doc_type = lines.schema["doc_id"].dataType
+    schema = f"doc_id {doc_type.simpleString()}, ord int, title string, level int, parent_ord int, start_line int, page_no int, content string"
+    kinds = {"title": pa.string(), "content": pa.string(), "doc_id": to_arrow_type(doc_type)}
+    types = pa.schema([(c, kinds.get(c, pa.int32())) for c in ("doc_id", "ord", "title", "level", "parent_ord", "start_line", "page_no", "content")])
+    return entries.groupBy("doc_id").cogroup(lines.select("doc_id", "line_no", "page_no", "text").groupBy("doc_id")).applyInArrow(run, schema)
 
 
 def split_by_outline(outline: DataFrame, pages: DataFrame) -> DataFrame:

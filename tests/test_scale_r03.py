@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from lorebase.operators import common, graph, retrieval
+from lorebase.operators import common, graph, retrieval, structure
+from lorebase.plans import QUERIES, SQL
 
 
 def rows_of(df, *columns):
@@ -157,3 +159,42 @@ def test_search_inside_groups(spark):
     assert sorted((r.query_id, r.id, r.doc_id or "", r.similarity, r["rank"]) for r in got.collect()) == sorted(want)
     v = retrieval.verify_search(q.select("query_id", "vec", F.get("doc_ids", F.lit(0)).alias("note_qc_code")), p.withColumnRenamed("doc_id", "note_qc_code"), 3, 0.5)
     assert metric_rows(v) <= 2000  # every pair of a code before
+
+
+def test_split_by_toc_as_a_scan_of_all_lines(spark):
+    rng = random.Random(4)
+    number = structure.re.compile(structure.TOC_NUMBER)
+
+    def score(title, body, line):
+        if line == title:
+            return 100
+        same = next((i for i, (x, y) in enumerate(zip(title, line)) if x != y), min(len(title), len(line)))
+        if same >= 4 and same >= 0.6 * min(len(title), len(line)):
+            return 60 + min(same, 30)
+        return 55 if len(body) >= 4 and body in line else 0
+
+    lines, entries, want = [], [], []
+    for doc in range(60):
+        text = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+        text[rng.randrange(60)] = "x" * 61
+        titles = [rng.choice(["1.", "第2章", ""]) + "".join(rng.choice("ab") for _ in range(rng.randrange(1, 8))) for _ in range(9)]
+        lines += [(doc, i, i // 4, t) for i, t in enumerate(text)]
+        entries += [(doc, n, t, 1, n if n % 3 else None) for n, t in enumerate(titles)]
+        at, found = 0, []
+        for n, t in enumerate(titles):
+            title, best, where = structure.re.sub(structure.TOC_LEFT_OUT, "", t), 0, -1
+            for i in range(at, 60) if len(title) >= 3 else ():
+                s = score(title, number.sub("", title), text[i]) if 3 <= len(text[i]) <= 60 else 0
+                s += 15 if s and n % 3 and abs(i // 4 - n) <= 2 else 0
+                if s > best:
+                    best, where = s, i
+                if s >= 100:
+                    break
+            if where >= 0:
+                found.append((doc, n, where))
+                at = where + 1
+        want += found if len(found) >= 3 else []
+    e = spark.createDataFrame(entries, "doc_id long, ord int, title string, level int, target int")
+    x = spark.createDataFrame(lines, "doc_id long, line_no int, page_no int, text string")
+    assert rows_of(structure.split_by_toc(e, x), "doc_id", "ord", "start_line") == sorted(want)
+    assert len(want) > 60
