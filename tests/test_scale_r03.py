@@ -198,3 +198,12 @@ def test_split_by_toc_as_a_scan_of_all_lines(spark):
     x = spark.createDataFrame(lines, "doc_id long, line_no int, page_no int, text string")
     assert rows_of(structure.split_by_toc(e, x), "doc_id", "ord", "start_line") == sorted(want)
     assert len(want) > 60
+
+
+def test_split_chapters_of_lines_like_headings(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    text = "\n".join(["1. a point of some length and more", "第3章 说明", "附录 一", "一、甲", "# head", "x" * 30] * 5)
+    spark.createDataFrame([(1, text), (2, "1. a"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = duckdb.connect().execute(SQL["split_chapters"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    got = QUERIES["split_chapters"](spark, str(tmp_path)).select("doc_id", "ord", "title", "level", "start_line", "h")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
