@@ -215,7 +215,8 @@ def _product(unit: np.ndarray, side: np.ndarray, cid: np.ndarray, sets: list[np.
 
     Rows of the same unit are multiplied: all pairs of side 0, and pairs of side 1 with side 2. Rows stand in order of
     size, so that a row's partners, which may be larger by 100 / percent at most, are a range of the rows after it; counts
-    of pairs beyond that bound are dropped before they are added up.
+    of pairs beyond that bound are dropped before they are added up. Two blocks that meet are connected in themselves first, by
+    links that their own units give, so that of all links across only those go on that connect what is still apart.
     """
     by_size = np.argsort([len(s) for s in sets], kind="stable")
     unit, side, cid, sets = unit[by_size], side[by_size], cid[by_size], [sets[i] for i in by_size]
@@ -229,15 +230,21 @@ def _product(unit: np.ndarray, side: np.ndarray, cid: np.ndarray, sets: list[np.
     counts = np.diff(np.r_[bounds, len(gram)])
     column[order] = np.repeat(np.arange(len(bounds)), counts)
     holders = owner[order]
-    parent = list(range(len(sets)))
+    up = np.arange(len(sets))
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def roots(x: np.ndarray) -> np.ndarray:
+        top = up[x]
+        while (up[top] != top).any():
+            top = up[top]
+        return top
 
-    a, b, links, at = [], [], np.zeros(len(sets), np.int64), 0
+    def join(i: int, others: np.ndarray) -> list[int]:
+        """Connects row i with ``others``, of which those are returned that were apart from it and from one another."""
+        top, first = np.unique(roots(np.r_[i, others]), return_index=True)
+        up[top] = up[i] = up[others] = top[0]
+        return others[first[first > 0] - 1].tolist()
+
+    a, b, across, links, at = [], [], [], np.zeros(len(sets), np.int64), 0
     for i, n in enumerate(lengths.tolist()):
         mine = column[at : at + n]
         at += n
@@ -252,17 +259,22 @@ def _product(unit: np.ndarray, side: np.ndarray, cid: np.ndarray, sets: list[np.
             continue
         found, overlap = np.unique(others, return_counts=True)
         linked = 100 * overlap >= percent * (n + lengths[found] - overlap)
-        if side[i]:
-            linked &= side[found] != side[i]
-        linked &= cid[found] != cid[i]
-        for j in found[linked].tolist():
-            links[i] += 1
-            links[j] += 1
-            x, y = root(i), root(j)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                a.append(int(cid[i]))
-                b.append(int(cid[j]))
+        found = found[linked & (cid[found] != cid[i])]
+        if not len(found):
+            continue
+        met = found[side[found] != side[i]] if side[i] else found
+        links[i] += len(met)
+        links[met] += 1
+        new = join(i, found[side[found] == side[i]])
+        if not side[i]:
+            a += [int(cid[i])] * len(new)
+            b += cid[new].tolist()
+        elif len(met):
+            across.append((i, met[np.unique(roots(met), return_index=True)[1]]))
+    for i, met in across:
+        new = join(i, met)
+        a += [int(cid[i])] * len(new)
+        b += cid[new].tolist()
     back = np.empty_like(links)
     back[by_size] = links
     return a, b, back
