@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -184,6 +184,11 @@ def question_triplets(questions: DataFrame, chapters: DataFrame, passages: DataF
     return asked.join(fars, "book_id", "left").select(F.col("question").alias("query"), F.col("content").alias("positive"), F.coalesce("negatives", F.array().cast("array<string>")).alias("negatives"))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once for a row, however often ``then`` names it; a plain column is computed at each place."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def rewrite_question(q: Column) -> Column:
     """By the first pattern that matches and changes the question, else null."""
     t = F.trim(q)
@@ -194,23 +199,28 @@ def rewrite_question(q: Column) -> Column:
 def rewrite_output(text: Column) -> Column:
     """A trailing list rewritten: numbered to dashes, plain bullets to a paragraph, an intro line ending in ： with bullets to one line; else null."""
     number, bullet = r"^\d+[.、]\s*(.+)$", r"^[-•]\s*(.+)$"
-    lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    is_list = F.transform(F.reverse(lines), lambda x: (~(x.rlike(number) | x.rlike(bullet))).cast("int"))
-    stop = F.array_position(is_list, 1)
-    n = F.when(stop == 0, F.size(lines)).otherwise(stop - 1).cast("int")
-    block, head = F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), n), F.slice(lines, F.lit(1), F.size(lines) - n)
-    joined = F.array_join(F.transform(block, lambda x: F.trim(F.regexp_extract(x, bullet, 1))), "；")
-    joined = F.when(joined.rlike("[。；]$"), joined).otherwise(F.concat(joined, F.lit("。")))
-    dashes = F.array_join(F.concat(head, F.transform(block, lambda x: F.concat(F.lit("- "), F.trim(F.regexp_extract(x, number, 1))))), "\n")
-    bullets = F.forall(block, lambda x: x.rlike(bullet))
-    return F.when(n > 0, F.when(F.forall(block, lambda x: x.rlike(number)), dashes).when(bullets & (F.size(head) == 0), joined).when(bullets & (F.size(head) == 1) & F.get(head, F.lit(0)).endswith("："), F.concat(F.get(head, F.lit(0)), joined)))
+
+    def of_lines(lines: Column) -> Column:
+        no_item = F.transform(F.reverse(lines), lambda x: (~(x.rlike(number) | x.rlike(bullet))).cast("int"))
+        n = let(F.array_position(no_item, 1), lambda stop: F.when(stop == 0, F.size(lines)).otherwise(stop - 1).cast("int"))
+        return let(n, lambda n: F.when(n > 0, let(F.struct(F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), n).alias("block"), F.slice(lines, F.lit(1), F.size(lines) - n).alias("head")), lambda x: of_block(x["block"], x["head"]))))
+
+    def of_block(block: Column, head: Column) -> Column:
+        joined = let(F.array_join(F.transform(block, lambda x: F.trim(F.regexp_extract(x, bullet, 1))), "；"), lambda j: F.when(j.rlike("[。；]$"), j).otherwise(F.concat(j, F.lit("。"))))
+        dashes = F.array_join(F.concat(head, F.transform(block, lambda x: F.concat(F.lit("- "), F.trim(F.regexp_extract(x, number, 1))))), "\n")
+        intro = (F.size(head) == 1) & F.get(head, F.lit(0)).endswith("：")
+        of_bullets = F.when(F.size(head) == 0, joined).when(intro, F.concat(F.get(head, F.lit(0)), joined))
+        return F.when(F.forall(block, lambda x: x.rlike(number)), dashes).when(F.forall(block, lambda x: x.rlike(bullet)), of_bullets)
+
+    return let(F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), of_lines)
 
 
 def augment(samples: DataFrame) -> DataFrame:
     """Kind (original, question, output) and the sample with its question or output rewritten, where they can be."""
-    q, o = rewrite_question(F.col("input")), rewrite_output(F.col("output"))
     row = lambda kind, i, out: F.struct(F.lit(kind).alias("kind"), i.alias("input"), out.alias("output"))
-    rows = F.array_compact(F.array(row("original", F.col("input"), F.col("output")), F.when(q.isNotNull(), row("question", q, F.col("output"))), F.when(o.isNotNull(), row("output", F.col("input"), o))))
+    i, o = F.col("input"), F.col("output")
+    new = F.struct(rewrite_question(i).alias("q"), rewrite_output(o).alias("o"))
+    rows = let(new, lambda x: F.array_compact(F.array(row("original", i, o), F.when(x["q"].isNotNull(), row("question", x["q"], o)), F.when(x["o"].isNotNull(), row("output", i, x["o"])))))
     rest = [c for c in samples.columns if c not in ("input", "output")]
     return samples.select(*rest, F.inline(rows))
 
