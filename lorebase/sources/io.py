@@ -87,9 +87,9 @@ def write_jsonl(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (df.write.partitionBy(*by) if by else df.write).mode("overwrite").json(path)
 
 
-def read_json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """S3: (key, value) of a JSON object keyed by id; ``value`` is the DDL type of a value."""
-    text = spark.read.text(path, wholetext=True)
+def read_json_map(spark: SparkSession, path: str, value: str, one_a_line: bool = False) -> DataFrame:
+    """S3: (key, value) of JSON objects keyed by id, each a file or, if asked, a line of files of any size; ``value`` is the DDL type of a value."""
+    text = spark.read.text(path, wholetext=not one_a_line)
     return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
 
 

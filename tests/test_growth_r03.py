@@ -8,6 +8,8 @@ import re
 from pyspark.sql import functions as F
 
 from lorebase.operators import dataset
+from lorebase.plans import QUERIES, text_queries
+from lorebase.sources import io
 
 
 def rewritten(text: str | None) -> str | None:
@@ -42,3 +44,12 @@ def test_rewrite_output_computes_its_lines_once(spark):
     want = {(i, k): v for i, t in enumerate(texts) for k, v in (("original", ("甲有哪些？", t)), ("question", ("甲包括哪些？", t)), ("output", ("甲有哪些？", rewritten(t)))) if k != "output" or rewritten(t) is not None}
     assert kinds == want
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1  # many times before, and computed at each
+
+
+def test_json_maps_are_lines_of_few_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "m.json").write_text('{"a": {"n": 1}, "b": {"n": 2}}\n\n{"c": {"n": 3}}\n')
+    assert {(r.key, r.n) for r in io.read_json_map(spark, str(tmp_path / "m.json"), "struct<n:int>", one_a_line=True).select("key", "value.n").collect()} == {("a", 1), ("b", 2), ("c", 3)}
+    monkeypatch.setattr(text_queries, "_folder", lambda _, what: str(tmp_path / what))
+    got = QUERIES["read_json_map"](spark, "/root/testdata/sf0.01").collect()
+    assert len({r.key for r in got}) == len(got) == spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").count()
+    assert len(list((tmp_path / "map").rglob("part-*"))) <= 4  # a file for each ten suppliers before
