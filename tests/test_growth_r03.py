@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lorebase.operators import dataset
+from lorebase.operators import dataset, segmenter
 from lorebase.plans import QUERIES, text_queries
 from lorebase.sources import io
 
@@ -53,3 +54,20 @@ def test_json_maps_are_lines_of_few_files(spark, tmp_path, monkeypatch):
     got = QUERIES["read_json_map"](spark, "/root/testdata/sf0.01").collect()
     assert len({r.key for r in got}) == len(got) == spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").count()
     assert len(list((tmp_path / "map").rglob("part-*"))) <= 4  # a file for each ten suppliers before
+
+
+def test_segment_passes_terms_on_slice_by_slice(spark, monkeypatch):
+    monkeypatch.setattr(segmenter, "CHARS", 10)
+    real = spark.createDataFrame([("急性",)], "text string")
+
+    class Caught:
+        columns, schema, sparkSession = real.columns, real.schema, spark
+
+        def mapInArrow(self, run, _):
+            self.run = run
+
+    caught, texts = Caught(), ["急性心衰", None, "心衰" * 8, "", *["急性"] * 20]
+    segmenter.segment(caught, {"急性": 5, "心衰": 9})
+    out = list(caught.run(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    assert len(out) > 4  # one before
+    assert pa.Table.from_batches(out).to_pylist() == [{"text": t, "terms": [w for w in ("急性", "心衰") if w in (t or "")]} for t in texts]
