@@ -113,12 +113,16 @@ def classes(docs: DataFrame, width: int, kind: str = "long") -> DataFrame:
     return docs.mapInArrow(frugal(run), f"doc_id {kind}, n long, cid long, sketch binary")
 
 
-def candidate_edges(docs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: enough pairs of classes to connect all that share a key and may be linked by their sketches.
+def candidate_groups(docs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
+    """v, label: classes and the smallest class that pairs connect them with, of all pairs that share a key and may be linked by their sketches.
 
     ``known`` has (cid, n, sketch) of every class. A task sends the keys of a class once, however many copies it
     reads. Keys that only one class has end there; the others' classes are joined with their sketches, and
     inside a list pairs that differ too much in the bins are no candidates, whatever key they share.
+
+    Each list has its own pairs, which in a group of near copies would be nearly all pairs of the group. Classes
+    are so connected first in the list of their smallest shared key only, less than a pair a class; of all lists those
+    pairs follow that connect what is still apart, as pairs of what was connected.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +172,10 @@ def candidate_edges(docs: DataFrame, known: DataFrame, width: int, percent: int)
             yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cid[keep])], ["key", "cid"])
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, bytes]] = []
+        rows: list[tuple[int, int, int, bytes, int]] = []
 
         def flush() -> pa.RecordBatch:
-            key, cid, n = (np.array([x[i] for x in rows], np.int64) for i in range(3))
+            key, cid, n, label = (np.array([x[i] for x in rows], np.int64) for i in (0, 1, 2, 4))
             sketches = [x[3] for x in rows]
             rows.clear()
             long = np.array([len(x) > BINS for x in sketches])
@@ -180,7 +184,7 @@ def candidate_edges(docs: DataFrame, known: DataFrame, width: int, percent: int)
             a, b = [], []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 left = np.arange(lo, hi)
-                while len(left):
+                while len(left) and (label[left] != label[left[0]]).any():
                     front, left = [left[0]], left[1:]
                     while front and len(left):
                         i = front.pop()
@@ -190,8 +194,9 @@ def candidate_edges(docs: DataFrame, known: DataFrame, width: int, percent: int)
                             differ = np.abs(bins[left] - bins[i]).sum(axis=1, dtype=np.int64)
                         near = differ * (100 + percent) <= (n[left] + n[i]) * (100 - percent)
                         found = left[near]
-                        a += [int(cid[i])] * len(found)
-                        b += cid[found].tolist()
+                        apart_yet = found[label[found] != label[i]]
+                        a += [int(label[i])] * len(apart_yet)
+                        b += label[apart_yet].tolist()
                         front += found.tolist()
                         left = left[~near]
             return pa.RecordBatch.from_arrays([pa.array(a, LONG), pa.array(b, LONG)], ["a", "b"])
@@ -206,8 +211,20 @@ def candidate_edges(docs: DataFrame, known: DataFrame, width: int, percent: int)
 
     spread = docs.mapInArrow(frugal(keys), "key long, cid long").repartition("key").sortWithinPartitions("key", "cid")
     lists = table(spread.mapInArrow(frugal(shared), "key long, cid long"), "ngram-lists")
-    with_bins = lists.join(known.select("cid", "n", "sketch").hint("merge"), "cid").select("key", "cid", "n", "sketch")
-    return with_bins.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(frugal(prune), "a long, b long").distinct()
+
+    def pairs(rows: DataFrame, of_class: DataFrame) -> DataFrame:
+        with_bins = rows.join(of_class.hint("merge"), "cid").select("key", "cid", "n", "sketch", "label")
+        return with_bins.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(frugal(prune), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    bins = known.select("cid", "n", "sketch")
+    first = components(pairs(lists.groupBy("cid").agg(F.min("key").alias("key")), bins.withColumn("label", F.col("cid"))))
+    of_first = first.withColumnsRenamed({"v": "cid", "label": "own"})
+    second = components(pairs(lists, bins.join(of_first, "cid", "left").withColumn("label", F.coalesce("own", "cid")).drop("own")))
+    further = second.withColumnsRenamed({"v": "own", "label": "to"})
+    moved = of_first.join(further, "own", "left").select(F.col("cid").alias("v"), F.coalesce("to", "own").alias("label"))
+    out = table(moved.unionByName(second.join(first.select("v"), "v", "left_anti")), "ngram-groups")
+    discard(lists, first, second)
+    return out
 
 
 def _product(unit: np.ndarray, side: np.ndarray, cid: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int], np.ndarray]:
@@ -355,7 +372,7 @@ def _joined(slim: DataFrame, of_doc: DataFrame, width: int, percent: int) -> Dat
     ``slim`` has (doc_id, text), ``of_doc`` the written (doc_id, n, cid, sketch) of the same rows.
     """
     by_class = table(of_doc.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "ngram-by-class")
-    groups = components(candidate_edges(slim, by_class, width, percent))
+    groups = candidate_groups(slim, by_class, width, percent)
     reps = by_class.join(groups.select(F.col("v").alias("cid"), F.col("label").alias("grp")), "cid").select(F.col("first_id").alias("doc_id"), "cid", "grp", "n")
     found = table(links(slim, table(reps, "ngram-members"), width, percent), "ngram-links")
     by_class = by_class.select("cid", "first_id")

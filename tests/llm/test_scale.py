@@ -53,3 +53,38 @@ def test_links_across_blocks_span_what_is_apart_inside():
         assert len(a) == len(set(parts(inside))) - len(set(parts(linked)))  # more before
         assert parts([*inside, *zip(a, b, strict=True)]) == parts(linked)
         assert n.tolist() == [sum(i in p for p in across) for i in range(60)]
+
+
+def test_near_copies_give_few_candidate_pairs(spark, monkeypatch):
+    """Every list of a group of near copies once gave its own pairs, 21 of them a copy here."""
+    given = []
+
+    def counted(edges):
+        edges = edges.cache()
+        given.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    rng = random.Random(7)
+    base, n = [f"w{i}" for i in range(300)], 300
+    texts = []
+    for i in range(n):
+        text = list(base)
+        for j in range(6):
+            text[rng.randrange(300)] = f"x{i}-{j}"
+        texts.append(" ".join(text))
+    far = [" ".join(f"y{i}-{j}" for j in range(60)) for i in range(5)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *far, far[0] + " z"])), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.near_duplicates(docs, 5, 80).collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(296)} for t in texts]
+    linked = [[100 * len(a & b) >= 80 * len(a | b) and a is not b for b in sets] for a in sets]
+    assert [got[i][1] for i in range(n)] == [sum(x) for x in linked]
+    label = list(range(n))
+    for i in range(n):
+        for j in range(n):
+            if linked[i][j] and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert [got[i][0] for i in range(n)] == label
+    assert [got[n + i][0] for i in range(6)] == [n, n + 1, n + 2, n + 3, n + 4, n]
+    assert sum(given[:-1]) < 3 * n  # 6,376 before; the last are the links
