@@ -41,6 +41,11 @@ def unpack(data: pa.Scalar) -> pa.RecordBatch:
         return stream.read_next_batch()
 
 
+def owned(column: pa.Array) -> pa.Array:
+    """A copy of a column. What is read from a stream is a view, which holds the whole batch of pairs (64 MB) that it came with."""
+    return column.take(pa.array(np.arange(len(column))))
+
+
 def in_bytes(setting: str) -> int:
     """A size as Spark's settings give it: a number, with or without a unit (b, k, kb, m, ...)."""
     number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", setting.lower()).groups()
@@ -122,7 +127,8 @@ def search(queries: DataFrame, passages: DataFrame, kernel: Callable[[], Kernel]
                 if block not in prepared:
                     asked_batch = unpack(q_data)
                     prepared[block] = work.prepare(asked_batch)
-                    ids.setdefault(block, asked_batch.column(0))
+                    if block not in ids:
+                        ids[block] = owned(asked_batch.column(0))
                     floors.setdefault(block, np.full(asked_batch.num_rows, -np.inf))
                     if len(prepared) > PREPARED:
                         prepared.popitem(last=False)

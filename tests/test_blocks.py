@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lorebase.operators import blocks, common, retrieval
@@ -80,3 +81,26 @@ def test_signatures_carry_no_text(spark):
 
 def test_sizes_are_read_with_their_units():
     assert [blocks.in_bytes(x) for x in ("256k", "10485760b", "-1", "3mb", "2 g", "0")] == [256 << 10, 10485760, -1, 3 << 20, 2 << 30, 0]
+
+
+class _Views(blocks.Kernel):
+    """Says of a block's ids whether they are a view of something larger."""
+
+    def prepare(self, queries):
+        return None
+
+    def found(self, asked, passages, floor):
+        return [np.zeros(1, np.int64), np.ones(1), np.zeros(1, np.int64)]
+
+    def best(self, rows):
+        return np.zeros(1, np.int64), np.zeros(1, bool)
+
+    def output(self, ids, rows):
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows[0])), pa.array([any(b is not None and b.parent is not None for b in ids.buffers())])], ["query_id", "view"])
+
+
+def test_ids_of_query_blocks_hold_no_batches(spark, lanes):
+    """The ids that a task keeps were views once, which held the batch of pairs of each query block."""
+    rows = spark.range(0, 5000, 1, 3)
+    got = blocks.search(rows, rows, _Views, "query_id long, view boolean").collect()
+    assert got and not any(r.view for r in got)
