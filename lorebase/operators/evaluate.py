@@ -6,8 +6,10 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lorebase.functions.answers import parse_verdict
 from lorebase.operators.common import top
@@ -17,6 +19,8 @@ from lorebase.workers import ship, stored
 # The grid of the tuning, channel by channel, then the constant.
 WEIGHT_GRID = (0.0, 0.3, 0.5, 0.8, 1.0, 1.2, 1.5, 2.0)
 K_GRID = (20, 40, 60, 80, 100)
+#: Queries whose facts a task holds as Python objects at once.
+FACTS = 512
 
 
 def summarize_eval(results: DataFrame) -> DataFrame:
@@ -68,23 +72,38 @@ def fusion_facts(channels: DataFrame, texts: DataFrame, expected: DataFrame) ->
 
     query_id, expected, channels (names), books (of the candidates by id), ranks (candidate, channel, rank) and alike (pairs of
     candidates of which prefix deduplication keeps one). A query's candidates are what its channels found, a few dozen, and
-    meet in one group. Texts are compared here, once, and go no further.
+    meet in one row. The channels are searched once and written. Texts are compared here, once, and go no further. Queries are
+    dealt over all shuffle partitions: their rows have few bytes but much work, and Spark would join them to one task.
     """
+    spark = channels.sparkSession
+    channels = stored(channels, "channels")
     per = channels.groupBy("query_id", "id").agg(F.collect_list(F.struct("channel", "rank")).alias("ranks"))
     rows = per.join(texts.select("id", "book", "content"), "id")
     names = [r["channel"] for r in channels.select("channel").distinct().orderBy("channel").collect()]  # a handful of channels
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("id")
-        text = g["content"].tolist()
-        alike = [[i, j] for j in range(len(text)) for i in range(j) if _alike(text[i], text[j])]
-        found = [[i, names.index(r["channel"]), int(r["rank"])] for i, ranks in enumerate(g["ranks"]) for r in ranks]
-        return pd.DataFrame({"query_id": g["query_id"].iloc[:1], "books": [[b or "其他" for b in g["book"]]], "ranks": [found], "alike": [alike]})
-
-    kind = channels.schema["query_id"].dataType.simpleString()
-    ship(channels.sparkSession)
-    facts = rows.groupBy("query_id").applyInPandas(run, f"query_id {kind}, books array<string>, ranks array<array<int>>, alike array<array<int>>")
-    return expected.join(facts, "query_id", "left").withColumn("channels", F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"))
+    found = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("id", "book", "content", "ranks"))).alias("_found"))
+    asked = expected.join(found, "query_id", "left").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("query_id"))  # by the column itself Spark would leave it out
+    kept = asked.drop("_found").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FACTS):
+                part = batch.slice(at, FACTS)
+                books, places, alike = [], [], []
+                for group in part.column("_found").to_pylist():
+                    if group is None:
+                        books.append(None), places.append(None), alike.append(None)
+                        continue
+                    text = [c["content"] for c in group]
+                    books.append([c["book"] or "其他" for c in group])
+                    places.append([[i, names.index(r["channel"]), int(r["rank"])] for i, c in enumerate(group) for r in c["ranks"]])
+                    alike.append([[i, j] for j in range(len(text)) for i in range(j) if _alike(text[i], text[j])])
+                pairs = pa.list_(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.select(kept.names).columns, pa.array(books, pa.list_(pa.string())), pa.array(places, pairs), pa.array(alike, pairs)], [*kept.names, "books", "ranks", "alike"])
+
+    ship(spark)
+    ints = ArrayType(ArrayType(IntegerType()))
+    shape = StructType([*kept.fields, StructField("books", ArrayType(StringType())), StructField("ranks", ints), StructField("alike", ints)])
+    return asked.mapInArrow(run, shape).withColumn("channels", F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"))
 
 
 def _alike(a: str | None, b: str | None) -> bool:
@@ -95,30 +114,38 @@ def _alike(a: str | None, b: str | None) -> bool:
     return n >= 10 and a[: n * 6 // 10 + 1] == b[: n * 6 // 10 + 1]
 
 
-def _replay(facts: dict, weights: Mapping[str, float], k: int, limit: int) -> int | None:
-    """Rank of the first row of the expected book after fusion, quota and deduplication; None without one."""
+def _ready(facts: dict) -> tuple | None:
+    """Of a query's facts what all parameters share: books, (candidate, channel, rank) in order, and the candidates alike to each; None without candidates."""
     books, names = facts["books"], facts["channels"]
     if not isinstance(books, (list, np.ndarray)):  # no candidates
         return None
+    near: dict[int, set[int]] = {}
+    for i, j in facts["alike"]:
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    return list(books), sorted((int(i), int(c), int(rank)) for i, c, rank in facts["ranks"]), near, list(names), facts["expected"]
+
+
+def _replay(ready: tuple | None, weights: Mapping[str, float], k: int, limit: int) -> int | None:
+    """Rank of the first row of the expected book after fusion, quota and deduplication; None without one."""
+    if ready is None:
+        return None
+    books, ranks, near, names, expected = ready
     score, used = [0.0] * len(books), [False] * len(books)
     first: list[tuple | None] = [None] * len(books)
-    for i, c, rank in sorted(map(tuple, facts["ranks"])):
+    for i, c, rank in ranks:
         w = weights.get(names[c], 1.0)
         if w > 0:
             score[i] += w / (k + rank)
             used[i] = True
             first[i] = min(first[i] or (c, rank), (c, rank))
     order = sorted((i for i in range(len(books)) if used[i]), key=lambda i: (-round(score[i], 6), first[i], i))
-    near: dict[int, set[int]] = {}
-    for i, j in facts["alike"]:
-        near.setdefault(i, set()).add(j)
-        near.setdefault(j, set()).add(i)
     cap, taken, kept = max(2, -(-limit // 2)), {}, []
     for i in order:
         taken[books[i]] = taken.get(books[i], 0) + 1
         if taken[books[i]] <= cap and not near.get(i, set()) & set(kept):
             kept.append(i)
-    return next((n for n, i in enumerate(kept[:20], 1) if books[i] == facts["expected"]), None)
+    return next((n for n, i in enumerate(kept[:20], 1) if books[i] == expected), None)
 
 
 def replayed(facts: DataFrame, params: Sequence[tuple[Mapping[str, float], int]], limit: int = 5) -> DataFrame:
@@ -127,9 +154,10 @@ def replayed(facts: DataFrame, params: Sequence[tuple[Mapping[str, float], int]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = f.to_dict("records")
-            firsts = [(p, _replay(r, w, k, limit)) for r in rows for p, (w, k) in enumerate(chosen)]
-            yield pd.DataFrame({"param": [p for p, _ in firsts], "first": pd.array([n for _, n in firsts], "Int64")})
+            for at in range(0, len(f), FACTS):
+                ready = [_ready(r) for r in f.iloc[at : at + FACTS].to_dict("records")]
+                firsts = [(p, _replay(r, w, k, limit)) for r in ready for p, (w, k) in enumerate(chosen)]
+                yield pd.DataFrame({"param": [p for p, _ in firsts], "first": pd.array([n for _, n in firsts], "Int64")})
 
     per = facts.mapInPandas(run, "param int, first long")
     hit = F.round(F.avg(F.col("first").isNotNull().cast("int")), 3)

@@ -117,3 +117,15 @@ def test_replayed_fusions_equal_the_operators(spark):
         kept = retrieval.prefix_dedup(ranked).join(text.select("id", "book"), "id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
         one = evaluate.hit_rate_mrr(expected.join(kept.select("query_id", "rank", "book"), "query_id", "left")).first()
         assert got[p] == (one.hit_rate, one.mrr)
+
+
+def test_fusion_facts_are_made_in_many_tasks(spark):
+    """Small rows of much work: all queries once met in one task."""
+    channels = spark.createDataFrame([(q, c, r, q + r) for q in range(200) for c in ("vector", "keyword") for r in (1, 2, 3)], "query_id int, channel string, rank int, id int")
+    text = spark.createDataFrame([(i, f"b{i % 3}", f"text {i}") for i in range(210)], "id int, book string, content string")
+    expected = spark.createDataFrame([(q, f"b{q % 3}") for q in range(220)], "query_id int, expected string")
+    facts = evaluate.fusion_facts(channels, text, expected)
+    per = facts.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in per) == 220
+    assert len(per) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert facts.where("books IS NULL").count() == 20
