@@ -5,8 +5,11 @@ from __future__ import annotations
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from lorebase.operators import graph
 from lorebase.plans import QUERIES, SQL
+from tests.test_scale_r03 import metric_rows
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -32,3 +35,20 @@ def test_hybrid_search_returns_more_than_twenty_rows(spark, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["hybrid_search"](spark, str(tmp_path)).select("query_id", "id", "rank", "source").collect())
     assert got == want
     assert sum(r[0] == 0 for r in got) == 22
+
+
+def test_link_entities_meets_blocks_of_ids(spark, monkeypatch):
+    """Passages were once repeated for each shuffle partition."""
+    passages = spark.range(0, 1000).select("id", F.lit(1).alias("doc_id"))
+    got = graph.link_entities(spark.createDataFrame([(5, 1)], "id long, doc_id int"), passages)
+    assert got.count() == 1000
+    assert metric_rows(got) <= 1000  # 4,000 before
+    monkeypatch.setattr(graph, "BLOCK", 8)
+    e = [(i, d) for i in [None, *range(30)] for d in ((1, 2) if i and i % 3 == 0 else (1,))]
+    p = [(f"p{i:04d}", d) for i in range(600) for d in ((1, 2, 2) if i % 5 == 0 else (2 if i % 7 == 0 else 1,))]
+    got = graph.link_entities(spark.createDataFrame(e, "id int, doc_id int"), spark.createDataFrame(p, "id string, doc_id int"))
+    assert got.dtypes == [("entity_id", "int"), ("passage_id", "string")]
+    want = {(a, b) for a, d in e for b, x in p if d == x}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert graph.link_entities(spark.createDataFrame([], "id int, doc_id int"), passages).count() == 0
