@@ -12,6 +12,7 @@ from lorebase.functions import answers, text
 from lorebase.operators import dataset, graph, structure
 from lorebase.plans.queries import DOCS, HOPS, graph_edges, k_hop_seeds, kb_docs, query, read
 from lorebase.plans.text_queries import title_sql
+from lorebase.workers import stored
 
 
 def quoted(value: str) -> str:
@@ -227,6 +228,7 @@ def k_hop_node_details(spark, d):
 
 @query(f"WITH {HOPS}, {_ENTITIES}, e AS (SELECT query_id, edge, min(hop) AS hop FROM (SELECT query_id, edge, 1 AS hop FROM step1 UNION ALL SELECT query_id, edge, 2 FROM step2) GROUP BY 1, 2) SELECT query_id, edge, hop, x.source_id, a.name AS source, x.target_id, b.name AS target, x.relation_type, x.weight FROM e JOIN edges x ON x.id = edge LEFT JOIN ents a ON a.id = x.source_id LEFT JOIN ents b ON b.id = x.target_id")
 def k_hop_edge_details(spark, d):
-    nodes, edges = graph.k_hop(k_hop_seeds(spark, d), graph_edges(spark, d))
-    return graph.with_details(nodes, edges, _entities(spark, d), graph_edges(spark, d), hops=2)[1].select("query_id", "edge", "hop", "source_id", "source", "target_id", "target", "relation_type", "weight")
+    e = stored(graph_edges(spark, d), "graph-edges")  # what the walk and the details read is grouped once
+    nodes, edges = graph.k_hop(k_hop_seeds(spark, d), e)
+    return graph.with_details(nodes, edges, _entities(spark, d), e, hops=2)[1].select("query_id", "edge", "hop", "source_id", "source", "target_id", "target", "relation_type", "weight")
 

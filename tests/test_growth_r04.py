@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorebase.operators import graph
 from lorebase.plans import QUERIES, SQL
+from lorebase.plans.queries import graph_edges
 from tests.test_scale_r03 import metric_rows
 
 DATA = Path("/root/testdata/sf0.001")
@@ -52,3 +53,24 @@ def test_link_entities_meets_blocks_of_ids(spark, monkeypatch):
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(want) and set(rows) == want
     assert graph.link_entities(spark.createDataFrame([], "id int, doc_id int"), passages).count() == 0
+
+
+def shuffled_rows(spark) -> int:
+    """Rows that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_edge_details_shuffle_edges_a_few_times(spark):
+    """Edges were once grouped four times over, and shuffled for exceptions that do not occur; a small threshold stands for large tables."""
+    d = str(DATA.parent / "sf0.01")
+    edges = graph_edges(spark, d).count()
+    before = shuffled_rows(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        QUERIES["k_hop_edge_details"](spark, d).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled_rows(spark) - before <= 6 * edges  # 11.7 times before
