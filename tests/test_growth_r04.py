@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lorebase.operators import graph
+from lorebase.operators import graph, retrieval
 from lorebase.plans import QUERIES, SQL
 from lorebase.plans.queries import graph_edges
 from tests.test_scale_r03 import metric_rows
@@ -55,11 +55,11 @@ def test_link_entities_meets_blocks_of_ids(spark, monkeypatch):
     assert graph.link_entities(spark.createDataFrame([], "id int, doc_id int"), passages).count() == 0
 
 
-def shuffled_rows(spark) -> int:
-    """Rows that all stages so far have written to shuffles."""
+def all_stages(spark) -> dict[int, tuple[int, int]]:
+    """Of each stage so far the rows that it wrote to shuffles, and the bytes of its tasks' results, which the driver takes."""
     sc = spark.sparkContext
     stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
-    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+    return {s.stageId(): (s.shuffleWriteRecords(), s.resultSize()) for s in (stages.apply(i) for i in range(stages.size()))}
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -67,10 +67,22 @@ def test_edge_details_shuffle_edges_a_few_times(spark):
     """Edges were once grouped four times over, and shuffled for exceptions that do not occur; a small threshold stands for large tables."""
     d = str(DATA.parent / "sf0.01")
     edges = graph_edges(spark, d).count()
-    before = shuffled_rows(spark)
+    before = all_stages(spark)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
     try:
         QUERIES["k_hop_edge_details"](spark, d).write.format("noop").mode("overwrite").save()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert shuffled_rows(spark) - before <= 6 * edges  # 11.7 times before
+    assert sum(rows for k, (rows, _) in all_stages(spark).items() if k not in before) <= 6 * edges  # 11.7 times before
+
+
+def test_prefix_dedup_draws_bounded_bytes_of_starts(spark, monkeypatch):
+    """Spark's own ranges bring 300 whole starts for each shuffle partition to the driver."""
+    monkeypatch.setattr(retrieval, "DRAWN_BYTES", 64 << 10, raising=False)
+    text = F.concat(F.sha2((F.col("id") % 3000).cast("string"), 256), F.repeat(F.lit("x"), 4000), F.when(F.col("id") < 3000, "").otherwise("tail"))
+    ranked = graph.stored(spark.range(0, 4000).select((F.col("id") % 2).alias("query_id"), (F.col("id") + 1).cast("int").alias("rank"), "id", text.alias("content")), "ranked")
+    before = all_stages(spark)
+    kept = {r.id for r in retrieval.prefix_dedup(ranked).select("id").collect()}
+    assert kept == set(range(3000))
+    most = max(size for k, (_, size) in all_stages(spark).items() if k not in before)
+    assert most < 400_000  # 3,022,201 before
